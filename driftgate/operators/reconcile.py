@@ -164,9 +164,10 @@ def to_snapshot(fact: DataFrame, latest: DataFrame) -> DataFrame:
     names = [n for n, _ in FACT_FIELDS]
     wide = (fact.groupBy("entity_key")
                 .agg(F.min("provider").alias("provider"), F.min("model_id").alias("model_id"),
-                     *[F.first(F.when(F.col("field") == n, envelope()), ignorenulls=True).alias(n)
+                     *[F.first(F.when(F.col("field") == n, envelope()), ignorenulls=True).alias(f"f_{n}")
                        for n in names]))
-    wide = wide.select("entity_key", "provider", "model_id", F.struct(*names).alias("facts"))
+    wide = wide.select("entity_key", "provider", "model_id",
+                       F.struct(*[F.col(f"f_{n}").alias(n) for n in names]).alias("facts"))
     return wide.join(evidence(latest), "entity_key", "left")
 
 

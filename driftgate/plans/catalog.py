@@ -1,0 +1,135 @@
+"""Registered queries: ``name -> (spark, sf_dir) -> DataFrame``, and the DuckDB SQL that
+computes the same rows. Keys are ``<inventory id>_<name>``; every query reads the shared
+tables (or data Spark derives from them) in full."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftgate.operators.diff import model_diff
+from driftgate.operators.reconcile import evidence, latest_per_source, to_snapshot
+from driftgate.plans import bindings as B
+from driftgate.plans import drift
+from driftgate.plans import oracle as O
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+TS_FMT = "yyyy-MM-dd HH:mm:ss"
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+def _fmt(c) -> F.Column:
+    return F.date_format(F.col(c) if isinstance(c, str) else c, TS_FMT)
+
+
+# --------------------------------------------------------------------------- reconcile
+
+@register("a1_latest_per_source", f"""
+SELECT entity_key, source_id, source_ord, strftime(fetched_at, '{O.FMT_TS}') AS fetched,
+       lifecycle_status, input_price, retirement_date
+FROM {O.a1_sql(B.CURRENT_AS_OF)} a""")
+def a1_latest_per_source(spark, sf_dir):
+    a1 = latest_per_source(B.observations(spark, sf_dir, B.CURRENT_AS_OF))
+    return a1.select("entity_key", "source_id", "source_ord", _fmt("fetched_at").alias("fetched"),
+                     "lifecycle_status", "input_price", "retirement_date")
+
+
+def _fact_view(fact: DataFrame) -> DataFrame:
+    return fact.select(
+        "entity_key", "field", "field_ord", "confidence", "str_value", "num_value", "bool_value",
+        "source_id", _fmt("fetched_at").alias("fetched"),
+        F.when(F.col("candidates").isNull(), F.lit(0)).otherwise(F.size("candidates")).cast("long").alias("n_candidates"))
+
+
+@register("a2_fact_confidence", f"""
+SELECT entity_key, field, field_ord, confidence, str_value, num_value, bool_value, source_id,
+       strftime(fetched_at, '{O.FMT_TS}') AS fetched, n_candidates
+FROM {O.fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)} f""")
+def a2_fact_confidence(spark, sf_dir):
+    """The long fact table as of the current date."""
+    from driftgate.operators.reconcile import reconcile
+    return _fact_view(reconcile(B.observations(spark, sf_dir, B.CURRENT_AS_OF), B.CURRENT_AS_OF,
+                                B.STALE_AFTER_DAYS))
+
+
+@register("a7_snapshot_record", f"""
+WITH f AS {O.fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)},
+a1 AS {O.a1_sql(B.CURRENT_AS_OF)},
+ev AS (SELECT entity_key, count(*) AS n_evidence, string_agg(source_id, ',' ORDER BY source_ord) AS evidence_sources
+       FROM a1 GROUP BY entity_key)
+SELECT f.entity_key, f.provider, f.model_id, ev.n_evidence, ev.evidence_sources,
+  max(CASE WHEN field = 'provider' THEN confidence END) AS provider_confidence,
+  max(CASE WHEN field = 'lifecycleStatus' THEN str_value END) AS lifecycle_status,
+  max(CASE WHEN field = 'lifecycleStatus' THEN confidence END) AS lifecycle_confidence,
+  max(CASE WHEN field = 'inputPricePerMillion' THEN num_value END) AS input_price,
+  max(CASE WHEN field = 'inputPricePerMillion' THEN confidence END) AS input_price_confidence,
+  max(CASE WHEN field = 'toolCalling' THEN bool_value END) AS tool_calling
+FROM f JOIN ev ON f.entity_key = ev.entity_key
+GROUP BY f.entity_key, f.provider, f.model_id, ev.n_evidence, ev.evidence_sources""")
+def a7_snapshot_record(spark, sf_dir):
+    """Wide snapshot records (12 envelopes + evidence), projected flat."""
+    from driftgate.operators.reconcile import classify, to_long
+    latest = latest_per_source(B.observations(spark, sf_dir, B.CURRENT_AS_OF))
+    fact = classify(to_long(latest), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
+    snap = to_snapshot(fact, latest)
+    return snap.select(
+        "entity_key", "provider", "model_id",
+        F.size("evidence").cast("long").alias("n_evidence"),
+        F.array_join(F.transform("evidence", lambda e: e["source_id"]), ",").alias("evidence_sources"),
+        F.col("facts.provider.confidence").alias("provider_confidence"),
+        F.col("facts.lifecycleStatus.str_value").alias("lifecycle_status"),
+        F.col("facts.lifecycleStatus.confidence").alias("lifecycle_confidence"),
+        F.col("facts.inputPricePerMillion.num_value").alias("input_price"),
+        F.col("facts.inputPricePerMillion.confidence").alias("input_price_confidence"),
+        F.col("facts.toolCalling.bool_value").alias("tool_calling"),
+    )
+
+
+# --------------------------------------------------------------------------- drift check
+
+@register("c1_field_diff", f"""
+SELECT scope, entity_key, field, kind, a_str, a_num, a_bool, c_str, c_num, c_bool, confidence, blocking_eligible
+FROM {O.diff_sql()} d""")
+def c1_field_diff(spark, sf_dir):
+    """Approved lock vs current facts, field by field."""
+    return drift.run(spark, sf_dir).fdiff.select(
+        "scope", "entity_key", "field", "kind", "a_str", "a_num", "a_bool", "c_str", "c_num", "c_bool",
+        "confidence", "blocking_eligible")
+
+
+@register("a11_model_diff", f"""
+SELECT scope, entity_key, CASE WHEN bool_or(kind <> 'unchanged') THEN 'changed' ELSE 'unchanged' END AS kind
+FROM {O.diff_sql()} d GROUP BY scope, entity_key""")
+def a11_model_diff(spark, sf_dir):
+    return model_diff(drift.run(spark, sf_dir).fdiff)
+
+
+FINDING_OUT = ["scope", "key", "field", "severity", "code", "message", "path", "line", "confidence"]
+
+
+@register("p14_findings", f"SELECT {', '.join(FINDING_OUT)} FROM {O.findings_sql()} f")
+def p14_findings(spark, sf_dir):
+    """Every finding of every scope under the default policy."""
+    return drift.run(spark, sf_dir).findings.select(*FINDING_OUT)
+
+
+@register("a9_gate", f"""
+WITH f AS {O.findings_sql()}, s AS (SELECT DISTINCT scope FROM {O.deps_sql()} d)
+SELECT s.scope, CAST(count(f.code) FILTER (WHERE f.severity = 'fail') AS BIGINT) AS n_fail,
+       CAST(count(f.code) FILTER (WHERE f.severity = 'warn') AS BIGINT) AS n_warn,
+       CASE WHEN count(f.code) FILTER (WHERE f.severity = 'fail') > 0 THEN 1 ELSE 0 END AS exit_code
+FROM s LEFT JOIN f ON f.scope = s.scope GROUP BY s.scope""")
+def a9_gate(spark, sf_dir):
+    """fail/warn counts and exit code per scope."""
+    return drift.run(spark, sf_dir).gate
