@@ -109,3 +109,92 @@ def current_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def approved_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir, APPROVED_AS_OF)
+
+
+# ---------------------------------------------------------------------------- B3 corpus
+# Line templates by file type, chosen by o_orderkey % 8 (fixed test content).
+PY_LINES = [
+    "import openai",
+    "from anthropic import Anthropic",
+    'r = client.messages.create(model="claude-sonnet-4-20250514")',
+    'model = "gpt-4o"',
+    'cfg = {"model": "gemini-2.5-pro"}',
+    'model_id="grok-3"',
+    'model = "src/gpt-4o/x"',
+    "x = 1",
+]
+TS_LINES = [
+    'import OpenAI from "openai";',
+    'import Anthropic, { HUMAN_PROMPT as hp } from "@anthropic-ai/sdk";',
+    'const r = await Anthropic.messages.create({ model: "claude-sonnet-4-20250514", max_tokens: 64 });',
+    'const cfg = { model: "gpt-4o" };',
+    'const c = OpenAI.chat.completions.create({ messages, model: "gpt-4o-mini" });',
+    "export const defaults = { fallbackModel: 'gemini-2.5-flash' };",
+    'run({ model_id: "src/gpt-4o/x" });',
+    "let y = 1;",
+]
+ENV_LINES = [
+    "OPENAI_MODEL=gpt-4o",
+    'ANTHROPIC_MODEL="claude-3-5-sonnet-latest"',
+    "GEMINI_MODEL='gemini-2.5-pro'",
+    "XAI_MODEL = grok-3",
+    "OPENAI_API_KEY=sk-test",
+    "GROK_MODEL=src/grok",
+    "# comment",
+    "CLAUDE_MODEL=claude-opus-4-0",
+]
+YAML_LINES = [
+    "model: gpt-4.1",
+    '  model_id: "claude-3-haiku-20240307"',
+    "- MODEL: 'gemini-1.5-flash'",
+    "name: service",
+    "modelId: grok-2  # pinned",
+    "model: not-a-model",
+    "temperature: 0.2",
+    "model: o3-mini",
+]
+FILE_EXTS = [".py", ".ts", ".env.example", ".yaml"]
+JSON_KEYS = ["model", "model_id", "Model"]
+JSON_IDS = ["gpt-4o", "claude-3-5-sonnet-20241022", "gemini-2.5-pro", "grok-3", "o3-mini",
+            "text-embedding-3-small", "not a model", "gpt-4o-2024-08-06"]
+
+
+def _pick(values: list[str], idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is one line of its customer's file; the file type and the repository
+    (scope) come from the customer key. Some files sit in skipped directories."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    kind = c % 4
+    sub = F.when(c % 10 == 7, "node_modules/").when(c % 10 == 8, ".cache/").otherwise("")
+    text = (F.when(kind == 0, _pick(PY_LINES, k % 8)).when(kind == 1, _pick(TS_LINES, k % 8))
+             .when(kind == 2, _pick(ENV_LINES, k % 8)).otherwise(_pick(YAML_LINES, k % 8)))
+    return o.select(F.concat(F.lit("repo-"), (c % 20).cast("string")).alias("scope"),
+                    F.concat(F.lit("src/"), sub, F.lit("f"), c.cast("string"), _pick(FILE_EXTS, kind)).alias("path"),
+                    k.alias("o_orderkey"), text.alias("text"))
+
+
+def code_lines(spark: SparkSession, sf_dir: str, keep_skipped: bool = False) -> DataFrame:
+    """B3 line table (scope, path, line, text); lines are numbered by order key within a
+    file with a bounded-partition row number."""
+    from driftgate.operators.discovery import path_kept
+    from driftgate.operators.segmented import segmented_row_number
+    f = code_files(spark, sf_dir)
+    if not keep_skipped:
+        f = f.filter(path_kept("path"))
+    return segmented_row_number(f, ["scope", "path"], "o_orderkey", "line").select("scope", "path", "line", "text")
+
+
+def json_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 JSON documents: one small config file per order; every ninth is truncated."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    body = F.concat(F.lit('{"service": "s'), k.cast("string"), F.lit('", "llm": {"'), _pick(JSON_KEYS, k % 3),
+                    F.lit('": "'), _pick(JSON_IDS, k % 8), F.lit('"}, "retries": '), (k % 5).cast("string"))
+    content = F.when(k % 9 == 0, body).otherwise(F.concat(body, F.lit("}")))
+    return o.select(F.concat(F.lit("repo-"), (c % 20).cast("string")).alias("scope"),
+                    F.concat(F.lit("conf/o"), k.cast("string"), F.lit(".json")).alias("path"),
+                    content.alias("content"))

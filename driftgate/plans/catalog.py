@@ -133,3 +133,92 @@ FROM s LEFT JOIN f ON f.scope = s.scope GROUP BY s.scope""")
 def a9_gate(spark, sf_dir):
     """fail/warn counts and exit code per scope."""
     return drift.run(spark, sf_dir).gate
+
+
+# --------------------------------------------------------------------------- discovery
+
+from driftgate.operators import discovery as D  # noqa: E402
+
+HIT_OUT = ["scope", "provider", "model_id", "path", "line", "column", "snippet", "confidence", "kind"]
+
+
+def _typed(spark, sf_dir, kind: str):
+    lines = B.code_lines(spark, sf_dir)
+    return lines.filter(D.file_type("path") == kind)
+
+
+@register("d2_python_hits", f"SELECT {O.HIT_OUT} FROM {O.python_hits_sql()} h")
+def d2_python_hits(spark, sf_dir):
+    """Python call-site patterns with import-hint carry-forward."""
+    return D.scan_python(_typed(spark, sf_dir, "python")).select(*HIT_OUT)
+
+
+@register("d4_js_hits", f"SELECT {O.HIT_OUT} FROM {O.js_hits_sql()} h")
+def d4_js_hits(spark, sf_dir):
+    """JS/TS call-site model keys (import aliases) and property literals."""
+    return D.scan_js(_typed(spark, sf_dir, "code")).select(*HIT_OUT)
+
+
+@register("d7_config_hits", f"SELECT {O.HIT_OUT} FROM {O.yaml_hits_sql()} a UNION ALL SELECT {O.HIT_OUT} FROM {O.json_hits_sql()} b")
+def d7_config_hits(spark, sf_dir):
+    """Model keys in YAML lines and in JSON documents that parse."""
+    yml = D.scan_yaml(_typed(spark, sf_dir, "data"))
+    return yml.unionByName(D.scan_json(B.json_docs(spark, sf_dir))).select(*HIT_OUT)
+
+
+@register("d8_env_hits", f"SELECT {O.HIT_OUT} FROM {O.env_hits_sql()} h")
+def d8_env_hits(spark, sf_dir):
+    """KEY=value model assignments in .env.example files."""
+    return D.scan_env(_typed(spark, sf_dir, "env")).select(*HIT_OUT)
+
+
+DEP_OUT = ["scope", "entity_key", "provider", "model_id", "identifier_kind", "confidence", "low_confidence",
+           "n_occurrences", "path", "line"]
+
+
+def _discovered(spark, sf_dir):
+    return D.discover(B.code_lines(spark, sf_dir), B.json_docs(spark, sf_dir))
+
+
+@register("d9_dependencies", f"SELECT {', '.join(DEP_OUT)} FROM {O.deps_from_hits_sql()} d")
+def d9_dependencies(spark, sf_dir):
+    """Every scanner's hits consolidated per (scope, provider, model id)."""
+    return _discovered(spark, sf_dir).select(*DEP_OUT)
+
+
+@register("d11_inventory", f"""
+SELECT scope, entity_key AS key, identifier_kind, printf('%.2f', confidence) AS conf, low_confidence,
+       path || ':' || line AS location
+FROM {O.deps_from_hits_sql()} d""")
+def d11_inventory(spark, sf_dir):
+    """The scan inventory line per dependency."""
+    return D.inventory(_discovered(spark, sf_dir))
+
+
+@register("f8_low_confidence", f"SELECT scope, entity_key, confidence FROM {O.deps_from_hits_sql()} d WHERE low_confidence")
+def f8_low_confidence(spark, sf_dir):
+    """F8: dependencies whose best hit is below 0.6."""
+    return D.low_confidence(_discovered(spark, sf_dir)).select("scope", "entity_key", "confidence")
+
+
+def _ignore_sql(path: str) -> str:
+    from driftgate.schemas import DEFAULT_IGNORE_GLOBS
+    return "(" + " AND ".join(f"NOT regexp_matches({path}, {O._q(D.glob_to_regex(g))})" for g in DEFAULT_IGNORE_GLOBS) + ")"
+
+
+@register("f1_file_routing", f"""
+SELECT DISTINCT scope, path,
+  NOT regexp_matches(path, {O._q(D.SKIP_DIR_RE)}) AS kept,
+  {_ignore_sql('path')} AS not_ignored,
+  CASE WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.js', '.jsx', '.mjs', '.cjs', '.ts', '.tsx', '.mts', '.cts') THEN 'code'
+       WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) = '.py' THEN 'python'
+       WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.json', '.yaml', '.yml') THEN 'data'
+       WHEN path LIKE '%.env.example' THEN 'env' END AS file_type
+FROM {O.code_files_sql()} f""")
+def f1_file_routing(spark, sf_dir):
+    """skipped directories, default ignore globs, and file-type routing."""
+    from driftgate.schemas import DEFAULT_IGNORE_GLOBS
+    f = B.code_files(spark, sf_dir).select("scope", "path").distinct()
+    return f.select("scope", "path", D.path_kept("path").alias("kept"),
+                    D.not_ignored("path", DEFAULT_IGNORE_GLOBS).alias("not_ignored"),
+                    D.file_type("path").alias("file_type"))

@@ -278,3 +278,151 @@ def findings_sql(min_conf: str = "official-verified", window: int = 90, max_in:
         sels.append(f"SELECT scope, entity_key AS key, {f} AS field, field_ord, {s} AS severity, '{code}' AS code, "
                     f"{msg} AS message, path, line, {conf} AS confidence FROM d WHERE {cond}")
     return "(WITH d AS " + diff_sql() + "\n" + "\nUNION ALL ".join(sels) + ")"
+
+
+# ----------------------------------------------------------------------------- discovery
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def pick_sql(values: list[str], idx: str) -> str:
+    return "CASE " + idx + " " + " ".join(f"WHEN {i} THEN {_q(v)}" for i, v in enumerate(values)) + " END"
+
+
+def code_files_sql() -> str:
+    k, c = "o_orderkey", "o_custkey"
+    text = (f"CASE {c} % 4 WHEN 0 THEN {pick_sql(B.PY_LINES, k + ' % 8')} WHEN 1 THEN {pick_sql(B.TS_LINES, k + ' % 8')} "
+            f"WHEN 2 THEN {pick_sql(B.ENV_LINES, k + ' % 8')} ELSE {pick_sql(B.YAML_LINES, k + ' % 8')} END")
+    sub = f"CASE WHEN {c} % 10 = 7 THEN 'node_modules/' WHEN {c} % 10 = 8 THEN '.cache/' ELSE '' END"
+    return (f"(SELECT 'repo-' || ({c} % 20) AS scope, 'src/' || {sub} || 'f' || {c} || {pick_sql(B.FILE_EXTS, c + ' % 4')} AS path, "
+            f"{k} AS o_orderkey, {text} AS text FROM orders)")
+
+
+def code_lines_sql() -> str:
+    from driftgate.operators.discovery import SKIP_DIR_RE
+    return (f"(SELECT scope, path, CAST(row_number() OVER (PARTITION BY scope, path ORDER BY o_orderkey) AS INTEGER) AS line, text "
+            f"FROM {code_files_sql()} f WHERE NOT regexp_matches(path, {_q(SKIP_DIR_RE)}))")
+
+
+def json_docs_sql() -> str:
+    k, c = "o_orderkey", "o_custkey"
+    body = (f"'{{\"service\": \"s' || {k} || '\", \"llm\": {{\"' || {pick_sql(B.JSON_KEYS, k + ' % 3')} || '\": \"' || "
+            f"{pick_sql(B.JSON_IDS, k + ' % 8')} || '\"}}, \"retries\": ' || ({k} % 5)")
+    return (f"(SELECT 'repo-' || ({c} % 20) AS scope, 'conf/o' || {k} || '.json' AS path, "
+            f"CASE WHEN {k} % 9 = 0 THEN {body} ELSE {body} || '}}' END AS content FROM orders)")
+
+
+def _trim_sql(x: str) -> str:
+    from driftgate.functions.text import JS_WS
+    return f"regexp_replace({x}, {_q('^' + JS_WS + '+|' + JS_WS + '+$')}, '', 'g')"
+
+
+def python_hits_sql() -> str:
+    from driftgate.schemas import PYTHON_MODEL_PATTERNS, PYTHON_PROVIDER_HINTS
+    hint = "CASE " + " ".join(f"WHEN regexp_matches(text, {_q(rx)}) THEN '{p}'"
+                              for p, rx in reversed(PYTHON_PROVIDER_HINTS)) + " END"
+    sels = []
+    for i, rx in enumerate(PYTHON_MODEL_PATTERNS):
+        mid = f"regexp_extract(text, {_q(rx)}, 1)"
+        sels.append(
+            f"SELECT scope, coalesce(carried, {infer_provider_sql(mid)}) AS provider, {mid} AS model_id, path, line, "
+            f"CAST(NULL AS INTEGER) AS \"column\", substring({_trim_sql('text')}, 1, 120) AS snippet, "
+            f"CASE WHEN regexp_matches(text, 'messages\\.create|chat\\.completions') THEN 0.9 ELSE 0.7 END::DOUBLE AS confidence, "
+            f"'sdk' AS kind, {i} AS hit_ord FROM c WHERE {mid} <> '' AND {looks_like_sql(mid)}")
+    return (f"(WITH l AS (SELECT * FROM {code_lines_sql()} x WHERE path LIKE '%.py'), "
+            f"h AS (SELECT *, {hint} AS hint FROM l), "
+            f"c AS (SELECT *, last_value(hint IGNORE NULLS) OVER (PARTITION BY scope, path ORDER BY line "
+            f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM h) "
+            + " UNION ALL ".join(sels) + ")")
+
+
+def env_hits_sql() -> str:
+    from driftgate.operators.discovery import ENV_LINE
+    from driftgate.schemas import ENV_MODEL_KEYS
+    keys = " UNION ALL ".join(f"SELECT '{k}' AS env_key, '{p}' AS env_provider" for k, p in ENV_MODEL_KEYS)
+    val = f"regexp_replace({_trim_sql(f'regexp_extract(text, {_q(ENV_LINE)}, 2)')}, '^[\"'']|[\"'']$', '', 'g')"
+    return (f"(SELECT scope, env_provider AS provider, value AS model_id, path, line, CAST(NULL AS INTEGER) AS \"column\", "
+            f"env_key || '=' || value AS snippet, 0.85::DOUBLE AS confidence, 'env' AS kind, 0 AS hit_ord "
+            f"FROM (SELECT scope, path, line, regexp_extract(text, {_q(ENV_LINE)}, 1) AS env_key, {val} AS value "
+            f"      FROM {code_lines_sql()} l WHERE path LIKE '%.env.example' AND contains(text, '=')) e "
+            f"JOIN ({keys}) k USING (env_key) WHERE {looks_like_sql('value')})")
+
+
+def yaml_hits_sql() -> str:
+    from driftgate.operators.discovery import YAML_KEY
+    return (f"(SELECT scope, {infer_provider_sql('model_id')} AS provider, model_id, path, 1 AS line, "
+            f"CAST(NULL AS INTEGER) AS \"column\", key || ': ' || model_id AS snippet, 0.75::DOUBLE AS confidence, "
+            f"'config' AS kind, line AS hit_ord "
+            f"FROM (SELECT scope, path, line, regexp_extract(text, {_q(YAML_KEY)}, 1) AS key, "
+            f"regexp_extract(text, {_q(YAML_KEY)}, 2) AS model_id FROM {code_lines_sql()} l "
+            f"WHERE (path LIKE '%.yaml' OR path LIKE '%.yml') AND contains(lower(text), 'model')) y "
+            f"WHERE key <> '' AND {looks_like_sql('model_id')})")
+
+
+def json_hits_sql() -> str:
+    from driftgate.operators.discovery import JSON_KEY
+    return (f"(SELECT scope, {infer_provider_sql('model_id')} AS provider, model_id, path, 1 AS line, "
+            f"CAST(NULL AS INTEGER) AS \"column\", key || ': ' || model_id AS snippet, 0.75::DOUBLE AS confidence, "
+            f"'config' AS kind, 0 AS hit_ord "
+            f"FROM (SELECT scope, path, regexp_extract(m, {_q(JSON_KEY)}, 1) AS key, regexp_extract(m, {_q(JSON_KEY)}, 2) AS model_id "
+            f"      FROM (SELECT scope, path, unnest(regexp_extract_all(content, {_q(JSON_KEY)}, 0)) AS m "
+            f"            FROM {json_docs_sql()} d WHERE json_valid(content)) u) j "
+            f"WHERE {looks_like_sql('model_id')})")
+
+
+def js_hits_sql() -> str:
+    from driftgate.operators.discovery import JS_CALL, JS_IMPORT, JS_PROP
+    from driftgate.schemas import PROVIDER_PACKAGES
+    pk = " UNION ALL ".join(f"SELECT '{a}' AS package, '{p}' AS imp_provider" for a, p in PROVIDER_PACKAGES)
+    named = ("list_transform(string_split(regexp_extract(spec, '\\{([^}]*)\\}', 1), ','), "
+             "lambda x: regexp_extract(x, '([A-Za-z_$][\\w$]*)\\s*$', 1))")
+    names = f"list_concat([regexp_extract(spec, '^\\s*([A-Za-z_$][\\w$]*)', 1), regexp_extract(spec, '\\*\\s*as\\s+([A-Za-z_$][\\w$]*)', 1)], {named})"
+    return f"""(
+  WITH l AS (SELECT * FROM {code_lines_sql()} x WHERE path LIKE '%.ts' AND contains(lower(text), 'model')),
+  al AS (SELECT * FROM {code_lines_sql()} x WHERE path LIKE '%.ts' AND contains(text, 'import')),
+  imp AS (SELECT scope, path, line AS imp_line, imp_provider, unnest({names}) AS alias
+          FROM (SELECT scope, path, line, regexp_extract(text, {_q(JS_IMPORT)}, 1) AS spec,
+                       regexp_extract(text, {_q(JS_IMPORT)}, 2) AS package FROM al) s
+          JOIN ({pk}) p USING (package)),
+  calls AS (SELECT scope, path, line, text, m, regexp_extract(m, {_q(JS_CALL)}, 1) AS root,
+                   regexp_extract(m, {_q(JS_CALL)}, 2) AS member,
+                   regexp_extract(m, {_q(JS_CALL)}, 3) || regexp_extract(m, {_q(JS_CALL)}, 4) AS model_id
+            FROM (SELECT *, unnest(regexp_extract_all(text, {_q(JS_CALL)}, 0)) AS m FROM l) u),
+  cj AS (SELECT c.scope, c.path, c.line, c.text, c.m, c.model_id,
+                max({{'l': i.imp_line, 'p': i.imp_provider}}) AS imp
+         FROM calls c LEFT JOIN imp i ON i.scope = c.scope AND i.path = c.path AND c.member <> ''
+              AND i.alias = c.root AND i.alias <> '' AND i.imp_line <= c.line
+         GROUP BY c.scope, c.path, c.line, c.text, c.m, c.model_id),
+  props AS (SELECT scope, path, line, text, m,
+                   regexp_extract(m, {_q(JS_PROP)}, 1) || regexp_extract(m, {_q(JS_PROP)}, 2) || regexp_extract(m, {_q(JS_PROP)}, 3) AS key,
+                   regexp_extract(m, {_q(JS_PROP)}, 4) || regexp_extract(m, {_q(JS_PROP)}, 5) AS model_id
+            FROM (SELECT *, unnest(regexp_extract_all(text, {_q(JS_PROP)}, 0)) AS m FROM l) u)
+  SELECT scope, coalesce(imp.p, {infer_provider_sql('model_id')}) AS provider, model_id, path, line,
+         CAST(strpos(text, m) - 1 + length(m) - length(model_id) - 2 AS INTEGER) AS "column",
+         'model: "' || model_id || '"' AS snippet, 0.9::DOUBLE AS confidence, 'sdk' AS kind
+  FROM cj
+  UNION ALL
+  SELECT scope, {infer_provider_sql('model_id')} AS provider, model_id, path, line,
+         CAST(strpos(text, m) - 1 + length(m) - length(model_id) - 2 AS INTEGER) AS "column",
+         key || ': "' || model_id || '"' AS snippet, 0.55::DOUBLE AS confidence, 'literal' AS kind
+  FROM props WHERE regexp_matches(key, '(?i)model') AND {looks_like_sql('model_id')}
+)"""
+
+
+HIT_OUT = "scope, provider, model_id, path, line, \"column\", snippet, confidence, kind"
+
+
+def all_hits_sql() -> str:
+    return (f"(SELECT {HIT_OUT} FROM {python_hits_sql()} a UNION ALL SELECT {HIT_OUT} FROM {js_hits_sql()} b "
+            f"UNION ALL SELECT {HIT_OUT} FROM {env_hits_sql()} c UNION ALL SELECT {HIT_OUT} FROM {yaml_hits_sql()} d "
+            f"UNION ALL SELECT {HIT_OUT} FROM {json_hits_sql()} e)")
+
+
+def deps_from_hits_sql() -> str:
+    return f"""(
+  SELECT scope, provider || ':' || model_id AS entity_key, provider, model_id, {kind_sql('model_id')} AS identifier_kind,
+         max(confidence) AS confidence, max(confidence) < 0.6 AS low_confidence, count(*) AS n_occurrences,
+         arg_min(path, {{'p': path, 'l': line}}) AS path, arg_min(line, {{'p': path, 'l': line}}) AS line
+  FROM {all_hits_sql()} h GROUP BY scope, provider, model_id
+)"""
