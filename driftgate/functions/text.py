@@ -3,6 +3,8 @@ allowlist (X11-X14, X19, X20, F10)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,12 +33,50 @@ def contains_secret(s) -> Column:
     return _c(s).rlike(SECRET_ANY)
 
 
+# The secret key words (the key rule of X12) in ``key = "value"`` / ``key: "value"`` form,
+# for free text where there is no object key to test.
+SECRET_KEY_WORDS = "secret|password|token|apikey|api_key|authorization"
+SECRET_ASSIGNMENT = r'(?i:(' + SECRET_KEY_WORDS + r'))\s*[:=]\s*"[^"]*"'
+
+
+def contains_secret_assignment(s) -> Column:
+    """X11 extended to text: a secret key word assigned a quoted value."""
+    return _c(s).rlike(SECRET_ASSIGNMENT)
+
+
 def scrub_secrets(s) -> Column:
-    """X12 on one string: every match of every pattern becomes [REDACTED]."""
+    """X12 on one string: every match of every pattern becomes [REDACTED] (all matches,
+    not only the first), and quoted values assigned to a secret key word are redacted."""
     out = _c(s)
     for p in SECRET_PATTERNS:
         out = F.regexp_replace(out, p, REDACTED)
-    return out
+    return F.regexp_replace(out, r'(?i:(' + SECRET_KEY_WORDS + r')(\s*[:=]\s*)")[^"]*"', "$1$2\"" + REDACTED + '"')
+
+
+def scrub(df, key_pattern: str | None = None):
+    """X12 on a table: string columns whose name is a secret key are redacted whole; other
+    string columns, map values and nested struct fields are scrubbed; map entries whose key
+    is a secret key are redacted whole."""
+    from pyspark.sql import types as T
+    from driftgate.schemas import SECRET_KEY_PATTERN
+    kp = re.compile(key_pattern or SECRET_KEY_PATTERN[4:], re.I)
+
+    def walk(col: Column, dtype, name: str) -> Column:
+        if name and kp.search(name) and isinstance(dtype, T.StringType):
+            return F.when(col.isNotNull(), F.lit(REDACTED))
+        if isinstance(dtype, T.StringType):
+            return scrub_secrets(col)
+        if isinstance(dtype, T.StructType):
+            return F.when(col.isNotNull(), F.struct(*[walk(col[f.name], f.dataType, f.name).alias(f.name)
+                                                      for f in dtype.fields]))
+        if isinstance(dtype, T.ArrayType):
+            return F.transform(col, lambda x: walk(x, dtype.elementType, ""))
+        if isinstance(dtype, T.MapType) and isinstance(dtype.valueType, T.StringType):
+            return F.transform_values(col, lambda k, v: F.when(k.rlike("(?i)" + SECRET_KEY_WORDS), F.lit(REDACTED))
+                                      .otherwise(scrub_secrets(v)))
+        return col
+
+    return df.select(*[walk(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 
 # Entity decoding, applied in this fixed order after tags are gone.

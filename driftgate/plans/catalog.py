@@ -222,3 +222,135 @@ def f1_file_routing(spark, sf_dir):
     return f.select("scope", "path", D.path_kept("path").alias("kept"),
                     D.not_ignored("path", DEFAULT_IGNORE_GLOBS).alias("not_ignored"),
                     D.file_type("path").alias("file_type"))
+
+
+# --------------------------------------------------------------------------- text safety
+
+from driftgate.functions import text as X  # noqa: E402
+from driftgate.functions.identity import (  # noqa: E402
+    infer_provider, is_fixed_model_id, model_key, normalize_provider, parse_model_key,
+)
+
+
+def _secret_any_sql(col: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({col}, {O._q(X._as_group(p))})" for p in X.SECRET_PATTERNS) + ")"
+
+
+@register("x11_secret_documents", f"""
+SELECT doc_id, {_secret_any_sql('text')} AS has_secret,
+       regexp_matches(text, {O._q(X.SECRET_ASSIGNMENT)}) AS has_secret_assignment
+FROM documents""")
+def x11_secret_documents(spark, sf_dir):
+    """X11: the six secret patterns, and secret key words assigned a quoted value."""
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", X.contains_secret("text").alias("has_secret"),
+                    X.contains_secret_assignment("text").alias("has_secret_assignment"))
+
+
+def _scrub_sql(col: str) -> str:
+    out = col
+    for p in X.SECRET_PATTERNS:
+        out = f"regexp_replace({out}, {O._q(X._as_group(p))}, '[REDACTED]', 'g')"
+    return (f"regexp_replace({out}, {O._q('(?i:(' + X.SECRET_KEY_WORDS + ')(' + chr(92) + 's*[:=]' + chr(92) + 's*)' + chr(34) + ')[^' + chr(34) + ']*' + chr(34))}, "
+            f"'\\1\\2\"[REDACTED]\"', 'g')")
+
+
+@register("x12_scrub_documents", f"""
+SELECT doc_id, length(s) AS scrubbed_chars, sha256(s) AS scrubbed_sha256,
+       CAST((length(s) - length(replace(s, '[REDACTED]', ''))) / 10 AS BIGINT) AS n_redacted
+FROM (SELECT doc_id, {_scrub_sql('text')} AS s FROM documents) d""")
+def x12_scrub_documents(spark, sf_dir):
+    """Every document with all secret matches and assigned secret values redacted."""
+    d = B.table(spark, sf_dir, "documents").select("doc_id", X.scrub_secrets(F.col("text")).alias("s"))
+    return d.select("doc_id", F.length("s").cast("long").alias("scrubbed_chars"), F.sha2("s", 256).alias("scrubbed_sha256"),
+                    ((F.length("s") - F.length(F.replace("s", F.lit("[REDACTED]"), F.lit("")))) / 10).cast("long").alias("n_redacted"))
+
+
+def _sanitize_sql(col: str) -> str:
+    s = f"regexp_replace({col}, '(?i)<script\\b[^>]*>[\\s\\S]*?</script>', '', 'g')"
+    s = f"regexp_replace({s}, '(?i)<style\\b[^>]*>[\\s\\S]*?</style>', '', 'g')"
+    s = f"regexp_replace({s}, '</?[a-zA-Z][^>]*>', '', 'g')"
+    for ent, ch in X.ENTITIES:
+        s = f"replace({s}, {O._q(ent)}, {O._q(ch)})"
+    return f"regexp_replace({s}, '[\\x{{0000}}-\\x{{0008}}\\x{{000B}}\\x{{000C}}\\x{{000E}}-\\x{{001F}}\\x{{007F}}]', '', 'g')"
+
+
+def _line_sql(col: str) -> str:
+    return f"trim(regexp_replace({_sanitize_sql(col)}, {O._q(X.JS_WS + '+')}, ' ', 'g'))"
+
+
+@register("x13_sanitize_pages", f"""
+SELECT page_id, length(p) AS printable_chars, sha256(p) AS printable_sha256, contains(p, '<') AS has_lt,
+       length(l) AS line_chars, sha256(l) AS line_sha256
+FROM (SELECT page_id, {_sanitize_sql('html')} AS p, {_line_sql('html')} AS l FROM pages) x""")
+def x13_sanitize_pages(spark, sf_dir):
+    """Raw web pages made safe to print, as a block and as one line."""
+    p = B.table(spark, sf_dir, "pages").select("page_id", X.sanitize_for_print(F.col("html")).alias("p"),
+                                                X.sanitize_line(F.col("html")).alias("l"))
+    return p.select("page_id", F.length("p").cast("long").alias("printable_chars"), F.sha2("p", 256).alias("printable_sha256"),
+                    F.col("p").contains("<").alias("has_lt"), F.length("l").cast("long").alias("line_chars"),
+                    F.sha2("l", 256).alias("line_sha256"))
+
+
+def _url_sql(col: str) -> str:
+    scheme = f"lower(regexp_extract({col}, {O._q(X.URL_SCHEME)}, 1))"
+    host = f"lower(regexp_extract({col}, {O._q(X.URL_HOST)}, 1))"
+    hosts = ", ".join(f"'{h}'" for h in X.ALLOWED_FETCH_HOSTS)
+    invalid = f"({col} IS NULL OR {scheme} = '' OR ({scheme} IN ('http', 'https', 'ftp', 'ws', 'wss') AND {host} = ''))"
+    return (f"CASE WHEN {invalid} THEN 'Invalid URL: ' || coalesce({col}, '') "
+            f"WHEN {scheme} <> 'https' THEN 'Only HTTPS is allowed (got ' || {scheme} || ':)' "
+            f"WHEN {host} NOT IN ({hosts}) THEN 'Hostname not on allowlist: ' || {host} END")
+
+
+@register("f10_url_allowlist", f"SELECT page_id, url, r IS NULL AS ok, r AS reason FROM (SELECT page_id, url, {_url_sql('url')} AS r FROM pages) p")
+def f10_url_allowlist(spark, sf_dir):
+    """the fetch allowlist decision, with the refusal reason, for every page URL."""
+    p = B.table(spark, sf_dir, "pages").select("page_id", "url")
+    return p.select("page_id", "url", X.url_allowed(F.col("url")).alias("a")).select("page_id", "url", "a.ok", "a.reason")
+
+
+@register("x19_snippets", f"""
+SELECT conv_id, turn, substring({O._trim_sql('text')}, 1, 120) AS snippet FROM conversations""")
+def x19_snippets(spark, sf_dir):
+    """Trimmed, 120-character snippets of every conversation turn."""
+    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return c.select("conv_id", "turn", X.snippet(F.col("text")).alias("snippet"))
+
+
+def _finding_line_sql() -> str:
+    conf = "CASE WHEN confidence IS NOT NULL THEN ' [' || confidence || ']' ELSE '' END"
+    loc = ("CASE WHEN path IS NOT NULL AND path <> '' THEN ' @ ' || path || "
+           "CASE WHEN line IS NOT NULL THEN ':' || line ELSE '' END ELSE '' END")
+    raw = f"upper(severity) || ' ' || code || ' ' || key || '.' || field || {conf} || {loc} || ': ' || message"
+    return _line_sql(raw)
+
+
+@register("x20_finding_lines", f"SELECT scope, key, code, {_finding_line_sql()} AS text FROM {O.findings_sql()} f")
+def x20_finding_lines(spark, sf_dir):
+    """X20 (+X14): the printable line of every finding."""
+    f = drift.run(spark, sf_dir).findings
+    return f.select("scope", "key", "code", X.finding_line("severity", "code", "key", "field", "confidence", "path",
+                                                           "line", "message").alias("text"))
+
+
+@register("x1_identity_functions", f"""
+SELECT p_partkey, provider, provider || ':' || model_id AS entity_key,
+  CASE WHEN strpos(provider || ':' || model_id, ':') > 1 THEN split_part(provider || ':' || model_id, ':', 1) END AS parsed_provider,
+  CASE WHEN strpos(provider || ':' || model_id, ':') > 1
+       THEN substr(provider || ':' || model_id, strpos(provider || ':' || model_id, ':') + 1) END AS parsed_model_id,
+  {O.infer_provider_sql('model_id')} AS inferred_provider, {O.fixed_sql('model_id')} AS is_fixed
+FROM (SELECT p_partkey,
+        {O.provider_sql(O.pick_sql(B.RAW_PROVIDERS, 'p_partkey % 5'))} AS provider,
+        {O.pick_sql(B.JSON_IDS, 'p_partkey % 8')} || CASE WHEN p_partkey % 16 >= 8 THEN '-latest' ELSE '' END AS model_id
+      FROM part) p""")
+def x1_identity_functions(spark, sf_dir):
+    """Provider normalization and inference, fixed-id test, key build and parse."""
+    k = F.col("p_partkey")
+    p = B.table(spark, sf_dir, "part").select(
+        "p_partkey", normalize_provider(B._pick(B.RAW_PROVIDERS, k % 5)).alias("provider"),
+        F.concat(B._pick(B.JSON_IDS, k % 8), F.when(k % 16 >= 8, "-latest").otherwise("")).alias("model_id"))
+    key = model_key("provider", "model_id")
+    parsed = parse_model_key(key)
+    return p.select("p_partkey", "provider", key.alias("entity_key"), parsed["provider"].alias("parsed_provider"),
+                    parsed["model_id"].alias("parsed_model_id"), infer_provider("model_id").alias("inferred_provider"),
+                    is_fixed_model_id("model_id").alias("is_fixed"))
