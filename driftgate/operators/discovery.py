@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.functions.identity import identifier_kind, infer_provider, looks_like_model_id, model_key
+from driftgate.functions.jsontext import json_ok
 from driftgate.functions.text import js_trim, snippet
 from driftgate.operators.segmented import segmented_last_non_null
 from driftgate.schemas import (
@@ -187,7 +188,7 @@ YAML_KEY = r"^\s*(?:-\s+)?((?i:model|model_id|modelid))\s*:\s*[\"']?([^\"'#\s]+)
 def scan_json(docs: DataFrame) -> DataFrame:
     """D7 (JSON): keys named model/model_id/modelId (any case) at any depth with a
     string value passing F5; only documents that parse. Line is always 1."""
-    d = docs.filter(F.col("content").contains('"') & F.try_parse_json("content").isNotNull())
+    d = docs.filter(F.col("content").contains('"') & json_ok("content"))
     pairs = F.regexp_extract_all("content", F.lit(JSON_KEY), 0)
     d = d.select("scope", "path", F.posexplode(pairs).alias("k", "m"))
     key = F.regexp_extract("m", JSON_KEY, 1)

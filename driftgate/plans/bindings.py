@@ -198,3 +198,85 @@ def json_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.concat(F.lit("repo-"), (c % 20).cast("string")).alias("scope"),
                     F.concat(F.lit("conf/o"), k.cast("string"), F.lit(".json")).alias("path"),
                     content.alias("content"))
+
+
+# ---------------------------------------------------------------------------- landing bodies
+# Raw feed bodies rendered from the lineitem observations of each source: one body per
+# fetch (row). Parsing them back must give the B1 values.
+
+def _li_source(spark: SparkSession, sf_dir: str, src: int) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").filter(F.col("l_suppkey") % 3 == src)
+
+
+def catalog_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog bodies: models as an object keyed by id (odd line numbers) or as an array."""
+    li = _li_source(spark, sf_dir, 1)
+    k = F.col("l_partkey")
+    ident = part_identity(k)
+    raw = ident["raw_provider"]
+    status = F.when(F.col("l_returnflag") == "A", "beta").when(F.col("l_returnflag") == "R", "deprecated")
+    mods = (F.when(F.col("l_tax") >= 0.05, F.struct(F.array(F.lit("text"), F.lit("image")).alias("input")))
+             .when(F.col("l_tax") >= 0.02, F.struct(F.array(F.lit("text")).alias("input"))))
+    base = [status.alias("status"), (F.col("l_discount") >= 0.05).alias("attachment"),
+            (F.col("l_returnflag") != "R").alias("tool_call"),
+            F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "A").alias("structured_output"),
+            F.struct(F.when(F.col("l_tax") < 0.04, None).when(F.col("l_discount") >= 0.09, 2.0).otherwise(1.0).cast("double").alias("input"),
+                     F.when(F.col("l_tax") < 0.02, None).when(F.col("l_quantity") >= 40, 8.0).otherwise(4.0).cast("double").alias("output")).alias("cost"),
+            F.struct(F.when(F.col("l_quantity") >= 45, 64000).otherwise(128000).cast("long").alias("context"),
+                     F.when(F.col("l_discount") < 0.02, None).when(F.col("l_linenumber") >= 5, 4096).otherwise(8192).cast("long").alias("output")).alias("limit"),
+            mods.alias("modalities")]
+    mid = ident["model_id"]
+    keyed = F.to_json(F.create_map(raw, F.struct(raw.alias("name"), F.create_map(mid, F.struct(
+        F.when(F.col("l_linenumber") % 3 != 0, mid).alias("id"), *base)).alias("models"))))
+    listed = F.to_json(F.create_map(raw, F.struct(raw.alias("name"), F.array(F.struct(
+        mid.alias("name"), *base)).alias("models"))))
+    body = F.when(F.col("l_linenumber") % 2 == 1, keyed).otherwise(listed)
+    return li.select(F.lit(SOURCE_CATALOG).alias("source_id"), body.alias("body"),
+                     F.col("l_shipdate").cast("timestamp").alias("fetched_at"), "l_orderkey", "l_linenumber")
+
+
+def feed_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deprecation feed bodies: one item per fetch."""
+    li = _li_source(spark, sf_dir, 2)
+    k = F.col("l_partkey")
+    ident = part_identity(k)
+    ship = F.col("l_shipdate")
+    retire = F.date_format(F.date_add(F.to_date(ship), (F.lit(120) + k % 4 * 30).cast("int")), "yyyy-MM-dd")
+    dep = F.struct(ident["raw_provider"].alias("provider"), ident["model_id"].alias("model_id"),
+                   F.when(F.col("l_linestatus") == "O", retire).alias("shutdown_date"),
+                   F.date_format(ship, "yyyy-MM-dd").alias("deprecation_date"),
+                   F.when(F.col("l_returnflag") == "R", "retired").when(F.col("l_returnflag") == "A", "shutdown")
+                    .otherwise("deprecated").alias("status"))
+    item = F.struct(F.concat(F.lit("d"), F.col("l_orderkey").cast("string")).alias("id"),
+                    F.lit("Model deprecation").alias("title"), dep.alias("_deprecation"))
+    body = F.to_json(F.struct(F.lit("1").alias("version"), F.array(item).alias("items")))
+    return li.select(F.lit(SOURCE_FEED).alias("source_id"), body.alias("body"),
+                     ship.cast("timestamp").alias("fetched_at"), "l_orderkey", "l_linenumber")
+
+
+def pack_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Official pack bodies; a record with an unknown lifecycle value ('sunset', on
+    open lines returned as 'N') makes its whole pack invalid."""
+    li = _li_source(spark, sf_dir, 0)
+    k = F.col("l_partkey")
+    ident = part_identity(k)
+    ship = F.col("l_shipdate")
+    life = (F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "N"), "sunset")
+             .when(F.col("l_linestatus") == "F", "active").otherwise("deprecated"))
+    m = F.struct(ident["raw_provider"].alias("provider"), ident["model_id"].alias("modelId"), life.alias("lifecycleStatus"),
+                 F.when(F.col("l_tax") < 0.04, None).when(F.col("l_discount") >= 0.09, 2.0).otherwise(1.0).cast("double").alias("inputPricePerMillion"),
+                 F.when(F.col("l_quantity") >= 45, 64000).otherwise(128000).cast("long").alias("contextLimit"),
+                 (F.col("l_returnflag") != "R").alias("toolCalling"))
+    body = F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.date_format(ship, "yyyy-MM-dd").alias("updatedAt"),
+                              F.array(m).alias("models")))
+    return li.select(F.lit(SOURCE_OFFICIAL).alias("source_id"), body.alias("body"),
+                     ship.cast("timestamp").alias("fetched_at"), "l_orderkey", "l_linenumber")
+
+
+def event_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 landing rows from events: each event's JSON props is one fetched body of source
+    ``event_type``; events with ``event_id % 97 = 0`` arrive truncated (corrupt)."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "props")
+    body = F.when(F.col("event_id") % 97 == 0, F.expr("substring(props, 2)")).otherwise(F.col("props"))
+    return e.select("event_id", F.col("event_type").alias("source_id"), body.alias("body"),
+                    F.col("ts").cast("timestamp").alias("fetched_at"))

@@ -354,3 +354,90 @@ def x1_identity_functions(spark, sf_dir):
     return p.select("p_partkey", "provider", key.alias("entity_key"), parsed["provider"].alias("parsed_provider"),
                     parsed["model_id"].alias("parsed_model_id"), infer_provider("model_id").alias("inferred_provider"),
                     is_fixed_model_id("model_id").alias("is_fixed"))
+
+
+# --------------------------------------------------------------------------- sources
+
+from driftgate.sources import feeds as S  # noqa: E402
+
+_LI_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+def _li_src_sql(src: int) -> str:
+    return f"(SELECT *, {O.part_identity_sql('l_partkey')} FROM lineitem WHERE l_suppkey % 3 = {src}) li"
+
+
+@register("s1_catalog_feed", f"""
+SELECT l_orderkey, l_linenumber, provider || ':' || model_id AS entity_key, model_id,
+  CASE l_returnflag WHEN 'A' THEN 'active' WHEN 'R' THEN 'deprecated' ELSE 'unknown' END AS lifecycle_status,
+  CAST(CASE WHEN l_tax < 0.04 THEN NULL WHEN l_discount >= 0.09 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS input_price,
+  CAST(CASE WHEN l_tax < 0.02 THEN NULL WHEN l_quantity >= 40 THEN 8.0 ELSE 4.0 END AS DOUBLE) AS output_price,
+  CAST(CASE WHEN l_quantity >= 45 THEN 64000 ELSE 128000 END AS BIGINT) AS context_limit,
+  CAST(CASE WHEN l_discount < 0.02 THEN NULL WHEN l_linenumber >= 5 THEN 4096 ELSE 8192 END AS BIGINT) AS max_output_limit,
+  l_returnflag <> 'R' AS tool_calling,
+  CASE WHEN l_returnflag <> 'N' THEN l_returnflag = 'A' END AS structured_output,
+  CASE WHEN l_tax >= 0.02 THEN (l_tax >= 0.05 OR l_discount >= 0.05) ELSE l_discount >= 0.05 END AS vision,
+  {O.kind_sql('model_id')} AS identifier_kind, strftime(l_shipdate, '{O.FMT_TS}') AS fetched
+FROM {_li_src_sql(1)}""")
+def s1_catalog_feed(spark, sf_dir):
+    """Catalog bodies (object and array forms) parsed back to observations."""
+    o = S.parse_catalog(B.catalog_landing(spark, sf_dir), _LI_KEYS)
+    return o.select(*_LI_KEYS, "entity_key", "model_id", "lifecycle_status", "input_price", "output_price",
+                    "context_limit", "max_output_limit", "tool_calling", "structured_output", "vision",
+                    "identifier_kind", _fmt("fetched_at").alias("fetched"))
+
+
+@register("s2_deprecation_feed", f"""
+SELECT l_orderkey, l_linenumber, provider || ':' || model_id AS entity_key,
+  CASE WHEN l_returnflag IN ('R', 'A') THEN 'retired' ELSE 'deprecated' END AS lifecycle_status,
+  coalesce(CASE WHEN l_linestatus = 'O'
+                THEN strftime(CAST(l_shipdate AS DATE) + CAST(120 + (l_partkey % 4) * 30 AS INTEGER), '%Y-%m-%d') END,
+           strftime(l_shipdate, '%Y-%m-%d')) AS retirement_date,
+  strftime(l_shipdate, '{O.FMT_TS}') AS fetched
+FROM {_li_src_sql(2)}""")
+def s2_deprecation_feed(spark, sf_dir):
+    """Deprecation feed items parsed to lifecycle and retirement date."""
+    o = S.parse_feed(B.feed_landing(spark, sf_dir), _LI_KEYS)
+    return o.select(*_LI_KEYS, "entity_key", "lifecycle_status", "retirement_date", _fmt("fetched_at").alias("fetched"))
+
+
+@register("s3_official_pack", f"""
+SELECT l_orderkey, l_linenumber, provider || ':' || model_id AS entity_key,
+  CASE WHEN l_linestatus = 'F' THEN 'active' ELSE 'deprecated' END AS lifecycle_status,
+  CAST(CASE WHEN l_tax < 0.04 THEN NULL WHEN l_discount >= 0.09 THEN 2.0 ELSE 1.0 END AS DOUBLE) AS input_price,
+  CAST(CASE WHEN l_quantity >= 45 THEN 64000 ELSE 128000 END AS BIGINT) AS context_limit,
+  l_returnflag <> 'R' AS tool_calling
+FROM {_li_src_sql(0)} WHERE NOT (l_linestatus = 'O' AND l_returnflag = 'N')""")
+def s3_official_pack(spark, sf_dir):
+    """S3: curated packs with schema enforcement; one bad record rejects its whole pack."""
+    o, _ = S.parse_pack(B.pack_landing(spark, sf_dir), _LI_KEYS)
+    return o.select(*_LI_KEYS, "entity_key", "lifecycle_status", "input_price", "context_limit", "tool_calling")
+
+
+@register("s4_body_status", """
+SELECT event_id, source_id, ok, CASE WHEN ok THEN sha256(body) ELSE sha256('') END AS source_digest,
+       CASE WHEN NOT ok THEN source_id || ' fetch failed: body is not valid JSON' END AS warning
+FROM (SELECT event_id, event_type AS source_id, body, coalesce(json_valid(body), false) AS ok
+      FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN substring(props, 2) ELSE props END AS body FROM events) e) x""")
+def s4_body_status(spark, sf_dir):
+    """Per fetched body: valid JSON or not, digest of the raw text, warning."""
+    return S.body_status(B.event_landing(spark, sf_dir)).select("event_id", "source_id", "ok", "source_digest", "warning")
+
+
+@register("a8_source_status", """
+WITH b AS (SELECT event_id, event_type AS source_id, ts,
+                  coalesce(json_valid(CASE WHEN event_id % 97 = 0 THEN substring(props, 2) ELSE props END), false) AS ok
+           FROM events),
+m AS (SELECT source_id, arg_max(ok, (ts, event_id)) AS ok FROM b GROUP BY source_id)
+SELECT bool_or(ok) AS any_ok,
+       CASE WHEN NOT bool_or(ok) THEN 'frozen' WHEN bool_and(ok) THEN 'fresh' ELSE 'partial' END AS mode,
+       coalesce(string_agg(CASE WHEN NOT ok THEN source_id END, ',' ORDER BY source_id), '') AS failed
+FROM m""")
+def a8_source_status(spark, sf_dir):
+    """The latest fetch of each source decides its status; one row: any source ok,
+    the mode (fresh / partial / frozen) and the failed sources."""
+    from driftgate.operators.reconcile import source_status
+    b = S.body_status(B.event_landing(spark, sf_dir))
+    meta = (b.groupBy("source_id").agg(F.max_by(F.struct("ok", "warning"), F.struct("fetched_at", "event_id")).alias("m"))
+             .select("source_id", "m.ok", "m.warning"))
+    return source_status(meta).select("any_ok", "mode", F.array_join("failed", ",").alias("failed"))
