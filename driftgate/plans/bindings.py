@@ -83,10 +83,13 @@ def observations(spark: SparkSession, sf_dir: str, upto: str | None = None,
     )
 
 
-def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dependencies(spark: SparkSession, sf_dir: str, exclude_mod: int | None = 13) -> DataFrame:
     """B2: the approved dependency list, one per part (parts with ``p_partkey % 13 = 0``
-    are new, so they are not in it). Scope = tenant ``p_partkey % 20``."""
-    p = table(spark, sf_dir, "part").select("p_partkey").filter(F.col("p_partkey") % 13 != 0)
+    are new, so they are not in it). Scope = tenant ``p_partkey % 20``. The proposed list
+    of an update uses ``exclude_mod=17`` (the parts that left the feeds are gone)."""
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    if exclude_mod:
+        p = p.filter(F.col("p_partkey") % exclude_mod != 0)
     k = F.col("p_partkey")
     ident = part_identity(k)
     return p.select(
@@ -280,3 +283,24 @@ def event_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("event_id") % 97 == 0, F.expr("substring(props, 2)")).otherwise(F.col("props"))
     return e.select("event_id", F.col("event_type").alias("source_id"), body.alias("body"),
                     F.col("ts").cast("timestamp").alias("fetched_at"))
+
+
+def policy_overrides(scopes: DataFrame) -> DataFrame:
+    """S12 overrides per tenant, by a rule on the tenant number (so every branch of the
+    rules is exercised): deny aliases and a 30-day window for 0-4, single-source blocking
+    for 5-9, fail on warnings for 10-14, stale sources fail and vision removal counts for
+    15+, aliases allowed for 18+, a 50% input price limit for odd tenants, context and
+    structured-output rules off for tenants 7 and 8."""
+    n = F.split(F.col("scope"), "-").getItem(1).cast("int")
+    return scopes.select("scope").distinct().select(
+        "scope",
+        F.when(n < 5, "deny").when(n >= 18, "allow").otherwise("warn").alias("floating_aliases"),
+        F.when(n < 5, 30).otherwise(90).alias("retirement_window_days"),
+        F.when(n % 2 == 1, 50.0).otherwise(15.0).alias("max_input_price_increase_percent"),
+        (n != 7).alias("fail_on_context_decrease"),
+        (n != 8).alias("fail_on_structured_output_removal"),
+        (n >= 15).alias("fail_on_vision_removal"),
+        F.when(n >= 15, "fail").otherwise("warn").alias("stale_source_behavior"),
+        F.when((n >= 5) & (n <= 9), "single-source").otherwise("official-verified").alias("min_blocking_confidence"),
+        ((n >= 10) & (n <= 14)).alias("fail_on_warn"),
+    )

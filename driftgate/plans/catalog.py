@@ -441,3 +441,218 @@ def a8_source_status(spark, sf_dir):
     meta = (b.groupBy("source_id").agg(F.max_by(F.struct("ok", "warning"), F.struct("fetched_at", "event_id")).alias("m"))
              .select("source_id", "m.ok", "m.warning"))
     return source_status(meta).select("any_ok", "mode", F.array_join("failed", ",").alias("failed"))
+
+
+# --------------------------------------------------------------------------- policy variants
+
+POLICY_OUT = ["scope", "floating_aliases", "retirement_window_days", "max_input_price_increase_percent",
+              "max_output_price_increase_percent", "fail_on_context_decrease", "fail_on_max_output_decrease",
+              "fail_on_tool_calling_removal", "fail_on_structured_output_removal", "fail_on_vision_removal",
+              "stale_source_behavior", "min_blocking_confidence", "fail_on_warn"]
+
+
+def _override_run(spark, sf_dir):
+    deps = B.dependencies(spark, sf_dir)
+    return drift.run(spark, sf_dir, B.policy_overrides(deps))
+
+
+@register("s12_effective_policy", f"SELECT {', '.join(POLICY_OUT)} FROM {O.policy_sql(True)} p")
+def s12_effective_policy(spark, sf_dir):
+    """Per-scope policy: overrides where given, defaults elsewhere."""
+    from driftgate.operators.policy import effective_policy
+    deps = B.dependencies(spark, sf_dir)
+    return effective_policy(deps, B.policy_overrides(deps)).select(*POLICY_OUT)
+
+
+@register("p14_findings_overrides", f"SELECT {', '.join(FINDING_OUT)} FROM {O.findings_sql(True)} f")
+def p14_findings_overrides(spark, sf_dir):
+    """P2-P13 under per-scope overrides (deny, allow, lower blocking floor, vision on...)."""
+    return _override_run(spark, sf_dir).findings.select(*FINDING_OUT)
+
+
+@register("a9_gate_overrides", f"""
+WITH f AS {O.findings_sql(True)}, p AS {O.policy_sql(True)}
+SELECT p.scope, CAST(count(f.code) FILTER (WHERE f.severity = 'fail') AS BIGINT) AS n_fail,
+       CAST(count(f.code) FILTER (WHERE f.severity = 'warn') AS BIGINT) AS n_warn,
+       CASE WHEN count(f.code) FILTER (WHERE f.severity = 'fail') > 0
+              OR (bool_or(p.fail_on_warn) AND count(f.code) FILTER (WHERE f.severity = 'warn') > 0) THEN 1 ELSE 0 END AS exit_code
+FROM p LEFT JOIN f ON f.scope = p.scope GROUP BY p.scope""")
+def a9_gate_overrides(spark, sf_dir):
+    """A9 with fail-on-warn scopes."""
+    return _override_run(spark, sf_dir).gate
+
+
+# --------------------------------------------------------------------------- publish
+
+from driftgate.operators import publish as P  # noqa: E402
+from driftgate.operators import reports as R  # noqa: E402
+
+
+def _material_sql(f: str) -> str:
+    return (f"SELECT sha256(concat_ws('|', entity_key, field, confidence, coalesce(str_value, ''), "
+            f"coalesce(printf('%.6f', num_value), ''), coalesce(CAST(bool_value AS VARCHAR), ''))) AS d, field FROM {f}")
+
+
+def _fold_sql(n: str, d: str) -> str:
+    h1 = f"CAST(('0x' || substr({d}, 1, 15)) AS BIGINT)"
+    h2 = f"CAST(('0x' || substr({d}, 16, 15)) AS BIGINT)"
+    return h1, h2
+
+
+_H1, _H2 = _fold_sql("n", "d")
+
+
+@register("a12_table_digest", f"""
+WITH r AS ({_material_sql(O.fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS) + ' f')})
+SELECT count(*) AS n_rows,
+       sha256(count(*) || ':' || CAST(coalesce(sum({_H1}), 0) AS VARCHAR) || ':' || CAST(coalesce(sum({_H2}), 0) AS VARCHAR)) AS digest
+FROM r""")
+def a12_table_digest(spark, sf_dir):
+    """Order- and partition-independent digest of the current facts."""
+    from driftgate.operators.reconcile import reconcile
+    fact = reconcile(B.observations(spark, sf_dir, B.CURRENT_AS_OF), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
+    return P.table_digest(fact)
+
+
+@register("r2_publish_decision", f"""
+WITH o AS ({_material_sql(O.fact_sql(B.APPROVED_AS_OF, B.STALE_AFTER_DAYS) + ' a')}),
+n AS ({_material_sql(O.fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS, 17) + ' c')}),
+so AS (SELECT count(*) AS c, count(*) FILTER (WHERE field = 'provider') AS m, coalesce(sum({_H1}), 0) AS s1,
+              coalesce(sum({_H2}), 0) AS s2 FROM o),
+sn AS (SELECT count(*) AS c, count(*) FILTER (WHERE field = 'provider') AS m, coalesce(sum({_H1}), 0) AS s1,
+              coalesce(sum({_H2}), 0) AS s2 FROM n)
+SELECT sha256(so.c || ':' || CAST(so.s1 AS VARCHAR) || ':' || CAST(so.s2 AS VARCHAR)) AS previous_digest,
+       sha256(sn.c || ':' || CAST(sn.s1 AS VARCHAR) || ':' || CAST(sn.s2 AS VARCHAR)) AS new_digest,
+       so.m AS old_models, sn.m AS new_models,
+       sha256(so.c || ':' || CAST(so.s1 AS VARCHAR) || ':' || CAST(so.s2 AS VARCHAR))
+         <> sha256(sn.c || ':' || CAST(sn.s1 AS VARCHAR) || ':' || CAST(sn.s2 AS VARCHAR)) AS publish,
+       '(none)' AS warnings
+FROM so, sn""")
+def r2_publish_decision(spark, sf_dir):
+    """Material digests of the previous and current snapshot, counts, publish flag."""
+    return P.publish_decision(drift.approved_facts(spark, sf_dir), drift.current_facts(spark, sf_dir))
+
+
+@register("r4_last_known_good", f"""
+WITH a AS {O.fact_sql(B.APPROVED_AS_OF, B.STALE_AFTER_DAYS)}, c AS {O.fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS, 17)}
+SELECT entity_key, field, confidence, str_value, num_value, bool_value, 'current' AS origin FROM c
+UNION ALL
+SELECT entity_key, field, CASE WHEN confidence = 'unavailable' THEN 'unavailable' ELSE 'stale' END, str_value, num_value,
+       bool_value, 'last-known-good' FROM a WHERE entity_key NOT IN (SELECT entity_key FROM c)""")
+def r4_last_known_good(spark, sf_dir):
+    """Entities lost by the current facts carried over from the previous ones as stale."""
+    out = P.last_known_good(drift.approved_facts(spark, sf_dir), drift.current_facts(spark, sf_dir))
+    return out.select("entity_key", "field", "confidence", "str_value", "num_value", "bool_value", "origin")
+
+
+@register("r5_fact_invariants", f"""
+WITH f AS {O.fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)},
+a1 AS {O.a1_sql(B.CURRENT_AS_OF)},
+off AS (SELECT entity_key, max(CASE WHEN source_id = 'official-provider' THEN 1 ELSE 0 END) AS has_official FROM a1 GROUP BY entity_key),
+x AS (SELECT f.*, coalesce(off.has_official, 0) AS has_official FROM f LEFT JOIN off USING (entity_key))
+SELECT c.check_name AS "check", CAST(count(x.entity_key) AS BIGINT) AS n_violations
+FROM (VALUES ('price-negative'), ('limit-not-non-negative-integer'), ('official-without-official-evidence'),
+             ('conflicting-with-value'), ('bad-enum'), ('missing-source-meta')) c(check_name)
+LEFT JOIN x ON CASE c.check_name
+  WHEN 'price-negative' THEN x.field IN ('inputPricePerMillion', 'outputPricePerMillion') AND x.num_value < 0
+  WHEN 'limit-not-non-negative-integer' THEN x.field IN ('contextLimit', 'maxOutputLimit') AND (x.num_value < 0 OR x.num_value <> floor(x.num_value))
+  WHEN 'official-without-official-evidence' THEN x.confidence = 'official-verified' AND x.has_official = 0
+  WHEN 'conflicting-with-value' THEN x.confidence = 'conflicting' AND (x.str_value IS NOT NULL OR x.num_value IS NOT NULL OR x.bool_value IS NOT NULL)
+  WHEN 'bad-enum' THEN (x.field = 'lifecycleStatus' AND x.str_value NOT IN ('active', 'deprecated', 'retired', 'unknown'))
+       OR (x.field = 'provider' AND coalesce(x.str_value, '') NOT IN ('openai', 'anthropic', 'google', 'xai', 'unknown'))
+       OR (x.field = 'identifierKind' AND x.str_value NOT IN ('floating', 'fixed'))
+  ELSE x.source_id IS NULL OR x.fetched_at IS NULL END
+GROUP BY c.check_name""")
+def r5_fact_invariants(spark, sf_dir):
+    """Snapshot invariants checked on every fact row; count per check."""
+    latest = latest_per_source(B.observations(spark, sf_dir, B.CURRENT_AS_OF))
+    from driftgate.operators.reconcile import classify, to_long
+    fact = classify(to_long(latest), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
+    return P.violation_counts(P.fact_violations(fact, latest))
+
+
+@register("s8_snapshot_dates", """
+SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS previous_date
+FROM (SELECT DISTINCT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS snapshot_date FROM lineitem) d""")
+def s8_snapshot_dates(spark, sf_dir):
+    """Monthly snapshot dates the observation history supports, each with the previous."""
+    from pyspark.sql import Window
+    d = (B.observations(spark, sf_dir).select(F.date_format(F.date_trunc("month", "fetched_at"), "yyyy-MM-dd")
+                                               .alias("snapshot_date")).distinct())
+    return d.select("snapshot_date", F.lag("snapshot_date").over(Window.orderBy("snapshot_date")).alias("previous_date"))
+
+
+# --------------------------------------------------------------------------- reports
+
+@register("t2_sarif_results", f"""
+SELECT scope, code AS rule_id, CASE severity WHEN 'fail' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'note' END AS level,
+       {_line_sql('message')} AS message,
+       CASE WHEN path IS NOT NULL AND path <> '' THEN replace(path, '\\', '/') END AS uri,
+       CASE WHEN path IS NOT NULL AND path <> '' THEN coalesce(line, 1) END AS start_line
+FROM {O.findings_sql()} f""")
+def t2_sarif_results(spark, sf_dir):
+    """SARIF results, flat."""
+    return R.sarif_results(drift.run(spark, sf_dir).findings)
+
+
+@register("a10_sarif_rules", f"""
+SELECT scope, code AS rule_id, code AS short_description, {_line_sql('m')} AS full_description
+FROM (SELECT scope, code, arg_min(message, (key, field_ord)) AS m FROM {O.findings_sql()} f GROUP BY scope, code) r""")
+def a10_sarif_rules(spark, sf_dir):
+    """A10: distinct rules per scope with the first message per code."""
+    return R.sarif_rules(drift.run(spark, sf_dir).findings)
+
+
+@register("u1_lock_key_changes", f"""
+WITH p AS {O.deps_sql()}, n AS {O.deps_sql().replace('p_partkey % 13 <> 0', 'p_partkey % 17 <> 0')}
+SELECT scope, entity_key, 'added' AS change FROM n WHERE (scope, entity_key) NOT IN (SELECT (scope, entity_key) FROM p)
+UNION ALL
+SELECT scope, entity_key, 'removed' FROM p WHERE (scope, entity_key) NOT IN (SELECT (scope, entity_key) FROM n)""")
+def u1_lock_key_changes(spark, sf_dir):
+    """Keys added and removed between the approved and the proposed dependency list."""
+    from driftgate.operators.lock import lock_keys_change
+    return lock_keys_change(B.dependencies(spark, sf_dir), B.dependencies(spark, sf_dir, exclude_mod=17))
+
+
+@register("t3_change_summary", f"""
+WITH p AS {O.deps_sql()}, n AS {O.deps_sql().replace('p_partkey % 13 <> 0', 'p_partkey % 17 <> 0')},
+f AS {O.findings_sql()},
+pc AS (SELECT scope, count(*) AS n_previous FROM p GROUP BY scope),
+nc AS (SELECT scope, count(*) AS n_proposed FROM n GROUP BY scope),
+ad AS (SELECT scope, count(*) AS n_added FROM n WHERE (scope, entity_key) NOT IN (SELECT (scope, entity_key) FROM p) GROUP BY scope),
+rm AS (SELECT scope, count(*) AS n_removed FROM p WHERE (scope, entity_key) NOT IN (SELECT (scope, entity_key) FROM n) GROUP BY scope),
+g AS (SELECT scope, count(*) FILTER (WHERE severity = 'fail') AS n_fail, count(*) FILTER (WHERE severity = 'warn') AS n_warn
+      FROM f GROUP BY scope)
+SELECT coalesce(pc.scope, nc.scope) AS scope, coalesce(n_previous, 0) AS n_previous, coalesce(n_proposed, 0) AS n_proposed,
+       coalesce(n_added, 0) AS n_added, coalesce(n_removed, 0) AS n_removed, coalesce(n_fail, 0) AS n_fail,
+       coalesce(n_warn, 0) AS n_warn
+FROM pc FULL JOIN nc ON pc.scope = nc.scope
+LEFT JOIN ad ON ad.scope = coalesce(pc.scope, nc.scope) LEFT JOIN rm ON rm.scope = coalesce(pc.scope, nc.scope)
+LEFT JOIN g ON g.scope = coalesce(pc.scope, nc.scope)""")
+def t3_change_summary(spark, sf_dir):
+    """T3 (+U1, A9): per scope: previous/proposed counts, added/removed keys, preview counts."""
+    from driftgate.operators.lock import lock_keys_change
+    prev, prop = B.dependencies(spark, sf_dir), B.dependencies(spark, sf_dir, exclude_mod=17)
+    run = drift.run(spark, sf_dir)
+    return R.change_summary(prev, prop, lock_keys_change(prev, prop), run.gate)
+
+
+EXPLAIN_KEY = "anthropic:m1"
+
+
+@register("t4_explain", f"""
+WITH d AS {O.diff_sql()}, f AS {O.findings_sql()},
+c AS (SELECT scope, field, string_agg(code, ',' ORDER BY code) AS codes FROM f WHERE key = '{EXPLAIN_KEY}' GROUP BY scope, field)
+SELECT d.scope, entity_key, d.field, kind, a_str, a_num, a_bool, c_str, c_num, c_bool, confidence, coalesce(c.codes, '') AS codes
+FROM d LEFT JOIN c ON c.scope = d.scope AND c.field = d.field WHERE entity_key = '{EXPLAIN_KEY}'""")
+def t4_explain(spark, sf_dir):
+    """One key through diff and rules."""
+    run = drift.run(spark, sf_dir)
+    return R.explain(run.fdiff, run.findings, EXPLAIN_KEY)
+
+
+@register("t1_json_report")
+def t1_json_report(spark, sf_dir):
+    """JSON report rows per scope (header with exit code, one row per finding)."""
+    run = drift.run(spark, sf_dir)
+    return R.json_report(run.findings, run.gate)

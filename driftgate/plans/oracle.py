@@ -226,11 +226,32 @@ def _rank(c: str) -> str:
             f"WHEN 'single-source' THEN 3 WHEN 'multi-source-verified' THEN 4 WHEN 'official-verified' THEN 5 ELSE -1 END")
 
 
-def findings_sql(min_conf: str = "official-verified", window: int = 90, max_in: float = 15,
-                 max_out: float = 15, vision: bool = False) -> str:
-    """P2-P13 in SQL with the default policy for every scope."""
+def policy_sql(overrides: bool = False) -> str:
+    """One policy row per scope (defaults, or the override rule by tenant number)."""
+    n = "CAST(split_part(scope, '-', 2) AS INTEGER)"
+    if not overrides:
+        cols = ("'warn' AS floating_aliases, 90 AS retirement_window_days, 15.0::DOUBLE AS max_input_price_increase_percent, "
+                "15.0::DOUBLE AS max_output_price_increase_percent, true AS fail_on_context_decrease, "
+                "true AS fail_on_max_output_decrease, true AS fail_on_tool_calling_removal, "
+                "true AS fail_on_structured_output_removal, false AS fail_on_vision_removal, "
+                "'warn' AS stale_source_behavior, 'official-verified' AS min_blocking_confidence, false AS fail_on_warn")
+    else:
+        cols = (f"CASE WHEN {n} < 5 THEN 'deny' WHEN {n} >= 18 THEN 'allow' ELSE 'warn' END AS floating_aliases, "
+                f"CASE WHEN {n} < 5 THEN 30 ELSE 90 END AS retirement_window_days, "
+                f"CASE WHEN {n} % 2 = 1 THEN 50.0 ELSE 15.0 END::DOUBLE AS max_input_price_increase_percent, "
+                f"15.0::DOUBLE AS max_output_price_increase_percent, {n} <> 7 AS fail_on_context_decrease, "
+                f"true AS fail_on_max_output_decrease, true AS fail_on_tool_calling_removal, "
+                f"{n} <> 8 AS fail_on_structured_output_removal, {n} >= 15 AS fail_on_vision_removal, "
+                f"CASE WHEN {n} >= 15 THEN 'fail' ELSE 'warn' END AS stale_source_behavior, "
+                f"CASE WHEN {n} BETWEEN 5 AND 9 THEN 'single-source' ELSE 'official-verified' END AS min_blocking_confidence, "
+                f"{n} BETWEEN 10 AND 14 AS fail_on_warn")
+    return f"(SELECT scope, {cols} FROM (SELECT DISTINCT scope FROM {deps_sql()} d) s)"
+
+
+def findings_sql(overrides: bool = False) -> str:
+    """P2-P13 in SQL with each scope's policy row."""
     now = B.CURRENT_AS_OF
-    block = (f"(confidence NOT IN ('conflicting', 'unavailable') AND {_rank('confidence')} >= {_rank(repr(min_conf))})")
+    block = (f"(confidence NOT IN ('conflicting', 'unavailable') AND {_rank('confidence')} >= {_rank('min_blocking_confidence')})")
     sev = f"CASE WHEN {block} THEN 'fail' ELSE 'warn' END"
     moving = "kind IN ('changed', 'unknown')"
     days = (f"CAST(ceil((epoch_ms(try_strptime(coalesce(a_str, c_str), '%Y-%m-%d')) - epoch_ms(TIMESTAMP '{now}'))"
@@ -239,45 +260,54 @@ def findings_sql(min_conf: str = "official-verified", window: int = 90, max_in:
     pctv = "CASE WHEN a_num = 0 THEN CASE WHEN c_num > 0 THEN 1e308 ELSE 0 END ELSE (c_num - a_num) / a_num * 100 END"
     num = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
     rules = [
-        ("identifierKind", "floating-alias", "field = 'identifierKind' AND identifier_kind = 'floating'",
-         "'warn'", "'Floating model alias \"' || model_id || '\" detected'", "NULL"),
+        ("identifierKind", "floating-alias",
+         "field = 'identifierKind' AND identifier_kind = 'floating' AND floating_aliases IN ('deny', 'warn')",
+         "CASE WHEN floating_aliases = 'deny' THEN 'fail' ELSE 'warn' END",
+         "CASE WHEN floating_aliases = 'deny' THEN 'Floating model alias \"' || model_id || '\" is denied by policy' "
+         "ELSE 'Floating model alias \"' || model_id || '\" detected' END", "NULL"),
         ("discovery", "low-confidence-discovery", "field = 'provider' AND low_confidence",
          "'warn'", "'Dependency ' || entity_key || ' was discovered with low confidence'", "NULL"),
         ("retirementDate", "retirement-window",
          f"field = 'retirementDate' AND coalesce(a_str, c_str) IS NOT NULL AND coalesce(a_str, c_str) <> '' "
-         f"AND {days} IS NOT NULL AND {days} <= {window}",
-         sev, f"'Model ' || entity_key || ' retires in ' || {days} || ' day(s) (window={window})'", "confidence"),
+         f"AND {days} IS NOT NULL AND {days} <= retirement_window_days",
+         sev, f"'Model ' || entity_key || ' retires in ' || {days} || ' day(s) (window=' || retirement_window_days || ')'",
+         "confidence"),
         (None, "conflicting-fact", "kind = 'conflicting'", "'warn'",
          "'Conflicting data for ' || entity_key || '.' || field || '; not blocking'", "'conflicting'"),
         (None, "input-price-increase",
-         f"{moving} AND field = 'inputPricePerMillion' AND a_num IS NOT NULL AND c_num IS NOT NULL AND c_num > a_num AND {pctv} > {max_in}",
-         sev, f"'Input price increased ' || {pct} || '% (max {max_in:g}%)'", "confidence"),
+         f"{moving} AND field = 'inputPricePerMillion' AND a_num IS NOT NULL AND c_num IS NOT NULL AND c_num > a_num "
+         f"AND {pctv} > max_input_price_increase_percent",
+         sev, f"'Input price increased ' || {pct} || '% (max ' || {num('max_input_price_increase_percent')} || '%)'", "confidence"),
         (None, "output-price-increase",
-         f"{moving} AND field = 'outputPricePerMillion' AND a_num IS NOT NULL AND c_num IS NOT NULL AND c_num > a_num AND {pctv} > {max_out}",
-         sev, f"'Output price increased ' || {pct} || '% (max {max_out:g}%)'", "confidence"),
+         f"{moving} AND field = 'outputPricePerMillion' AND a_num IS NOT NULL AND c_num IS NOT NULL AND c_num > a_num "
+         f"AND {pctv} > max_output_price_increase_percent",
+         sev, f"'Output price increased ' || {pct} || '% (max ' || {num('max_output_price_increase_percent')} || '%)'", "confidence"),
         (None, "context-decrease",
-         f"{moving} AND field = 'contextLimit' AND a_num IS NOT NULL AND c_num IS NOT NULL AND c_num < a_num",
+         f"{moving} AND fail_on_context_decrease AND field = 'contextLimit' AND a_num IS NOT NULL AND c_num IS NOT NULL AND c_num < a_num",
          sev, f"'Context limit decreased from ' || {num('a_num')} || ' to ' || {num('c_num')}", "confidence"),
         (None, "max-output-decrease",
-         f"{moving} AND field = 'maxOutputLimit' AND a_num IS NOT NULL AND c_num IS NOT NULL AND c_num < a_num",
+         f"{moving} AND fail_on_max_output_decrease AND field = 'maxOutputLimit' AND a_num IS NOT NULL AND c_num IS NOT NULL AND c_num < a_num",
          sev, f"'Max output decreased from ' || {num('a_num')} || ' to ' || {num('c_num')}", "confidence"),
-        (None, "tool-calling-removal", f"{moving} AND field = 'toolCalling' AND a_bool = true AND c_bool = false",
+        (None, "tool-calling-removal",
+         f"{moving} AND fail_on_tool_calling_removal AND field = 'toolCalling' AND a_bool = true AND c_bool = false",
          sev, "'Tool-calling support removed'", "confidence"),
-        (None, "structured-output-removal", f"{moving} AND field = 'structuredOutput' AND a_bool = true AND c_bool = false",
+        (None, "structured-output-removal",
+         f"{moving} AND fail_on_structured_output_removal AND field = 'structuredOutput' AND a_bool = true AND c_bool = false",
          sev, "'Structured-output support removed'", "confidence"),
+        (None, "vision-removal",
+         f"{moving} AND fail_on_vision_removal AND field = 'vision' AND a_bool = true AND c_bool = false",
+         sev, "'Vision support removed'", "confidence"),
         (None, "lifecycle-regression",
          f"{moving} AND field = 'lifecycleStatus' AND a_str = 'active' AND c_str IN ('deprecated', 'retired')",
          sev, "'Lifecycle changed from ' || a_str || ' to ' || c_str", "confidence"),
     ]
-    if vision:
-        rules.append((None, "vision-removal", f"{moving} AND field = 'vision' AND a_bool = true AND c_bool = false",
-                      sev, "'Vision support removed'", "confidence"))
     sels = []
-    for fld, code, cond, s, msg, conf in rules:
+    for fld, code, cond, s_, msg, conf in rules:
         f = f"'{fld}'" if fld else "field"
-        sels.append(f"SELECT scope, entity_key AS key, {f} AS field, field_ord, {s} AS severity, '{code}' AS code, "
+        sels.append(f"SELECT scope, entity_key AS key, {f} AS field, field_ord, {s_} AS severity, '{code}' AS code, "
                     f"{msg} AS message, path, line, {conf} AS confidence FROM d WHERE {cond}")
-    return "(WITH d AS " + diff_sql() + "\n" + "\nUNION ALL ".join(sels) + ")"
+    return (f"(WITH d AS (SELECT * FROM {diff_sql()} x JOIN {policy_sql(overrides)} p USING (scope))\n"
+            + "\nUNION ALL ".join(sels) + ")")
 
 
 # ----------------------------------------------------------------------------- discovery
