@@ -94,16 +94,43 @@ def accept_hit(model_id, confidence) -> Column:
 
 # ----------------------------------------------------------------------------- corpus
 
+# Dot-files that matter for discovery but that Spark's file listing skips (names starting
+# with "." are treated as hidden).
+HIDDEN_NAMES = [".env.example"]
+
+
+def _probe_hidden(batches):
+    """mapInPandas: for each directory, read the hidden discovery files it holds."""
+    import pandas as pd
+    import pyarrow.fs as pafs
+    for pdf in batches:
+        out_p, out_c = [], []
+        for d in pdf["dir"]:
+            fs, base = pafs.FileSystem.from_uri(d if "://" in d else "file://" + d)
+            for name in HIDDEN_NAMES:
+                info = fs.get_file_info(base.rstrip("/") + "/" + name)
+                if info.type == pafs.FileType.File:
+                    with fs.open_input_stream(info.path) as fh:
+                        out_p.append(d.rstrip("/") + "/" + name)
+                        out_c.append(fh.read())
+        if out_p:
+            yield pd.DataFrame({"abs": pd.Series(out_p, dtype=object), "content": pd.Series(out_c, dtype=object)})
+
+
 def read_corpus(spark: SparkSession, root: str, scope: str, ignore: list[str] | None = None) -> DataFrame:
     """Files under ``root`` as (scope, path, content); path is relative to the root.
 
-    Paths are filtered (F1-F3) before content is used; binary reads are pruned to the
-    columns needed."""
+    Spark lists and reads the files (``binaryFile``); the kept-path tests (F1-F3, F2
+    globs) run on the path before the content column is used. Hidden discovery files
+    (``.env.example``) are probed per listed directory on the executors."""
     root = root.rstrip("/")
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
                   .select(F.regexp_replace(F.col("path"), r"^file:", "").alias("abs"), "content"))
+    dirs = (files.select(F.regexp_extract("abs", r"^(.*)/[^/]*$", 1).alias("dir"))
+                 .unionByName(spark.range(1).select(F.lit(root).alias("dir"))).distinct())
+    hidden = dirs.mapInPandas(_probe_hidden, "abs string, content binary")
     rel = F.regexp_replace(F.col("abs"), "^" + re.escape(root) + "/", "")
-    out = files.select(F.lit(scope).alias("scope"), rel.alias("path"), "content")
+    out = files.unionByName(hidden).select(F.lit(scope).alias("scope"), rel.alias("path"), "content")
     cond = path_kept("path") & file_type("path").isNotNull()
     if ignore:
         cond = cond & not_ignored("path", ignore)

@@ -656,3 +656,23 @@ def t1_json_report(spark, sf_dir):
     """JSON report rows per scope (header with exit code, one row per finding)."""
     run = drift.run(spark, sf_dir)
     return R.json_report(run.findings, run.gate)
+
+
+@register("t5_lock_build", f"""
+SELECT scope, entity_key, field, str_value, num_value, bool_value, confidence, source_id, fetched,
+       CAST(discovery_confidence AS DOUBLE) AS discovery_confidence, path, line
+FROM {O.lock_sql(O.deps_with_includes_sql())} l""")
+def t5_lock_build(spark, sf_dir):
+    """The proposed lock: dependencies plus include keys (only where not
+    present), each with all 12 facts from the snapshot or 'unavailable' facts."""
+    from driftgate.operators.lock import build_lock, overrides
+    deps = B.dependencies(spark, sf_dir)
+    k = F.col("p_partkey")
+    ident = B.part_identity(k)
+    includes = (B.table(spark, sf_dir, "part").filter(k % 13 == 0)
+                .select(F.concat(F.lit("tenant-"), (k % 20).cast("string")).alias("scope"),
+                        ident["entity_key"].alias("key")))
+    pins = spark.createDataFrame([], "scope string, provider string, model_id string")
+    lock = build_lock(overrides(deps, pins, includes), drift.approved_facts(spark, sf_dir), B.APPROVED_AS_OF)
+    return lock.select("scope", "entity_key", "field", "str_value", "num_value", "bool_value", "confidence",
+                       "source_id", _fmt("fetched_at").alias("fetched"), "discovery_confidence", "path", "line")

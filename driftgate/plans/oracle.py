@@ -177,7 +177,18 @@ def deps_sql() -> str:
 )"""
 
 
-def lock_sql() -> str:
+def deps_with_includes_sql() -> str:
+    """The approved list plus the new parts as include keys (confidence 1, override)."""
+    return f"""(
+  SELECT scope, entity_key, provider, model_id, identifier_kind, discovery_confidence, low_confidence, path, line FROM {deps_sql()} d
+  UNION ALL
+  SELECT 'tenant-' || (p_partkey % 20), provider || ':' || model_id, provider, model_id, {kind_sql('model_id')},
+         1.0, false, '.llm-lock.yml', 1
+  FROM (SELECT p_partkey, {part_identity_sql('p_partkey')} FROM part WHERE p_partkey % 13 = 0) p
+)"""
+
+
+def lock_sql(deps: str | None = None) -> str:
     """J2 + T5 in SQL."""
     fields = " UNION ALL ".join(f"SELECT '{n}' AS field, {i} AS field_ord" for i, (n, _) in enumerate(FACT_FIELDS))
     return f"""(
@@ -189,8 +200,10 @@ def lock_sql() -> str:
          WHEN f.field IN ('provider', 'identifierKind') AND coalesce(a.confidence, 'unavailable') = 'unavailable'
            THEN 'single-source'
          ELSE coalesce(a.confidence, 'unavailable') END AS confidence,
-    coalesce(a.source_id, 'unavailable') AS source_id
-  FROM {deps_sql()} d CROSS JOIN ({fields}) f
+    coalesce(a.source_id, 'unavailable') AS source_id,
+    CASE WHEN a.confidence IS NULL THEN strftime(TIMESTAMP '{B.APPROVED_AS_OF}', '{FMT_TS}')
+         ELSE strftime(a.fetched_at, '{FMT_TS}') END AS fetched
+  FROM {deps or deps_sql()} d CROSS JOIN ({fields}) f
   LEFT JOIN {fact_sql(B.APPROVED_AS_OF, B.STALE_AFTER_DAYS)} a
     ON a.entity_key = d.entity_key AND a.field = f.field
 )"""

@@ -56,7 +56,7 @@ def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
     p = os.path.join(path, "meta")
     if not _exists(spark, p):
         return spark.createDataFrame([], "snapshot_date string, previous_date string")
-    dates = spark.read.parquet(p).select("snapshot_date").distinct()
+    dates = spark.read.parquet(p).select(F.col("snapshot_date").cast("string").alias("snapshot_date")).distinct()
     return dates.select("snapshot_date", F.lag("snapshot_date").over(Window.orderBy("snapshot_date")).alias("previous_date"))
 
 
@@ -69,14 +69,15 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, as_of: s
         empty = spark.createDataFrame([], schema)
         return empty, SnapshotMeta("", "", True, "No registry snapshot present",
                                    ["No registry snapshot present; using empty frozen registry"])
-    meta = spark.read.parquet(mp)
+    meta = spark.read.parquet(mp).withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
     if as_of:
         meta = meta.filter(F.col("snapshot_date") <= as_of)
     row = meta.orderBy(F.col("snapshot_date").desc()).limit(1).collect()  # one metadata row
     if not row:
         return spark.createDataFrame([], schema), SnapshotMeta("", "", True, DEFAULT_FREEZE_MESSAGE, [])
     r = row[0]
-    records = spark.read.parquet(rec).filter(F.col("snapshot_date") == r["snapshot_date"]).drop("snapshot_date")
+    records = (spark.read.parquet(rec).filter(F.col("snapshot_date").cast("string") == r["snapshot_date"])
+                    .drop("snapshot_date"))
     return records, SnapshotMeta(r["snapshot_date"], r["generated_at"], bool(r["frozen"]), r["freeze_reason"],
                                  list(r["warnings"] or []))
 
