@@ -1,16 +1,19 @@
 """Reconcile several feeds into facts with a confidence class.
 
-Plan shape (two shuffles in total):
-
-1. ``latest_per_source`` (A1/W3): ``groupBy(entity_key, source_id).max_by(record, seq)``.
-   A partial (map-side) aggregate, so a hot entity never reaches one task whole.
-2. ``to_long``: unpivot the ten material fields plus the two identity fields into typed
-   value columns; narrow, no shuffle.
-3. ``classify`` (A2-A4, A6): one ``groupBy(entity_key, field)`` computing aggregates for both
-   candidate pools (fresh rows, all present rows) at once; the pool is picked afterwards,
-   which replaces the "any fresh in group" window (W4) without a second pass. After step 1
-   a group holds at most one row per registered source, so the per-group collect of
-   conflict candidates is bounded by the number of sources, not by the data.
+Plan shape (two shuffles in total, both aggregations):
+
+1. ``latest_per_source`` (A1/W3): ``groupBy(entity_key, source_id).max_by(record, seq)``, a
+   partial (map-side) aggregate, so a hot entity never reaches one task whole.
+2. ``entity_rows`` (J6): ``groupBy(entity_key)`` collecting the A1 rows, sorted by source
+   order. A1 leaves at most one row per registered source, so the array is bounded by
+   the size of the source registry, never by the data.
+3. ``entity_facts`` (A2-A7): each of the ten material fields is classified row-wise with
+   higher-order functions over that small array (present -> fresh pool -> first ->
+   conflict/stale/official/multi/single), as JVM expressions; the identity facts (A6),
+   evidence (A5) and the 12-envelope record (A7) come out of the same row. The "any fresh
+   observation" test (W4) is a per-row ``filter`` instead of a window.
+
+``classify`` returns the long form (one row per entity and field) used by diff and policy.
 """
 
 from __future__ import annotations
@@ -20,13 +23,16 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgate.schemas import (
-    FACT_FIELDS, FIELD_COLUMNS, SOURCE_OFFICIAL,
-)
+from driftgate.schemas import FACT_FIELDS, FIELD_COLUMNS, MATERIAL_FIELDS, SOURCE_OFFICIAL
 
 EPS = 1e-9
 VALUE_COLS = ["str_value", "num_value", "bool_value"]
 META_COLS = ["source_id", "source_url", "fetched_at", "source_digest", "parser_version"]
+SQL_TYPES = {"str": "string", "num": "double", "bool": "boolean"}
+KIND_COL = {"str": "str_value", "num": "num_value", "bool": "bool_value"}
+CANDIDATES_TYPE = ("array<struct<source_ord:int,str_value:string,num_value:double,bool_value:boolean,"
+                   "source_id:string,source_url:string,fetched_at:timestamp,source_digest:string,"
+                   "parser_version:string>>")
 
 
 def _ts(x) -> Column:
@@ -45,140 +51,122 @@ def latest_per_source(obs: DataFrame, seq_col: str = "obs_seq") -> DataFrame:
                .select("r.*"))
 
 
-def to_long(latest: DataFrame) -> DataFrame:
-    """Unpivot to one row per (entity, source, field) with typed value columns."""
-    def entry(name: str, ord_: int, kind: str, value: Column) -> Column:
-        return F.struct(
-            F.lit(name).alias("field"), F.lit(ord_).alias("field_ord"),
-            (value.cast("string") if kind == "str" else F.lit(None).cast("string")).alias("str_value"),
-            (value.cast("double") if kind == "num" else F.lit(None).cast("double")).alias("num_value"),
-            (value.cast("boolean") if kind == "bool" else F.lit(None).cast("boolean")).alias("bool_value"),
-        )
-
-    entries = []
-    for i, (name, kind) in enumerate(FACT_FIELDS):
-        if name == "provider":
-            value = F.col("provider")
-        elif name == "requestedModelId":
-            value = F.col("model_id")
+def entity_rows(latest: DataFrame) -> DataFrame:
+    """Per entity, its latest observation from each source in source order."""
+    rec = F.struct(F.col("source_ord"), *[F.col(c) for c in META_COLS],
+                   *[F.col(FIELD_COLUMNS[n]).cast(SQL_TYPES[k]).alias(n) for n, k in MATERIAL_FIELDS])
+    return (latest.groupBy("entity_key")
+                  .agg(F.min("provider").alias("provider"), F.min("model_id").alias("model_id"),
+                       F.sort_array(F.collect_list(rec)).alias("obs")))
+
+
+def _values(src: Column | None, name: str | None, kind: str | None, keep: Column) -> list[Column]:
+    out = []
+    for k, col in KIND_COL.items():
+        v = F.when(keep, src[name]) if (src is not None and kind == k) else F.lit(None)
+        out.append(v.cast(SQL_TYPES[k]).alias(col))
+    return out
+
+
+def _candidate(name: str, kind: str):
+    def fn(o: Column) -> Column:
+        return F.struct(o["source_ord"].alias("source_ord"), *_values(o, name, kind, F.lit(True)),
+                        *[o[c].alias(c) for c in META_COLS])
+    return fn
+
+
+def _material_envelope(name: str, kind: str) -> Column:
+    """A2 (+A3, A4) for one field, from ``p_<f>`` (observations with a value), ``q_<f>``
+    (the pool: the fresh ones if any, else all) and ``s_<f>`` (all stale)."""
+    obs, present, pool = F.col("obs"), F.col(f"p_{name}"), F.col(f"q_{name}")
+    first = F.get(pool, 0)
+    if kind == "num":
+        conflict = F.exists(pool, lambda o: F.abs(o[name] - first[name]) >= EPS)
+    else:
+        conflict = F.exists(pool, lambda o: o[name] != first[name])
+    n_present = F.size(present)
+    confidence = (F.when(n_present == 0, "unavailable")
+                   .when(conflict, "conflicting")
+                   .when(F.col(f"s_{name}"), "stale")
+                   .when(F.exists(pool, lambda o: o["source_id"] == SOURCE_OFFICIAL), "official-verified")
+                   .when(F.size(pool) >= 2, "multi-source-verified")
+                   .otherwise("single-source"))
+    primary = F.when(n_present == 0, F.get(obs, 0)).otherwise(first)
+    keep = (n_present > 0) & ~conflict
+    candidates = F.when(conflict, F.transform(present, _candidate(name, kind)))
+    return F.struct(*_values(first, name, kind, keep), confidence.alias("confidence"),
+                    *[primary[c].alias(c) for c in META_COLS], candidates.alias("candidates"))
+
+
+def _identity_envelope(value: Column, confidence: Column) -> Column:
+    """Provider / requested model id: value from the key, meta of the first source."""
+    first = F.get(F.col("obs"), 0)
+    return F.struct(value.cast("string").alias("str_value"), F.lit(None).cast("double").alias("num_value"),
+                    F.lit(None).cast("boolean").alias("bool_value"), confidence.alias("confidence"),
+                    *[first[c].alias(c) for c in META_COLS], F.lit(None).cast(CANDIDATES_TYPE).alias("candidates"))
+
+
+def _has_value(name: str):
+    return lambda o: o[name].isNotNull()
+
+
+def entity_facts(latest: DataFrame, as_of, stale_after_days: int = 7) -> DataFrame:
+    """One wide record per entity: identity, ``facts`` (12 envelopes in field order)
+    and ``evidence`` (one entry per source, A5)."""
+    cutoff = _ts(as_of) - F.expr(f"INTERVAL {int(stale_after_days)} DAYS")
+    rows = entity_rows(latest)
+    rows = rows.select("*", *[F.filter("obs", _has_value(n)).alias(f"p_{n}") for n, _ in MATERIAL_FIELDS])
+    stage = []
+    for n, _ in MATERIAL_FIELDS:
+        p = F.col(f"p_{n}")
+        fresh = F.filter(p, lambda o: o["fetched_at"] >= cutoff)
+        stage += [F.when(F.size(fresh) > 0, fresh).otherwise(p).alias(f"q_{n}"),
+                  ((F.size(p) > 0) & (F.size(fresh) == 0)).alias(f"s_{n}")]
+    rows = rows.select("*", *stage)
+    envs = []
+    for n, k in FACT_FIELDS:
+        if n == "provider":
+            env = _identity_envelope(F.col("provider"), F.when(F.size("obs") >= 2, "multi-source-verified")
+                                     .otherwise("single-source"))
+        elif n == "requestedModelId":
+            env = _identity_envelope(F.col("model_id"), F.lit("single-source"))
         else:
-            value = F.col(FIELD_COLUMNS[name])
-        entries.append(entry(name, i, kind, value))
-    keep = ["entity_key", "provider", "model_id", "source_ord"] + META_COLS
-    return (latest.select(*keep, F.explode(F.array(*entries)).alias("f"))
-                  .select(*keep, "f.*"))
+            env = _material_envelope(n, k)
+        envs.append(env.alias(n))
+    ev = F.transform("obs", lambda o: F.struct(o["source_ord"].alias("source_ord"),
+                                                *[o[c].alias(c) for c in META_COLS],
+                                                o["source_digest"].alias("content_digest")))
+    return rows.select("entity_key", "provider", "model_id", F.struct(*envs).alias("facts"), ev.alias("evidence"))
 
 
-def classify(long: DataFrame, as_of, stale_after_days: int = 7) -> DataFrame:
-    """A2 (+A3, A4, A6): confidence, value and primary source per (entity, field)."""
-    cutoff = _ts(as_of) - F.expr(f"INTERVAL {int(stale_after_days)} DAYS")
-    present = F.col("str_value").isNotNull() | F.col("num_value").isNotNull() | F.col("bool_value").isNotNull()
-    fresh = present & (F.col("fetched_at") >= cutoff)
-    cmp_num = F.coalesce(F.col("num_value"), F.col("bool_value").cast("double"))
-    obs = F.struct("source_ord", *VALUE_COLS, *META_COLS)
-
-    aggs = [
-        F.min("provider").alias("provider"),
-        F.min("model_id").alias("model_id"),
-        F.count(F.lit(1)).alias("n_obs"),
-        F.min(obs).alias("first_all"),
-        F.count(F.when(present, 1)).alias("n_present"),
-        F.count(F.when(fresh, 1)).alias("n_fresh"),
-        F.collect_list(F.when(present, obs)).alias("cands"),
-    ]
-    for tag, cond in (("f", fresh), ("p", present)):
-        aggs += [
-            F.min(F.when(cond, F.struct(*[F.col("source_ord"), cmp_num.alias("cmp"), *[F.col(c) for c in VALUE_COLS + META_COLS]]))).alias(f"first_{tag}"),
-            F.max(F.when(cond, cmp_num)).alias(f"max_num_{tag}"),
-            F.min(F.when(cond, cmp_num)).alias(f"min_num_{tag}"),
-            F.max(F.when(cond, F.col("str_value"))).alias(f"max_str_{tag}"),
-            F.min(F.when(cond, F.col("str_value"))).alias(f"min_str_{tag}"),
-            F.max(F.when(cond, F.col("source_id") == SOURCE_OFFICIAL)).alias(f"off_{tag}"),
-            F.count(F.when(cond, 1)).alias(f"n_{tag}"),
-        ]
-    g = long.groupBy("entity_key", "field", "field_ord").agg(*aggs)
-
-    use_f = F.col("n_fresh") > 0
-
-    def pick(name: str) -> Column:
-        return F.when(use_f, F.col(f"{name}_f")).otherwise(F.col(f"{name}_p"))
-
-    first = pick("first")
-    conflict = (((pick("max_num") - first["cmp"]) >= EPS) | ((first["cmp"] - pick("min_num")) >= EPS)
-                | (pick("max_str") != pick("min_str")))
-    material_conf = (F.when(F.col("n_present") == 0, "unavailable")
-                      .when(F.coalesce(conflict, F.lit(False)), "conflicting")
-                      .when(~use_f, "stale")
-                      .when(F.coalesce(pick("off"), F.lit(False)), "official-verified")
-                      .when(pick("n") >= 2, "multi-source-verified")
-                      .otherwise("single-source"))
-    confidence = (F.when(F.col("field") == "provider",
-                         F.when(F.col("n_obs") >= 2, "multi-source-verified").otherwise("single-source"))
-                   .when(F.col("field") == "requestedModelId", "single-source")
-                   .otherwise(F.col("confidence_m")))
-    identity = F.col("field").isin("provider", "requestedModelId")
-    has_value = ~F.col("confidence").isin("unavailable", "conflicting")
-    def shape(s: Column) -> Column:
-        return F.struct(*[s[c].alias(c) for c in VALUE_COLS + META_COLS])
-
-    first_all, first_pool = shape(F.col("first_all")), shape(first)
-    primary = F.when(identity | (F.col("n_present") == 0), first_all).otherwise(first_pool)
-    out = (g.withColumn("confidence_m", material_conf)
-            .withColumn("confidence", confidence)
-            .withColumn("primary", primary)
-            .withColumn("value_src", F.when(identity, first_all).otherwise(first_pool)))
-    return out.select(
-        "entity_key", "provider", "model_id", "field", "field_ord",
-        *[F.when(has_value, F.col("value_src")[c]).alias(c) for c in VALUE_COLS],
-        "confidence",
-        *[F.col("primary")[c].alias(c) for c in META_COLS],
-        F.when(F.col("confidence") == "conflicting", F.sort_array("cands")).alias("candidates"),
-    )
+def to_long_facts(wide: DataFrame) -> DataFrame:
+    """Wide records -> the long fact table (one row per entity and field)."""
+    rows = [F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"), F.col(f"facts.{n}").alias("env"))
+            for i, (n, _) in enumerate(FACT_FIELDS)]
+    keep = [c for c in ("scope", "snapshot_date") if c in wide.columns]
+    return (wide.select(*keep, "entity_key", "provider", "model_id", F.explode(F.array(*rows)).alias("x"))
+                .select(*keep, "entity_key", "provider", "model_id", "x.field", "x.field_ord", "x.env.*"))
+
+
+def classify(latest: DataFrame, as_of, stale_after_days: int = 7) -> DataFrame:
+    """A2-A4, A6 in long form: confidence, value and primary source per (entity, field)."""
+    return to_long_facts(entity_facts(latest, as_of, stale_after_days))
 
 
 def reconcile(obs: DataFrame, as_of, stale_after_days: int = 7, seq_col: str = "obs_seq") -> DataFrame:
     """Observations -> long fact table as of ``as_of`` (only rows fetched by then count)."""
     visible = obs.filter(F.col("fetched_at") <= _ts(as_of))
-    return classify(to_long(latest_per_source(visible, seq_col)), as_of, stale_after_days)
+    return classify(latest_per_source(visible, seq_col), as_of, stale_after_days)
 
 
-def evidence(latest: DataFrame) -> DataFrame:
-    """A5: one evidence entry per source seen for the entity, in source order."""
-    ev = F.struct("source_ord", "source_id", "source_url", "fetched_at", "source_digest",
-                  "parser_version", F.col("source_digest").alias("content_digest"))
-    return (latest.groupBy("entity_key")
-                  .agg(F.sort_array(F.collect_list(ev)).alias("evidence")))
-
-
-def envelope(prefix: str = "") -> Column:
-    """A4: the fact envelope struct of one long-form row."""
-    return F.struct(
-        F.col("str_value"), F.col("num_value"), F.col("bool_value"),
-        *[F.col(c) for c in META_COLS], F.col("confidence"), F.col("candidates"))
-
-
-def to_snapshot(fact: DataFrame, latest: DataFrame) -> DataFrame:
-    """Wide records, one per entity: identity, 12 envelopes (in field order), evidence.
-
-    Both inputs are aggregated on ``entity_key`` so the join reuses their partitioning."""
-    names = [n for n, _ in FACT_FIELDS]
-    wide = (fact.groupBy("entity_key")
-                .agg(F.min("provider").alias("provider"), F.min("model_id").alias("model_id"),
-                     *[F.first(F.when(F.col("field") == n, envelope()), ignorenulls=True).alias(f"f_{n}")
-                       for n in names]))
-    wide = wide.select("entity_key", "provider", "model_id",
-                       F.struct(*[F.col(f"f_{n}").alias(n) for n in names]).alias("facts"))
-    return wide.join(evidence(latest), "entity_key", "left")
+def to_snapshot(latest: DataFrame, as_of, stale_after_days: int = 7) -> DataFrame:
+    """The wide snapshot records (storage form)."""
+    return entity_facts(latest, as_of, stale_after_days)
 
 
 def from_snapshot(snapshot: DataFrame) -> DataFrame:
-    """Wide records back to the long fact table (the compute form)."""
-    rows = [F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"),
-                     F.col(f"facts.{n}").alias("env"))
-            for i, (n, _) in enumerate(FACT_FIELDS)]
-    keep = [c for c in ("scope", "snapshot_date") if c in snapshot.columns]
-    return (snapshot.select(*keep, "entity_key", "provider", "model_id", F.explode(F.array(*rows)).alias("x"))
-                    .select(*keep, "entity_key", "provider", "model_id", "x.field", "x.field_ord", "x.env.*"))
+    """Stored wide records back to the long fact table (the compute form)."""
+    return to_long_facts(snapshot)
 
 
 def source_status(meta: DataFrame) -> DataFrame:

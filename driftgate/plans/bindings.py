@@ -25,7 +25,16 @@ RAW_PROVIDERS = ["OpenAI", "Anthropic Claude", "Google Vertex AI", "xAI Grok", "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A shared table. When its scan has fewer splits than the cluster has task slots (the
+    test tables are single-row-group files, so one task would do all map-side work), the
+    rows are spread round-robin right after the scan. Filters and column pruning still
+    reach the Parquet reader through the exchange; a large table with many splits is
+    left untouched."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
+    return df
 
 
 def _by_source(src: Column, catalog, feed, official) -> Column:

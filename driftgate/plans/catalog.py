@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.operators.diff import model_diff
-from driftgate.operators.reconcile import evidence, latest_per_source, to_snapshot
+from driftgate.operators.reconcile import latest_per_source, to_snapshot
 from driftgate.plans import bindings as B
 from driftgate.plans import drift
 from driftgate.plans import oracle as O
@@ -79,10 +79,8 @@ FROM f JOIN ev ON f.entity_key = ev.entity_key
 GROUP BY f.entity_key, f.provider, f.model_id, ev.n_evidence, ev.evidence_sources""")
 def a7_snapshot_record(spark, sf_dir):
     """Wide snapshot records (12 envelopes + evidence), projected flat."""
-    from driftgate.operators.reconcile import classify, to_long
     latest = latest_per_source(B.observations(spark, sf_dir, B.CURRENT_AS_OF))
-    fact = classify(to_long(latest), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
-    snap = to_snapshot(fact, latest)
+    snap = to_snapshot(latest, B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
     return snap.select(
         "entity_key", "provider", "model_id",
         F.size("evidence").cast("long").alias("n_evidence"),
@@ -566,8 +564,8 @@ GROUP BY c.check_name""")
 def r5_fact_invariants(spark, sf_dir):
     """Snapshot invariants checked on every fact row; count per check."""
     latest = latest_per_source(B.observations(spark, sf_dir, B.CURRENT_AS_OF))
-    from driftgate.operators.reconcile import classify, to_long
-    fact = classify(to_long(latest), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
+    from driftgate.operators.reconcile import classify
+    fact = classify(latest, B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
     return P.violation_counts(P.fact_violations(fact, latest))
 
 

@@ -22,6 +22,7 @@ def get_session(master: str | None = None, app: str = "driftgate",
         b = b.master(master)
     b = (b.config("spark.sql.session.timeZone", "UTC")
           .config("spark.ui.enabled", "false")
+          .config("spark.ui.showConsoleProgress", "false")
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")

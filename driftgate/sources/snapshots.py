@@ -99,7 +99,7 @@ def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: s
     checkpointed (reliable checkpoint in the shared ``spark.checkpoint.dir``) because they
     feed validation, the digest and the write."""
     from driftgate.operators.publish import fact_violations, publish_decision
-    from driftgate.operators.reconcile import classify, latest_per_source, source_status, to_long
+    from driftgate.operators.reconcile import classify, latest_per_source, source_status
     from driftgate.session import ensure_checkpoint_dir
     from driftgate.sources.feeds import body_status, normalize
     from driftgate.schemas import FACT, SOURCE_OFFICIAL
@@ -126,7 +126,7 @@ def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: s
                         + "); merged available sources and retained warnings")
     obs = normalize(st.filter("ok").drop("ok", "source_digest", "warning"))
     latest = latest_per_source(obs)
-    fact = classify(to_long(latest), as_of, stale_after_days).checkpoint(eager=True)
+    fact = classify(latest, as_of, stale_after_days).checkpoint(eager=True)
     if fact_violations(fact, latest).limit(1).count() > 0:
         return RefreshResult("invalid", snapshot_date, warnings)
     decision = publish_decision(previous, fact, warnings).collect()[0]  # one row

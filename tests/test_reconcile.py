@@ -3,7 +3,7 @@
 from helpers import obs_df, obs_row
 from pyspark.sql import functions as F
 
-from driftgate.operators.reconcile import latest_per_source, reconcile, source_status, to_snapshot, classify, to_long
+from driftgate.operators.reconcile import latest_per_source, reconcile, source_status, to_snapshot
 
 NOW = "2026-07-24 00:00:00"
 FRESH = "2026-07-23T00:00:00"
@@ -117,7 +117,7 @@ def test_snapshot_record_and_evidence(spark):
     rows = [obs_row("openai", "gpt-4o", "official-provider", FRESH, input_price=2.5),
             obs_row("openai", "gpt-4o", "models.dev", FRESH, input_price=2.5)]
     latest = latest_per_source(obs_df(spark, rows))
-    snap = to_snapshot(classify(to_long(latest), NOW, 7), latest).collect()[0]
+    snap = to_snapshot(latest, NOW, 7).collect()[0]
     assert [e["source_id"] for e in snap["evidence"]] == ["models.dev", "official-provider"]
     assert snap["facts"]["inputPricePerMillion"]["confidence"] == "official-verified"
     assert snap["facts"]["provider"]["str_value"] == "openai"
