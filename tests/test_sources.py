@@ -102,3 +102,17 @@ def test_refresh_publish_unchanged_frozen(spark, tmp_dir):
     assert m.frozen and m.snapshot_date == "2026-07-26" and latest.count() > 0
     no_official = landing(spark, [("models.dev", json.dumps(CATALOG)), ("official-provider", "{")])
     assert refresh(spark, no_official, snap, "2026-07-27", "2026-07-24 00:00:00").status == "official-failed"
+
+
+def test_refresh_stream_publishes_each_batch(spark, tmp_dir):
+    import os
+    from driftgate.sources.snapshots import list_snapshots
+    from driftgate.streaming import start_refresh_stream
+    land = os.path.join(tmp_dir, "landing")
+    os.makedirs(land)
+    with open(os.path.join(land, "f1.json"), "w") as fh:
+        for sid, body in (("models.dev", CATALOG), ("official-provider", PACK), ("deprecations.info", FEED)):
+            fh.write(json.dumps({"source_id": sid, "body": json.dumps(body), "fetched_at": "2026-07-23T00:00:00Z"}) + "\n")
+    q = start_refresh_stream(spark, land, tmp_dir + "/snap", tmp_dir + "/ckpt")
+    q.awaitTermination(120)
+    assert [r["snapshot_date"] for r in list_snapshots(spark, tmp_dir + "/snap").collect()] == ["2026-07-23"]
