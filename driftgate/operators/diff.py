@@ -8,24 +8,29 @@ from pyspark.sql import functions as F
 from driftgate.functions.confidence import blocking_eligible
 
 EPS = 1e-9
-JOIN_KEYS = ["entity_key", "field", "field_ord"]
 LOCK_PASS = ["scope", "entity_key", "provider", "model_id", "identifier_kind",
              "discovery_confidence", "low_confidence", "path", "line", "field", "field_ord"]
 
 
 def field_diff(lock: DataFrame, current: DataFrame) -> DataFrame:
-    """C1-C3 over J1: lock rows (scope, entity, field) left-joined to current facts.
-
-    Keys only in the current facts drop out (left join); a lock key missing from the
-    current facts gives 'unknown' rows with confidence 'unavailable' (C2)."""
+    """C1-C3 over J1: lock rows (scope, entity, field) left-joined to the current facts.
+
+    ``current`` are wide records (one row per entity); the join is on ``entity_key`` alone
+    and the row's field is picked by position, so when the lock comes out of an
+    entity-level join too, both sides are already partitioned alike and nothing moves.
+    Keys only in the current facts drop out (left join); a lock key missing from them
+    gives 'unknown' rows with confidence 'unavailable' (C2)."""
+    from driftgate.operators.reconcile import envelopes
     l = lock.select(*LOCK_PASS,
                     F.col("str_value").alias("a_str"), F.col("num_value").alias("a_num"),
                     F.col("bool_value").alias("a_bool"))
-    c = current.select(*JOIN_KEYS, F.lit(True).alias("c_seen"),
-                       F.col("str_value").alias("c_str"), F.col("num_value").alias("c_num"),
-                       F.col("bool_value").alias("c_bool"), F.col("confidence").alias("c_conf"))
-    j = l.join(c, JOIN_KEYS, "left")
-    gone = F.col("c_seen").isNull()
+    c = current.select("entity_key", envelopes(current).alias("c_envs"))
+    j = l.join(c, "entity_key", "left")
+    cur = F.get(F.col("c_envs"), F.col("field_ord"))
+    j = j.select(*LOCK_PASS, "a_str", "a_num", "a_bool", F.col("c_envs").isNotNull().alias("c_seen"),
+                 cur["str_value"].alias("c_str"), cur["num_value"].alias("c_num"),
+                 cur["bool_value"].alias("c_bool"), cur["confidence"].alias("c_conf"))
+    gone = ~F.col("c_seen")
     conflicting = F.col("c_conf") == "conflicting"
     a_null = F.col("a_str").isNull() & F.col("a_num").isNull() & F.col("a_bool").isNull()
     c_null = F.col("c_str").isNull() & F.col("c_num").isNull() & F.col("c_bool").isNull()

@@ -14,9 +14,6 @@ from driftgate.schemas import FACT_FIELDS
 
 DEP_COLS = ["scope", "entity_key", "provider", "model_id", "identifier_kind",
             "discovery_confidence", "low_confidence", "path", "line"]
-FACT_VALUE_COLS = ["str_value", "num_value", "bool_value", "confidence", "source_id",
-                   "source_url", "fetched_at", "source_digest", "parser_version", "candidates"]
-JOIN_KEYS = ["entity_key", "field", "field_ord"]
 
 
 def _ts(x) -> Column:
@@ -48,36 +45,40 @@ def overrides(deps: DataFrame, pins: DataFrame, includes: DataFrame) -> DataFram
     return deps.select(*DEP_COLS).unionByName(added)
 
 
-def build_lock(deps: DataFrame, fact: DataFrame, generated_at) -> DataFrame:
+def build_lock(deps: DataFrame, facts: DataFrame, generated_at) -> DataFrame:
     """J2 + T5: every dependency gets all 12 facts from the snapshot; a key the snapshot
     lacks gets 'unavailable' facts. Identity facts are then overridden from discovery.
 
-    The dependency side is exploded to (entity, field) before the join so it is keyed like
-    the fact table, whose aggregation already partitions it on those keys."""
-    fields = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"))
-                       for i, (n, _) in enumerate(FACT_FIELDS)])
-    d = deps.select(*DEP_COLS, F.explode(fields).alias("f")).select(*DEP_COLS, "f.*")
-    j = d.join(fact.select(*JOIN_KEYS, *FACT_VALUE_COLS), JOIN_KEYS, "left")
-    missing = F.col("confidence").isNull()
-    conf = F.coalesce(F.col("confidence"), F.lit("unavailable"))
+    ``facts`` are the wide records (one row per entity, already partitioned by
+    ``entity_key``), so the join is at entity granularity and only the dependency side
+    moves; the 12 field rows are produced after the join."""
+    from driftgate.operators.reconcile import envelopes
+    f = facts.select("entity_key", envelopes(facts).alias("envs"))
+    j = deps.select(*DEP_COLS).join(f, "entity_key", "left")
+    rows = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"),
+                              F.get(F.col("envs"), i).alias("env")) for i, (n, _) in enumerate(FACT_FIELDS)])
+    j = j.select(*DEP_COLS, F.explode(rows).alias("x")).select(*DEP_COLS, "x.field", "x.field_ord", "x.env")
+    env = F.col("env")
+    missing = env.isNull()
+    conf = F.coalesce(env["confidence"], F.lit("unavailable"))
     field = F.col("field")
     str_value = (F.when(field == "provider", F.col("provider"))
                   .when(field == "requestedModelId", F.col("model_id"))
                   .when(field == "identifierKind", F.col("identifier_kind"))
-                  .otherwise(F.col("str_value")))
+                  .otherwise(env["str_value"]))
     confidence = (F.when(field == "requestedModelId", F.lit("single-source"))
                    .when(field.isin("provider", "identifierKind") & (conf == "unavailable"), F.lit("single-source"))
                    .otherwise(conf))
     return j.select(
         *DEP_COLS, "field", "field_ord",
-        str_value.alias("str_value"), "num_value", "bool_value",
+        str_value.alias("str_value"), env["num_value"].alias("num_value"), env["bool_value"].alias("bool_value"),
         confidence.alias("confidence"),
-        F.when(missing, F.lit("unavailable")).otherwise(F.col("source_id")).alias("source_id"),
-        F.when(missing, F.lit("file:unavailable")).otherwise(F.col("source_url")).alias("source_url"),
-        F.when(missing, _ts(generated_at)).otherwise(F.col("fetched_at")).alias("fetched_at"),
-        F.when(missing, F.lit("0")).otherwise(F.col("source_digest")).alias("source_digest"),
-        F.when(missing, F.lit("0")).otherwise(F.col("parser_version")).alias("parser_version"),
-        "candidates",
+        F.when(missing, F.lit("unavailable")).otherwise(env["source_id"]).alias("source_id"),
+        F.when(missing, F.lit("file:unavailable")).otherwise(env["source_url"]).alias("source_url"),
+        F.when(missing, _ts(generated_at)).otherwise(env["fetched_at"]).alias("fetched_at"),
+        F.when(missing, F.lit("0")).otherwise(env["source_digest"]).alias("source_digest"),
+        F.when(missing, F.lit("0")).otherwise(env["parser_version"]).alias("parser_version"),
+        env["candidates"].alias("candidates"),
     )
 
 

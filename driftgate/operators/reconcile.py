@@ -159,6 +159,18 @@ def reconcile(obs: DataFrame, as_of, stale_after_days: int = 7, seq_col: str = "
     return classify(latest_per_source(visible, seq_col), as_of, stale_after_days)
 
 
+def reconcile_wide(obs: DataFrame, as_of, stale_after_days: int = 7, seq_col: str = "obs_seq") -> DataFrame:
+    """Observations -> wide records (one per entity), partitioned by ``entity_key`` by the
+    aggregation that built them, which later entity-level joins reuse."""
+    visible = obs.filter(F.col("fetched_at") <= _ts(as_of))
+    return entity_facts(latest_per_source(visible, seq_col), as_of, stale_after_days)
+
+
+def envelopes(wide: DataFrame) -> Column:
+    """The 12 envelopes of a wide record as an array indexed by field order."""
+    return F.array(*[F.col(f"facts.{n}") for n, _ in FACT_FIELDS])
+
+
 def to_snapshot(latest: DataFrame, as_of, stale_after_days: int = 7) -> DataFrame:
     """The wide snapshot records (storage form)."""
     return entity_facts(latest, as_of, stale_after_days)

@@ -671,6 +671,6 @@ def t5_lock_build(spark, sf_dir):
                 .select(F.concat(F.lit("tenant-"), (k % 20).cast("string")).alias("scope"),
                         ident["entity_key"].alias("key")))
     pins = spark.createDataFrame([], "scope string, provider string, model_id string")
-    lock = build_lock(overrides(deps, pins, includes), drift.approved_facts(spark, sf_dir), B.APPROVED_AS_OF)
+    lock = build_lock(overrides(deps, pins, includes), drift.approved_wide(spark, sf_dir), B.APPROVED_AS_OF)
     return lock.select("scope", "entity_key", "field", "str_value", "num_value", "bool_value", "confidence",
                        "source_id", _fmt("fetched_at").alias("fetched"), "discovery_confidence", "path", "line")

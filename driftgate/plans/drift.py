@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from driftgate.operators.diff import field_diff
 from driftgate.operators.lock import build_lock
 from driftgate.operators.policy import effective_policy, evaluate, gate
-from driftgate.operators.reconcile import reconcile
+from driftgate.operators.reconcile import reconcile, reconcile_wide
 from driftgate.plans import bindings as B
 
 
@@ -34,9 +34,17 @@ def current_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile(B.current_observations(spark, sf_dir), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
 
 
+def approved_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile_wide(B.approved_observations(spark, sf_dir), B.APPROVED_AS_OF, B.STALE_AFTER_DAYS)
+
+
+def current_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile_wide(B.current_observations(spark, sf_dir), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
+
+
 def run(spark: SparkSession, sf_dir: str, policy_overrides: DataFrame | None = None) -> DriftRun:
-    approved = approved_facts(spark, sf_dir)
-    current = current_facts(spark, sf_dir)
+    approved = approved_wide(spark, sf_dir)
+    current = current_wide(spark, sf_dir)
     deps = B.dependencies(spark, sf_dir)
     lock = build_lock(deps, approved, B.APPROVED_AS_OF)
     fdiff = field_diff(lock, current)

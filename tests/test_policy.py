@@ -6,7 +6,7 @@ from helpers import obs_df, obs_row
 from driftgate.operators.diff import field_diff, model_diff
 from driftgate.operators.lock import build_lock
 from driftgate.operators.policy import effective_policy, evaluate, gate
-from driftgate.operators.reconcile import reconcile
+from driftgate.operators.reconcile import reconcile_wide as reconcile
 
 A_AT, A_SEEN = "2026-01-10 00:00:00", "2026-01-09T00:00:00"
 C_AT, C_SEEN = "2026-07-24 00:00:00", "2026-07-23T00:00:00"
