@@ -4,6 +4,7 @@ tables (or data Spark derives from them) in full."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from driftgate.operators.reconcile import latest_per_source, to_snapshot
 from driftgate.plans import bindings as B
 from driftgate.plans import drift
 from driftgate.plans import oracle as O
+from driftgate.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,8 +23,15 @@ TS_FMT = "yyyy-MM-dd HH:mm:ss"
 
 
 def register(name: str, sql: str | None = None):
+    """Register a query; the callable first applies the session settings the engine
+    relies on (UTC session time zone; a checkpoint folder only if the cluster set none)."""
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
@@ -674,3 +683,46 @@ def t5_lock_build(spark, sf_dir):
     lock = build_lock(overrides(deps, pins, includes), drift.approved_wide(spark, sf_dir), B.APPROVED_AS_OF)
     return lock.select("scope", "entity_key", "field", "str_value", "num_value", "bool_value", "confidence",
                        "source_id", _fmt("fetched_at").alias("fetched"), "discovery_confidence", "path", "line")
+
+
+# --------------------------------------------------------------------------- storage round trips
+
+def _run_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder for one run's written tables."""
+    import uuid
+    from driftgate.session import shared_dir
+    return shared_dir(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("s7_snapshot_roundtrip", f"""
+SELECT entity_key, field, field_ord, confidence, str_value, num_value, bool_value, source_id,
+       strftime(fetched_at, '{O.FMT_TS}') AS fetched, n_candidates
+FROM {O.fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)} f""")
+def s7_snapshot_roundtrip(spark, sf_dir):
+    """S7 then S6: the current wide snapshot written as a dated partition (plus an older
+    one), then the latest read back with partition pruning, in long form."""
+    from driftgate.operators.reconcile import from_snapshot, reconcile_wide
+    from driftgate.sources.snapshots import SnapshotMeta, read_snapshot, write_snapshot
+    path = _run_dir(spark, "snapshots")
+    write_snapshot(drift.approved_wide(spark, sf_dir), path, SnapshotMeta("2001-03-01", B.APPROVED_AS_OF))
+    current = reconcile_wide(B.observations(spark, sf_dir, B.CURRENT_AS_OF), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
+    write_snapshot(current, path, SnapshotMeta("2001-11-05", B.CURRENT_AS_OF))
+    latest, _ = read_snapshot(spark, path, current.schema)
+    return _fact_view(from_snapshot(latest))
+
+
+@register("s9_lock_roundtrip", f"""
+SELECT scope, entity_key AS key, provider, model_id, identifier_kind,
+       CAST(discovery_confidence AS DOUBLE) AS discovery_confidence, low_confidence, path, line
+FROM {O.deps_sql()} d""")
+def s9_lock_roundtrip(spark, sf_dir):
+    """S10 then S9: the approved dependency list written as lock lines (scrubbed, sorted
+    keys, refused if a secret is left) and read back through validation."""
+    from driftgate.sources.lockio import lock_lines, read_lock, write_lock
+    path = _run_dir(spark, "lock")
+    write_lock(lock_lines(B.dependencies(spark, sf_dir), B.APPROVED_AS_OF), path)
+    good, _ = read_lock(spark.read.text(path))
+    return good.select("scope", "key", "provider", F.col("modelId").alias("model_id"),
+                       F.col("identifierKind").alias("identifier_kind"),
+                       F.col("discoveryConfidence").alias("discovery_confidence"),
+                       F.col("lowConfidence").alias("low_confidence"), "path", "line")
