@@ -94,6 +94,11 @@ def accept_hit(model_id, confidence) -> Column:
 
 # ----------------------------------------------------------------------------- corpus
 
+# File names worth reading at all (by extension), applied while listing, so the contents of
+# other files are never read; the exact routing (F3) runs on the path afterwards.
+
+ROUTED_NAMES_GLOB = "*.{" + ",".join(e.lstrip(".") for e in CODE_EXTS + PYTHON_EXTS + DATA_EXTS + [".example"]) + "}"
+
 # Dot-files that matter for discovery but that Spark's file listing skips (names starting
 # with "." are treated as hidden).
 HIDDEN_NAMES = [".env.example"]
@@ -124,7 +129,8 @@ def read_corpus(spark: SparkSession, root: str, scope: str, ignore: list[str] |
     globs) run on the path before the content column is used. Hidden discovery files
     (``.env.example``) are probed per listed directory on the executors."""
     root = root.rstrip("/")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", ROUTED_NAMES_GLOB).load(root)
                   .select(F.regexp_replace(F.col("path"), r"^file:", "").alias("abs"), "content"))
     dirs = (files.select(F.regexp_extract("abs", r"^(.*)/[^/]*$", 1).alias("dir"))
                  .unionByName(spark.range(1).select(F.lit(root).alias("dir"))).distinct())
@@ -134,9 +140,21 @@ def read_corpus(spark: SparkSession, root: str, scope: str, ignore: list[str] |
     cond = path_kept("path") & file_type("path").isNotNull()
     if ignore:
         cond = cond & not_ignored("path", ignore)
-    return (out.filter(cond)
-               .select("scope", "path", F.decode(F.col("content"), "UTF-8").alias("content"))
-               .dropDuplicates(["scope", "path"]))
+    # One root per call, so paths are unique here; nothing keyed on content is shuffled.
+    return out.filter(cond).select("scope", "path", F.decode(F.col("content"), "UTF-8").alias("content"))
+
+
+def read_corpora(spark: SparkSession, roots: list[str], scope: str, ignore: list[str] | None = None) -> DataFrame:
+    """S11 over several roots (Q12): a file reachable from two overlapping roots is read
+    once, from the first root that contains it (roots are a short config list)."""
+    roots = [r.rstrip("/") for r in roots]
+    kept = [r for i, r in enumerate(roots)
+            if not any(r == o or r.startswith(o + "/") for o in roots[:i])]
+    out = None
+    for r in kept:
+        part = read_corpus(spark, r, scope, ignore)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def to_lines(files: DataFrame) -> DataFrame:

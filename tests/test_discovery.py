@@ -90,3 +90,9 @@ def test_glob_shapes():
              ("src/**/*.ts", "src/x/y/a.ts", True), ("README.md", "docs/README.md", True)]
     for g, path, want in cases:
         assert bool(re.search(D.glob_to_regex(g), path)) == want, (g, path)
+
+
+def test_overlapping_roots_read_once(spark, tmp_dir):
+    write(tmp_dir, "app/src/a.py", 'model = "gpt-4o"\n')
+    files = D.read_corpora(spark, [tmp_dir + "/app", tmp_dir + "/app/src"], "repo")
+    assert files.count() == 1
