@@ -96,7 +96,6 @@ def accept_hit(model_id, confidence) -> Column:
 
 # File names worth reading at all (by extension), applied while listing, so the contents of
 # other files are never read; the exact routing (F3) runs on the path afterwards.
-
 ROUTED_NAMES_GLOB = "*.{" + ",".join(e.lstrip(".") for e in CODE_EXTS + PYTHON_EXTS + DATA_EXTS + [".example"]) + "}"
 
 # Dot-files that matter for discovery but that Spark's file listing skips (names starting
