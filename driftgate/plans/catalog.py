@@ -500,13 +500,9 @@ def _material_sql(f: str) -> str:
             f"coalesce(printf('%.6f', num_value), ''), coalesce(CAST(bool_value AS VARCHAR), ''))) AS d, field FROM {f}")
 
 
-def _fold_sql(n: str, d: str) -> str:
-    h1 = f"CAST(('0x' || substr({d}, 1, 15)) AS BIGINT)"
-    h2 = f"CAST(('0x' || substr({d}, 16, 15)) AS BIGINT)"
-    return h1, h2
-
-
-_H1, _H2 = _fold_sql("n", "d")
+# The two 60-bit halves of a row digest ``d``, as integers (the SQL side of A12).
+_H1 = "CAST(('0x' || substr(d, 1, 15)) AS BIGINT)"
+_H2 = "CAST(('0x' || substr(d, 16, 15)) AS BIGINT)"
 
 
 @register("a12_table_digest", f"""

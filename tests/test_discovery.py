@@ -96,3 +96,21 @@ def test_overlapping_roots_read_once(spark, tmp_dir):
     write(tmp_dir, "app/src/a.py", 'model = "gpt-4o"\n')
     files = D.read_corpora(spark, [tmp_dir + "/app", tmp_dir + "/app/src"], "repo")
     assert files.count() == 1
+
+
+def test_pinned_hint_states_sf001(spark):
+    """FIXTURES B3: the all-Python corpus from orders; 'model = "gpt-4o"' lines by the
+    carried import hint: no hint / openai / anthropic = 682 / 604 / 589 at sf0.01."""
+    from pyspark.sql import functions as F
+    from driftgate.operators.segmented import segmented_row_number
+    from driftgate.plans import bindings as B
+    o = B.table(spark, "/root/testdata/sf0.01", "orders").select("o_orderkey", "o_custkey")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    f = o.select(F.lit("r").alias("scope"),
+                 F.concat(F.lit("svc"), (c % 20).cast("string"), F.lit("/f"), c.cast("string"), F.lit(".py")).alias("path"),
+                 k.alias("o_orderkey"), B._pick(B.PY_LINES, k % 8).alias("text"))
+    lines = segmented_row_number(f, ["scope", "path"], "o_orderkey", "line").select("scope", "path", "line", "text")
+    hits = D.scan_python(lines).filter((F.col("model_id") == "gpt-4o") & (F.col("snippet") == 'model = "gpt-4o"'))
+    got = {r["provider"]: r["count"] for r in hits.groupBy("provider").count().collect()}
+    # no hint -> inferred openai
+    assert got == {"openai": 682 + 604, "anthropic": 589}
