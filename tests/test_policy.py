@@ -145,3 +145,16 @@ def test_self_diff_has_no_changes(spark):
     # without a registry value, the lock's discovered identifier kind reads as a change
     _, _, fd2 = run(spark, {"input_price": 2.5}, {"input_price": 2.5})
     assert {r["field"] for r in fd2.collect() if r["kind"] == "changed"} == {"identifierKind"}
+
+
+def test_pinned_diff_counts_sf0001(spark):
+    """FIXTURES B2: input-price diffs between the 2001-03-01 and 2001-11-05 snapshots over
+    all parts: changed 57 / conflicting 25 / unchanged 118 at sf0.001."""
+    from conftest import SF001
+    from driftgate.plans import bindings as B
+    a = reconcile(B.observations(spark, SF001, B.APPROVED_AS_OF), B.APPROVED_AS_OF, B.STALE_AFTER_DAYS)
+    c = reconcile(B.observations(spark, SF001, B.CURRENT_AS_OF), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
+    deps = B.dependencies(spark, SF001, exclude_mod=None)
+    fd = field_diff(build_lock(deps, a, B.APPROVED_AS_OF), c).filter("field = 'inputPricePerMillion'")
+    assert {r["kind"]: r["count"] for r in fd.groupBy("kind").count().collect()} == \
+        {"changed": 57, "conflicting": 25, "unchanged": 118}
