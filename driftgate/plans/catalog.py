@@ -423,12 +423,14 @@ def s3_official_pack(spark, sf_dir):
 
 @register("s4_body_status", """
 SELECT event_id, source_id, ok, CASE WHEN ok THEN sha256(body) ELSE sha256('') END AS source_digest,
+       '1.0.0' AS parser_version,
        CASE WHEN NOT ok THEN source_id || ' fetch failed: body is not valid JSON' END AS warning
 FROM (SELECT event_id, event_type AS source_id, body, coalesce(json_valid(body), false) AS ok
       FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN substring(props, 2) ELSE props END AS body FROM events) e) x""")
 def s4_body_status(spark, sf_dir):
     """Per fetched body: valid JSON or not, digest of the raw text, warning."""
-    return S.body_status(B.event_landing(spark, sf_dir)).select("event_id", "source_id", "ok", "source_digest", "warning")
+    return S.body_status(B.event_landing(spark, sf_dir)).select("event_id", "source_id", "ok", "source_digest",
+                                                                "parser_version", "warning")
 
 
 @register("a8_source_status", """
@@ -722,3 +724,66 @@ def s9_lock_roundtrip(spark, sf_dir):
                        F.col("identifierKind").alias("identifier_kind"),
                        F.col("discoveryConfidence").alias("discovery_confidence"),
                        F.col("lowConfidence").alias("low_confidence"), "path", "line")
+
+
+@register("s5_normalized_observations", f"""
+SELECT entity_key, 'models.dev' AS source_id, lifecycle_status, input_price, CAST(NULL AS VARCHAR) AS retirement_date, fetched
+FROM ({ORACLE["s1_catalog_feed"]}) a
+UNION ALL
+SELECT entity_key, 'deprecations.info', lifecycle_status, CAST(NULL AS DOUBLE), retirement_date, fetched
+FROM ({ORACLE["s2_deprecation_feed"]}) b
+UNION ALL
+SELECT provider || ':' || model_id, 'official-provider', CASE WHEN l_linestatus = 'F' THEN 'active' ELSE 'deprecated' END,
+       CAST(CASE WHEN l_tax < 0.04 THEN NULL WHEN l_discount >= 0.09 THEN 2.0 ELSE 1.0 END AS DOUBLE),
+       CAST(NULL AS VARCHAR), strftime(l_shipdate, '{O.FMT_TS}')
+FROM {_li_src_sql(0)} WHERE NOT (l_linestatus = 'O' AND l_returnflag = 'N')""")
+def s5_normalized_observations(spark, sf_dir):
+    """One landing table holding all three sources' bodies, routed to each source's
+    normalizer by source id and unioned into one observation table."""
+    landing = (B.catalog_landing(spark, sf_dir).unionByName(B.feed_landing(spark, sf_dir))
+               .unionByName(B.pack_landing(spark, sf_dir)))
+    o = S.normalize(landing, seq_col="l_orderkey")
+    return o.select("entity_key", "source_id", "lifecycle_status", "input_price", "retirement_date",
+                    _fmt("fetched_at").alias("fetched"))
+
+
+@register("f4_minified_documents", """
+SELECT doc_id, source || '/d' || doc_id || '.txt' AS path, CAST(length(text) AS BIGINT) AS n_chars,
+       CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+       contains(source || '/d' || doc_id || '.txt', '.min.')
+         OR (length(text) > 50000 AND len(string_split(text, chr(10))) < 5) AS minified
+FROM documents""")
+def f4_minified_documents(spark, sf_dir):
+    """the minified-file test over every document (as a file under its source)."""
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    path = F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    n_chars = F.length("text").cast("long")
+    n_lines = F.size(F.split("text", "\n", -1)).cast("long")
+    return d.select("doc_id", path.alias("path"), n_chars.alias("n_chars"), n_lines.alias("n_lines"),
+                    D.minified(path, n_chars, n_lines).alias("minified"))
+
+
+@register("p1_stale_source", f"""
+WITH b AS (SELECT event_type AS source_id, ts, event_id,
+                  coalesce(json_valid(CASE WHEN event_id % 97 = 0 THEN substring(props, 2) ELSE props END), false) AS ok
+           FROM events),
+m AS (SELECT source_id, arg_max(ok, (ts, event_id)) AS ok FROM b GROUP BY source_id),
+s AS (SELECT bool_and(ok) AS all_ok FROM m),
+p AS {O.policy_sql(True)}
+SELECT scope, '*' AS key, 'registry' AS field, stale_source_behavior AS severity, 'stale-source' AS code,
+       'Registry sources degraded; using last-known-good data' AS message, CAST(NULL AS VARCHAR) AS path,
+       CAST(NULL AS INTEGER) AS line, 'stale' AS confidence
+FROM p, s WHERE NOT s.all_ok AND stale_source_behavior IN ('warn', 'fail')""")
+def p1_stale_source(spark, sf_dir):
+    """P1 (+A8): when the latest fetch of any source failed, every scope gets a stale-source
+    finding with its own behavior (warn / fail / ignore). The degraded status is a one-row
+    summary read on the driver, as the refresh job does."""
+    from driftgate.operators.policy import effective_policy, stale_findings
+    from driftgate.operators.reconcile import source_status
+    b = S.body_status(B.event_landing(spark, sf_dir))
+    meta = (b.groupBy("source_id").agg(F.max_by(F.struct("ok", "warning"), F.struct("fetched_at", "event_id")).alias("m"))
+             .select("source_id", "m.ok", "m.warning"))
+    status = source_status(meta).collect()[0]  # one row
+    deps = B.dependencies(spark, sf_dir)
+    policy = effective_policy(deps, B.policy_overrides(deps))
+    return stale_findings(policy, status["mode"] == "frozen", list(status["warnings"])).select(*FINDING_OUT)

@@ -18,7 +18,7 @@ from driftgate.functions.feedmaps import catalog_lifecycle, feed_lifecycle, feed
 from driftgate.functions.identity import identifier_kind, model_key, normalize_provider
 from driftgate.functions.jsontext import json_ok
 from driftgate.schemas import (
-    LIFECYCLE_STATES, OBSERVATION, PARSER_VERSIONS, SOURCE_CATALOG, SOURCE_FEED, SOURCE_OFFICIAL,
+    LIFECYCLE_STATES, OBSERVATION, PARSER_VERSION, PARSER_VERSIONS, SOURCE_CATALOG, SOURCE_FEED, SOURCE_OFFICIAL,
     SOURCE_ORDER, SOURCE_URLS,
 )
 
@@ -66,9 +66,11 @@ def body_status(landing: DataFrame) -> DataFrame:
     """Per fetched body: parses or not, sha-256 of the raw text (of '' on failure),
     parser version and a warning for a failed source."""
     ok = json_ok("body")
+    versions = F.create_map(*[x for sid, v in PARSER_VERSIONS.items() for x in (F.lit(sid), F.lit(v))])
     return landing.select(
         "*", ok.alias("ok"),
         F.when(ok, F.sha2("body", 256)).otherwise(F.sha2(F.lit(""), 256)).alias("source_digest"),
+        F.coalesce(F.try_element_at(versions, F.col("source_id")), F.lit(PARSER_VERSION)).alias("parser_version"),
         F.when(~ok, F.concat(F.col("source_id"), F.lit(" fetch failed: body is not valid JSON"))).alias("warning"))
 
 

@@ -124,7 +124,7 @@ def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: s
     if summary["mode"] == "partial":
         warnings.append("Partial source failure (" + ", ".join(summary["failed"])
                         + "); merged available sources and retained warnings")
-    obs = normalize(st.filter("ok").drop("ok", "source_digest", "warning"))
+    obs = normalize(st.filter("ok").drop("ok", "source_digest", "parser_version", "warning"))
     latest = latest_per_source(obs)
     fact = classify(latest, as_of, stale_after_days).checkpoint(eager=True)
     if fact_violations(fact, latest).limit(1).count() > 0:
