@@ -2,8 +2,8 @@
 
 Plan shape (two shuffles in total, both aggregations):
 
-1. ``latest_per_source`` (A1/W3): ``groupBy(entity_key, source_id).max_by(record, seq)``, a
-   partial (map-side) aggregate, so a hot entity never reaches one task whole.
+1. ``latest_per_source`` (A1/W3): ``row_number() = 1`` per (entity_key, source_id), which
+   runs as a partial group limit before the shuffle, so a hot entity is reduced map-side.
 2. ``entity_rows`` (J6): ``groupBy(entity_key)`` collecting the A1 rows, sorted by source
    order. A1 leaves at most one row per registered source, so the array is bounded by
    the size of the source registry, never by the data.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgate.schemas import FACT_FIELDS, FIELD_COLUMNS, MATERIAL_FIELDS, SOURCE_OFFICIAL
@@ -44,11 +44,17 @@ def _ts(x) -> Column:
 
 
 def latest_per_source(obs: DataFrame, seq_col: str = "obs_seq") -> DataFrame:
-    """A1: the last record per (entity, source) wins; ``seq_col`` is the input position."""
-    payload = F.struct(*[F.col(c) for c in obs.columns if c != seq_col])
-    return (obs.groupBy("entity_key", "source_id")
-               .agg(F.max_by(payload, F.col(seq_col)).alias("r"))
-               .select("r.*"))
+    """A1: the last record per (entity, source) wins; ``seq_col`` is the input position.
+
+    Written as ``row_number() = 1``: the optimizer turns it into a partial
+    ``WindowGroupLimit`` before the shuffle (each map task keeps only its latest row per
+    key, like a map-side combine, so a hot entity is reduced before it moves) and a final
+    one after it. Measured faster than a ``max_by`` aggregate, which has to sort-aggregate
+    the whole record."""
+    w = Window.partitionBy("entity_key", "source_id").orderBy(F.col(seq_col).desc())
+    return (obs.withColumn("_rn", F.row_number().over(w))
+               .filter(F.col("_rn") == 1)
+               .drop("_rn", seq_col))
 
 
 def entity_rows(latest: DataFrame) -> DataFrame:
