@@ -285,11 +285,22 @@ def js_import_aliases(lines: DataFrame) -> DataFrame:
                                                   "imp_provider"))
 
 
+# Comments removed before JS/TS matching: inline /* ... */ blocks, then whole lines that
+# are // comments or block-comment bodies (a "//" inside a string such as a URL stays).
+JS_BLOCK_COMMENT = r"/\*.*?\*/"
+JS_COMMENT_LINE = r"^\s*(//|/\*|\*).*$"
+
+
+def strip_js_comments(text) -> Column:
+    return F.regexp_replace(F.regexp_replace(_c(text), JS_BLOCK_COMMENT, " "), JS_COMMENT_LINE, "")
+
+
 def scan_js(lines: DataFrame) -> DataFrame:
     """Call-site model keys (0.9, 'sdk'; provider from an imported SDK alias when the
     callee is a member of one, else inferred) and property literals whose key contains
-    'model' (0.55, 'literal', F5 required). Matching is per line (no AST)."""
-    d = lines.filter(F.lower("text").contains("model"))
+    'model' (0.55, 'literal', F5 required). Matching is per line after removing comments
+    (no AST)."""
+    d = lines.withColumn("text", strip_js_comments("text")).filter(F.lower("text").contains("model"))
     calls = F.regexp_extract_all("text", F.lit(JS_CALL), 0)
     c = d.select("scope", "path", "line", "text", F.posexplode(calls).alias("k", "m"))
     root = F.regexp_extract("m", JS_CALL, 1)

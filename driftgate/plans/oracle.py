@@ -415,14 +415,17 @@ def json_hits_sql() -> str:
 
 
 def js_hits_sql() -> str:
-    from driftgate.operators.discovery import JS_CALL, JS_IMPORT, JS_PROP
+    from driftgate.operators.discovery import JS_BLOCK_COMMENT, JS_CALL, JS_COMMENT_LINE, JS_IMPORT, JS_PROP
     from driftgate.schemas import PROVIDER_PACKAGES
     pk = " UNION ALL ".join(f"SELECT '{a}' AS package, '{p}' AS imp_provider" for a, p in PROVIDER_PACKAGES)
     named = ("list_transform(string_split(regexp_extract(spec, '\\{([^}]*)\\}', 1), ','), "
              "lambda x: regexp_extract(x, '([A-Za-z_$][\\w$]*)\\s*$', 1))")
     names = f"list_concat([regexp_extract(spec, '^\\s*([A-Za-z_$][\\w$]*)', 1), regexp_extract(spec, '\\*\\s*as\\s+([A-Za-z_$][\\w$]*)', 1)], {named})"
     return f"""(
-  WITH l AS (SELECT * FROM {code_lines_sql()} x WHERE path LIKE '%.ts' AND contains(lower(text), 'model')),
+  WITH l AS (SELECT scope, path, line, text FROM (
+                SELECT scope, path, line, regexp_replace(regexp_replace(text, {_q(JS_BLOCK_COMMENT)}, ' ', 'g'),
+                                                         {_q(JS_COMMENT_LINE)}, '') AS text
+                FROM {code_lines_sql()} x WHERE path LIKE '%.ts') y WHERE contains(lower(text), 'model')),
   al AS (SELECT * FROM {code_lines_sql()} x WHERE path LIKE '%.ts' AND contains(text, 'import')),
   imp AS (SELECT scope, path, line AS imp_line, imp_provider, unnest({names}) AS alias
           FROM (SELECT scope, path, line, regexp_extract(text, {_q(JS_IMPORT)}, 1) AS spec,

@@ -114,3 +114,12 @@ def test_pinned_hint_states_sf001(spark):
     got = {r["provider"]: r["count"] for r in hits.groupBy("provider").count().collect()}
     # no hint -> inferred openai
     assert got == {"openai": 682 + 604, "anthropic": 589}
+
+
+def test_js_comments_are_ignored(spark):
+    rows = [("r", "a.ts", 1, '// client.chat.completions.create({ model: "gpt-4o" })'),
+            ("r", "a.ts", 2, ' * @example { model: "gpt-4.1" }'),
+            ("r", "a.ts", 3, 'const u = "https://x.example/api"; /* { model: "o3" } */ const m = { model: "o3-mini" };')]
+    lines = spark.createDataFrame(rows, "scope string, path string, line int, text string")
+    got = {(r["line"], r["model_id"]) for r in D.scan_js(lines).collect()}
+    assert got == {(3, "o3-mini")}
