@@ -308,14 +308,14 @@ def scan_js(lines: DataFrame) -> DataFrame:
     val = F.concat(F.regexp_extract("m", JS_CALL, 3), F.regexp_extract("m", JS_CALL, 4))
     c = c.select("scope", "path", "line", "k", F.when(member, root).alias("root"), val.alias("model_id"),
                  (F.expr("instr(text, m)") - 1 + F.length("m") - F.length(val) - 2).cast("int").alias("column"))
-    aliases = js_import_aliases(lines)
-    a = aliases
-    c = c.join(a, (c["scope"] == a["scope"]) & (c["path"] == a["path"]) & (c["root"] == a["alias"])
-               & (a["imp_line"] <= c["line"]), "left") \
-         .select(c["scope"], c["path"], c["line"], c["k"], c["model_id"], c["column"], a["imp_provider"], a["imp_line"])
-    # several imports of the same alias: the latest one above the call wins
-    c = (c.groupBy("scope", "path", "line", "k", "model_id", "column")
-          .agg(F.max(F.struct("imp_line", "imp_provider")).alias("imp")))
+    # Imports per (file, alias), in line order; the array is bounded by that file's import
+    # statements. The latest import above the call wins, picked after an equi-join.
+    imports = (js_import_aliases(lines)
+               .groupBy("scope", "path", "alias")
+               .agg(F.sort_array(F.collect_list(F.struct("imp_line", "imp_provider"))).alias("imports")))
+    c = c.join(imports.withColumnRenamed("alias", "root"), ["scope", "path", "root"], "left")
+    above = F.filter(F.coalesce(F.col("imports"), F.array()), lambda i: i["imp_line"] <= F.col("line"))
+    c = c.withColumn("imp", F.get(above, F.size(above) - 1))
     calls_out = c.filter(accept_hit("model_id", F.lit(0.9))).select(
         "scope", F.coalesce(F.col("imp.imp_provider"), infer_provider("model_id")).alias("provider"),
         "model_id", "path", "line", "column",
