@@ -116,3 +116,24 @@ def test_refresh_stream_publishes_each_batch(spark, tmp_dir):
     q = start_refresh_stream(spark, land, tmp_dir + "/snap", tmp_dir + "/ckpt")
     q.awaitTermination(120)
     assert [r["snapshot_date"] for r in list_snapshots(spark, tmp_dir + "/snap").collect()] == ["2026-07-23"]
+
+
+def test_check_job_writes_findings_once_and_reports(spark, tmp_dir):
+    from conftest import SF001
+    from driftgate.operators.lock import build_lock
+    from driftgate.operators.policy import effective_policy
+    from driftgate.plans import bindings as B
+    from driftgate.plans import drift
+    from driftgate.plans.check import run_check
+    from driftgate.sources.snapshots import SnapshotMeta, read_snapshot, write_snapshot
+    snap_path = tmp_dir + "/snapshots"
+    current = drift.current_wide(spark, SF001)
+    write_snapshot(current, snap_path, SnapshotMeta("2001-11-05", B.CURRENT_AS_OF))
+    latest, meta = read_snapshot(spark, snap_path, current.schema)
+    deps = B.dependencies(spark, SF001)
+    lock = build_lock(deps, drift.approved_wide(spark, SF001), B.APPROVED_AS_OF)
+    g = run_check(spark, lock, latest, effective_policy(deps), B.CURRENT_AS_OF, tmp_dir + "/out",
+                  meta.frozen, meta.warnings)
+    expected = {r["scope"]: (r["n_fail"], r["n_warn"]) for r in drift.run(spark, SF001).gate.collect()}
+    assert {r["scope"]: (r["n_fail"], r["n_warn"]) for r in g.collect()} == expected
+    assert spark.read.json(tmp_dir + "/out/json_report").count() > 0
