@@ -23,10 +23,6 @@ from driftgate.schemas import (
     PROVIDER_PACKAGES, PYTHON_EXTS, PYTHON_MODEL_PATTERNS, PYTHON_PROVIDER_HINTS, SKIP_DIR_NAMES,
 )
 
-HIT_COLS = ["scope", "provider", "model_id", "path", "line", "column", "snippet", "confidence",
-            "kind", "hit_ord"]
-
-
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -22,8 +22,6 @@ POLICY_COLS = [
     "fail_on_tool_calling_removal", "fail_on_structured_output_removal", "fail_on_vision_removal",
     "stale_source_behavior", "min_blocking_confidence", "fail_on_warn",
 ]
-FINDING_COLS = ["scope", "key", "field", "field_ord", "severity", "code", "message", "path",
-                "line", "confidence"]
 
 
 def _c(c) -> Column:

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from driftgate.schemas import FACT_FIELDS, FIELD_COLUMNS, MATERIAL_FIELDS, SOURCE_OFFICIAL
 
 EPS = 1e-9
-VALUE_COLS = ["str_value", "num_value", "bool_value"]
 META_COLS = ["source_id", "source_url", "fetched_at", "source_digest", "parser_version"]
 SQL_TYPES = {"str": "string", "num": "double", "bool": "boolean"}
 KIND_COL = {"str": "str_value", "num": "num_value", "bool": "bool_value"}

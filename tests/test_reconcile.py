@@ -1,7 +1,6 @@
 """Reconciliation (A1-A8): reference fixture outcomes, staleness, tolerance, order."""
 
 from helpers import obs_df, obs_row
-from pyspark.sql import functions as F
 
 from driftgate.operators.reconcile import latest_per_source, reconcile, source_status, to_snapshot
 
