@@ -27,3 +27,15 @@ def canonical_json(*cols: str) -> Column:
 def sha256(text) -> Column:
     """Hex sha-256 of the UTF-8 text."""
     return F.sha2(_c(text), 256)
+
+
+def sorted_struct(col: Column, dtype) -> Column:
+    """A column with every struct's fields in alphabetical order, at every level (the key
+    order of canonical JSON, X9)."""
+    from pyspark.sql import types as T
+    if isinstance(dtype, T.StructType):
+        return F.when(col.isNotNull(), F.struct(*[sorted_struct(col[f.name], f.dataType).alias(f.name)
+                                                  for f in sorted(dtype.fields, key=lambda f: f.name)]))
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(col, lambda x: sorted_struct(x, dtype.elementType))
+    return col

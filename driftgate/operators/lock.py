@@ -45,41 +45,48 @@ def overrides(deps: DataFrame, pins: DataFrame, includes: DataFrame) -> DataFram
     return deps.select(*DEP_COLS).unionByName(added)
 
 
-def build_lock(deps: DataFrame, facts: DataFrame, generated_at) -> DataFrame:
-    """J2 + T5: every dependency gets all 12 facts from the snapshot; a key the snapshot
-    lacks gets 'unavailable' facts. Identity facts are then overridden from discovery.
-
-    ``facts`` are the wide records (one row per entity, already partitioned by
+def _unavailable(generated_at) -> Column:
+    """The envelope of a fact the snapshot does not have."""
+    from driftgate.operators.reconcile import CANDIDATES_TYPE
+    return F.struct(F.lit(None).cast("string").alias("str_value"), F.lit(None).cast("double").alias("num_value"),
+                    F.lit(None).cast("boolean").alias("bool_value"), F.lit("unavailable").alias("confidence"),
+                    F.lit("unavailable").alias("source_id"), F.lit("file:unavailable").alias("source_url"),
+                    _ts(generated_at).alias("fetched_at"), F.lit("0").alias("source_digest"),
+                    F.lit("0").alias("parser_version"), F.lit(None).cast(CANDIDATES_TYPE).alias("candidates"))
+
+
+def lock_records(deps: DataFrame, facts: DataFrame, generated_at) -> DataFrame:
+    """J2 + T5 (wide): one lock record per dependency with its 12 facts from the snapshot;
+    a key the snapshot lacks gets 'unavailable' facts; identity facts are overridden from
+    discovery. ``facts`` are the wide records (one row per entity, already partitioned by
     ``entity_key``), so the join is at entity granularity and only the dependency side
-    moves; the 12 field rows are produced after the join."""
-    from driftgate.operators.reconcile import envelopes
-    f = facts.select("entity_key", envelopes(facts).alias("envs"))
-    j = deps.select(*DEP_COLS).join(f, "entity_key", "left")
-    rows = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"),
-                              F.get(F.col("envs"), i).alias("env")) for i, (n, _) in enumerate(FACT_FIELDS)])
-    j = j.select(*DEP_COLS, F.explode(rows).alias("x")).select(*DEP_COLS, "x.field", "x.field_ord", "x.env")
-    env = F.col("env")
-    missing = env.isNull()
-    conf = F.coalesce(env["confidence"], F.lit("unavailable"))
-    field = F.col("field")
-    str_value = (F.when(field == "provider", F.col("provider"))
-                  .when(field == "requestedModelId", F.col("model_id"))
-                  .when(field == "identifierKind", F.col("identifier_kind"))
-                  .otherwise(env["str_value"]))
-    confidence = (F.when(field == "requestedModelId", F.lit("single-source"))
-                   .when(field.isin("provider", "identifierKind") & (conf == "unavailable"), F.lit("single-source"))
-                   .otherwise(conf))
-    return j.select(
-        *DEP_COLS, "field", "field_ord",
-        str_value.alias("str_value"), env["num_value"].alias("num_value"), env["bool_value"].alias("bool_value"),
-        confidence.alias("confidence"),
-        F.when(missing, F.lit("unavailable")).otherwise(env["source_id"]).alias("source_id"),
-        F.when(missing, F.lit("file:unavailable")).otherwise(env["source_url"]).alias("source_url"),
-        F.when(missing, _ts(generated_at)).otherwise(env["fetched_at"]).alias("fetched_at"),
-        F.when(missing, F.lit("0")).otherwise(env["source_digest"]).alias("source_digest"),
-        F.when(missing, F.lit("0")).otherwise(env["parser_version"]).alias("parser_version"),
-        env["candidates"].alias("candidates"),
-    )
+    moves."""
+    j = deps.select(*DEP_COLS).join(facts.select("entity_key", "facts"), "entity_key", "left")
+    missing = F.col("facts").isNull()
+    envs = []
+    for n, _ in FACT_FIELDS:
+        env = F.when(missing, _unavailable(generated_at)).otherwise(F.col(f"facts.{n}"))
+        if n in ("provider", "requestedModelId", "identifierKind"):
+            value = {"provider": F.col("provider"), "requestedModelId": F.col("model_id"),
+                     "identifierKind": F.col("identifier_kind")}[n]
+            conf = (F.lit("single-source") if n == "requestedModelId" else
+                    F.when(env["confidence"] == "unavailable", "single-source").otherwise(env["confidence"]))
+            env = env.withField("str_value", value).withField("confidence", conf)
+        envs.append(env.alias(n))
+    return j.select(*DEP_COLS, F.struct(*envs).alias("facts"))
+
+
+def lock_long(records: DataFrame) -> DataFrame:
+    """Lock records -> one row per (scope, entity, field), the form diff and rules use."""
+    rows = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(i).alias("field_ord"), F.col(f"facts.{n}").alias("env"))
+                     for i, (n, _) in enumerate(FACT_FIELDS)])
+    return (records.select(*DEP_COLS, F.explode(rows).alias("x"))
+                   .select(*DEP_COLS, "x.field", "x.field_ord", "x.env.*"))
+
+
+def build_lock(deps: DataFrame, facts: DataFrame, generated_at) -> DataFrame:
+    """J2 + T5 in long form (see ``lock_records``)."""
+    return lock_long(lock_records(deps, facts, generated_at))
 
 
 def lock_keys_change(previous: DataFrame, proposed: DataFrame) -> DataFrame:

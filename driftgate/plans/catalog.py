@@ -714,11 +714,14 @@ SELECT scope, entity_key AS key, provider, model_id, identifier_kind,
        CAST(discovery_confidence AS DOUBLE) AS discovery_confidence, low_confidence, path, line
 FROM {O.deps_sql()} d""")
 def s9_lock_roundtrip(spark, sf_dir):
-    """S10 then S9: the approved dependency list written as lock lines (scrubbed, sorted
-    keys, refused if a secret is left) and read back through validation."""
+    """S10 then S9: the approved lock (dependencies with their 12 facts) written as lock
+    lines (scrubbed, keys sorted at every level, refused if a secret is left) and read back
+    through validation."""
+    from driftgate.operators.lock import lock_records
     from driftgate.sources.lockio import lock_lines, read_lock, write_lock
     path = _run_dir(spark, "lock")
-    write_lock(lock_lines(B.dependencies(spark, sf_dir), B.APPROVED_AS_OF), path)
+    records = lock_records(B.dependencies(spark, sf_dir), drift.approved_wide(spark, sf_dir), B.APPROVED_AS_OF)
+    write_lock(lock_lines(records, B.APPROVED_AS_OF), path)
     good, _ = read_lock(spark.read.text(path))
     return good.select("scope", "key", "provider", F.col("modelId").alias("model_id"),
                        F.col("identifierKind").alias("identifier_kind"),

@@ -245,6 +245,28 @@ FACT = T.StructType([
     T.StructField("candidates", T.ArrayType(CANDIDATE)),
 ])
 
+# One fact envelope (value columns, confidence, primary source, conflict candidates).
+ENVELOPE = T.StructType([
+    T.StructField("str_value", T.StringType()), T.StructField("num_value", T.DoubleType()),
+    T.StructField("bool_value", T.BooleanType()), T.StructField("confidence", T.StringType()),
+    T.StructField("source_id", T.StringType()), T.StructField("source_url", T.StringType()),
+    T.StructField("fetched_at", T.TimestampType()), T.StructField("source_digest", T.StringType()),
+    T.StructField("parser_version", T.StringType()), T.StructField("candidates", T.ArrayType(CANDIDATE)),
+])
+FACTS = T.StructType([T.StructField(n, ENVELOPE) for n, _ in FACT_FIELDS])
+EVIDENCE = T.StructType([
+    T.StructField("source_ord", T.IntegerType()), T.StructField("source_id", T.StringType()),
+    T.StructField("source_url", T.StringType()), T.StructField("fetched_at", T.TimestampType()),
+    T.StructField("source_digest", T.StringType()), T.StructField("parser_version", T.StringType()),
+    T.StructField("content_digest", T.StringType()),
+])
+# Wide snapshot record (storage form): one row per entity.
+SNAPSHOT = T.StructType([
+    T.StructField("entity_key", T.StringType()), T.StructField("provider", T.StringType()),
+    T.StructField("model_id", T.StringType()), T.StructField("facts", FACTS),
+    T.StructField("evidence", T.ArrayType(EVIDENCE)),
+])
+
 OCCURRENCE = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("line", T.IntegerType()),

@@ -27,6 +27,9 @@ def get_session(master: str | None = None, app: str = "driftgate",
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    if master and master.startswith("local"):
+        # Local runs: the driver is the only JVM; give it a working heap.
+        b = b.config("spark.driver.memory", os.environ.get("DRIFTGATE_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgate.functions.jsontext import json_ok
-from driftgate.functions.text import contains_secret, scrub
-from driftgate.schemas import SCHEMA_VERSION
+from driftgate.functions.jsontext import json_ok, sorted_struct
+from driftgate.functions.text import SECRET_KEY_WORDS, contains_secret, scrub_secrets
+from driftgate.schemas import REDACTED
+from driftgate.schemas import FACTS, SCHEMA_VERSION
 
-# Lock line: header fields repeated per dependency, then the dependency (keys sorted).
+# Lock line: header fields repeated per dependency, the dependency, and its approved facts.
 LOCK_LINE = T.StructType(sorted([
+    T.StructField("facts", FACTS),
     T.StructField("lockfileVersion", T.IntegerType()),
     T.StructField("generatedAt", T.StringType()),
     T.StructField("scope", T.StringType()),
@@ -47,22 +49,47 @@ def read_lock(raw: DataFrame, text_col: str = "value") -> tuple[DataFrame, DataF
     return good, rejects
 
 
-def lock_lines(deps: DataFrame, generated_at: str) -> DataFrame:
-    """Dependency rows (scope, entity_key, provider, model_id, identifier_kind,
-    discovery_confidence, low_confidence, path, line) -> lock line structs."""
-    return deps.select(F.struct(
+def lock_lines(records: DataFrame, generated_at: str) -> DataFrame:
+    """Lock records (``operators.lock.lock_records``: dependency columns + ``facts``) ->
+    lock line structs. Dependency rows without facts give lines with null facts."""
+    facts = F.col("facts") if "facts" in records.columns else F.lit(None).cast(FACTS)
+    return records.select(F.struct(
         F.lit(SCHEMA_VERSION).alias("lockfileVersion"), F.lit(generated_at).alias("generatedAt"),
         F.col("scope"), F.col("entity_key").alias("key"), F.col("provider"), F.col("model_id").alias("modelId"),
         F.col("identifier_kind").alias("identifierKind"), F.col("discovery_confidence").alias("discoveryConfidence"),
-        F.col("low_confidence").alias("lowConfidence"), F.col("path"), F.col("line")).alias("l")).select("l.*")
+        F.col("low_confidence").alias("lowConfidence"), F.col("path"), F.col("line"),
+        facts.cast(FACTS).alias("facts")).alias("l")).select("l.*")
+
+
+def lock_records_from_lines(good: DataFrame) -> DataFrame:
+    """Validated lock lines back to lock records (the input of ``operators.lock.lock_long``)."""
+    return good.select("scope", F.col("key").alias("entity_key"), "provider", F.col("modelId").alias("model_id"),
+                       F.col("identifierKind").alias("identifier_kind"),
+                       F.col("discoveryConfidence").alias("discovery_confidence"),
+                       F.col("lowConfidence").alias("low_confidence"), "path", "line", "facts")
+
+
+# A JSON member whose key is a secret key word: its string value is redacted whole.
+SECRET_MEMBER = r'("(?i:[^"]*(?:' + SECRET_KEY_WORDS + r')[^"]*)"\s*:\s*)"(?:[^"\\]|\\.)*"'
+
+
+def scrub_json_text(text) -> F.Column:
+    """X12 on serialized JSON: every secret pattern in the text, and the value of every
+    member whose key names a secret, become [REDACTED]. One column, seven replacements,
+    however deeply the record is nested."""
+    return F.regexp_replace(scrub_secrets(text), SECRET_MEMBER, '$1"' + REDACTED + '"')
 
 
 def write_lock(lines: DataFrame, path: str) -> int:
-    """Scrub, serialize with sorted keys, refuse if a secret survives; returns the
-    number of lines written."""
-    clean = scrub(lines.select(*sorted(lines.columns)))
-    text = clean.select(F.to_json(F.struct(*sorted(clean.columns))).alias("value"))
+    """Serialize with keys sorted at every level, scrub, refuse if a secret survives;
+    returns the number of lines written. Needs a checkpoint folder (``spark.checkpoint.dir``,
+    see ``driftgate.session.ensure_checkpoint_dir``)."""
+    canonical = [sorted_struct(F.col(f.name), f.dataType).alias(f.name)
+                 for f in sorted(lines.schema.fields, key=lambda f: f.name)]
+    # Checkpointed once (shared checkpoint folder): the secret check, the write and the
+    # count then read the serialized lines instead of recomputing the lock.
+    text = lines.select(scrub_json_text(F.to_json(F.struct(*canonical))).alias("value")).checkpoint(eager=True)
     if text.filter(contains_secret("value")).limit(1).count() > 0:
         raise ValueError("Refusing to write lockfile containing secrets")
     text.write.mode("overwrite").text(path)
-    return lines.count()
+    return text.count()

@@ -97,12 +97,13 @@ def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: s
 
     Driver-side decisions only read one-row summaries. The reconciled facts are
     checkpointed (reliable checkpoint in the shared ``spark.checkpoint.dir``) because they
-    feed validation, the digest and the write."""
+    feed validation, the digest and the write. Snapshots are stored as wide records
+    (``schemas.SNAPSHOT``); ``reconcile.from_snapshot`` gives the long form."""
     from driftgate.operators.publish import fact_violations, publish_decision
-    from driftgate.operators.reconcile import classify, latest_per_source, source_status
+    from driftgate.operators.reconcile import entity_facts, latest_per_source, source_status, to_long_facts
     from driftgate.session import ensure_checkpoint_dir
     from driftgate.sources.feeds import body_status, normalize
-    from driftgate.schemas import FACT, SOURCE_OFFICIAL
+    from driftgate.schemas import SNAPSHOT, SOURCE_OFFICIAL
 
     ensure_checkpoint_dir(spark)
     st = body_status(landing)
@@ -112,7 +113,7 @@ def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: s
     summary = source_status(meta).collect()[0]  # one row
     per_source = {r["source_id"]: (r["ok"], r["warning"]) for r in meta.collect()}  # one row per source
     warnings = [w for _, (ok, w) in sorted(per_source.items()) if not ok and w]
-    previous, prev_meta = read_snapshot(spark, path, FACT)
+    previous, prev_meta = read_snapshot(spark, path, SNAPSHOT)
     if not summary["any_ok"]:
         warnings.append("All sources failed; freezing last-known-good registry")
         if prev_meta.snapshot_date:
@@ -126,12 +127,13 @@ def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: s
                         + "); merged available sources and retained warnings")
     obs = normalize(st.filter("ok").drop("ok", "source_digest", "parser_version", "warning"))
     latest = latest_per_source(obs)
-    fact = classify(latest, as_of, stale_after_days).checkpoint(eager=True)
+    wide = entity_facts(latest, as_of, stale_after_days).checkpoint(eager=True)
+    fact = to_long_facts(wide)
     if fact_violations(fact, latest).limit(1).count() > 0:
         return RefreshResult("invalid", snapshot_date, warnings)
-    decision = publish_decision(previous, fact, warnings).collect()[0]  # one row
+    decision = publish_decision(to_long_facts(previous), fact, warnings).collect()[0]  # one row
     log = [decision.asDict()]
     if not decision["publish"] and prev_meta.snapshot_date:
         return RefreshResult("unchanged", snapshot_date, warnings, log)
-    write_snapshot(fact, path, SnapshotMeta(snapshot_date, as_of, False, None, warnings))
+    write_snapshot(wide, path, SnapshotMeta(snapshot_date, as_of, False, None, warnings))
     return RefreshResult("published", snapshot_date, warnings, log)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftgate.sources import feeds
 from driftgate.sources.lockio import read_lock, write_lock, lock_lines
 from driftgate.sources.snapshots import list_snapshots, read_snapshot, refresh
-from driftgate.schemas import FACT
+from driftgate.schemas import SNAPSHOT
 
 CATALOG = {
     "openai": {"id": "openai", "models": {
@@ -85,7 +85,7 @@ def test_lock_roundtrip_and_secret_refusal(spark, tmp_dir):
 
 def test_refresh_publish_unchanged_frozen(spark, tmp_dir):
     snap = tmp_dir + "/snap"
-    empty, meta = read_snapshot(spark, snap, FACT)
+    empty, meta = read_snapshot(spark, snap, SNAPSHOT)
     assert empty.count() == 0 and meta.frozen
     ok = landing(spark, [("models.dev", json.dumps(CATALOG)), ("official-provider", json.dumps(PACK)),
                          ("deprecations.info", json.dumps(FEED))])
@@ -98,7 +98,7 @@ def test_refresh_publish_unchanged_frozen(spark, tmp_dir):
     assert r3.status == "frozen"
     dates = [r["snapshot_date"] for r in list_snapshots(spark, snap).orderBy("snapshot_date").collect()]
     assert dates == ["2026-07-24", "2026-07-26"]
-    latest, m = read_snapshot(spark, snap, FACT)
+    latest, m = read_snapshot(spark, snap, SNAPSHOT)
     assert m.frozen and m.snapshot_date == "2026-07-26" and latest.count() > 0
     no_official = landing(spark, [("models.dev", json.dumps(CATALOG)), ("official-provider", "{")])
     assert refresh(spark, no_official, snap, "2026-07-27", "2026-07-24 00:00:00").status == "official-failed"
