@@ -31,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reach the Parquet reader through the exchange; a large table with many splits is
     left untouched."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots)
-    return df
+    try:
+        slots = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan as is
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def _by_source(src: Column, catalog, feed, official) -> Column:
