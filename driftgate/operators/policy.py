@@ -38,7 +38,15 @@ def effective_policy(scopes: DataFrame, overrides: DataFrame | None = None) -> D
     for name in POLICY_COLS:
         d = F.lit(defaults[name])
         cols.append((F.coalesce(F.col(name), d) if name in base.columns else d).alias(name))
-    return base.select("scope", *cols)
+    out = base.select("scope", *cols)
+    return out.withColumn("config_digest", config_digest())
+
+
+def config_digest() -> Column:
+    """Digest of a scope's effective policy: sha-256 of its ``key=value`` pairs in
+    key order (so equal settings give equal digests whatever their source)."""
+    pairs = [F.concat(F.lit(name + "="), F.col(name).cast("string")) for name in sorted(POLICY_COLS)]
+    return F.sha2(F.concat_ws("|", *pairs), 256)
 
 
 def js_number(x) -> Column:

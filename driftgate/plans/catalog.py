@@ -457,7 +457,7 @@ def a8_source_status(spark, sf_dir):
 POLICY_OUT = ["scope", "floating_aliases", "retirement_window_days", "max_input_price_increase_percent",
               "max_output_price_increase_percent", "fail_on_context_decrease", "fail_on_max_output_decrease",
               "fail_on_tool_calling_removal", "fail_on_structured_output_removal", "fail_on_vision_removal",
-              "stale_source_behavior", "min_blocking_confidence", "fail_on_warn"]
+              "stale_source_behavior", "min_blocking_confidence", "fail_on_warn", "config_digest"]
 
 
 def _override_run(spark, sf_dir):

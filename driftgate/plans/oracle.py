@@ -258,7 +258,13 @@ def policy_sql(overrides: bool = False) -> str:
                 f"CASE WHEN {n} >= 15 THEN 'fail' ELSE 'warn' END AS stale_source_behavior, "
                 f"CASE WHEN {n} BETWEEN 5 AND 9 THEN 'single-source' ELSE 'official-verified' END AS min_blocking_confidence, "
                 f"{n} BETWEEN 10 AND 14 AS fail_on_warn")
-    return f"(SELECT scope, {cols} FROM (SELECT DISTINCT scope FROM {deps_sql()} d) s)"
+    names = sorted(["floating_aliases", "retirement_window_days", "max_input_price_increase_percent",
+                    "max_output_price_increase_percent", "fail_on_context_decrease", "fail_on_max_output_decrease",
+                    "fail_on_tool_calling_removal", "fail_on_structured_output_removal", "fail_on_vision_removal",
+                    "stale_source_behavior", "min_blocking_confidence", "fail_on_warn"])
+    digest = "sha256(concat_ws('|', " + ", ".join(f"'{n}=' || CAST({n} AS VARCHAR)" for n in names) + "))"
+    return (f"(SELECT *, {digest} AS config_digest FROM "
+            f"(SELECT scope, {cols} FROM (SELECT DISTINCT scope FROM {deps_sql()} d) s) p0)")
 
 
 def findings_sql(overrides: bool = False) -> str:
