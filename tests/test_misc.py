@@ -58,3 +58,13 @@ def test_report_order_and_sarif(spark):
     assert res[("conflicting-fact", 1)]["uri"] == "x/y.py" and res[("context-decrease", None)]["level"] == "error"
     rules = {r["rule_id"]: r["full_description"] for r in sarif_rules(f).collect()}
     assert rules["conflicting-fact"] == "Conflicting data for a:1.toolCalling; not blocking"
+
+
+def test_config_digest_tracks_effective_settings(spark):
+    from driftgate.operators.policy import effective_policy
+    scopes = spark.createDataFrame([("a",), ("b",), ("c",)], "scope string")
+    ov = spark.createDataFrame([("b", 90, None), ("c", 30, None)],
+                               "scope string, retirement_window_days int, floating_aliases string")
+    d = {r["scope"]: r["config_digest"] for r in effective_policy(scopes, ov).collect()}
+    assert d["a"] == d["b"]          # an override equal to the default changes nothing
+    assert d["a"] != d["c"] and len(d["a"]) == 64
