@@ -74,3 +74,21 @@ def test_reconcile_matches_direct_algorithm(spark):
         g = got[k]
         assert g[0] == conf and g[2] == src, (k, g, expected[k])
         assert (g[1] is None and val is None) or abs(g[1] - val) < 1e-9 if isinstance(val, float) else g[1] == val
+
+
+def test_source_order_permutation_keeps_classes(spark):
+    from pyspark.sql import functions as F
+    rnd = random.Random(11)
+    rows = []
+    for e in range(200):
+        for s in ORDER:
+            if rnd.random() < 0.75:
+                fetched = NOW - dt.timedelta(days=rnd.choice([1, 3, 10]))
+                rows.append(obs_row("xai", f"g-{e}", s, fetched.isoformat(),
+                                    input_price=rnd.choice([1.0, 2.0, None]),
+                                    tool_calling=rnd.choice([True, False, None])))
+    df = obs_df(spark, rows)
+    a = reconcile(df, "2026-07-24 00:00:00", STALE_DAYS).select("entity_key", "field", "confidence")
+    flipped = df.withColumn("source_ord", (F.lit(2) - F.col("source_ord")).cast("int"))
+    b = reconcile(flipped, "2026-07-24 00:00:00", STALE_DAYS).select("entity_key", "field", "confidence")
+    assert sorted(a.collect()) == sorted(b.collect())
