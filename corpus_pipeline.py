@@ -8,9 +8,14 @@ shared checkpoint folder and reading them back as the next one's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftgate.llm.common import Scratch, table
+from driftgate.llm.line_dedup import line_dedup
+from driftgate.llm.minmax_dedup import near_duplicates
+from driftgate.llm.packing import best_fit_pack
 from driftgate.llm.quality_rules import quality_rules
+from driftgate.llm.suffix_dedup import suffix_dedup
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +23,46 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules(docs).filter("kept").select("row.*")
 
 
+def _retexted(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with the new text and its length."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share."""
+    return _retexted(docs, line_dedup(docs).select("row", "text"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id. Of rows that
+    repeat an id one stays."""
+    scratch = Scratch(spark, "stage")
+    verdict = scratch.write(near_duplicates(docs).filter("kept").select(F.col("id").alias("doc_id")).groupBy("doc_id").count())
+    kept = docs.join(verdict.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    repeated = verdict.filter("count > 1 and doc_id is not null").select("doc_id")
+    if repeated.limit(1).count():
+        again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(again.select(docs.columns))
+    return kept.union(docs.filter("doc_id is null"))
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without its repeated strings of 400 bytes or more."""
+    return _retexted(docs, suffix_dedup(docs).select("row", "text"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the pieces of every document go: bin, offset and the bin's capacity."""
+    return best_fit_pack(docs).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
     ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("suffix_dedup", suffix_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: The outlier estimate iterates and the near-duplicate classes are components: no SQL.
