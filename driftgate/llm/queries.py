@@ -59,5 +59,5 @@ frequent AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DIS
 judged AS (SELECT k.*, f.key IS NOT NULL AS dropped FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
-FROM judged GROUP BY r, doc_id""".replace("\\\\", "\\"),
+FROM judged GROUP BY r, doc_id""",
 }
