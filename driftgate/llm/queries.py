@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,24 @@ from driftgate.llm.line_dedup import line_dedup
 from driftgate.llm.minmax_dedup import near_duplicates
 from driftgate.llm.packing import best_fit_pack
 from driftgate.llm.quality_rules import quality_rules
+from driftgate.llm.sentencepiece_codec import encode
 from driftgate.llm.suffix_dedup import suffix_dedup
 
 
+#: Where the public vocabulary files lie; any SentencePiece model file will do.
+TOKENIZERS = os.environ.get("DRIFTGATE_TOKENIZERS", "/opt/tokenizers")
+
+
+def sentencepiece_model() -> bytes:
+    with open(os.path.join(TOKENIZERS, "piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(table(spark, sf_dir, "documents"), sentencepiece_model(), carry=["doc_id"], with_ids=False)
+    return out.select("row.doc_id", "n_tokens", "n_unknown", "n_bytes", "ids_sha256", "parity", "round_trip")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("row.doc_id", *[f"counts.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -40,6 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_rules": op2_quality_rules,
     "op3_minmax_dedup": op3_minmax_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
