@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from driftgate.llm.chat_windows import chat_windows, read_windows
 from driftgate.llm.common import table
 from driftgate.llm.cross_polytope import nearest
+from driftgate.llm.html_blocks import extract_pages
 from driftgate.llm.line_dedup import line_dedup
 from driftgate.llm.minmax_dedup import near_duplicates
 from driftgate.llm.packing import best_fit_pack
 from driftgate.llm.quality_rules import quality_rules
 from driftgate.llm.sentencepiece_codec import encode
 from driftgate.llm.suffix_dedup import suffix_dedup
+from driftgate.llm.url_templates import url_filter
 
 
 #: Where the public vocabulary files lie; any SentencePiece model file will do.
@@ -62,6 +64,25 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's path names the document that it shows by number; a label of that document is
+    the page's: good if of high quality and not toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("label"))
+    number = F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^/?#]*/(?:[^/?#]*/)*([0-9]{1,18})(?:[./?#]|$)", 1)
+    pages = pages.withColumn("doc_id", F.when(number != "", number).cast("long"))
+    out = url_filter(pages.join(labels, "doc_id", "left"), RULES)
+    return out.withColumnRenamed("id", "page_id")
+
+
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return out.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"], with_text=False)
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -82,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minmax_dedup": op3_minmax_dedup,
     "op4_cross_polytope": op4_cross_polytope,
     "op5_chat_windows": op5_chat_windows,
+    "op6_url_templates": op6_url_templates,
+    "op7_html_blocks": op7_html_blocks,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
