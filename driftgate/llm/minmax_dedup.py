@@ -9,14 +9,14 @@ Documents with equal shingle sets are one class first (``class``, represented by
 id), so groups of copies cost one member each. Classes that share a band bucket are then
 linked without listing all pairs of a bucket:
 
-* round 0 tests each class against the smallest class of its buckets, and joins confirmed
-  links into components;
-* round r tests, in buckets that still hold several components, 8**r pseudo-randomly ranked
-  members against the members of the other components. A bucket is finished when all its
-  members have had their turn or it holds one component only.
-
-So every candidate pair is either tested or already connected, and a bucket of near copies
-costs a few tests per member.
+* each class is first tested against the smallest class of its buckets, and confirmed links
+  are joined into components;
+* in buckets that still hold several components, all members are compared inside tasks, a
+  bucket in blocks of a bounded number of shingles. Only links that join two components of a
+  block leave the task, fewer than the block has members.
+
+So every candidate pair is either compared or already connected, and the rows that are moved
+grow with the members of the buckets, not with their pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +37,9 @@ HASHES = 64
 BANDS = 32
 ROWS = 2 * HASHES // BANDS
 SIMILARITY = (75, 100)
+#: Size of a block of a bucket's members, in shingles; a member counts for MEMBER more. Two
+#: blocks are compared in one task's memory.
+BLOCK, MEMBER = 1 << 20, 1 << 10
 _RNG = np.random.default_rng(3)
 _MUL = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 1 << 64, HASHES, dtype=np.uint64)
@@ -142,6 +145,58 @@ def _confirm(batches):
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
+def _shared(first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Numbers of common elements of all pairs of sets that lie one after another."""
+    m = len(first) - 1
+    owner = np.repeat(np.arange(m), np.diff(first))
+    order = np.argsort(values, kind="stable")
+    v, owner = values[order], owner[order]
+    new = np.concatenate(([True], v[1:] != v[:-1]))
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1  # what stands in one set only is shared by none
+    owner, column = owner[often], column[often]
+    both = np.zeros((m, m), np.float32)
+    if len(column):
+        column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1
+        width = max(1, (1 << 22) // m)
+        for c in range(0, int(column[-1]) + 1, width):
+            lo, hi = np.searchsorted(column, (c, c + width))
+            part = np.zeros((m, width), np.float32)
+            part[owner[lo:hi], column[lo:hi] - c] = 1
+            both += part @ part.T
+    return both
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """(bucket, i, j, id, comp, set) -> links that join components of a bucket's blocks."""
+    num, den = SIMILARITY
+    table = table.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
+    keys = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("bucket", "i", "j")], 1)
+    starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+    ids, comps = table.column("id").to_pylist(), table.column("comp").to_pylist()
+    data, offsets = utf8(table.column("set"))
+    a, b = [], []
+    for lo, hi in zip(starts, np.append(starts[1:], len(keys))):
+        size = np.diff(offsets[lo:hi + 1]) // 8
+        both = _shared((offsets[lo:hi + 1] - offsets[lo]) // 8, data[offsets[lo]:offsets[hi]].view(np.uint64))
+        x, y = np.nonzero(np.triu(den * both >= num * (size[:, None] + size[None, :] - both), 1))
+        root = {c: c for c in comps[lo:hi]}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for k, m in zip(x.tolist(), y.tolist()):
+            p, q = find(comps[lo + k]), find(comps[lo + m])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                a.append(ids[lo + k])
+                b.append(ids[lo + m])
+    kind = table.schema.field("id").type
+    return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id linked directly
     or through others), kept (id = component_id).
@@ -176,37 +231,27 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b") \
             .mapInArrow(_confirm, f"a {kind}, b {kind}").distinct()
 
-    # Round 0: each class against the smallest class of its buckets.
+    # Each class against the smallest class of its buckets.
     low = bands.filter("low < id").groupBy("id").agg(F.min("low").alias("a"))
-    tested = scratch.write(low.select("a", F.col("id").alias("b")))
-    links = scratch.write(confirm(tested))
+    links = scratch.write(confirm(low.select("a", F.col("id").alias("b"))))
     comp = scratch.write(components(links, scratch))
-    turn = 1
-    while True:
-        live = bands.join(comp.withColumnRenamed("node", "id"), "id", "left") \
-            .select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
-        open_ = live.groupBy("bucket").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-            .filter("lo != hi").select("bucket", "c")
-        live = scratch.write(live.join(open_, "bucket"))
-        most = live.agg(F.max("c")).first()[0]
-        if most is None:
-            break
-        # Members whose rank is low enough have their turn: about 8**turn of a bucket.
-        rank = F.shiftrightunsigned(F.xxhash64("id", "bucket"), 33).cast("double") / float(1 << 31)
-        centre = live.filter(rank * F.col("c") < 8.0 ** turn).select("bucket", F.col("id").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
-        near = live.join(centre, "bucket").filter(
-            (F.col("comp") != F.col("xc")) & (F.least("n", "xn") * den >= F.greatest("n", "xn") * num))
-        pairs = near.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"))
-        found = scratch.write(confirm(pairs))
-        tested = tested.union(pairs)
-        links = links.union(found)
-        if found.limit(1).count():
-            comp = scratch.write(components(links, scratch))
-        scratch.drop(live)
-        if most <= 8 ** turn:  # everyone in every open bucket had a turn
-            break
-        turn += 1
+
+    # Buckets that still hold several components, in blocks.
+    live = bands.join(comp.withColumnRenamed("node", "id"), "id", "left") \
+        .select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
+    open_ = live.groupBy("bucket").agg(F.sum(F.col("n") + MEMBER).alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
+        .filter("lo != hi").select("bucket", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+    live = scratch.write(live.join(open_, "bucket"))
+    size = live.agg(F.sum((F.col("n") + MEMBER) * F.col("blocks"))).first()[0]
+    if size is not None:
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        live = live.withColumn("pair", F.explode(F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(own, b).alias("i"), F.greatest(own, b).alias("j")))))
+        group = F.pmod(F.xxhash64("bucket", "pair"), F.lit(int(size // (2 * BLOCK)) + 1)).alias("g")
+        members = live.join(sets, "id").select(group, "bucket", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "id", "comp", "set")
+        more = members.groupBy("g").applyInArrow(_compare, f"a {kind}, b {kind}")
+        links = links.union(scratch.write(more.distinct()))
+        comp = scratch.write(components(links, scratch))
     by_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
         .select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     by_class = scratch.write(by_class)
