@@ -209,14 +209,16 @@ def _intervals(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     """Of rows (rid, core, string, active, ...): those that are repeated, and those to refine
     (one for each string of a contested interval; active: not yet known to be repeated)."""
     groups = rows.groupBy("core").agg(F.count("*").alias("rows"), F.min("string").alias("lo_"), F.max("string").alias("hi_"))
-    groups = groups.filter("rows > 1").select("core", (F.col("lo_") == F.col("hi_")).alias("one"))
+    # Written, so that the join below shuffles both sides alike and a hot interval can be split.
+    groups = scratch.write(groups.filter("rows > 1").select("core", (F.col("lo_") == F.col("hi_")).alias("one")))
     shared = scratch.write(rows.join(groups, "core"))
     contested = shared.filter("not one")
     strings = contested.groupBy("core", "string").agg(F.count("*").alias("copies"), F.min("rid").alias("rep"), F.max("active").alias("open"))
     strings = scratch.write(strings)
-    undecided = strings.filter("copies = 1 and open").select("core").distinct().withColumn("refine", F.lit(True))
+    undecided = scratch.write(strings.filter("copies = 1 and open").select("core").distinct().withColumn("refine", F.lit(True)))
     strings = strings.join(undecided, "core", "left").select("core", "string", "copies", "rep", F.coalesce("refine", F.lit(False)).alias("refine"))
-    marked = scratch.write(contested.join(strings.filter("copies > 1 or refine"), ["core", "string"]))
+    strings = scratch.write(strings.filter("copies > 1 or refine"))
+    marked = scratch.write(contested.join(strings, ["core", "string"]))
     plain = [c for c in rows.columns]
     repeated = shared.filter("one").select(plain).union(marked.filter("copies > 1").select(plain))
     refine = marked.filter("refine and rid = rep").withColumn("active", F.col("active") & (F.col("copies") == 1)).select(plain)
