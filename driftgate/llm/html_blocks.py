@@ -2,8 +2,8 @@
 
 Markup is stripped block by block: each block element is a line, character references are
 decoded and white space is collapsed. Containers that are never main text (menus, footers,
-sidebars, adverts, notices, forms, scripts, reader comments: by element, role or class) leave
-a gap of empty lines. Lines outside the page's articles (if it marks any), and lines that are
+sidebars, adverts, notices, forms, scripts, reader comments: by element, role or class) are
+dropped; beside the page's other parts they leave a gap of empty lines. Lines outside the page's articles (if it marks any), and lines that are
 mostly links, weigh nothing; the others weigh their length.
 
 Sums of the weights over sliding windows of lines give the distribution: text begins at a
@@ -115,11 +115,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 links = max(0, links - 1)
             if depth is not None:
                 for _, dropped, is_article in open_[depth:]:
-                    if dropped:
-                        skip -= 1
-                        if not skip and name != "script" and name != "style":
-                            out.extend([("", 0, article > 0)] * WINDOW)
+                    skip -= dropped
                     article -= is_article
+                    if dropped and not skip and not any(e not in ("html", "body") for e, *_ in open_[:depth]):
+                        out.extend([("", 0, False)] * WINDOW)  # inside other elements it is part of the text's flow
                 del open_[depth:]
             continue
         if name in RAW:

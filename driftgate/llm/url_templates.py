@@ -3,8 +3,8 @@
 Paths are cut in segments. Level by level, under each (host, template so far):
 
 * variable segments become ``*``: those with a digit, and those too rare below their parent;
-* of the frequent ones, branches whose share of good labels does not differ significantly
-  from their parent's (or that have too few labels to tell) are merged into ``~``;
+* of the frequent ones, branches whose shares of good labels do not differ significantly are
+  merged into ``~`` and the first one's name, and those with too few labels to tell into ``~``;
 * the others keep their name.
 
 A template's purity is its share of good labels, smoothed towards the share of all labels. A
@@ -16,14 +16,14 @@ and a hot host is reduced before it is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgate.llm.common import Scratch
 
 #: Least urls and share of its parent's urls of a segment that keeps its name.
 MIN_COUNT, MIN_SHARE = 20, 0.01
-#: Least labels of a branch that is compared, and the z value from which it differs.
+#: Least labels of a branch that is compared, and the z value from which two differ.
 MIN_LABELS, Z = 10, 2.58
 #: Weight of the share of all labels in a purity, and the purity below which is blocked.
 WEIGHT, PURITY = 10.0, 0.5
@@ -68,14 +68,25 @@ def template_tree(shapes: DataFrame, scratch: Scratch) -> DataFrame:
         at = tree.withColumn("seg", F.when(seg.contains("0"), F.concat(F.lit("*"), F.regexp_extract(seg, r"(\.[A-Za-z]+)$", 1))).otherwise(seg))
         branch = at.filter("seg is not null").groupBy("host", "template", "seg").agg(
             F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("good").alias("good"))
-        parent = branch.groupBy("host", "template").agg(F.sum("n").alias("pn"), F.sum("labels").alias("pl"), F.sum("good").alias("pg"))
+        parent = branch.groupBy("host", "template").agg(F.sum("n").alias("pn"))
         b = branch.join(parent, ["host", "template"])
         rare = (F.col("n") < MIN_COUNT) | (F.col("n") < F.col("pn") * MIN_SHARE)
-        p = (F.col("pg") + 1.0) / (F.col("pl") + 2.0)
-        z = F.abs(F.col("good") / F.col("labels") - p) / F.sqrt(p * (1 - p) / F.col("labels"))
-        alike = (F.col("labels") < MIN_LABELS) | (F.col("labels") == F.col("pl")) | (F.coalesce(z, F.lit(0.0)) < Z)
-        name = F.when(F.col("seg").startswith("*"), F.col("seg")).when(rare, "*").when(alike, "~").otherwise(F.col("seg"))
-        names = b.select("host", "template", "seg", name.alias("name"))
+        kind = F.when(F.col("seg").startswith("*"), "variable").when(rare, "rare").when(F.col("labels") < MIN_LABELS, "unknown").otherwise("known")
+        b = b.withColumn("kind", kind).withColumn("share", F.col("good") / F.greatest(F.col("labels"), F.lit(1)))
+        # Branches in order of their share of good labels; a new group where it jumps. A parent
+        # has at most 1 / MIN_SHARE frequent branches.
+        at_parent = Window.partitionBy("host", "template", "kind")
+        by_share = at_parent.orderBy("share", "seg")
+        n1, g1, n2, g2 = F.lag("labels").over(by_share), F.lag("good").over(by_share), F.col("labels"), F.col("good")
+        p = (g1 + g2) / (n1 + n2)
+        z = (g2 / n2 - g1 / n1) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
+        known = b.filter("kind = 'known'").withColumn("jump", F.when((p > 0) & (p < 1) & (z >= Z), 1).otherwise(0))
+        known = known.withColumn("group", F.sum("jump").over(by_share.rowsBetween(Window.unboundedPreceding, 0)))
+        of_group = Window.partitionBy("host", "template", "group")
+        known = known.select("host", "template", "seg", F.when(F.count("*").over(of_group) == 1, F.col("seg"))
+                             .otherwise(F.concat(F.lit("~"), F.min("seg").over(of_group))).alias("name"))
+        other = F.when(F.col("kind") == "variable", F.col("seg")).when(F.col("kind") == "rare", "*").otherwise("~")
+        names = b.filter("kind != 'known'").select("host", "template", "seg", other.alias("name")).union(known)
         tree = scratch.write(at.join(names, ["host", "template", "seg"], "left").withColumn(
             "template", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).drop("seg", "name"))
     purity = tree.groupBy("host", "template").agg(((F.sum("good") + WEIGHT * prior) / (F.sum("labels") + WEIGHT)).alias("purity"))
