@@ -18,12 +18,12 @@ MATERIAL_COLS = ["entity_key", "field", "confidence", "str_value", "num_value",
 
 
 def material_row(df: DataFrame | None = None) -> Column:
-    """Q6: the material content of one long fact row (no fetch times), as text."""
-    return F.concat_ws("|", F.col("entity_key"), F.col("field"), F.col("confidence"),
-                       F.coalesce(F.col("str_value"), F.lit("")),
-                       F.when(F.col("num_value").isNotNull(), F.format_string("%.6f", F.col("num_value")))
-                        .otherwise(F.lit("")),
-                       F.coalesce(F.col("bool_value").cast("string"), F.lit("")))
+    """Q6: the material content of one long fact row (no fetch times), as text that differs
+    whenever the content does: every value is preceded by its length, a null is ``n``, and
+    numbers have 15 significant digits whatever their size."""
+    num = F.when(F.col("num_value").isNotNull(), F.format_string("%.14e", F.col("num_value")))
+    values = [F.col("entity_key"), F.col("field"), F.col("confidence"), F.col("str_value"), num, F.col("bool_value").cast("string")]
+    return F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("n")) for v in values])
 
 
 def _halves(row_text: Column) -> tuple[Column, Column]:

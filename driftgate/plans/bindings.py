@@ -25,18 +25,8 @@ RAW_PROVIDERS = ["OpenAI", "Anthropic Claude", "Google Vertex AI", "xAI Grok", "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A shared table. When its scan has fewer splits than the cluster has task slots (the
-    test tables are single-row-group files, so one task would do all map-side work), the
-    rows are spread round-robin right after the scan. Filters and column pruning still
-    reach the Parquet reader through the exchange; a large table with many splits is
-    left untouched."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the scan as is
-        return df
-    return df.repartition(slots) if splits < slots else df
+    """A shared table, scanned as its files are split (``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _by_source(src: Column, catalog, feed, official) -> Column:

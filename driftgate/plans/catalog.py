@@ -498,8 +498,9 @@ from driftgate.operators import reports as R  # noqa: E402
 
 
 def _material_sql(f: str) -> str:
-    return (f"SELECT sha256(concat_ws('|', entity_key, field, confidence, coalesce(str_value, ''), "
-            f"coalesce(printf('%.6f', num_value), ''), coalesce(CAST(bool_value AS VARCHAR), ''))) AS d, field FROM {f}")
+    values = ["entity_key", "field", "confidence", "str_value", "printf('%.14e', num_value)", "CAST(bool_value AS VARCHAR)"]
+    text = " || ".join(f"coalesce(length({v}) || ':' || {v}, 'n')" for v in values)
+    return f"SELECT sha256({text}) AS d, field FROM {f}"
 
 
 # The two 60-bit halves of a row digest ``d``, as integers (the SQL side of A12).

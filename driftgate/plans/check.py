@@ -1,9 +1,11 @@
 """The check job as it runs in production: stored lock + latest stored snapshot -> diff ->
 rules, with findings computed once and every report derived from the written findings.
 
-Writing the findings (partitioned by scope) cuts the lineage: the gate, SARIF and JSON
-reports read them back instead of re-running the diff, and a lost executor during
-reporting recomputes from the written table, not from the snapshots.
+Writing the findings cuts the lineage: the gate, SARIF and JSON reports read them back
+instead of re-running the diff, and a lost executor during reporting recomputes from the
+written table, not from the snapshots. Every table is replaced whole. Rows are laid out by
+``scope_bucket``, a hash of the scope, and spread over ``FILES`` files of a bucket, so the
+number of files grows with neither tenants nor tasks and a giant tenant is no single file.
 """
 
 from __future__ import annotations
@@ -11,12 +13,26 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftgate.operators.diff import field_diff
 from driftgate.operators.policy import evaluate, gate
 from driftgate.operators.reports import json_report, sarif_results, sarif_rules
 
 
+BUCKETS, FILES = 16, 4
+
+
+def write_by_scope(df: DataFrame, path: str, form: str = "parquet", buckets: int = BUCKETS, files: int = FILES) -> None:
+    """Replace the table at ``path``: at most ``buckets * files`` files, pruned by
+    ``scope_bucket`` (``pmod(xxhash64(scope), buckets)``)."""
+    bucket = F.pmod(F.xxhash64("scope"), F.lit(buckets)).cast("int")
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files)).cast("int")
+    (df.withColumn("scope_bucket", bucket).withColumn("_salt", salt)
+       .repartition(buckets * files, "scope_bucket", "_salt").drop("_salt")
+       .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("scope_bucket").format(form).save(path))
+
+
 def run_check(spark: SparkSession, lock: DataFrame, snapshot: DataFrame, policy: DataFrame, now: str,
               out_dir: str, frozen: bool = False, warnings: list[str] | None = None,
               freeze_reason: str | None = None) -> DataFrame:
@@ -26,11 +42,11 @@ def run_check(spark: SparkSession, lock: DataFrame, snapshot: DataFrame, policy:
     ``sarif_rules`` and ``json_report`` under ``out_dir`` and returns the gate table."""
     findings = evaluate(field_diff(lock, snapshot), policy, now, frozen, warnings, freeze_reason)
     fpath = os.path.join(out_dir, "findings")
-    findings.write.mode("overwrite").partitionBy("scope").parquet(fpath)
-    written = spark.read.parquet(fpath)
+    write_by_scope(findings, fpath)
+    written = spark.read.parquet(fpath).drop("scope_bucket")
     g = gate(written, policy)
     g.write.mode("overwrite").parquet(os.path.join(out_dir, "gate"))
-    sarif_results(written).write.mode("overwrite").partitionBy("scope").parquet(os.path.join(out_dir, "sarif_results"))
-    sarif_rules(written).write.mode("overwrite").partitionBy("scope").parquet(os.path.join(out_dir, "sarif_rules"))
-    json_report(written, g).write.mode("overwrite").partitionBy("scope").json(os.path.join(out_dir, "json_report"))
+    write_by_scope(sarif_results(written), os.path.join(out_dir, "sarif_results"))
+    write_by_scope(sarif_rules(written), os.path.join(out_dir, "sarif_rules"))
+    write_by_scope(json_report(written, g), os.path.join(out_dir, "json_report"), "json")
     return spark.read.parquet(os.path.join(out_dir, "gate"))

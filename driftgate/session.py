@@ -39,14 +39,16 @@ def get_session(master: str | None = None, app: str = "driftgate",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset (local
-    runs, tests) create a scratch folder for it."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Only a purely local session (tests,
+    bench), whose one machine shares its own disk, gets a scratch folder when it is unset."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="driftgate-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)

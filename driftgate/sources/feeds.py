@@ -63,26 +63,40 @@ PACK = T.StructType([
 
 
 def body_status(landing: DataFrame) -> DataFrame:
-    """Per fetched body: parses or not, sha-256 of the raw text (of '' on failure),
-    parser version and a warning for a failed source."""
-    ok = json_ok("body")
+    """Per fetched body: accepted or not, sha-256 of the raw text (of '' on failure),
+    parser version and a warning for a failed source. A body is accepted if it is JSON and,
+    for the official source, a valid pack."""
+    good_json = json_ok("body")
+    ok = good_json & ((F.col("source_id") != SOURCE_OFFICIAL) | pack_ok(F.col("body")))
     versions = F.create_map(*[x for sid, v in PARSER_VERSIONS.items() for x in (F.lit(sid), F.lit(v))])
     return landing.select(
         "*", ok.alias("ok"),
         F.when(ok, F.sha2("body", 256)).otherwise(F.sha2(F.lit(""), 256)).alias("source_digest"),
         F.coalesce(F.try_element_at(versions, F.col("source_id")), F.lit(PARSER_VERSION)).alias("parser_version"),
-        F.when(~ok, F.concat(F.col("source_id"), F.lit(" fetch failed: body is not valid JSON"))).alias("warning"))
+        F.when(~ok, F.concat(F.col("source_id"), F.when(good_json, " fetch failed: pack is not valid")
+                             .otherwise(" fetch failed: body is not valid JSON"))).alias("warning"))
+
+
+# Columns of a fetch that go with each of its observations. The body itself does not: it is
+# hashed and parsed once, before anything is exploded.
+FETCH = ["source_digest", "fetched_at"]
 
 
 def _meta(source_id: str) -> list[Column]:
     return [F.lit(source_id).alias("source_id"), F.lit(SOURCE_ORDER.index(source_id)).alias("source_ord"),
             F.lit(SOURCE_URLS[source_id]).alias("source_url"),
-            F.sha2(F.col("body"), 256).alias("source_digest"), F.lit(PARSER_VERSIONS[source_id]).alias("parser_version")]
+            F.lit(PARSER_VERSIONS[source_id]).alias("parser_version")]
 
 
 def _observation(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in OBSERVATION.fields]
-    return df.select(*cols, *(extra or []))
+    return df.select(*cols, *(extra or []), "item_pos")
+
+
+def _position(outer: str | None, inner: str) -> Column:
+    """The item's place in its body, in reading order: a later item of a body wins (A1)."""
+    p = F.col(inner).cast("long")
+    return (p if outer is None else F.col(outer).cast("long") * F.lit(1 << 32) + p).alias("item_pos")
 
 
 def parse_catalog(landing: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -91,8 +105,10 @@ def parse_catalog(landing: DataFrame, keep: list[str] | None = None) -> DataFram
     Models as an object: id, else the map key. Models as an array: id, else name, else the
     position. Missing prices, limits and flags stay null; retirement date is always null."""
     keep = keep or []
-    root = landing.filter(json_ok("body")).select(*keep, "body", "fetched_at",
-                                                  F.explode(F.from_json("body", CATALOG)).alias("pkey", "p"))
+    root = landing.filter(json_ok("body")).select(
+        *keep, F.sha2("body", 256).alias("source_digest"), "fetched_at",
+        F.posexplode(F.map_entries(F.from_json("body", CATALOG))).alias("ppos", "pe"))
+    root = root.select(*keep, *FETCH, "ppos", F.col("pe.key").alias("pkey"), F.col("pe.value").alias("p"))
     root = root.filter(F.col("p").isNotNull() & F.col("p.models").isNotNull())
     prov = normalize_provider(F.coalesce(F.col("p.id"), F.col("p.name"), F.col("pkey")))
     is_array = F.ltrim(F.col("p.models")).startswith("[")
@@ -102,11 +118,11 @@ def parse_catalog(landing: DataFrame, keep: list[str] | None = None) -> DataFram
         F.coalesce(m["id"], m["name"], i.cast("string")).alias("mkey"), m.alias("m")))) \
         .otherwise(F.transform(F.map_entries(as_map), lambda e: F.struct(
             F.coalesce(e["value"]["id"], e["key"]).alias("mkey"), e["value"].alias("m"))))
-    m = root.select(*keep, "body", "fetched_at", prov.alias("provider"), F.explode(entries).alias("e"))
+    m = root.select(*keep, *FETCH, "ppos", prov.alias("provider"), F.posexplode(entries).alias("mpos", "e"))
     m = m.filter(F.col("e.mkey").isNotNull() & (F.col("e.mkey") != ""))  # F9
     mm = F.col("e.m")
     out = m.select(
-        *keep, "body", "fetched_at", "provider", F.col("e.mkey").alias("model_id"),
+        *keep, *FETCH, _position("ppos", "mpos"), "provider", F.col("e.mkey").alias("model_id"),
         model_key(F.col("provider"), F.col("e.mkey")).alias("entity_key"),
         catalog_lifecycle(mm["status"]).alias("lifecycle_status"),
         F.lit(None).cast("string").alias("retirement_date"),
@@ -122,13 +138,14 @@ def parse_catalog(landing: DataFrame, keep: list[str] | None = None) -> DataFram
 def parse_feed(landing: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Deprecation feed items -> observations with only lifecycle and retirement."""
     keep = keep or []
-    items = landing.filter(json_ok("body")).select(*keep, "body", "fetched_at",
-                                                   F.explode(F.from_json("body", FEED)["items"]).alias("it"))
+    items = landing.filter(json_ok("body")).select(
+        *keep, F.sha2("body", 256).alias("source_digest"), "fetched_at",
+        F.posexplode(F.from_json("body", FEED)["items"]).alias("mpos", "it"))
     dep = F.col("it._deprecation")
     items = items.filter(dep["model_id"].isNotNull() & (dep["model_id"] != ""))  # F9
     prov = normalize_provider(F.coalesce(dep["provider"], F.lit("unknown")))
     out = items.select(
-        *keep, "body", "fetched_at", prov.alias("provider"), dep["model_id"].alias("model_id"),
+        *keep, *FETCH, _position(None, "mpos"), prov.alias("provider"), dep["model_id"].alias("model_id"),
         model_key(prov, dep["model_id"]).alias("entity_key"),
         feed_lifecycle(dep["status"], dep["shutdown_date"]).alias("lifecycle_status"),
         feed_retirement_date(dep["shutdown_date"], dep["deprecation_date"]).alias("retirement_date"),
@@ -148,20 +165,46 @@ def pack_model_valid(m: Column) -> Column:
             & limits_ok)
 
 
+# S3: the JSON types that each field of a pack model may have (null or absent where optional).
+_TEXT, _NUMBER, _FLAG = ["STRING"], ["BIGINT", "DECIMAL", "DOUBLE"], ["BOOLEAN"]
+PACK_TYPES = {"provider": _TEXT, "modelId": _TEXT, "lifecycleStatus": _TEXT, "retirementDate": _TEXT, "identifierKind": _TEXT,
+              "evidenceUrl": _TEXT, "inputPricePerMillion": _NUMBER, "outputPricePerMillion": _NUMBER, "contextLimit": _NUMBER,
+              "maxOutputLimit": _NUMBER, "toolCalling": _FLAG, "structuredOutput": _FLAG, "vision": _FLAG}
+PACK_REQUIRED = ("provider", "modelId")
+
+
+def pack_types_ok(m: Column) -> Column:
+    """One pack model as map of variants: every field has a JSON type it may have."""
+    ok = F.lit(True)
+    for name, types in PACK_TYPES.items():
+        kind = F.regexp_extract(F.schema_of_variant(F.try_element_at(m, F.lit(name))), r"^[A-Z]+", 0)
+        allowed = kind.isin(types) if name in PACK_REQUIRED else (kind.isNull() | kind.isin([*types, "VOID"]))
+        ok = ok & F.coalesce(allowed, F.lit(False))
+    url = F.try_variant_get(F.try_element_at(m, F.lit("evidenceUrl")), "$", "string")
+    return ok & (url.isNull() | url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"))
+
+
+def pack_ok(body: Column) -> Column:
+    """S3: the body is a valid curated pack; one invalid record rejects the whole pack."""
+    pk = F.from_json(body, PACK)
+    raw = F.from_json(body, "struct<models:array<map<string,variant>>>")["models"]
+    valid = (json_ok(body) & (pk["schemaVersion"] == 1) & pk["updatedAt"].isNotNull() & pk["models"].isNotNull()
+             & F.forall(pk["models"], pack_model_valid) & raw.isNotNull() & F.forall(raw, pack_types_ok))
+    return F.coalesce(valid, F.lit(False))
+
+
 def parse_pack(landing: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """S3: curated pack -> (observations, pack status). One invalid record rejects the
     whole pack (checked per body with ``forall``, no shuffle)."""
     keep = keep or []
-    p = landing.select(*keep, "body", "fetched_at", F.from_json("body", PACK).alias("pk"))
-    valid = (json_ok("body") & F.col("pk").isNotNull() & (F.col("pk.schemaVersion") == 1) & F.col("pk.updatedAt").isNotNull()
-             & F.col("pk.models").isNotNull() & F.forall("pk.models", pack_model_valid))
-    p = p.withColumn("pack_ok", F.coalesce(valid, F.lit(False)))
+    p = landing.select(*keep, F.sha2("body", 256).alias("source_digest"), "fetched_at", F.from_json("body", PACK).alias("pk"),
+                       pack_ok(F.col("body")).alias("pack_ok"))
     status = p.select(*keep, "pack_ok", F.coalesce(F.size("pk.models"), F.lit(0)).cast("long").alias("n_models"))
-    m = p.filter("pack_ok").select(*keep, "body", "fetched_at", F.explode("pk.models").alias("m"))
+    m = p.filter("pack_ok").select(*keep, *FETCH, F.posexplode("pk.models").alias("mpos", "m"))
     mm = F.col("m")
     prov = normalize_provider(mm["provider"])
     out = m.select(
-        *keep, "body", "fetched_at", prov.alias("provider"), mm["modelId"].alias("model_id"),
+        *keep, *FETCH, _position(None, "mpos"), prov.alias("provider"), mm["modelId"].alias("model_id"),
         model_key(prov, mm["modelId"]).alias("entity_key"),
         mm["lifecycleStatus"].alias("lifecycle_status"), mm["retirementDate"].alias("retirement_date"),
         mm["inputPricePerMillion"].alias("input_price"), mm["outputPricePerMillion"].alias("output_price"),
@@ -184,12 +227,12 @@ NORMALIZERS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
 def normalize(landing: DataFrame, normalizers: dict[str, Callable[[DataFrame, list[str]], DataFrame]] | None = None,
               seq_col: str | None = None) -> DataFrame:
     """Route each landing row to its source's normalizer and union the observations.
-    ``obs_seq`` (input position for A1) is (fetch time, ``seq_col``)."""
+    ``obs_seq`` (input position for A1) is (fetch time, ``seq_col``, place in the body)."""
     normalizers = normalizers or NORMALIZERS
     keep = [seq_col] if seq_col else []
     out = None
     for sid, fn in normalizers.items():
         part = fn(landing.filter(F.col("source_id") == sid), keep)
         out = part if out is None else out.unionByName(part)
-    seq = F.struct(F.col("fetched_at"), F.col(seq_col) if seq_col else F.lit(0))
-    return out.withColumn("obs_seq", seq).drop(*keep)
+    seq = F.struct(F.col("fetched_at"), (F.col(seq_col) if seq_col else F.lit(0)).alias("body_seq"), F.col("item_pos"))
+    return out.withColumn("obs_seq", seq).drop(*keep, "item_pos")

@@ -43,12 +43,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def write_snapshot(df: DataFrame, path: str, meta: SnapshotMeta) -> None:
     """Write records (long or wide) under ``snapshot_date=...`` plus a meta row."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    # Dynamic overwrite for these two writes only; other writes of the session replace whole tables.
     (df.withColumn("snapshot_date", F.lit(meta.snapshot_date))
-       .write.mode("overwrite").partitionBy("snapshot_date").parquet(os.path.join(path, "records")))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(os.path.join(path, "records")))
     m = spark.createDataFrame([(meta.snapshot_date, SCHEMA_VERSION, meta.generated_at, GENERATOR_VERSION,
                                 meta.frozen, meta.freeze_reason, meta.warnings)], META)
-    m.write.mode("overwrite").partitionBy("snapshot_date").parquet(os.path.join(path, "meta"))
+    m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(os.path.join(path, "meta"))
 
 
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
