@@ -4,4 +4,4 @@ Every public function is DataFrame -> DataFrame (or Column -> Column) over built
 Spark expressions; nothing is collected to the driver except one-row results.
 """
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

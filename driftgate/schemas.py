@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from driftgate import __version__
+
 # ---------------------------------------------------------------------------
 # Fixed values. These must equal the behaviour being reproduced; they are listed
 # plainly, in their natural order, and are not derived from anything.
@@ -28,8 +30,6 @@ LIFECYCLE_STATES = ["active", "deprecated", "retired", "unknown"]
 SOURCE_CATALOG = "models.dev"
 SOURCE_FEED = "deprecations.info"
 SOURCE_OFFICIAL = "official-provider"
-SOURCE_FROZEN = "frozen-registry"
-SOURCE_DISCOVERY = "discovery"
 SOURCE_ORDER = [SOURCE_CATALOG, SOURCE_FEED, SOURCE_OFFICIAL]
 SOURCE_URLS = {
     SOURCE_CATALOG: "https://models.dev/api.json",
@@ -42,7 +42,7 @@ PARSER_VERSIONS = {
     SOURCE_FEED: "1.0.0+deprecations.1",
     SOURCE_OFFICIAL: "1.0.0+official.1",
 }
-GENERATOR_VERSION = "0.1.2"
+GENERATOR_VERSION = __version__
 SCHEMA_VERSION = 1
 
 # Fact fields of a record, in record/diff order, with the typed value column each uses.
@@ -212,8 +212,6 @@ OBSERVATION = T.StructType([
     T.StructField("identifier_kind", T.StringType()),
 ])
 
-META_FIELDS = ["source_id", "source_url", "fetched_at", "source_digest", "parser_version"]
-
 CANDIDATE = T.StructType([
     T.StructField("source_ord", T.IntegerType()),
     T.StructField("str_value", T.StringType()),
@@ -226,25 +224,6 @@ CANDIDATE = T.StructType([
     T.StructField("parser_version", T.StringType()),
 ])
 
-# Long fact table: one row per (entity, field).
-FACT = T.StructType([
-    T.StructField("entity_key", T.StringType()),
-    T.StructField("provider", T.StringType()),
-    T.StructField("model_id", T.StringType()),
-    T.StructField("field", T.StringType()),
-    T.StructField("field_ord", T.IntegerType()),
-    T.StructField("str_value", T.StringType()),
-    T.StructField("num_value", T.DoubleType()),
-    T.StructField("bool_value", T.BooleanType()),
-    T.StructField("confidence", T.StringType()),
-    T.StructField("source_id", T.StringType()),
-    T.StructField("source_url", T.StringType()),
-    T.StructField("fetched_at", T.TimestampType()),
-    T.StructField("source_digest", T.StringType()),
-    T.StructField("parser_version", T.StringType()),
-    T.StructField("candidates", T.ArrayType(CANDIDATE)),
-])
-
 # One fact envelope (value columns, confidence, primary source, conflict candidates).
 ENVELOPE = T.StructType([
     T.StructField("str_value", T.StringType()), T.StructField("num_value", T.DoubleType()),
@@ -266,37 +245,3 @@ SNAPSHOT = T.StructType([
     T.StructField("model_id", T.StringType()), T.StructField("facts", FACTS),
     T.StructField("evidence", T.ArrayType(EVIDENCE)),
 ])
-
-OCCURRENCE = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("line", T.IntegerType()),
-    T.StructField("column", T.IntegerType()),
-    T.StructField("snippet", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-    T.StructField("kind", T.StringType()),
-])
-
-HIT = T.StructType([
-    T.StructField("scope", T.StringType()),
-    T.StructField("provider", T.StringType()),
-    T.StructField("model_id", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("line", T.IntegerType()),
-    T.StructField("column", T.IntegerType()),
-    T.StructField("snippet", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("hit_ord", T.IntegerType()),
-])
-
-FINDING = T.StructType([
-    T.StructField("scope", T.StringType()),
-    T.StructField("key", T.StringType()),
-    T.StructField("field", T.StringType()),
-    T.StructField("severity", T.StringType()),
-    T.StructField("code", T.StringType()),
-    T.StructField("message", T.StringType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("line", T.IntegerType()),
-    T.StructField("confidence", T.StringType()),
-])

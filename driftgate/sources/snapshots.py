@@ -24,6 +24,14 @@ META = T.StructType([
     T.StructField("warnings", T.ArrayType(T.StringType())),
 ])
 
+# The change log, one row for each refresh.
+LOG = T.StructType([
+    T.StructField("snapshot_date", T.StringType()), T.StructField("as_of", T.StringType()), T.StructField("status", T.StringType()),
+    T.StructField("previous_digest", T.StringType()), T.StructField("new_digest", T.StringType()),
+    T.StructField("old_models", T.LongType()), T.StructField("new_models", T.LongType()),
+    T.StructField("warnings", T.ArrayType(T.StringType())),
+])
+
 
 @dataclass
 class SnapshotMeta:
@@ -90,50 +98,94 @@ class RefreshResult:
     change_log: list[dict] = field(default_factory=list)
 
 
+def _generations(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the stored states, ascending (a listing of a few folder names)."""
+    if not _exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    done = [n for n in names if n.startswith("gen=") and _exists(spark, os.path.join(path, n, "_SUCCESS"))]
+    return sorted(int(n[4:]) for n in done)
+
+
+def merge_state(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """The last good observation of every (entity, source): the stored ones and ``new``,
+    written as the next generation and read back. A replayed batch gives the same rows, and
+    nothing that a batch brought is lost whether or not a snapshot is published from it."""
+    from driftgate.operators.reconcile import latest_per_source
+    root = os.path.join(path, "state")
+    gens = _generations(spark, root)
+    if gens:
+        new = new.unionByName(spark.read.schema(new.schema).parquet(os.path.join(root, f"gen={gens[-1]}")))
+    kept = latest_per_source(new.withColumn("_seq", F.col("obs_seq"))).withColumnRenamed("_seq", "obs_seq")
+    out = os.path.join(root, f"gen={gens[-1] + 1 if gens else 0}")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(out)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for g in gens[:-1]:  # the one before stays, for readers that still use it
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(root, f"gen={g}"))
+        old.getFileSystem(conf).delete(old, True)
+    return spark.read.schema(kept.schema).parquet(out)
+
+
+def append_log(spark: SparkSession, path: str, snapshot_date: str, as_of: str, status: str, decision: dict | None,
+               warnings: list[str]) -> None:
+    """One row for each refresh in the change log table, replaced if the refresh is run again."""
+    d = decision or {}
+    row = (snapshot_date, as_of, status, d.get("previous_digest"), d.get("new_digest"), d.get("old_models"), d.get("new_models"), warnings)
+    log = spark.createDataFrame([row], LOG)
+    (log.withColumn("refreshed_at", F.regexp_replace("as_of", "[^0-9]", "")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("refreshed_at").parquet(os.path.join(path, "log")))
+
+
 def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: str, as_of: str,
             stale_after_days: int = 7) -> RefreshResult:
-    """Normalize all sources -> gate (any ok, official ok) -> reconcile -> validate ->
-    compare digests with the previous snapshot -> publish (S7) with a change log (R3).
-
-    Driver-side decisions only read one-row summaries. The reconciled facts are
-    checkpointed (reliable checkpoint in the shared ``spark.checkpoint.dir``) because they
-    feed validation, the digest and the write. Snapshots are stored as wide records
-    (``schemas.SNAPSHOT``); ``reconcile.from_snapshot`` gives the long form."""
+    """Normalize what arrived -> merge it into the per-source state -> gate (any source
+    ok, official ok) -> reconcile -> validate -> compare digests with the previous snapshot ->
+    publish (S7) and log (R3).
+
+    A source that is not in ``landing`` was not fetched: its stored observations count. A
+    source whose latest body is refused (not JSON, or not a valid pack) failed: nothing of it
+    goes into this snapshot. Driver-side decisions only read one-row summaries and one row for
+    each source. Snapshots are stored as wide records (``schemas.SNAPSHOT``)."""
     from driftgate.operators.publish import fact_violations, publish_decision
-    from driftgate.operators.reconcile import entity_facts, latest_per_source, source_status, to_long_facts
+    from driftgate.operators.reconcile import entity_facts, to_long_facts
+    from driftgate.schemas import SNAPSHOT, SOURCE_OFFICIAL
     from driftgate.session import ensure_checkpoint_dir
     from driftgate.sources.feeds import body_status, normalize
-    from driftgate.schemas import SNAPSHOT, SOURCE_OFFICIAL
 
     ensure_checkpoint_dir(spark)
     st = body_status(landing)
-    meta = (st.groupBy("source_id")
-              .agg(F.max_by(F.struct("ok", "warning"), F.col("fetched_at")).alias("m"))
-              .select("source_id", "m.ok", "m.warning"))
-    summary = source_status(meta).collect()[0]  # one row
-    per_source = {r["source_id"]: (r["ok"], r["warning"]) for r in meta.collect()}  # one row per source
-    warnings = [w for _, (ok, w) in sorted(per_source.items()) if not ok and w]
+    fetched = (st.groupBy("source_id").agg(F.max_by(F.struct("ok", "warning"), F.col("fetched_at")).alias("m"))
+                 .select("source_id", "m.ok", "m.warning").collect())  # one row per source
+    failed = sorted(r["source_id"] for r in fetched if not r["ok"])
+    warnings = [w for _, w in sorted((r["source_id"], r["warning"]) for r in fetched if not r["ok"] and r["warning"])]
+    state = merge_state(spark, path, normalize(st.filter("ok").drop("ok", "source_digest", "parser_version", "warning")))
+    available = {r["source_id"] for r in state.select("source_id").distinct().collect()} | {r["source_id"] for r in fetched if r["ok"]}
+    available -= set(failed)
     previous, prev_meta = read_snapshot(spark, path, SNAPSHOT)
-    if not summary["any_ok"]:
+
+    def done(status: str, decision: dict | None = None) -> RefreshResult:
+        append_log(spark, path, snapshot_date, as_of, status, decision, warnings)
+        return RefreshResult(status, snapshot_date, warnings, [decision] if decision else [])
+
+    if not available:
         warnings.append("All sources failed; freezing last-known-good registry")
         if prev_meta.snapshot_date:
             write_snapshot(previous, path, SnapshotMeta(snapshot_date, as_of, True, "All upstream sources failed",
                                                         prev_meta.warnings + warnings))
-        return RefreshResult("frozen", snapshot_date, warnings)
-    if not per_source.get(SOURCE_OFFICIAL, (False, None))[0]:
-        return RefreshResult("official-failed", snapshot_date, warnings)
-    if summary["mode"] == "partial":
-        warnings.append("Partial source failure (" + ", ".join(summary["failed"])
-                        + "); merged available sources and retained warnings")
-    obs = normalize(st.filter("ok").drop("ok", "source_digest", "parser_version", "warning"))
-    latest = latest_per_source(obs)
+        return done("frozen")
+    if SOURCE_OFFICIAL not in available:
+        return done("official-failed")
+    if failed:
+        warnings.append("Partial source failure (" + ", ".join(failed) + "); merged available sources and retained warnings")
+    latest = state.filter(F.col("source_id").isin(sorted(available))).drop("obs_seq")
     wide = entity_facts(latest, as_of, stale_after_days).checkpoint(eager=True)
     fact = to_long_facts(wide)
     if fact_violations(fact, latest).limit(1).count() > 0:
-        return RefreshResult("invalid", snapshot_date, warnings)
-    decision = publish_decision(to_long_facts(previous), fact, warnings).collect()[0]  # one row
-    log = [decision.asDict()]
+        return done("invalid")
+    decision = publish_decision(to_long_facts(previous), fact, warnings).collect()[0].asDict()  # one row
     if not decision["publish"] and prev_meta.snapshot_date:
-        return RefreshResult("unchanged", snapshot_date, warnings, log)
+        return done("unchanged", decision)
     write_snapshot(wide, path, SnapshotMeta(snapshot_date, as_of, False, None, warnings))
-    return RefreshResult("published", snapshot_date, warnings, log)
+    return done("published", decision)

@@ -2,10 +2,12 @@
 
 Raw feed bodies land as JSON-lines files ``{source_id, body, fetched_at}`` in a folder.
 A file-source stream picks up new files; each micro-batch runs the refresh job (R1:
-normalize -> gate -> reconcile -> validate -> digest compare -> publish). The stream's own
-checkpoint records which files were processed, so a restarted or failed run resumes
-exactly where it stopped; publishing overwrites only the batch's snapshot partition, so a
-replayed batch is idempotent. ``trigger(availableNow=True)`` gives the cron-style "process
+normalize -> merge into the per-source state -> gate -> reconcile -> validate -> digest
+compare -> publish). A batch need not hold every source: the state keeps the last good
+observations of each, so a batch that is not published (no official pack yet, say) counts in
+the next. The stream's own checkpoint records which files were processed, so a restarted or
+failed run resumes exactly where it stopped; a replayed batch merges to the same state and
+overwrites only its snapshot partition. ``trigger(availableNow=True)`` gives the cron-style "process
 what arrived, then stop"; a processing-time trigger keeps it running.
 """
 

@@ -1,5 +1,4 @@
-"""A2 against a direct, row-by-row implementation of the algorithm on
-random fixtures: many entities, 1-3 sources, nulls, stale rows, near-equal numbers."""
+"""A2: a table of cases written out by hand, and a property on random fixtures."""
 
 import datetime as dt
 import random
@@ -13,67 +12,50 @@ STALE_DAYS = 7
 ORDER = ["models.dev", "deprecations.info", "official-provider"]
 
 
-def classify_rows(obs):
-    """obs: list of (source_id, fetched_at, value) in source order, one per source."""
-    present = [o for o in obs if o[2] is not None]
-    if not present:
-        return "unavailable", None, obs[0][0]
-    cutoff = NOW - dt.timedelta(days=STALE_DAYS)
-    fresh = [o for o in present if o[1] >= cutoff]
-    pool = fresh or present
+C, D, O = ORDER  # catalog, deprecation feed, official pack
+FRESH, OLD = 1, 30  # age in days
+# One field of one entity: observations (source, age, value), then the class, the value that is
+# shown and the source that it is ascribed to, from the rules of SURVEY section 2.13.
+CASES = [
+    ([(C, FRESH, None)], "unavailable", None, C),
+    ([(D, FRESH, None), (O, OLD, None)], "unavailable", None, D),
+    ([(C, FRESH, 1.0)], "single-source", 1.0, C),
+    ([(D, FRESH, 1.0)], "single-source", 1.0, D),
+    ([(O, FRESH, 1.0)], "official-verified", 1.0, O),
+    ([(C, FRESH, 1.0), (D, FRESH, 1.0)], "multi-source-verified", 1.0, C),
+    ([(C, FRESH, 1.0), (O, FRESH, 1.0)], "official-verified", 1.0, C),
+    ([(C, FRESH, 1.0), (D, FRESH, 1.0), (O, FRESH, 1.0)], "official-verified", 1.0, C),
+    ([(C, FRESH, 1.0), (O, FRESH, 1.0 + 1e-12)], "official-verified", 1.0, C),
+    ([(C, FRESH, 1.0), (O, FRESH, 2.0)], "conflicting", None, C),
+    ([(C, FRESH, 1.0), (D, FRESH, 2.0), (O, FRESH, 1.0)], "conflicting", None, C),
+    ([(C, FRESH, None), (D, FRESH, 2.0), (O, FRESH, 3.0)], "conflicting", None, D),
+    ([(C, FRESH, None), (D, FRESH, 2.0)], "single-source", 2.0, D),
+    ([(C, OLD, 1.0)], "stale", 1.0, C),
+    ([(O, OLD, 1.0)], "stale", 1.0, O),
+    ([(C, OLD, 1.0), (O, OLD, 1.0)], "stale", 1.0, C),
+    ([(C, OLD, 1.0), (O, OLD, 2.0)], "conflicting", None, C),
+    ([(C, OLD, 1.0), (O, FRESH, 2.0)], "official-verified", 2.0, O),
+    ([(C, FRESH, 1.0), (O, OLD, 2.0)], "single-source", 1.0, C),
+    ([(C, OLD, 5.0), (D, FRESH, 1.0), (O, FRESH, None)], "single-source", 1.0, D),
+    ([(C, FRESH, 0.0), (D, FRESH, 0.0)], "multi-source-verified", 0.0, C),
+]
 
-    def same(a, b):
-        if isinstance(a, float) and isinstance(b, float):
-            return abs(a - b) < 1e-9
-        return a == b
-    distinct = []
-    for o in pool:
-        if not any(same(d[2], o[2]) for d in distinct):
-            distinct.append(o)
-    if len(distinct) > 1:
-        return "conflicting", None, distinct[0][0]
-    agreed = distinct[0]
-    if not fresh:
-        return "stale", agreed[2], agreed[0]
-    if any(o[0] == "official-provider" for o in pool):
-        return "official-verified", agreed[2], agreed[0]
-    if len({o[0] for o in pool}) >= 2:
-        return "multi-source-verified", agreed[2], agreed[0]
-    return "single-source", agreed[2], agreed[0]
 
-
-def test_reconcile_matches_direct_algorithm(spark):
-    rnd = random.Random(7)
-    rows, expected = [], {}
-    prices = [1.0, 1.0 + 1e-12, 2.0, None]
-    states = ["active", "deprecated", None]
-    for e in range(300):
-        model = f"m-{e}"
-        sources = [s for s in ORDER if rnd.random() < 0.7] or [rnd.choice(ORDER)]
-        per_price, per_state = [], []
-        for s in sources:
-            # a few records per source; the last one (highest seq) counts
-            n = rnd.randint(1, 3)
-            for i in range(n):
-                fetched = NOW - dt.timedelta(days=rnd.choice([1, 3, 10, 30]), hours=i)
-                price, state = rnd.choice(prices), rnd.choice(states)
-                rows.append(obs_row("openai", model, s, fetched.isoformat(), seq=i, input_price=price,
-                                    lifecycle_status=state))
-            per_price.append((s, fetched, price))
-            per_state.append((s, fetched, state))
-        expected[(f"openai:{model}", "inputPricePerMillion")] = classify_rows(per_price)
-        expected[(f"openai:{model}", "lifecycleStatus")] = classify_rows(per_state)
-    f = reconcile(obs_df(spark, rows), "2026-07-24 00:00:00", STALE_DAYS).filter(
-        "field in ('inputPricePerMillion', 'lifecycleStatus')").collect()
-    got = {}
-    for r in f:
-        v = r["num_value"] if r["field"] == "inputPricePerMillion" else r["str_value"]
-        got[(r["entity_key"], r["field"])] = (r["confidence"], v, r["source_id"])
-    assert set(got) == set(expected)
-    for k, (conf, val, src) in expected.items():
-        g = got[k]
-        assert g[0] == conf and g[2] == src, (k, g, expected[k])
-        assert (g[1] is None and val is None) or abs(g[1] - val) < 1e-9 if isinstance(val, float) else g[1] == val
+def test_confidence_cases(spark):
+    """Every case as a price and, with words for numbers, as a lifecycle status."""
+    words = {0.0: "active", 1.0: "active", 1.0 + 1e-12: "active", 2.0: "deprecated", 3.0: "retired", 5.0: "retired"}
+    rows = []
+    for k, (seen, *_) in enumerate(CASES):
+        for source, age, value in seen:
+            at = (NOW - dt.timedelta(days=age)).isoformat()
+            rows.append(obs_row("openai", f"m-{k}", source, at, seq=1, input_price=value, lifecycle_status=words.get(value)))
+            # An earlier record of the source, which must not count.
+            rows.append(obs_row("openai", f"m-{k}", source, at, seq=0, input_price=99.0, lifecycle_status="preview"))
+    got = {(r["entity_key"], r["field"]): r for r in reconcile(obs_df(spark, rows).repartition(3), "2026-07-24 00:00:00", STALE_DAYS).collect()}
+    for k, (seen, confidence, value, source) in enumerate(CASES):
+        price, state = got[f"openai:m-{k}", "inputPricePerMillion"], got[f"openai:m-{k}", "lifecycleStatus"]
+        assert (price["confidence"], price["num_value"], price["source_id"]) == (confidence, value, source), seen
+        assert (state["confidence"], state["str_value"], state["source_id"]) == (confidence, words.get(value), source), seen
 
 
 def test_source_order_permutation_keeps_classes(spark):

@@ -137,3 +137,57 @@ def test_check_job_writes_findings_once_and_reports(spark, tmp_dir):
     expected = {r["scope"]: (r["n_fail"], r["n_warn"]) for r in drift.run(spark, SF001).gate.collect()}
     assert {r["scope"]: (r["n_fail"], r["n_warn"]) for r in g.collect()} == expected
     assert spark.read.json(tmp_dir + "/out/json_report").count() > 0
+
+
+def models(spark, snap):
+    return {r["entity_key"] for r in read_snapshot(spark, snap, SNAPSHOT)[0].collect()}
+
+
+def test_refresh_keeps_what_every_batch_brought(spark, tmp_dir):
+    """Batches that hold one source each: nothing of an unpublished batch is lost."""
+    snap = tmp_dir + "/snap"
+    new = {"openai": {"id": "openai", "models": {"gpt-9": {"id": "gpt-9"}}}}
+    first = refresh(spark, landing(spark, [("models.dev", json.dumps(new))]), snap, "2026-07-24", "2026-07-24 00:00:00")
+    assert first.status == "official-failed"
+    assert refresh(spark, landing(spark, [("official-provider", json.dumps(PACK))]), snap, "2026-07-24", "2026-07-24 00:00:00").status == "published"
+    only_pack = {f"{m['provider']}:{m['modelId']}" for m in PACK["models"]}
+    assert models(spark, snap) == {"openai:gpt-9"} | only_pack
+    assert refresh(spark, landing(spark, [("deprecations.info", json.dumps(FEED))]), snap, "2026-07-25", "2026-07-24 00:00:00").status == "published"
+    assert models(spark, snap) > only_pack
+    log = {r["status"] for r in spark.read.parquet(snap + "/log").collect()}
+    assert log <= {"published", "official-failed"} and "published" in log
+
+
+def test_invalid_pack_is_not_published(spark, tmp_dir):
+    for change in ({"lifecycleStatus": "sunset"}, {"inputPricePerMillion": "2.5"}, {"toolCalling": "yes"}, {"provider": 5},
+                   {"contextLimit": 1.5}, {"evidenceUrl": "not a url"}):
+        bad = {**PACK, "models": [{**PACK["models"][0], **change}]}
+        obs, status = feeds.parse_pack(landing(spark, [("official-provider", json.dumps(bad))]))
+        assert obs.count() == 0 and not status.first()["pack_ok"], change
+    r = refresh(spark, landing(spark, [("models.dev", json.dumps(CATALOG)), ("official-provider", json.dumps(bad))]),
+                tmp_dir + "/snap", "2026-07-24", "2026-07-24 00:00:00")
+    assert r.status == "official-failed" and "pack is not valid" in r.warnings[0]
+    assert read_snapshot(spark, tmp_dir + "/snap", SNAPSHOT)[0].count() == 0
+
+
+def test_the_last_item_of_a_body_wins(spark):
+    from driftgate.operators.reconcile import latest_per_source
+    item = lambda day: {"_deprecation": {"provider": "openai", "model_id": "m", "shutdown_date": day}}
+    body = {"version": "1", "items": [item(f"2026-0{k}-01") for k in (5, 3, 8, 2)]}
+    obs = feeds.normalize(landing(spark, [("deprecations.info", json.dumps(body))]))
+    assert latest_per_source(obs.repartition(3)).first()["retirement_date"] == "2026-02-01"
+
+
+def test_second_check_run_replaces_the_first(spark, tmp_dir):
+    """A scope without findings today keeps none of yesterday's, also after a snapshot was written."""
+    import glob
+    from driftgate.plans.check import write_by_scope
+    from driftgate.sources.snapshots import SnapshotMeta, write_snapshot
+    rows = lambda scopes: spark.createDataFrame([(s, i) for i, s in enumerate(scopes)], "scope string, n int")
+    write_by_scope(rows(["a", "b"] * 500), tmp_dir + "/f")
+    write_snapshot(rows(["x"]), tmp_dir + "/s", SnapshotMeta("2026-07-24", "t"))
+    write_by_scope(rows(["a"] * 3), tmp_dir + "/f")
+    assert {r["scope"] for r in spark.read.parquet(tmp_dir + "/f").collect()} == {"a"}
+    write_by_scope(rows([f"t{i % 300}" for i in range(3000)]).repartition(8), tmp_dir + "/f")
+    assert len(glob.glob(tmp_dir + "/f/*/*.parquet")) <= 64
+    assert spark.read.parquet(tmp_dir + "/f").count() == 3000
