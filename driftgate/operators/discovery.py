@@ -90,66 +90,70 @@ def accept_hit(model_id, confidence) -> Column:
 
 # ----------------------------------------------------------------------------- corpus
 
-# File names worth reading at all (by extension), applied while listing, so the contents of
-# other files are never read; the exact routing (F3) runs on the path afterwards.
-ROUTED_NAMES_GLOB = "*.{" + ",".join(e.lstrip(".") for e in CODE_EXTS + PYTHON_EXTS + DATA_EXTS + [".example"]) + "}"
-
-# Dot-files that matter for discovery but that Spark's file listing skips (names starting
-# with "." are treated as hidden).
-HIDDEN_NAMES = [".env.example"]
+def _list_dirs(batches):
+    """mapInPandas: the entries of each directory (any name: Spark's own listing hides names
+    that begin with ``.`` or ``_``)."""
+    import pandas as pd
+    import pyarrow.fs as pafs
+    for pdf in batches:
+        rows = []
+        for d, rel in zip(pdf["dir"], pdf["rel"]):
+            fs, base = pafs.FileSystem.from_uri(d if "://" in d else "file://" + d)
+            for e in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+                rows.append((d.rstrip("/") + "/" + e.base_name, (rel + "/" if rel else "") + e.base_name, e.base_name,
+                             e.type == pafs.FileType.Directory, e.size or 0))
+        yield pd.DataFrame(rows, columns=["abs", "path", "name", "is_dir", "size"])
 
 
-def _probe_hidden(batches):
-    """mapInPandas: for each directory, read the hidden discovery files it holds."""
+def _read_files(batches):
+    """mapInPandas: the contents of each file, one at a time; bytes that are not UTF-8 become
+    replacement characters."""
     import pandas as pd
     import pyarrow.fs as pafs
     for pdf in batches:
-        out_p, out_c = [], []
-        for d in pdf["dir"]:
-            fs, base = pafs.FileSystem.from_uri(d if "://" in d else "file://" + d)
-            for name in HIDDEN_NAMES:
-                info = fs.get_file_info(base.rstrip("/") + "/" + name)
-                if info.type == pafs.FileType.File:
-                    with fs.open_input_stream(info.path) as fh:
-                        out_p.append(d.rstrip("/") + "/" + name)
-                        out_c.append(fh.read())
-        if out_p:
-            yield pd.DataFrame({"abs": pd.Series(out_p, dtype=object), "content": pd.Series(out_c, dtype=object)})
+        for a, path in zip(pdf["abs"], pdf["path"]):
+            fs, base = pafs.FileSystem.from_uri(a if "://" in a else "file://" + a)
+            with fs.open_input_stream(base) as fh:
+                yield pd.DataFrame({"path": [path], "content": [fh.read().decode("utf-8", "replace")]})
+
+
+def list_corpus(spark: SparkSession, project: str, roots: list[str], ignore: list[str] | None = None) -> DataFrame:
+    """The files to read below ``roots`` (paths inside ``project``; "" is all of it): abs, path
+    (relative to the project, so it is unique), size.
+
+    The tree is listed level by level on the executors; skipped directories (F1, F2) are not
+    entered, and other files than F3's are left out before anything is read. A file below
+    several roots comes once, whatever their order."""
+    from driftgate.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    project = project.rstrip("/")
+    roots = [r.strip("/").removeprefix("./").strip(".") if r.strip("/") in ("", ".") else r.strip("/").removeprefix("./") for r in roots]
+    level = spark.createDataFrame([(f"{project}/{r}".rstrip("/"), r) for r in dict.fromkeys(roots)], "dir string, rel string")
+    kept = F.lit(True) if not ignore else not_ignored("path", ignore)
+    skipped = F.col("name").startswith(".") | F.col("name").isin(list(SKIP_DIR_NAMES))
+    found = None
+    while True:
+        entries = level.repartition("dir").mapInPandas(_list_dirs, "abs string, path string, name string, is_dir boolean, size long")
+        entries = entries.filter(kept & (~F.col("is_dir") | ~skipped)).checkpoint(eager=True)
+        files = entries.filter(~F.col("is_dir") & file_type("path").isNotNull()).select("abs", "path", "size")
+        found = files if found is None else found.unionByName(files)
+        level = entries.filter("is_dir").select(F.col("abs").alias("dir"), F.col("path").alias("rel"))
+        if not level.limit(1).count():
+            return found.dropDuplicates(["path"])
+
+
+def read_corpora(spark: SparkSession, project: str, roots: list[str], scope: str, ignore: list[str] | None = None) -> DataFrame:
+    """The files below ``roots`` of a project as (scope, path, content), minified ones
+    (F4) left out, whatever their type."""
+    files = list_corpus(spark, project, roots, ignore).select("abs", "path").repartition("path")
+    out = files.mapInPandas(_read_files, "path string, content string")
+    n_lines = F.size(F.split(F.col("content"), "\n", -1))
+    return out.filter(~minified("path", F.length("content"), n_lines)).select(F.lit(scope).alias("scope"), "path", "content")
 
 
 def read_corpus(spark: SparkSession, root: str, scope: str, ignore: list[str] | None = None) -> DataFrame:
-    """Files under ``root`` as (scope, path, content); path is relative to the root.
-
-    Spark lists and reads the files (``binaryFile``); the kept-path tests (F1-F3, F2
-    globs) run on the path before the content column is used. Hidden discovery files
-    (``.env.example``) are probed per listed directory on the executors."""
-    root = root.rstrip("/")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", ROUTED_NAMES_GLOB).load(root)
-                  .select(F.regexp_replace(F.col("path"), r"^file:", "").alias("abs"), "content"))
-    dirs = (files.select(F.regexp_extract("abs", r"^(.*)/[^/]*$", 1).alias("dir"))
-                 .unionByName(spark.range(1).select(F.lit(root).alias("dir"))).distinct())
-    hidden = dirs.mapInPandas(_probe_hidden, "abs string, content binary")
-    rel = F.regexp_replace(F.col("abs"), "^" + re.escape(root) + "/", "")
-    out = files.unionByName(hidden).select(F.lit(scope).alias("scope"), rel.alias("path"), "content")
-    cond = path_kept("path") & file_type("path").isNotNull()
-    if ignore:
-        cond = cond & not_ignored("path", ignore)
-    # One root per call, so paths are unique here; nothing keyed on content is shuffled.
-    return out.filter(cond).select("scope", "path", F.decode(F.col("content"), "UTF-8").alias("content"))
-
-
-def read_corpora(spark: SparkSession, roots: list[str], scope: str, ignore: list[str] | None = None) -> DataFrame:
-    """S11 over several roots (Q12): a file reachable from two overlapping roots is read
-    once, from the first root that contains it (roots are a short config list)."""
-    roots = [r.rstrip("/") for r in roots]
-    kept = [r for i, r in enumerate(roots)
-            if not any(r == o or r.startswith(o + "/") for o in roots[:i])]
-    out = None
-    for r in kept:
-        part = read_corpus(spark, r, scope, ignore)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """S11 for a whole project."""
+    return read_corpora(spark, root, [""], scope, ignore)
 
 
 def to_lines(files: DataFrame) -> DataFrame:
@@ -189,6 +193,8 @@ def scan_python(lines: DataFrame) -> DataFrame:
     """D2 + D3 (W1): five patterns per line, first match each; the provider is the last
     import hint at or above the line, else inferred from the id. 0.9 on SDK call lines."""
     d = lines.withColumn("hint", python_hints("text"))
+    # Only import lines and lines that can hit matter; the others are never shuffled.
+    d = d.filter(F.col("hint").isNotNull() | F.col("text").contains("model"))
     d = segmented_last_non_null(d, ["scope", "path"], "line", "hint", "carried")
     d = d.filter(F.col("text").contains("model"))
     t = F.col("text")
@@ -253,33 +259,18 @@ def scan_yaml(lines: DataFrame) -> DataFrame:
                     F.lit("config").alias("kind"), F.col("line").alias("hit_ord"))
 
 
-# JS/TS: a call whose object argument has a model key with a string literal value.
+# JS/TS: a call whose object argument has a model key with a string literal value. Per-line
+# form, and the form for whole files, where objects before the key may nest and spread over lines.
 JS_KEY = r"(?:model|modelId|model_id)"
-JS_CALL = (r"([A-Za-z_$][\w$]*)((?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\((?:[^(){}]*,)?\s*\{\s*(?:[^{}]*?[\s,]\s*)?"
-           r"(?:" + JS_KEY + r"|\"" + JS_KEY + r"\"|'" + JS_KEY + r"')\s*:\s*(?:\"([^\"]*)\"|'([^']*)')")
+JS_KEY_VALUE = r"(?:" + JS_KEY + r"|\"" + JS_KEY + r"\"|'" + JS_KEY + r"')\s*:\s*(?:\"([^\"]*)\"|'([^']*)')"
+JS_CALLEE = r"([A-Za-z_$][\w$]*)((?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\((?:[^(){}]*,)?\s*\{\s*"
+JS_CALL_LINE = JS_CALLEE + r"(?:[^{}]*?[\s,]\s*)?" + JS_KEY_VALUE
+_JS_TEXT = r"\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|`(?:[^`\\]|\\.)*+`"
+_JS_OBJECT = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
+_JS_ARRAY = r"\[(?:[^\[\]]++|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\]"
+JS_CALL = JS_CALLEE + r"(?:(?:[^{}\[\]\"'`,]++|" + _JS_TEXT + "|" + _JS_OBJECT + "|" + _JS_ARRAY + r")*+,\s*)*?" + JS_KEY_VALUE
 JS_PROP = r"(?:([A-Za-z_$][\w$]*)|\"([^\"]*)\"|'([^']*)')\s*:\s*(?:\"([^\"]*)\"|'([^']*)')"
-JS_IMPORT = r"^\s*import\s+(.+?)\s+from\s+[\"']([^\"']+)[\"']"
-
-
-def js_import_aliases(lines: DataFrame) -> DataFrame:
-    """(scope, path, line, alias, provider) for imports of known SDK packages."""
-    spark = lines.sparkSession
-    pk = spark.createDataFrame(PROVIDER_PACKAGES, "package string, imp_provider string")
-    d = lines.filter(F.col("text").contains("import"))
-    spec = F.regexp_extract("text", JS_IMPORT, 1)
-    pkg = F.regexp_extract("text", JS_IMPORT, 2)
-    d = d.select("scope", "path", "line", spec.alias("spec"), pkg.alias("package")).filter(F.col("package") != "")
-    d = d.join(F.broadcast(pk), "package")
-    default = F.regexp_extract("spec", r"^\s*([A-Za-z_$][\w$]*)", 1)
-    namespace = F.regexp_extract("spec", r"\*\s*as\s+([A-Za-z_$][\w$]*)", 1)
-    braces = F.regexp_extract("spec", r"\{([^}]*)\}", 1)
-    named = F.transform(F.split(braces, ","),
-                        lambda x: F.regexp_extract(x, r"([A-Za-z_$][\w$]*)\s*$", 1))
-    names = F.array_union(F.array(default, namespace), named)
-    return (d.select("scope", "path", "line", "imp_provider", F.explode(names).alias("alias"))
-             .filter(F.col("alias") != "").select("scope", "path", F.col("line").alias("imp_line"), "alias",
-                                                  "imp_provider"))
-
+JS_IMPORT = r"(?m)^[ \t]*import\s+([^\"';]+?)\s+from\s+[\"']([^\"']+)[\"']"
 
 # Comments removed before JS/TS matching: inline /* ... */ blocks, then whole lines that
 # are // comments or block-comment bodies (a "//" inside a string such as a URL stays).
@@ -291,33 +282,74 @@ def strip_js_comments(text) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(text), JS_BLOCK_COMMENT, " "), JS_COMMENT_LINE, "")
 
 
+def _places(content: Column, matches: Column) -> Column:
+    """Where each of the matches (in order, not overlapping) begins, from 1."""
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(
+        matches, F.struct(F.lit(1).alias("at"), nothing.alias("all")),
+        lambda acc, m: F.struct(
+            (F.call_function("locate", m, content, acc["at"]) + F.length(m)).alias("at"),
+            F.concat(acc["all"], F.array(F.call_function("locate", m, content, acc["at"]))).alias("all")),
+        lambda acc: acc["all"])
+
+
+def _line_at(content: Column, place: Column) -> Column:
+    """Newlines before a place."""
+    before = F.substring(content, F.lit(1), place - 1)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
+
+
+def js_imports(content: Column) -> Column:
+    """The imports of known SDK packages in a file, in order: (line from 0, alias,
+    provider). An import may spread over lines."""
+    packages = F.create_map(*[F.lit(x) for pair in PROVIDER_PACKAGES for x in pair])
+
+    def one(m: Column, place: Column) -> Column:
+        spec = F.regexp_extract(m, JS_IMPORT, 1)
+        default = F.regexp_extract(spec, r"^\s*([A-Za-z_$][\w$]*)", 1)
+        namespace = F.regexp_extract(spec, r"\*\s*as\s+([A-Za-z_$][\w$]*)", 1)
+        named = F.transform(F.split(F.regexp_extract(spec, r"\{([^}]*)\}", 1), ","),
+                            lambda x: F.regexp_extract(x, r"([A-Za-z_$][\w$]*)\s*$", 1))
+        names = F.filter(F.array_union(F.array(default, namespace), named), lambda x: x != "")
+        provider = F.try_element_at(packages, F.regexp_extract(m, JS_IMPORT, 2))
+        return F.transform(names, lambda x: F.struct(_line_at(content, place).alias("line"), x.alias("alias"), provider.alias("provider")))
+
+    found = F.regexp_extract_all(content, F.lit(JS_IMPORT), 0)
+    return F.filter(F.flatten(F.zip_with(found, _places(content, found), one)), lambda i: i["provider"].isNotNull())
+
+
 def scan_js(lines: DataFrame) -> DataFrame:
     """Call-site model keys (0.9, 'sdk'; provider from an imported SDK alias when the
     callee is a member of one, else inferred) and property literals whose key contains
-    'model' (0.55, 'literal', F5 required). Matching is per line after removing comments
-    (no AST)."""
-    d = lines.withColumn("text", strip_js_comments("text")).filter(F.lower("text").contains("model"))
-    calls = F.regexp_extract_all("text", F.lit(JS_CALL), 0)
-    c = d.select("scope", "path", "line", "text", F.posexplode(calls).alias("k", "m"))
+    'model' (0.55, 'literal', F5 required). Comments are removed first (no AST). Calls and
+    imports are matched on whole files, so they may spread over lines and hold nested objects;
+    a file is the unit that was read, and its lines are put together again here."""
+    clean = lines.withColumn("text", strip_js_comments("text"))
+    one = F.array_sort(F.collect_list(F.struct("line", "text")))
+    files = clean.groupBy("scope", "path").agg(one.alias("l"), F.max(F.lower("text").contains("model")).alias("some")).filter("some")
+    files = files.select("scope", "path", (F.get("l", F.lit(0))["line"]).alias("base"), F.array_join("l.text", "\n").alias("content"))
+    content = F.col("content")
+    found = F.regexp_extract_all(content, F.lit(JS_CALL), 0)
+    files = files.withColumn("found", found).filter(F.size("found") > 0)
+    files = files.withColumn("places", _places(content, F.col("found"))).withColumn("imports", js_imports(content))
+    c = files.select("scope", "path", "base", "content", "imports",
+                     F.posexplode(F.arrays_zip(F.col("found").alias("m"), F.col("places").alias("p"))).alias("k", "x"))
+    c = c.select("scope", "path", "base", "content", "imports", "k", F.col("x.m").alias("m"), F.col("x.p").alias("p"))
     root = F.regexp_extract("m", JS_CALL, 1)
     member = F.regexp_extract("m", JS_CALL, 2) != ""
     val = F.concat(F.regexp_extract("m", JS_CALL, 3), F.regexp_extract("m", JS_CALL, 4))
-    c = c.select("scope", "path", "line", "k", F.when(member, root).alias("root"), val.alias("model_id"),
-                 (F.expr("instr(text, m)") - 1 + F.length("m") - F.length(val) - 2).cast("int").alias("column"))
-    # Imports per (file, alias), in line order; the array is bounded by that file's import
-    # statements. The latest import above the call wins, picked after an equi-join.
-    imports = (js_import_aliases(lines)
-               .groupBy("scope", "path", "alias")
-               .agg(F.sort_array(F.collect_list(F.struct("imp_line", "imp_provider"))).alias("imports")))
-    c = c.join(imports.withColumnRenamed("alias", "root"), ["scope", "path", "root"], "left")
-    above = F.filter(F.coalesce(F.col("imports"), F.array()), lambda i: i["imp_line"] <= F.col("line"))
-    c = c.withColumn("imp", F.get(above, F.size(above) - 1))
+    c = c.withColumn("model_id", val).withColumn("at", F.col("p") + F.length("m") - F.length("model_id") - 2)
+    before = F.substring_index(F.substring(content, F.lit(1), F.col("at") - 1), "\n", -1)
+    line0 = _line_at(content, F.col("p"))
+    c = c.select("scope", "path", (F.col("base") + line0).cast("int").alias("line"), "k", "model_id", F.length(before).cast("int").alias("column"),
+                 F.filter("imports", lambda i: (i["alias"] == F.when(member, root)) & (i["line"] <= line0)).alias("above"))
+    imp = F.get("above", F.size("above") - 1)["provider"]  # the last import above the call
     calls_out = c.filter(accept_hit("model_id", F.lit(0.9))).select(
-        "scope", F.coalesce(F.col("imp.imp_provider"), infer_provider("model_id")).alias("provider"),
-        "model_id", "path", "line", "column",
+        "scope", F.coalesce(imp, infer_provider("model_id")).alias("provider"), "model_id", "path", "line", "column",
         F.concat(F.lit('model: "'), "model_id", F.lit('"')).alias("snippet"),
         F.lit(0.9).alias("confidence"), F.lit("sdk").alias("kind"), (F.col("k") * 2).cast("int").alias("hit_ord"))
 
+    d = clean.filter(F.lower("text").contains("model"))
     props = F.regexp_extract_all("text", F.lit(JS_PROP), 0)
     p = d.select("scope", "path", "line", "text", F.posexplode(props).alias("k", "m"))
     key = F.concat(F.regexp_extract("m", JS_PROP, 1), F.regexp_extract("m", JS_PROP, 2), F.regexp_extract("m", JS_PROP, 3))
@@ -343,12 +375,15 @@ def scan_lines(lines: DataFrame) -> DataFrame:
     return py.unionByName(js).unionByName(env).unionByName(yml)
 
 
-def discover(lines: DataFrame, json_docs: DataFrame | None = None) -> DataFrame:
+def discover(lines: DataFrame, json_docs: DataFrame) -> DataFrame:
     """D10 + D9: all hits, consolidated into dependencies."""
-    hits = scan_lines(lines)
-    if json_docs is not None:
-        hits = hits.unionByName(scan_json(json_docs))
-    return consolidate(hits)
+    return consolidate(scan_lines(lines).unionByName(scan_json(json_docs)))
+
+
+def discover_files(files: DataFrame) -> DataFrame:
+    """D10 + D9 for a corpus (scope, path, content): JSON files as documents, all others as lines."""
+    is_json = F.lower("path").endswith(".json")
+    return discover(to_lines(files.filter(~is_json)), files.filter(is_json))
 
 
 def consolidate(hits: DataFrame) -> DataFrame:

@@ -91,11 +91,11 @@ def build_lock(deps: DataFrame, facts: DataFrame, generated_at) -> DataFrame:
 
 def lock_keys_change(previous: DataFrame, proposed: DataFrame) -> DataFrame:
     """Per scope, keys added and removed between two dependency lists."""
-    p = previous.select("scope", "entity_key").distinct()
-    n = proposed.select("scope", "entity_key").distinct()
-    added = n.join(p, ["scope", "entity_key"], "left_anti").withColumn("change", F.lit("added"))
-    removed = p.join(n, ["scope", "entity_key"], "left_anti").withColumn("change", F.lit("removed"))
-    return added.unionByName(removed)
+    both = (previous.select("scope", "entity_key", F.lit(True).alias("old"))
+            .unionByName(proposed.select("scope", "entity_key", F.lit(False).alias("old"))))
+    sides = both.groupBy("scope", "entity_key").agg(F.min("old").alias("lo"), F.max("old").alias("hi"))
+    return (sides.filter(F.col("lo") == F.col("hi"))
+                 .select("scope", "entity_key", F.when(F.col("lo"), "removed").otherwise("added").alias("change")))
 
 
 def merge_warnings(a: Column, b: Column) -> Column:

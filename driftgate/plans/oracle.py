@@ -421,7 +421,7 @@ def json_hits_sql() -> str:
 
 
 def js_hits_sql() -> str:
-    from driftgate.operators.discovery import JS_BLOCK_COMMENT, JS_CALL, JS_COMMENT_LINE, JS_IMPORT, JS_PROP
+    from driftgate.operators.discovery import JS_BLOCK_COMMENT, JS_CALL_LINE, JS_COMMENT_LINE, JS_IMPORT, JS_PROP
     from driftgate.schemas import PROVIDER_PACKAGES
     pk = " UNION ALL ".join(f"SELECT '{a}' AS package, '{p}' AS imp_provider" for a, p in PROVIDER_PACKAGES)
     named = ("list_transform(string_split(regexp_extract(spec, '\\{([^}]*)\\}', 1), ','), "
@@ -437,10 +437,10 @@ def js_hits_sql() -> str:
           FROM (SELECT scope, path, line, regexp_extract(text, {_q(JS_IMPORT)}, 1) AS spec,
                        regexp_extract(text, {_q(JS_IMPORT)}, 2) AS package FROM al) s
           JOIN ({pk}) p USING (package)),
-  calls AS (SELECT scope, path, line, text, m, regexp_extract(m, {_q(JS_CALL)}, 1) AS root,
-                   regexp_extract(m, {_q(JS_CALL)}, 2) AS member,
-                   regexp_extract(m, {_q(JS_CALL)}, 3) || regexp_extract(m, {_q(JS_CALL)}, 4) AS model_id
-            FROM (SELECT *, unnest(regexp_extract_all(text, {_q(JS_CALL)}, 0)) AS m FROM l) u),
+  calls AS (SELECT scope, path, line, text, m, regexp_extract(m, {_q(JS_CALL_LINE)}, 1) AS root,
+                   regexp_extract(m, {_q(JS_CALL_LINE)}, 2) AS member,
+                   regexp_extract(m, {_q(JS_CALL_LINE)}, 3) || regexp_extract(m, {_q(JS_CALL_LINE)}, 4) AS model_id
+            FROM (SELECT *, unnest(regexp_extract_all(text, {_q(JS_CALL_LINE)}, 0)) AS m FROM l) u),
   cj AS (SELECT c.scope, c.path, c.line, c.text, c.m, c.model_id,
                 max({{'l': i.imp_line, 'p': i.imp_provider}}) AS imp
          FROM calls c LEFT JOIN imp i ON i.scope = c.scope AND i.path = c.path AND c.member <> ''

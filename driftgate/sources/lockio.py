@@ -69,8 +69,8 @@ def lock_records_from_lines(good: DataFrame) -> DataFrame:
                        F.col("lowConfidence").alias("low_confidence"), "path", "line", "facts")
 
 
-# A JSON member whose key is a secret key word: its string value is redacted whole.
-SECRET_MEMBER = r'("(?i:[^"]*(?:' + SECRET_KEY_WORDS + r')[^"]*)"\s*:\s*)"(?:[^"\\]|\\.)*"'
+# A JSON member whose key is a secret key word: its value is redacted whole, of whatever type.
+SECRET_MEMBER = r'("(?i:[^"]*(?:' + SECRET_KEY_WORDS + r')[^"]*)"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|\{[^{}]*\}|[^\s,\[\]{}"]+)'
 
 
 def scrub_json_text(text) -> F.Column:

@@ -14,39 +14,74 @@ def write(root, rel, text):
 
 
 def discover_tree(spark, root):
-    files = D.read_corpus(spark, root, "repo", DEFAULT_IGNORE_GLOBS)
-    lines = D.to_lines(files.filter(~files.path.endswith(".json")))
-    deps = D.discover(lines, files.filter(files.path.endswith(".json")))
-    return {r["entity_key"]: r for r in deps.collect()}
-
-
-def test_four_providers_across_file_types(spark, tmp_dir):
-    write(tmp_dir, "src/app.ts", '\nimport OpenAI from "openai";\nimport Anthropic from "@anthropic-ai/sdk";\n'
-          'const openai = new OpenAI();\n'
-          'await openai.chat.completions.create({ model: "gpt-4o-2024-08-06", messages: [] });\n'
-          'const anthropic = new Anthropic();\n'
-          'await anthropic.messages.create({ model: "claude-sonnet-4-20250514", max_tokens: 1, messages: [] });\n')
-    write(tmp_dir, "src/gemini.py", '\nimport google.generativeai as genai\nmodel = "gemini-2.5-pro"\n')
-    write(tmp_dir, "src/xai.ts", '\nimport { createXai } from "@ai-sdk/xai";\nconst r = { model: "grok-3" };\n')
-    write(tmp_dir, ".env.example", "OPENAI_MODEL=gpt-4o\n")
-    write(tmp_dir, "config.json", '{"model": "gpt-4o"}')
-    deps = discover_tree(spark, tmp_dir)
-    for k in ["openai:gpt-4o-2024-08-06", "anthropic:claude-sonnet-4-20250514", "google:gemini-2.5-pro",
-              "xai:grok-3", "openai:gpt-4o"]:
-        assert k in deps, k
-    fixed = deps["openai:gpt-4o-2024-08-06"]
-    assert fixed["line"] == 5 and fixed["path"].endswith("app.ts") and fixed["identifier_kind"] == "fixed"
-    assert fixed["confidence"] == 0.9
-    assert deps["openai:gpt-4o"]["confidence"] == 0.85 and deps["openai:gpt-4o"]["n_occurrences"] == 2
-    assert deps["xai:grok-3"]["low_confidence"] is True
-    assert deps["google:gemini-2.5-pro"]["identifier_kind"] == "floating"
+    return {r["entity_key"]: r for r in D.discover_files(D.read_corpus(spark, root, "repo", DEFAULT_IGNORE_GLOBS)).collect()}
 
 
-def test_skips_node_modules_and_path_like_strings(spark, tmp_dir):
-    write(tmp_dir, "node_modules/pkg/index.js", 'export const model = "gpt-4o";')
-    write(tmp_dir, "notes.ts", 'const path = "src/gpt-4o/file.ts";\n')
-    write(tmp_dir, "dist/bundle.min.js", 'x({model: "gpt-4o"})')
-    assert "openai:gpt-4o" not in discover_tree(spark, tmp_dir)
+def test_one_reference_of_each_file_type(spark, tmp_dir):
+    write(tmp_dir, "billing/jobs/summary.mjs", "// nightly\nimport { OpenAI as Client } from 'openai';\n\n\n"
+          "const answer = Client.responses.create({\n  input: 'x',\n  model: 'o3-mini-2025-01-31',\n});\n")
+    write(tmp_dir, "billing/jobs/rank.py", "import anthropic\n\nMODEL = 1\nmodel = \"claude-3-haiku-20240307\"\n")
+    write(tmp_dir, "deploy/values.yml", "replicas: 2\nmodelId: gemini-1.5-flash\n")
+    write(tmp_dir, "deploy/flags.json", '{"chat": {"model_id": "grok-2"}}')
+    write(tmp_dir, "deploy/.env.example", "XAI_MODEL='grok-2'\nOTHER=1\n")
+    deps = discover_tree(spark, tmp_dir)
+    assert set(deps) == {"openai:o3-mini-2025-01-31", "anthropic:claude-3-haiku-20240307", "google:gemini-1.5-flash", "xai:grok-2"}
+    call = deps["openai:o3-mini-2025-01-31"]
+    assert (call["path"], call["line"], call["confidence"]) == ("billing/jobs/summary.mjs", 5, 0.9)
+    assert deps["anthropic:claude-3-haiku-20240307"]["line"] == 4
+    assert deps["xai:grok-2"]["confidence"] == 0.85 and deps["xai:grok-2"]["n_occurrences"] == 2
+
+
+def test_corpus_reads_every_file_that_counts(spark, tmp_dir):
+    """Names that begin with a dot or an underscore, upper-case extensions, and nothing of
+    skipped directories, ignored, minified or other files."""
+    kept = ["src/__init__.py", "src/_app.tsx", "__tests__/t.ts", ".eslintrc.json", "src/.prod.env.example", "src/UP.PY", "deploy/.env.example", "src/ok.py"]
+    for rel in kept:
+        write(tmp_dir, rel, "x = 1\n")
+    for rel in ("node_modules/p/i.js", ".git/a.py", "src/.cache/b.py", "src/x.min.js", "README.md", "src/data.csv"):
+        write(tmp_dir, rel, "x = 1\n")
+    write(tmp_dir, "big.json", '["' + "x" * 50_001 + '"]')
+    with open(os.path.join(tmp_dir, "src/latin.py"), "wb") as fh:
+        fh.write(b"# caf\xe9\n")
+    got = {r["path"]: r["content"] for r in D.read_corpus(spark, tmp_dir, "repo", DEFAULT_IGNORE_GLOBS).collect()}
+    assert set(got) == {*kept, "src/latin.py"}
+    assert got["src/latin.py"] == "# caf\ufffd\n"
+
+
+def test_roots_overlap_and_share_names(spark, tmp_dir):
+    write(tmp_dir, "a/main.py", "import anthropic\n")
+    write(tmp_dir, "b/main.py", 'model = "gpt-4o"\n')
+    for roots in (["a", "b", "a/sub", ""], ["a/", "./b"], [".", "b"]):
+        files = D.read_corpora(spark, tmp_dir, roots, "repo")
+        assert sorted(r["path"] for r in files.collect()) == ["a/main.py", "b/main.py"], roots
+    assert [r["provider"] for r in D.discover_files(files).collect()] == ["openai"]
+
+
+def test_calls_and_imports_over_several_lines(spark):
+    text = """import {
+  OpenAI as oa,
+} from "openai";
+oa.chat.create({ model: "claude-opus-4-0" });
+oa.chat.create({ messages: [{ role: "user", parts: [{ t: "a, b" }] }], model: "gpt-4o" });
+other.create(
+  {
+    tools: { a: { b: 1 } },
+    'model': 'plain-name',
+  });
+import * as Z from "@anthropic-ai/sdk";
+oa.chat.create({ note: "model: 'gpt-4.1'" });
+Z.messages.create({ model: "gpt-4o" });"""
+    lines = spark.createDataFrame([("r", "a.ts", i + 1, t) for i, t in enumerate(text.split("\n"))], "scope string, path string, line int, text string")
+    hits = {(r["line"], r["model_id"]): r for r in D.scan_js(lines.repartition(4)).filter("kind = 'sdk'").collect()}
+    assert set(hits) == {(4, "claude-opus-4-0"), (5, "gpt-4o"), (6, "plain-name"), (13, "gpt-4o")}
+    assert [hits[k]["provider"] for k in ((4, "claude-opus-4-0"), (5, "gpt-4o"), (13, "gpt-4o"))] == ["openai", "openai", "anthropic"]
+    assert hits[6, "plain-name"]["column"] == len("    'model': ")
+    assert hits[4, "claude-opus-4-0"]["column"] == text.split("\n")[3].index('"claude')
+
+
+def test_skips_path_like_strings(spark, tmp_dir):
+    write(tmp_dir, "lib/where.ts", "export const where = { model: 'assets/gpt-4o/logo' };\n")
+    assert discover_tree(spark, tmp_dir) == {}
 
 
 def test_low_confidence_literal(spark, tmp_dir):
@@ -92,12 +127,6 @@ def test_glob_shapes():
         assert bool(re.search(D.glob_to_regex(g), path)) == want, (g, path)
 
 
-def test_overlapping_roots_read_once(spark, tmp_dir):
-    write(tmp_dir, "app/src/a.py", 'model = "gpt-4o"\n')
-    files = D.read_corpora(spark, [tmp_dir + "/app", tmp_dir + "/app/src"], "repo")
-    assert files.count() == 1
-
-
 def test_pinned_hint_states_sf001(spark):
     """FIXTURES B3: the all-Python corpus from orders; 'model = "gpt-4o"' lines by the
     carried import hint: no hint / openai / anthropic = 682 / 604 / 589 at sf0.01."""

@@ -38,7 +38,7 @@ def test_scan_lock_refresh_check(spark, tmp_dir):
     with open(os.path.join(proj, ".env.example"), "w") as fh:
         fh.write("OPENAI_MODEL=gpt-4o\n")
     files = D.read_corpus(spark, proj, "repo", DEFAULT_IGNORE_GLOBS)
-    deps = D.discover(D.to_lines(files)).select(
+    deps = D.discover_files(files).select(
         "scope", "entity_key", "provider", "model_id", "identifier_kind",
         F.col("confidence").alias("discovery_confidence"), "low_confidence", "path", "line")
     assert {r["entity_key"] for r in deps.collect()} == {"openai:gpt-4o-2024-08-06", "openai:gpt-4o"}
