@@ -90,6 +90,14 @@ def accept_hit(model_id, confidence) -> Column:
 
 # ----------------------------------------------------------------------------- corpus
 
+def open_fs(path: str):
+    """(file system, path in it) of a plain path or a URI, on an executor."""
+    import pyarrow.fs as pafs
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
+
+
 def _list_dirs(batches):
     """mapInPandas: the entries of each directory (any name: Spark's own listing hides names
     that begin with ``.`` or ``_``)."""
@@ -98,7 +106,7 @@ def _list_dirs(batches):
     for pdf in batches:
         rows = []
         for d, rel in zip(pdf["dir"], pdf["rel"]):
-            fs, base = pafs.FileSystem.from_uri(d if "://" in d else "file://" + d)
+            fs, base = open_fs(d)
             for e in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
                 rows.append((d.rstrip("/") + "/" + e.base_name, (rel + "/" if rel else "") + e.base_name, e.base_name,
                              e.type == pafs.FileType.Directory, e.size or 0))
@@ -109,10 +117,9 @@ def _read_files(batches):
     """mapInPandas: the contents of each file, one at a time; bytes that are not UTF-8 become
     replacement characters."""
     import pandas as pd
-    import pyarrow.fs as pafs
     for pdf in batches:
         for a, path in zip(pdf["abs"], pdf["path"]):
-            fs, base = pafs.FileSystem.from_uri(a if "://" in a else "file://" + a)
+            fs, base = open_fs(a)
             with fs.open_input_stream(base) as fh:
                 yield pd.DataFrame({"path": [path], "content": [fh.read().decode("utf-8", "replace")]})
 

@@ -305,3 +305,25 @@ def policy_overrides(scopes: DataFrame) -> DataFrame:
         F.when((n >= 5) & (n <= 9), "single-source").otherwise("official-verified").alias("min_blocking_confidence"),
         ((n >= 10) & (n <= 14)).alias("fail_on_warn"),
     )
+
+
+def written_tree(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """The code files and JSON documents of B3 written as a source tree below ``root``
+    (one folder for each repository), each task writing its own files."""
+    from driftgate.operators.segmented import segmented_row_number
+    lines = segmented_row_number(code_files(spark, sf_dir), ["scope", "path"], "o_orderkey", "line")
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    code = lines.groupBy("scope", "path").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("content"))
+    files = code.unionByName(json_docs(spark, sf_dir)).select(F.concat("scope", F.lit("/"), "path").alias("path"), "content")
+
+    def write(batches):
+        from driftgate.operators.discovery import open_fs
+        fs, base = open_fs(root)
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                fs.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content.encode())
+            yield pdf[["path"]].head(0)
+
+    files.mapInPandas(write, "path string").count()

@@ -213,6 +213,21 @@ def _ignore_sql(path: str) -> str:
     return "(" + " AND ".join(f"NOT regexp_matches({path}, {O._q(D.glob_to_regex(g))})" for g in DEFAULT_IGNORE_GLOBS) + ")"
 
 
+@register("s11_corpus", f"""
+SELECT scope || '/' || path AS path, CAST(line AS INTEGER) AS line, text FROM {O.code_lines_sql()} l
+UNION ALL SELECT scope || '/' || path AS path, 1 AS line, content AS text FROM {O.json_docs_sql()} j""")
+def s11_corpus(spark, sf_dir):
+    """The derived source tree written as files, listed and read back, as
+    numbered lines (skipped directories are not entered)."""
+    import os
+    import uuid
+
+    from driftgate.session import shared_dir
+    root = shared_dir(spark, os.path.join("corpus", uuid.uuid4().hex))
+    B.written_tree(spark, sf_dir, root)
+    return D.to_lines(D.read_corpus(spark, root, "project")).select("path", "line", "text")
+
+
 @register("f1_file_routing", f"""
 SELECT DISTINCT scope, path,
   NOT regexp_matches(path, {O._q(D.SKIP_DIR_RE)}) AS kept,
