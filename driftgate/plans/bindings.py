@@ -84,10 +84,10 @@ def observations(spark: SparkSession, sf_dir: str, upto: str | None = None,
     )
 
 
-def dependencies(spark: SparkSession, sf_dir: str, exclude_mod: int | None = 13) -> DataFrame:
-    """B2: the approved dependency list, one per part (parts with ``p_partkey % 13 = 0``
-    are new, so they are not in it). Scope = tenant ``p_partkey % 20``. The proposed list
-    of an update uses ``exclude_mod=17`` (the parts that left the feeds are gone)."""
+def dependencies(spark: SparkSession, sf_dir: str, exclude_mod: int | None = None) -> DataFrame:
+    """B2: the dependency list, one per part. Scope = tenant ``p_partkey % 20``. The scenario of
+    an update has a previous list without the parts that ``exclude_mod=13`` divides (they are
+    new) and a proposed one without those of ``exclude_mod=17`` (they left the feeds)."""
     p = table(spark, sf_dir, "part").select("p_partkey")
     if exclude_mod:
         p = p.filter(F.col("p_partkey") % exclude_mod != 0)

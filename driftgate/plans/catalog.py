@@ -625,18 +625,18 @@ def a10_sarif_rules(spark, sf_dir):
 
 
 @register("u1_lock_key_changes", f"""
-WITH p AS {O.deps_sql()}, n AS {O.deps_sql().replace('p_partkey % 13 <> 0', 'p_partkey % 17 <> 0')}
+WITH p AS {O.deps_sql(13)}, n AS {O.deps_sql(17)}
 SELECT scope, entity_key, 'added' AS change FROM n WHERE (scope, entity_key) NOT IN (SELECT (scope, entity_key) FROM p)
 UNION ALL
 SELECT scope, entity_key, 'removed' FROM p WHERE (scope, entity_key) NOT IN (SELECT (scope, entity_key) FROM n)""")
 def u1_lock_key_changes(spark, sf_dir):
     """Keys added and removed between the approved and the proposed dependency list."""
     from driftgate.operators.lock import lock_keys_change
-    return lock_keys_change(B.dependencies(spark, sf_dir), B.dependencies(spark, sf_dir, exclude_mod=17))
+    return lock_keys_change(B.dependencies(spark, sf_dir, exclude_mod=13), B.dependencies(spark, sf_dir, exclude_mod=17))
 
 
 @register("t3_change_summary", f"""
-WITH p AS {O.deps_sql()}, n AS {O.deps_sql().replace('p_partkey % 13 <> 0', 'p_partkey % 17 <> 0')},
+WITH p AS {O.deps_sql(13)}, n AS {O.deps_sql(17)},
 f AS {O.findings_sql()},
 pc AS (SELECT scope, count(*) AS n_previous FROM p GROUP BY scope),
 nc AS (SELECT scope, count(*) AS n_proposed FROM n GROUP BY scope),
@@ -653,7 +653,7 @@ LEFT JOIN g ON g.scope = coalesce(pc.scope, nc.scope)""")
 def t3_change_summary(spark, sf_dir):
     """T3 (+U1, A9): per scope: previous/proposed counts, added/removed keys, preview counts."""
     from driftgate.operators.lock import lock_keys_change
-    prev, prop = B.dependencies(spark, sf_dir), B.dependencies(spark, sf_dir, exclude_mod=17)
+    prev, prop = B.dependencies(spark, sf_dir, exclude_mod=13), B.dependencies(spark, sf_dir, exclude_mod=17)
     run = drift.run(spark, sf_dir)
     return R.change_summary(prev, prop, lock_keys_change(prev, prop), run.gate)
 
@@ -687,7 +687,7 @@ def t5_lock_build(spark, sf_dir):
     """The proposed lock: dependencies plus include keys (only where not
     present), each with all 12 facts from the snapshot or 'unavailable' facts."""
     from driftgate.operators.lock import build_lock, overrides
-    deps = B.dependencies(spark, sf_dir)
+    deps = B.dependencies(spark, sf_dir, exclude_mod=13)
     k = F.col("p_partkey")
     ident = B.part_identity(k)
     includes = (B.table(spark, sf_dir, "part").filter(k % 13 == 0)

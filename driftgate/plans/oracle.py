@@ -165,22 +165,23 @@ def fact_sql(as_of: str, stale_days: int, drop_mod: int | None = None) -> str:
 )"""
 
 
-def deps_sql() -> str:
+def deps_sql(exclude_mod: int | None = None) -> str:
     """B2 dependency list."""
+    where = f"WHERE p_partkey % {exclude_mod} <> 0" if exclude_mod else ""
     return f"""(
   SELECT 'tenant-' || (p_partkey % 20) AS scope, provider || ':' || model_id AS entity_key, provider, model_id,
     {kind_sql('model_id')} AS identifier_kind,
     CASE WHEN p_partkey % 11 = 0 THEN 0.55 ELSE 0.9 END AS discovery_confidence,
     p_partkey % 11 = 0 AS low_confidence,
     'svc' || (p_partkey % 20) || '/app.py' AS path, CAST(p_partkey % 50 + 1 AS INTEGER) AS line
-  FROM (SELECT p_partkey, {part_identity_sql('p_partkey')} FROM part WHERE p_partkey % 13 <> 0) p
+  FROM (SELECT p_partkey, {part_identity_sql('p_partkey')} FROM part {where}) p
 )"""
 
 
 def deps_with_includes_sql() -> str:
     """The approved list plus the new parts as include keys (confidence 1, override)."""
     return f"""(
-  SELECT scope, entity_key, provider, model_id, identifier_kind, discovery_confidence, low_confidence, path, line FROM {deps_sql()} d
+  SELECT scope, entity_key, provider, model_id, identifier_kind, discovery_confidence, low_confidence, path, line FROM {deps_sql(13)} d
   UNION ALL
   SELECT 'tenant-' || (p_partkey % 20), provider || ':' || model_id, provider, model_id, {kind_sql('model_id')},
          1.0, false, '.llm-lock.yml', 1
