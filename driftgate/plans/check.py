@@ -29,7 +29,7 @@ def write_by_scope(df: DataFrame, path: str, form: str = "parquet", buckets: int
     bucket = F.pmod(F.xxhash64("scope"), F.lit(buckets)).cast("int")
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(files)).cast("int")
     (df.withColumn("scope_bucket", bucket).withColumn("_salt", salt)
-       .repartition(buckets * files, "scope_bucket", "_salt").drop("_salt")
+       .repartition("scope_bucket", "_salt").drop("_salt")
        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("scope_bucket").format(form).save(path))
 
 

@@ -24,8 +24,8 @@ def test_entry_runs(spark):
 
 
 def _names():
-    import __spark_entry__ as E
-    return sorted(E.queries())
+    from driftgate.plans.catalog import QUERIES
+    return sorted(QUERIES)
 
 
 @pytest.mark.parametrize("name", _names())
