@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from driftgate.functions.jsontext import json_ok, sorted_struct
 from driftgate.functions.text import SECRET_KEY_WORDS, contains_secret, scrub_secrets
 from driftgate.schemas import REDACTED
-from driftgate.schemas import FACTS, SCHEMA_VERSION
+from driftgate.schemas import CONFIDENCE_ORDER, FACTS, PROVIDERS, SCHEMA_VERSION
 
 # Lock line: header fields repeated per dependency, the dependency, and its approved facts.
 LOCK_LINE = T.StructType(sorted([
@@ -37,12 +37,19 @@ REQUIRED = ["lockfileVersion", "scope", "key", "provider", "modelId", "identifie
 def read_lock(raw: DataFrame, text_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """JSON lines -> (good rows, rejects(line, reason))."""
     t = F.col(text_col)
+    j = lambda c: F.col(f"j.{c}")
+    # Enums and ranges; a value of a wrong JSON type parses to null and fails if it is required.
+    confidences = F.filter(F.array(*[F.col(f"j.facts.{f.name}.confidence") for f in FACTS.fields]), lambda c: c.isNotNull())
+    in_range = (j("identifierKind").isin("floating", "fixed") & j("provider").isin(PROVIDERS)
+                & (j("discoveryConfidence").isNull() | j("discoveryConfidence").between(0, 1)) & (j("line").isNull() | (j("line") >= 1))
+                & F.forall(confidences, lambda c: c.isin(CONFIDENCE_ORDER)))
     parsed = raw.select(t.alias("raw"), F.from_json(t, LOCK_LINE).alias("j"))
     reason = (F.when(contains_secret("raw"), "contains a secret")
                .when(~json_ok("raw"), "not valid JSON")
                .when(F.col("j.lockfileVersion") != SCHEMA_VERSION, "unsupported lockfileVersion")
                .when(~F.coalesce(F.array_min(F.array(*[F.col(f"j.{c}").isNotNull() for c in REQUIRED])), F.lit(False)),
-                     "schema validation failed"))
+                     "schema validation failed")
+               .when(~F.coalesce(in_range, F.lit(False)), "schema validation failed"))
     checked = parsed.withColumn("reason", reason)
     good = checked.filter(F.col("reason").isNull()).select("j.*")
     rejects = checked.filter(F.col("reason").isNotNull()).select(F.col("raw").alias("line"), "reason")

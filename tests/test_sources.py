@@ -77,6 +77,12 @@ def test_lock_roundtrip_and_secret_refusal(spark, tmp_dir):
                                  ('{"lockfileVersion": 1, "path": "sk-' + "x" * 30 + '"}',)], "value string")
     reasons = sorted(r["reason"] for r in read_lock(raw)[1].collect())
     assert reasons == ["contains a secret", "not valid JSON", "unsupported lockfileVersion"]
+    line = {"lockfileVersion": 1, "scope": "r", "key": "openai:m", "provider": "openai", "modelId": "m", "identifierKind": "fixed"}
+    wrong = [{"identifierKind": "loose"}, {"provider": "nobody"}, {"discoveryConfidence": 1.5}, {"line": 0}, {"lockfileVersion": "one"},
+             {"facts": {"provider": {"confidence": "certain"}}}]
+    lines = spark.createDataFrame([(json.dumps({**line, **w}),) for w in [{}, *wrong]], "value string")
+    good, rejected = read_lock(lines)
+    assert good.count() == 1 and {r["reason"] for r in rejected.collect()} == {"schema validation failed"}
     # a secret in a free-text column is scrubbed before writing
     leaky = lock_lines(deps.withColumn("path", F.lit("sk-" + "y" * 30)), "t")
     write_lock(leaky, tmp_dir + "/lock2")
