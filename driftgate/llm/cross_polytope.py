@@ -5,13 +5,16 @@ signs and a fast Hadamard transform) and assigns them to the nearest signed axis
 looks into the PROBES nearest axes of every table; what lies there is ranked by the exact
 inner product of the original vectors, in double precision.
 
-Largest inner product is turned into nearest direction as usual: vectors are divided by the
-largest norm and get one more coordinate that makes them unit vectors (left out if all norms
-agree); queries are only scaled.
+Vectors are dealt into ranges of norms, each RATIO wide, and hashed by direction alone; a query
+looks into its cells of every range, and the exact scores merge the ranges. Within a range
+the largest inner products are nearly the nearest directions, and a vector's cells do not
+depend on other norms. The vectors of ranges of at most EXACT vectors are all compared. So are all
+vectors of its length for a query that found fewer than K.
 
-A cell (table, axis) is cut into blocks of at most BLOCK vectors and QUERY_BLOCK queries, so
+A cell (range, table, axis) is cut into blocks of at most BLOCK vectors and QUERY_BLOCK queries, so
 a hot cell (many equal vectors) never lands in one task. Only the best K of each block go on.
-The cells' sizes, TABLES * 2 * dimension rows, are the only thing broadcast.
+The cells' sizes, TABLES * 2 * dimension rows a hashed range, and the list of hashed ranges are
+the only things broadcast.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ ship(__name__)
 
 TABLES, PROBES, K = 8, 20, 20
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Largest norm of a range, divided by its smallest, and most vectors of a range that is not hashed.
+RATIO, EXACT = 1.25, 4096
+#: The range whose vectors are all compared.
+WHOLE = -(1 << 31)
 SEED = 4
 
 
@@ -61,43 +68,72 @@ def axes(y: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(near, order, 1)
 
 
-def _cells(norm: float, level: bool, tables: int, probes: int):
+def _vectors(batch, column: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The components of all lists of a column, and each list's begin and length."""
+    lists = batch.column(column)
+    length = np.diff(np.asarray(lists.offsets))
+    return np.asarray(lists.flatten()).astype(np.float64), np.cumsum(length) - length, length
+
+
+def _ranges(batches):
+    """(id, vector, query) -> the same with the vector's length and range of norms."""
+    for b in batches:
+        flat, first, length = _vectors(b, 1)
+        if not len(length):
+            continue
+        most = np.maximum.reduceat(np.abs(flat), first)  # squares of large or small components leave a double's range
+        norm = np.log(np.add.reduceat((flat / np.repeat(most, length)) ** 2, first)) / 2 + np.log(most)
+        part = np.rint(norm / math.log(RATIO)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(length.astype(np.int32)), pa.array(part)], names=["id", "vector", "query", "dim", "part"])
+
+
+def _cells(hashed: dict[int, list[int]], whole: set[int], tables: int, probes: int):
     def run(batches):
-        """(id, vector, query) -> a row for each cell of a vector (data), and for each cell that
-        a query looks into."""
+        """(id, vector, query, dim, part) -> a row for each cell of a vector (data), and for each
+        cell that a query looks into. ``hashed``: the hashed ranges of each length; ``whole``:
+        lengths with vectors in other ranges."""
         for b in batches:
-            lists = b.column(1)
-            flat = np.asarray(lists.flatten()).astype(np.float64)
-            length = np.diff(np.asarray(lists.offsets))
-            first = np.cumsum(length) - length
+            flat, first, length = _vectors(b, 1)
             query = np.asarray(b.column(2).to_numpy(zero_copy_only=False), bool)
+            part = np.asarray(b.column(4))
+            out = []  # cell, range, row, query
+
+            def put(cell, part, row, query):
+                out.append((np.asarray(cell, np.int64), np.broadcast_to(np.asarray(part, np.int32), len(row)), row, np.full(len(row), query)))
+
             for d in np.unique(length):
-                rows = np.flatnonzero(length == d)
-                x = flat[first[rows][:, None] + np.arange(d)] / norm
-                size = 1 << max(1, math.ceil(math.log2(d if level else d + 1)))
-                point = np.zeros((len(rows), size))
-                point[:, :d] = x
-                data = point.copy()
-                if not level:
-                    data[:, d] = np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1)))
-                asked = np.flatnonzero(query[rows])
-                cells, who, role = [], [], []
+                rows, base = np.flatnonzero(length == d), int(d) << 32
+                parts = hashed.get(int(d), [])
+                mine = np.isin(part[rows], parts)
+                put(np.full((~mine).sum(), base), WHOLE, rows[~mine], False)
+                asked = rows[query[rows]]
+                if int(d) in whole:
+                    put(np.full(len(asked), base), WHOLE, asked, True)
+                if not parts:
+                    continue
+                rows = rows[mine]
+                size = 1 << max(1, math.ceil(math.log2(d)))
+
+                def points(of):
+                    x = flat[first[of][:, None] + np.arange(d)]
+                    x = x / np.abs(x).max(1, keepdims=True)
+                    return np.pad(x / np.sqrt((x * x).sum(1, keepdims=True)), ((0, 0), (0, size - d)))
+
+                data, asks = points(rows) if len(rows) else None, points(asked) if len(asked) else None
                 for t in range(tables):
-                    base = (int(d) << 32) + t * 2 * size
-                    cells.append(base + axes(rotate(data, t), 1)[:, 0])
-                    who.append(np.arange(len(rows)))
-                    role.append(np.zeros(len(rows), bool))
+                    of = base + t * 2 * size
+                    if len(rows):
+                        put(of + axes(rotate(data, t), 1)[:, 0], part[rows], rows, False)
                     if len(asked):
-                        near = axes(rotate(point[asked], t), probes)
-                        cells.append(base + near.ravel())
-                        who.append(np.repeat(asked, near.shape[1]))
-                        role.append(np.ones(near.size, bool))
-                at = rows[np.concatenate(who)]
-                for s in range(0, len(at), 8192):
-                    take = pa.array(at[s:s + 8192])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(cells)[s:s + 8192].astype(np.int64)), pa.array(np.concatenate(role)[s:s + 8192]),
-                         b.column(0).take(take), lists.take(take)], names=["cell", "query", "id", "vector"])
+                        near = axes(rotate(asks, t), probes)
+                        for p in parts:
+                            put((of + near).ravel(), p, np.repeat(asked, near.shape[1]), True)
+            cell, part, at, role = map(np.concatenate, zip(*out)) if out else [np.zeros(0, np.int64)] * 4
+            for s in range(0, len(at), 8192):
+                take = pa.array(at[s:s + 8192])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[s:s + 8192]), pa.array(cell[s:s + 8192]), pa.array(role[s:s + 8192]), b.column(0).take(take), b.column(1).take(take)],
+                    names=["part", "cell", "query", "id", "vector"])
     return run
 
 
@@ -110,15 +146,19 @@ def _rank(k: int):
             x = np.stack(data["vector"].to_numpy()).astype(np.float64)
             q = np.stack(asked["vector"].to_numpy()).astype(np.float64)
             ids = data["id"].to_numpy()
+            again = data["id"].duplicated().any()
             rough = q @ x.T
             for n, own in enumerate(asked["id"].to_numpy()):
                 s = np.where(ids == own, -np.inf, rough[n])
                 least = np.partition(s, max(0, len(s) - k))[max(0, len(s) - k)]
                 # Matrix products may differ in the last digits from pair to pair; the
                 # score is summed in one fixed way, so equal vectors tie exactly.
-                near = np.flatnonzero((s >= least - 1e-9 * (1 + abs(least))) & (ids != own)) if np.isfinite(least) else np.flatnonzero(ids != own)
+                near = np.flatnonzero((s >= least - 1e-9 * (1 + abs(least))) & (ids != own)) if np.isfinite(least) and not again else np.flatnonzero(ids != own)
                 score = (x[near] * q[n]).sum(1)
-                best = near[order := np.lexsort((ids[near], -score))[:k]]
+                order = np.lexsort((ids[near], -score))
+                if again:  # rows that repeat an id count once
+                    order = order[~pd.Series(ids[near[order]]).duplicated().to_numpy()]
+                best = near[order := order[:k]]
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids[best], "score": score[order]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
     return run
@@ -134,41 +174,63 @@ def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
         .filter(~bad & some)
 
 
-def nearest(vectors: DataFrame, is_query, id: str = "vec_id", vector: str = "embedding", k: int = K,
-            tables: int = TABLES, probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of every row that fits
-    ``is_query`` (a condition on the column ``id``), by largest inner product, ties to the
-    smaller id; the row itself is no candidate.
-
-    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor
-    do rows without an id. Vectors of another length are never compared. Rows that repeat an
-    id count once in a result. An empty table, or one without queries, gives no rows. Other
-    columns play no part.
-    """
-    scratch = Scratch(vectors.sparkSession, "polytope")
-    kind = vectors.schema[id].dataType.simpleString()
-    good = scratch.write(usable(vectors, id, vector).select("id", "vector", is_query(F.col("id")).alias("query")))
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    most, least = good.select(square.alias("s")).agg(F.max("s"), F.min("s")).first()
-    if most is None:
-        return good.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    level = most - least <= 1e-5 * most
-    cells = scratch.write(good.mapInArrow(_cells(math.sqrt(most), level, tables, probes),
-                                          f"cell long, query boolean, id {kind}, vector array<double>"))
+def _compared(cells: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best ``k`` for every query of each block of its cells."""
+    kind = cells.schema["id"].dataType.simpleString()
     count = lambda cond: F.count(F.when(cond, 1))
-    sizes = cells.groupBy("cell").agg(
+    sizes = cells.groupBy("part", "cell").agg(
         F.greatest(F.ceil(count(~F.col("query")) / BLOCK), F.lit(1)).cast("int").alias("blocks"),
         F.greatest(F.ceil(count(F.col("query")) / QUERY_BLOCK), F.lit(1)).cast("int").alias("query_blocks"),
         count(F.col("query")).alias("asked"))
     sizes = scratch.write(sizes)
-    cut = cells.join(F.broadcast(sizes.filter("asked > 0").drop("asked")), "cell")
+    cut = cells.join(F.broadcast(sizes.filter("asked > 0").drop("asked")), ["part", "cell"])
     h = F.xxhash64("id")
     own = lambda n: F.array(F.pmod(h, F.col(n)).cast("int"))
     all_ = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     cut = cut.withColumn("block", F.explode(F.when(F.col("query"), all_("blocks")).otherwise(own("blocks")))) \
         .withColumn("query_block", F.explode(F.when(F.col("query"), own("query_blocks")).otherwise(all_("query_blocks"))))
-    found = cut.select("cell", "block", "query_block", "query", "id", "vector").groupBy("cell", "block", "query_block") \
-        .applyInPandas(lambda pdf: _rank(k)(pdf.drop(columns=["cell", "block", "query_block"])), f"query_id {kind}, vec_id {kind}, score double")
+    by = ["part", "cell", "block", "query_block"]
+    return cut.select(*by, "query", "id", "vector").groupBy(*by) \
+        .applyInPandas(lambda pdf: _rank(k)(pdf.drop(columns=by)), f"query_id {kind}, vec_id {kind}, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, is_query, id: str = "vec_id", vector: str = "embedding", k: int = K,
+            tables: int = TABLES, probes: int = PROBES, exact: int = EXACT) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of every row that fits
+    ``is_query`` (a condition on the column ``id``), by largest inner product, ties to the
+    smaller id; the row itself is no candidate. A query gets fewer only if there are fewer.
+
+    Vectors that are null, empty, zero or hold null or non-finite components take no part, nor
+    do rows without an id. Vectors of another length are never compared. Rows that repeat an
+    id count once in a result. An empty table, or one without queries, gives no rows. Other
+    columns play no part.
+    """
+    scratch = Scratch(vectors.sparkSession, "polytope")
+    kind = vectors.schema[id].dataType.simpleString()
+    good = usable(vectors, id, vector).select("id", "vector", is_query(F.col("id")).alias("query"))
+    good = scratch.write(good.mapInArrow(_ranges, f"id {kind}, vector array<double>, query boolean, dim int, part int"))
+    hashed, whole = {}, set()
+    for r in good.groupBy("dim", "part").count().collect():
+        if r["count"] > exact:
+            hashed.setdefault(r["dim"], []).append(r["part"])
+        else:
+            whole.add(r["dim"])
+    cells = scratch.write(good.mapInArrow(_cells(hashed, whole, tables, probes), f"part int, cell long, query boolean, id {kind}, vector array<double>"))
+    found = _best(_compared(cells, scratch, k), k)
+    if not hashed:
+        return found
+    found = scratch.write(found)
+    of = good.filter(F.col("dim").isin(list(hashed)))
+    enough = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = scratch.write(of.filter("query").join(enough, "id", "left_anti").select("id", "vector", "query", "dim"))
+    if not short.limit(1).count():
+        return found
+    rest = of.select("id", "vector", F.lit(False).alias("query"), "dim").union(short.select("id", "vector", "query", "dim"))
+    rest = rest.select(F.lit(WHOLE).alias("part"), F.shiftleft(F.col("dim").cast("long"), 32).alias("cell"), "query", "id", "vector")
+    return _best(found.drop("rank").union(_compared(rest, scratch, k).select("query_id", "vec_id", "score")), k)

@@ -62,6 +62,38 @@ def test_ties_bad_vectors_and_norms(spark):
     assert nearest(df.filter("vec_id >= 102 and vec_id < 120"), lambda i: i % 20 == 0).count() == 0
 
 
+def recall(spark, x, **options):
+    """The share of the true neighbours found; every query must find 20."""
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {}
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0, **options).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got) == list(range(0, len(x), 100)) and {len(v) for v in got.values()} == {20}
+    return np.mean([len(set(v) & {i for i, _ in brute(np.arange(len(x)), x, q)}) / 20 for q, v in got.items()])
+
+
+@pytest.mark.parametrize("norms", ["one outlier", "lognormal"])
+def test_recall_whatever_the_norms(spark, norms):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    if norms == "one outlier":
+        x[77] *= 10
+    else:
+        x *= rng.lognormal(0, 0.5, (8000, 1))
+    assert recall(spark, x, exact=500) >= 0.9
+
+
+def test_every_query_finds_its_neighbours(spark):
+    x = np.random.default_rng(8).normal(size=(700, 32))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    x[5:650] = x[5]  # all in one cell of each table
+    assert recall(spark, x, exact=10, tables=1, probes=1) >= 0.9
+    rows = [(i % 3, [float(v) for v in r]) for i, r in enumerate(x[:90])] + [(k, [0.5] * 32) for k in range(3, 40)]
+    once = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0).collect()
+    assert len({r.vec_id for r in once}) == len(once) == 20  # rows that repeat an id leave room for others
+
+
 def test_rotation_keeps_angles():
     x = np.random.default_rng(2).normal(size=(5, 16))
     y = rotate(x, 3)
