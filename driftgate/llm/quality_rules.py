@@ -31,10 +31,12 @@ STEPS = 6
 #: Groups with fewer usable documents are pooled by language, then over all documents.
 MIN_GROUP = 200
 #: Quantiles of chi-square with five degrees of freedom: reweighting, rejection.
-REWEIGHT, REJECT = 0.975, 0.999999
-#: Least standard deviation of each statistic: below it a difference means nothing, and
-#: statistics that are zero in most clean documents would make the scatter singular.
-FLOORS = {"length": 0.9, "word_length": 0.12, "symbols": 0.035, "dup_lines": 0.16, "repeats": 0.16}
+REWEIGHT, REJECT = 0.975, 0.999
+#: Resolution of each statistic, a ridge on the estimated scatter (as standard deviation), which
+#: keeps it regular where most documents agree exactly: a tenth of a length, the sampling error
+#: of the mean word length over the 50 words that the base rules ask for, one symbol in a
+#: thousand characters, one line or word in a hundred.
+FLOORS = {"length": 0.1, "word_length": 0.05, "symbols": 0.03, "dup_lines": 0.1, "repeats": 0.1}
 STATS = list(FLOORS)
 P = len(STATS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -152,7 +154,7 @@ def _factor(moments: DataFrame, factor: float) -> DataFrame:
     cov = {}
     for i, j in PAIRS:
         c = (F.col(f"q{i}{j}") / n / (SCALE * SCALE) - F.col(f"m{i}") * F.col(f"m{j}")) * factor
-        # The floor goes on the diagonal in full, so the scatter stays regular whatever the data.
+        # The resolution goes on the diagonal, so the scatter stays regular whatever the data.
         cov[i, j] = F.greatest(c, F.lit(0.0)) + F.lit(FLOORS[STATS[i]] ** 2) if i == j else c
     df = df.select("*", *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
     for i in range(P):  # Cholesky factor, then its inverse, one column after another

@@ -95,6 +95,29 @@ def test_outliers_against_numpy(spark):
     assert all(got[i].kept == (i % 25 != 0) for i in got)
 
 
+def test_outliers_in_one_statistic(spark):
+    rng = random.Random(5)
+    text = lambda n: sentence(rng, n).split()
+    lines = lambda w, n: "\n".join(" ".join(w[i:i + n]) for i in range(0, len(w), n))
+    clean = [lines(text(rng.randint(150, 250)), 10) for _ in range(400)]
+    w = text(220)
+    planted = {
+        "length": lines(text(4000), 10), "word_length": lines([x + x[:3] for x in text(220)], 10),
+        "symbols": lines([x + "#" * (i % 8 == 0) for i, x in enumerate(text(220))], 10),
+        "dup_lines": "\n".join(x for i, v in enumerate(w) for x in ([v, "again"] if i % 3 else [v])),  # no 3 words repeat
+        "repeats": lines(w[:170] + w[1:51], 11),  # no line repeats
+    }
+    rows = [(i, t, "en", "a") for i, t in enumerate([*clean, *planted.values()])]
+    got = {r.row.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    middle = np.median([vector(brute_counts(t)) for t in clean], 0) / Q.SCALE
+    for i, name in enumerate(planted, len(clean)):
+        off = np.abs(np.array(vector(brute_counts(rows[i][1]))) / Q.SCALE - middle)
+        assert not got[i].base_failed and not got[i].kept, name
+        assert name == "dup_lines" or off[Q.STATS.index("dup_lines")] == 0, name
+        assert name == "repeats" or off[Q.STATS.index("repeats")] == 0, name
+    assert sum(got[i].kept for i in range(len(clean))) >= 0.98 * len(clean)
+
+
 def test_empty_table(spark):
     assert Q.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
