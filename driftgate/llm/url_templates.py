@@ -2,10 +2,12 @@
 
 Paths are cut in segments. Level by level, under each (host, template so far):
 
-* variable segments become ``*``: those with a digit, and those too rare below their parent;
-* of the frequent ones, branches whose shares of good labels do not differ significantly are
-  merged into ``~`` and the first one's name, and those with too few labels to tell into ``~``;
-* the others keep their name.
+* branches with enough labels whose share of good ones differs significantly from that of all
+  other branches of their parent, whatever their number of urls, are put in bins by that share;
+  adjacent bins that do not differ significantly are merged. A branch alone in its group keeps
+  its name, the others are named ``~`` and the group's first one;
+* of the rest, segments with a digit and those too rare below their parent become ``*``;
+  branches with enough labels are one group, and those with too few to tell become ``~``.
 
 A template's purity is its share of good labels, smoothed towards the share of all labels. A
 url that no rule judges is blocked if its template's purity is too low.
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 
 from driftgate.llm.common import Scratch
 
-#: Least urls and share of its parent's urls of a segment that keeps its name.
+#: Least urls and share of its parent's urls of a segment that keeps its name although its labels are like the others'.
 MIN_COUNT, MIN_SHARE = 20, 0.01
-#: Least labels of a branch that is compared, and the z value from which two differ.
-MIN_LABELS, Z = 10, 2.58
+#: Least labels of a branch that is compared, the z value from which two differ, and the bins
+#: of the share of good labels.
+MIN_LABELS, Z, BINS = 10, 2.58, 50
 #: Weight of the share of all labels in a purity, and the purity below which is blocked.
 WEIGHT, PURITY = 10.0, 0.5
 #: Segments from this one on count as one.
@@ -54,6 +57,13 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colum
     return out
 
 
+def _z(g1: Column, n1: Column, g2: Column, n2: Column) -> Column:
+    """How far the share of good labels g2 / n2 lies above g1 / n1, in standard errors."""
+    n1, n2 = F.greatest(n1, F.lit(1)), F.greatest(n2, F.lit(1))
+    p = (g1 + g2) / (n1 + n2)
+    return (g2 / n2 - g1 / n1) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / n2))
+
+
 def template_tree(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, shape, template, purity) from (host, shape, n, labels, good)."""
     segments = F.filter(F.split("shape", "/"), lambda s: s != "")
@@ -65,28 +75,35 @@ def template_tree(shapes: DataFrame, scratch: Scratch) -> DataFrame:
     depth = tree.agg(F.max(F.size("segments"))).first()[0] or 0
     for k in range(depth):
         seg = F.get("segments", F.lit(k))
-        at = tree.withColumn("seg", F.when(seg.contains("0"), F.concat(F.lit("*"), F.regexp_extract(seg, r"(\.[A-Za-z]+)$", 1))).otherwise(seg))
-        branch = at.filter("seg is not null").groupBy("host", "template", "seg").agg(
-            F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("good").alias("good"))
-        parent = branch.groupBy("host", "template").agg(F.sum("n").alias("pn"))
-        b = branch.join(parent, ["host", "template"])
-        rare = (F.col("n") < MIN_COUNT) | (F.col("n") < F.col("pn") * MIN_SHARE)
-        kind = F.when(F.col("seg").startswith("*"), "variable").when(rare, "rare").when(F.col("labels") < MIN_LABELS, "unknown").otherwise("known")
-        b = b.withColumn("kind", kind).withColumn("share", F.col("good") / F.greatest(F.col("labels"), F.lit(1)))
-        # Branches in order of their share of good labels; a new group where it jumps. A parent
-        # has at most 1 / MIN_SHARE frequent branches.
-        at_parent = Window.partitionBy("host", "template", "kind")
-        by_share = at_parent.orderBy("share", "seg")
-        n1, g1, n2, g2 = F.lag("labels").over(by_share), F.lag("good").over(by_share), F.col("labels"), F.col("good")
-        p = (g1 + g2) / (n1 + n2)
-        z = (g2 / n2 - g1 / n1) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
-        known = b.filter("kind = 'known'").withColumn("jump", F.when((p > 0) & (p < 1) & (z >= Z), 1).otherwise(0))
-        known = known.withColumn("group", F.sum("jump").over(by_share.rowsBetween(Window.unboundedPreceding, 0)))
-        of_group = Window.partitionBy("host", "template", "group")
-        known = known.select("host", "template", "seg", F.when(F.count("*").over(of_group) == 1, F.col("seg"))
-                             .otherwise(F.concat(F.lit("~"), F.min("seg").over(of_group))).alias("name"))
-        other = F.when(F.col("kind") == "variable", F.col("seg")).when(F.col("kind") == "rare", "*").otherwise("~")
-        names = b.filter("kind != 'known'").select("host", "template", "seg", other.alias("name")).union(known)
+        at = tree.withColumn("seg", seg)
+        parts = ["host", "template"]
+        branch = scratch.write(at.filter("seg is not null").groupBy(*parts, "seg").agg(
+            F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("good").alias("good")))
+        parent = branch.groupBy(*parts).agg(F.sum("n").alias("pn"), F.sum("labels").alias("pl"), F.sum("good").alias("pg"))
+        n, labels, good, pn, pl, pg = (F.col(c) for c in ("n", "labels", "good", "pn", "pl", "pg"))
+        tested = (labels >= MIN_LABELS) & (pl - labels >= MIN_LABELS)
+        differs = tested & (F.abs(_z(pg - good, pl - labels, good, labels)) >= Z)
+        rare = (n < MIN_COUNT) | (n < pn * MIN_SHARE)
+        kind = F.when(differs, "differs").when(F.col("seg").contains("0"), "variable").when(rare, "rare") \
+            .when(labels < MIN_LABELS, "unknown").otherwise("alike")
+        bin = F.when(differs, F.least(F.floor(good * BINS / F.greatest(labels, F.lit(1))), F.lit(BINS - 1))).otherwise(-1)
+        b = scratch.write(branch.join(parent, parts).select(*parts, "seg", "labels", "good", kind.alias("kind"), bin.cast("int").alias("bin")))
+        # At most BINS + 1 rows a parent, in order of the share of good labels; a new group where
+        # it jumps. The branches that do not differ are bin -1, always a group.
+        bins = b.filter("kind in ('differs', 'alike')").groupBy(*parts, "bin").agg(
+            F.sum("labels").alias("labels"), F.sum("good").alias("good"), F.count("*").alias("size"), F.min("seg").alias("first"))
+        by_share = Window.partitionBy(*parts).orderBy("bin")
+        last = lambda c: F.lag(c).over(by_share)
+        jump = (last("bin") == -1) | (_z(last("good"), last("labels"), good, labels) >= Z)
+        bins = bins.withColumn("jump", F.when(jump, 1).otherwise(0))
+        bins = bins.withColumn("group", F.sum("jump").over(by_share.rowsBetween(Window.unboundedPreceding, 0)))
+        of_group = Window.partitionBy(*parts, "group")
+        bins = bins.select(*parts, "bin", F.sum("size").over(of_group).alias("size"), F.min("first").over(of_group).alias("first"))
+        known = b.filter("kind in ('differs', 'alike')").join(bins, [*parts, "bin"]).select(
+            *parts, "seg", F.when(F.col("size") == 1, F.col("seg")).otherwise(F.concat(F.lit("~"), "first")).alias("name"))
+        other = F.when(F.col("kind") == "variable", F.concat(F.lit("*"), F.regexp_extract("seg", r"(\.[A-Za-z]+)$", 1))) \
+            .when(F.col("kind") == "rare", "*").otherwise("~")
+        names = b.filter("kind not in ('differs', 'alike')").select(*parts, "seg", other.alias("name")).union(known)
         tree = scratch.write(at.join(names, ["host", "template", "seg"], "left").withColumn(
             "template", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).drop("seg", "name"))
     purity = tree.groupBy("host", "template").agg(((F.sum("good") + WEIGHT * prior) / (F.sum("labels") + WEIGHT)).alias("purity"))

@@ -196,6 +196,17 @@ def test_templates_by_purity(spark):
     assert got["user-aa"].template.startswith("/*/")
 
 
+def test_small_branches_of_a_hot_host(spark):
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    rows = [(f"http://h.org/{name(b)}/{i}", True) for b in range(200) for i in range(60)]
+    rows += [(f"http://h.org/casino/{i}", False) for i in range(100)]  # under 1 % of the host's urls
+    rows += [(f"http://h.org/top{i}/x", False) for i in range(50)] + [(f"http://h.org/mp{i}/x", True) for i in range(50)]
+    rows += [(f"http://h.org/casino/{i}", None) for i in range(100, 200)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, label boolean")
+    blocked = {r.path.strip("/0123456789x") for r in url_filter(df, []).collect() if r.verdict == "block"}
+    assert blocked == {"casino", "top"}
+
+
 # ---------------------------------------------------------------------------- pages
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <header><a href="/">Home</a><p>Site header</p></header><nav><ul><li><a href=x>Menu</a></li></ul></nav>
