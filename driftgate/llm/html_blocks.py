@@ -3,13 +3,14 @@
 Markup is stripped block by block: each block element is a line, character references are
 decoded and white space is collapsed. Containers that are never main text (menus, footers,
 sidebars, adverts, notices, forms, scripts, reader comments: by element, role or class) are
-dropped; beside the page's other parts they leave a gap of empty lines. Lines outside the page's articles (if it marks any), and lines that are
-mostly links, weigh nothing; the others weigh their length.
+dropped and leave no gap; a container that only its class, id or role names so, or a form, is
+kept if it holds most of the page's text. Lines outside the page's articles (if it marks any),
+and lines that are mostly links, weigh nothing; the others weigh their length.
 
 Sums of the weights over sliding windows of lines give the distribution: text begins at a
 surge (the sum rises from nothing to a real block) and ends at a dive (it falls back to
-nothing). Of several such stretches the heaviest is kept, and those of comparable weight; all
-stretches inside marked articles are. Every line between surge and dive is kept whole.
+nothing). Of several such stretches all are kept whose text lies mostly outside links, however
+short; all stretches inside marked articles are. Every line between surge and dive is kept whole.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from driftgate.llm.common import ship
 
 ship(__name__)
 
-#: Lines in a window, and empty lines that a dropped container leaves.
+#: Lines in a window.
 WINDOW = 3
-#: A stretch is kept beside the heaviest from this share of its weight.
-SHARE = 0.2
+#: A stretch is kept if more than this share of its characters is outside links.
+DENSE = 0.5
 #: A line is mostly links from this share of its characters.
 LINKS = 0.6
 
@@ -50,10 +51,12 @@ pagination pager tags toc form copyright legal disclaimer skip gdpr paywall""".s
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _UNENDED = re.compile(r"<[!/?a-zA-Z][^<>]*$", re.S)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
 def _noise(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is dropped."""
     if name in DROPPED or (name == "header" and not in_article):
         return True
     if not attributes or name in ("body", "html", "article", "main", "h1") and "comment" not in attributes:
@@ -66,18 +69,28 @@ def _noise(name: str, attributes: str, in_article: bool) -> bool:
             names = {w.lower() for w in _SPLIT.split(value.strip("\"'"))} & NOISE
             if names - ({"header", "masthead", "title"} if in_article else set()):
                 return True
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if key == "style" and _HIDDEN.search(value):
             return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article) of each block; an empty text for each
-    line of a gap."""
+def _firm(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether a dropped element is dropped whatever it holds: by element (but forms) or hidden."""
+    if name in DROPPED - {"form"} or (name == "header" and not in_article):
+        return True
+    return any(key == "hidden" or key == "aria-hidden" and value.strip("\"'") == "true" or key == "style" and _HIDDEN.search(value)
+               for key, value in ((k.lower(), v) for k, v in _ATTRIBUTE.findall(attributes)))
+
+
+def lines_of(page: str, kept: frozenset[int] = frozenset()) -> list[tuple[str, int, bool]]:
+    """(text, characters in links, inside an article) of each block. ``kept``: where the
+    containers begin that are kept although their names mark them as no main text."""
     out: list[tuple[str, int, bool]] = []
     words: list[str] = []
     linked = article = skip = links = 0
-    open_: list[tuple[str, bool, bool]] = []  # element, dropped, article
+    total = held = firm = 0  # characters of the page, of them outside firmly dropped elements
+    open_: list[tuple[str, bool, bool, bool, int, int]] = []  # element, dropped, article, firmly dropped, begin, held there
+    named: list[tuple[int, int]] = []  # begin and held characters of the others that are dropped
 
     def flush():
         nonlocal linked
@@ -87,8 +100,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         words.clear()
         linked = 0
 
+    def close(depth: int):
+        nonlocal skip, article, firm
+        for _, dropped, is_article, firmly, begin, before in open_[depth:]:
+            skip -= dropped
+            article -= is_article
+            firm -= firmly
+            if dropped and not firmly:
+                named.append((begin, held - before))
+        del open_[depth:]
+
     def take(text: str):
-        nonlocal linked
+        nonlocal linked, total, held
+        chars = len(text.strip())
+        total += chars
+        held += 0 if firm else chars
         if text and not skip:
             words.append(text)
             if links:
@@ -114,12 +140,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if name == "a":
                 links = max(0, links - 1)
             if depth is not None:
-                for _, dropped, is_article in open_[depth:]:
-                    skip -= dropped
-                    article -= is_article
-                    if dropped and not skip and not any(e not in ("html", "body") for e, *_ in open_[:depth]):
-                        out.extend([("", 0, False)] * WINDOW)  # inside other elements it is part of the text's flow
-                del open_[depth:]
+                close(depth)
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -131,21 +152,25 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name in BLOCK:
             flush()
             if open_ and open_[-1][0] == "p":  # a block ends an open paragraph
-                skip -= open_.pop()[1]
+                close(len(open_) - 1)
         if name in VOID:
             continue
         if name == "a":
             links += 1
         elif name in BLOCK or name in DROPPED or "class" in m.group(3) or "id" in m.group(3) or "hidden" in m.group(3) or "style" in m.group(3):
-            dropped = _noise(name, m.group(3), article > 0)
+            dropped = m.start() not in kept and _noise(name, m.group(3), article > 0)
+            firmly = dropped and _firm(name, m.group(3), article > 0)
             if name in ("p", "li", "td", "tr", "dt", "dd") and not dropped:
                 continue  # their end tags may be missing; nothing depends on them
             is_article = name in ("article", "main") and not dropped and not skip
             skip += dropped
             article += is_article
-            open_.append((name, dropped, is_article))
+            firm += firmly
+            open_.append((name, dropped, is_article, firmly, m.start(), held))
     flush()
-    return out
+    close(0)
+    most = frozenset(begin for begin, chars in named if 2 * chars > total) - kept
+    return lines_of(page, kept | most) if most and not kept else out
 
 
 def main_text(page: str | None) -> str:
@@ -162,13 +187,12 @@ def main_text(page: str | None) -> str:
         elif start is not None and s == 0:
             stretches.append((start, i))  # dive
             start = None
-    total = [sum(weight[a:b]) for a, b in stretches]
-    most = max(total, default=0)
     kept = []
-    for (a, b), w in zip(stretches, total):
-        if marked or w >= SHARE * most:
-            heavy = [i for i in range(a, b) if weight[i]]
-            kept += [text for text, _, inside in lines[heavy[0]:heavy[-1] + 1] if text and inside >= marked]
+    for a, b in stretches:
+        heavy = [i for i in range(a, b) if weight[i]]
+        own = lines[heavy[0]:heavy[-1] + 1]
+        if marked or sum(linked for _, linked, _ in own) < (1 - DENSE) * sum(len(text) for text, _, _ in own):
+            kept += [text for text, _, inside in own if text and inside >= marked]
     return "\n".join(kept)
 
 

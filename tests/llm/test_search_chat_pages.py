@@ -222,6 +222,14 @@ def test_main_text(holder):
     assert main_text(PAGE % (holder % BODY)) == TEXT
 
 
+@pytest.mark.parametrize("wrapper", ["%s", "<div class='form'>%s</div>", "<form id=aspnetForm>%s</form>", "<div class='legal'><div id=side>%s</div></div>"])
+def test_unmarked_pages_lose_nothing(wrapper):
+    ad, long = "<div class=ad>x</div>", "long text " * 60
+    links = "<ul>" + "<li><a href=x>Other page</a></li>" * 5 + "</ul>"
+    page = "<body><nav>Menu</nav>" + wrapper % f"<h1>Title</h1>{ad}<p>{long}</p>{ad}<p>closing paragraph</p>{links}<p>A note.</p>" + "<footer>all</footer></body>"
+    assert main_text(page) == f"Title\n{long.strip()}\nclosing paragraph\nA note."
+
+
 def test_cut_off_empty_and_long_pages(spark):
     whole = PAGE % ("<article>" + BODY + "</article>")
     for n in range(0, len(whole), 7):  # a page may end anywhere
