@@ -3,7 +3,7 @@
 import contextlib
 import io
 
-from conftest import SF001
+from helpers import SF001
 
 
 def plan(df) -> str:

@@ -150,7 +150,7 @@ def test_self_diff_has_no_changes(spark):
 def test_pinned_diff_counts_sf0001(spark):
     """FIXTURES B2: input-price diffs between the 2001-03-01 and 2001-11-05 snapshots over
     all parts: changed 57 / conflicting 25 / unchanged 118 at sf0.001."""
-    from conftest import SF001
+    from helpers import SF001
     from driftgate.plans import bindings as B
     a = reconcile(B.observations(spark, SF001, B.APPROVED_AS_OF), B.APPROVED_AS_OF, B.STALE_AFTER_DAYS)
     c = reconcile(B.observations(spark, SF001, B.CURRENT_AS_OF), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)

@@ -103,7 +103,7 @@ def test_row_order_does_not_change_classes(spark):
 
 
 def test_pinned_class_counts_sf0001(spark):
-    from conftest import SF001
+    from helpers import SF001
     from driftgate.plans import bindings as B
     f = reconcile(B.observations(spark, SF001, B.CURRENT_AS_OF), B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
     got = {r["confidence"]: r["count"] for r in

@@ -125,7 +125,7 @@ def test_refresh_stream_publishes_each_batch(spark, tmp_dir):
 
 
 def test_check_job_writes_findings_once_and_reports(spark, tmp_dir):
-    from conftest import SF001
+    from helpers import SF001
     from driftgate.operators.lock import build_lock
     from driftgate.operators.policy import effective_policy
     from driftgate.plans import bindings as B
