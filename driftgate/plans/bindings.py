@@ -277,6 +277,55 @@ def pack_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
                      ship.cast("timestamp").alias("fetched_at"), "l_orderkey", "l_linenumber")
 
 
+#: Parts in one page of a complete list.
+PAGE = 500
+
+
+def listing_landing(spark: SparkSession, sf_dir: str, at: str, drop_mod: int | None = None) -> DataFrame:
+    """What a fetch of every source at time ``at`` brings: its complete list of parts (the
+    last observation of each, without those that ``drop_mod`` divides), in pages of a range of
+    part keys, one body for each page."""
+    li = table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit(at).cast("timestamp_ntz"))
+    if drop_mod:
+        li = li.filter(F.col("l_partkey") % drop_mod != 0)
+    last = li.withColumn("src", F.col("l_suppkey") % 3).groupBy("l_partkey", "src").agg(F.max(F.struct(
+        "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_suppkey", "l_linestatus", "l_tax", "l_discount",
+        "l_quantity", "l_returnflag")).alias("o")).select("l_partkey", "src", "o.*")
+    k = F.col("l_partkey")
+    ident = part_identity(k)
+    retire = F.when(F.col("l_linestatus") == "O", F.date_format(
+        F.date_add(F.to_date("l_shipdate"), (F.lit(120) + k % 4 * 30).cast("int")), "yyyy-MM-dd"))
+    life = F.when(F.col("l_linestatus") == "F", "active").otherwise("deprecated")
+    in_price = F.when(F.col("l_tax") < 0.04, None).when(F.col("l_discount") >= 0.09, 2.0).otherwise(1.0).cast("double")
+    out_price = F.when(F.col("l_tax") < 0.02, None).when(F.col("l_quantity") >= 40, 8.0).otherwise(4.0).cast("double")
+    context = F.when(F.col("l_quantity") >= 45, 64000).otherwise(128000).cast("long")
+    longest = F.when(F.col("l_discount") < 0.02, None).when(F.col("l_linenumber") >= 5, 4096).otherwise(8192).cast("long")
+    tools = F.col("l_returnflag") != "R"
+    structured = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "A")
+    sees = F.col("l_tax") >= 0.05
+    page = [F.floor(k / PAGE).alias("page"), "src"]
+    catalog = last.filter("src = 1").select(*page, ident["raw_provider"].alias("p"), F.struct(
+        ident["model_id"].alias("id"), life.alias("status"), F.struct(in_price.alias("input"), out_price.alias("output")).alias("cost"),
+        F.struct(context.alias("context"), longest.alias("output")).alias("limit"), tools.alias("tool_call"),
+        structured.alias("structured_output"), sees.alias("attachment")).alias("m"))
+    catalog = catalog.groupBy("page", "src", "p").agg(F.collect_list("m").alias("models")).groupBy("page", "src").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("p", F.struct(F.col("p").alias("name"), "models"))))).alias("body"))
+    feed = last.filter("src = 2").select(*page, F.struct(ident["model_id"].alias("id"), F.struct(
+        ident["raw_provider"].alias("provider"), ident["model_id"].alias("model_id"), retire.alias("shutdown_date"),
+        F.lit("deprecated").alias("status")).alias("_deprecation")).alias("m"))
+    feed = feed.groupBy("page", "src").agg(F.to_json(F.struct(F.lit("1").alias("version"), F.collect_list("m").alias("items"))).alias("body"))
+    pack = last.filter("src = 0").select(*page, F.struct(
+        ident["raw_provider"].alias("provider"), ident["model_id"].alias("modelId"), life.alias("lifecycleStatus"), retire.alias("retirementDate"),
+        in_price.alias("inputPricePerMillion"), out_price.alias("outputPricePerMillion"), context.alias("contextLimit"),
+        longest.alias("maxOutputLimit"), tools.alias("toolCalling"), structured.alias("structuredOutput"), sees.alias("vision"),
+        identifier_kind(ident["model_id"]).alias("identifierKind")).alias("m"))
+    pack = pack.groupBy("page", "src").agg(F.to_json(F.struct(
+        F.lit(1).alias("schemaVersion"), F.lit(at[:10]).alias("updatedAt"), F.collect_list("m").alias("models"))).alias("body"))
+    source_id = _by_source(F.col("src"), F.lit(SOURCE_CATALOG), F.lit(SOURCE_FEED), F.lit(SOURCE_OFFICIAL))
+    return catalog.unionByName(feed).unionByName(pack).select(
+        source_id.alias("source_id"), "body", F.to_timestamp(F.lit(at)).alias("fetched_at"))
+
+
 def event_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 landing rows from events: each event's JSON props is one fetched body of source
     ``event_type``; events with ``event_id % 97 = 0`` arrive truncated (corrupt)."""

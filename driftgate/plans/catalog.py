@@ -603,6 +603,32 @@ def s8_snapshot_dates(spark, sf_dir):
     return d.select("snapshot_date", F.lag("snapshot_date").over(Window.orderBy("snapshot_date")).alias("previous_date"))
 
 
+def _listed(at: str, drop_mod: int | None = None) -> str:
+    return O.fact_sql(at, B.STALE_AFTER_DAYS, drop_mod, O.listing_a1_sql(at, drop_mod))
+
+
+@register("r1_refresh_removals", f"""
+SELECT scope, entity_key, field, kind, a_str, a_num, a_bool, c_str, c_num, c_bool, confidence, 'published' AS status
+FROM {O.diff_sql(O.lock_sql(facts=_listed(B.APPROVED_AS_OF)), _listed(B.CURRENT_AS_OF, 17))} d""")
+def r1_refresh_removals(spark, sf_dir):
+    """Two refreshes over complete lists of all sources, the second
+    without the parts that left; the lock approved after the first is compared with the
+    snapshot after the second, where the departed are unknown."""
+    from driftgate.operators.diff import field_diff
+    from driftgate.operators.lock import build_lock
+    from driftgate.schemas import SNAPSHOT
+    from driftgate.sources.snapshots import read_snapshot, refresh
+    path = _run_dir(spark, "registry")
+    refresh(spark, B.listing_landing(spark, sf_dir, B.APPROVED_AS_OF), path, B.APPROVED_AS_OF[:10], B.APPROVED_AS_OF, B.STALE_AFTER_DAYS)
+    approved, _ = read_snapshot(spark, path, SNAPSHOT)
+    lock = build_lock(B.dependencies(spark, sf_dir), approved, B.APPROVED_AS_OF)
+    done = refresh(spark, B.listing_landing(spark, sf_dir, B.CURRENT_AS_OF, drop_mod=17), path, B.CURRENT_AS_OF[:10], B.CURRENT_AS_OF,
+                   B.STALE_AFTER_DAYS)
+    current, _ = read_snapshot(spark, path, SNAPSHOT)
+    return field_diff(lock, current).select("scope", "entity_key", "field", "kind", "a_str", "a_num", "a_bool", "c_str", "c_num", "c_bool",
+                                            "confidence", F.lit(done.status).alias("status"))
+
+
 # --------------------------------------------------------------------------- reports
 
 @register("t2_sarif_results", f"""

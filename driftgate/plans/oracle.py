@@ -113,10 +113,21 @@ def _long_sql(a1: str) -> str:
     return "\n    UNION ALL ".join(parts)
 
 
-def fact_sql(as_of: str, stale_days: int, drop_mod: int | None = None) -> str:
+def listing_a1_sql(as_of: str, drop_mod: int | None = None) -> str:
+    """What the sources list at a date: all of it fetched then; the deprecation feed knows
+    lifecycle and retirement only."""
+    feed = "source_id = 'deprecations.info'"
+    return f"""(
+  SELECT * REPLACE (TIMESTAMP '{as_of}' AS fetched_at, CASE WHEN {feed} THEN 'deprecated' ELSE lifecycle_status END AS lifecycle_status,
+    CASE WHEN NOT {feed} THEN input_price END AS input_price)
+  FROM {a1_sql(as_of, drop_mod)} x
+)"""
+
+
+def fact_sql(as_of: str, stale_days: int, drop_mod: int | None = None, a1: str | None = None) -> str:
     """A2-A4, A6 in the straightforward form: any-fresh window, pool, first by source order."""
     return f"""(
-  WITH a1 AS {a1_sql(as_of, drop_mod)},
+  WITH a1 AS {a1 or a1_sql(as_of, drop_mod)},
   lng AS ({_long_sql('a1')}),
   marked AS (
     SELECT *, (str_value IS NOT NULL OR num_value IS NOT NULL OR bool_value IS NOT NULL) AS present,
@@ -189,7 +200,7 @@ def deps_with_includes_sql() -> str:
 )"""
 
 
-def lock_sql(deps: str | None = None) -> str:
+def lock_sql(deps: str | None = None, facts: str | None = None) -> str:
     """J2 + T5 in SQL."""
     fields = " UNION ALL ".join(f"SELECT '{n}' AS field, {i} AS field_ord" for i, (n, _) in enumerate(FACT_FIELDS))
     return f"""(
@@ -205,12 +216,12 @@ def lock_sql(deps: str | None = None) -> str:
     CASE WHEN a.confidence IS NULL THEN strftime(TIMESTAMP '{B.APPROVED_AS_OF}', '{FMT_TS}')
          ELSE strftime(a.fetched_at, '{FMT_TS}') END AS fetched
   FROM {deps or deps_sql()} d CROSS JOIN ({fields}) f
-  LEFT JOIN {fact_sql(B.APPROVED_AS_OF, B.STALE_AFTER_DAYS)} a
+  LEFT JOIN {facts or fact_sql(B.APPROVED_AS_OF, B.STALE_AFTER_DAYS)} a
     ON a.entity_key = d.entity_key AND a.field = f.field
 )"""
 
 
-def diff_sql() -> str:
+def diff_sql(lock: str | None = None, facts: str | None = None) -> str:
     """J1 + C1-C3 in SQL."""
     return f"""(
   SELECT l.scope, l.entity_key, l.model_id, l.identifier_kind, l.low_confidence, l.path, l.line,
@@ -229,8 +240,8 @@ def diff_sql() -> str:
     CASE WHEN c.entity_key IS NULL THEN 'unavailable' ELSE c.confidence END AS confidence,
     coalesce(c.entity_key IS NOT NULL AND c.confidence IN ('official-verified', 'multi-source-verified'), false)
       AS blocking_eligible
-  FROM {lock_sql()} l
-  LEFT JOIN {fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS, 17)} c
+  FROM {lock or lock_sql()} l
+  LEFT JOIN {facts or fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS, 17)} c
     ON c.entity_key = l.entity_key AND c.field = l.field
 )"""
 

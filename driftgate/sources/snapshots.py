@@ -1,9 +1,9 @@
 """Dated snapshot storage (S6-S8) and the refresh job that publishes them.
 
-Snapshots are one Parquet table partitioned by ``snapshot_date``; "latest" is the highest
-date, found from the partition column alone, never a second copy. Writes use dynamic
-partition overwrite, so re-running a date replaces only that date (idempotent, safe to
-retry after a lost executor).
+"Latest" is the highest published date, never a second copy. Records are published by a
+manifest written last (``sources.manifest``), so re-running a date replaces it in one step:
+readers see the old version until the new one is complete. What the sources say is kept as
+generations with tombstones (``sources.generations``).
 """
 
 from __future__ import annotations
@@ -16,13 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgate.schemas import DEFAULT_FREEZE_MESSAGE, GENERATOR_VERSION, SCHEMA_VERSION
-
-META = T.StructType([
-    T.StructField("snapshot_date", T.StringType()), T.StructField("schema_version", T.IntegerType()),
-    T.StructField("generated_at", T.StringType()), T.StructField("generator_version", T.StringType()),
-    T.StructField("frozen", T.BooleanType()), T.StructField("freeze_reason", T.StringType()),
-    T.StructField("warnings", T.ArrayType(T.StringType())),
-])
+from driftgate.sources.generations import live, merge_generation, newest_bodies
+from driftgate.sources.manifest import commit, manifests, write_version
 
 # The change log, one row for each refresh.
 LOG = T.StructType([
@@ -42,50 +37,38 @@ class SnapshotMeta:
     warnings: list[str] = field(default_factory=list)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_snapshot(df: DataFrame, path: str, meta: SnapshotMeta) -> None:
-    """Write records (long or wide) under ``snapshot_date=...`` plus a meta row."""
+    """Write records (long or wide) of a date, then publish them with one manifest."""
     spark = df.sparkSession
-    # Dynamic overwrite for these two writes only; other writes of the session replace whole tables.
-    (df.withColumn("snapshot_date", F.lit(meta.snapshot_date))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(os.path.join(path, "records")))
-    m = spark.createDataFrame([(meta.snapshot_date, SCHEMA_VERSION, meta.generated_at, GENERATOR_VERSION,
-                                meta.frozen, meta.freeze_reason, meta.warnings)], META)
-    m.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(os.path.join(path, "meta"))
+    folder, files = write_version(df, path, meta.snapshot_date)
+    commit(spark, path, {
+        "snapshot_date": meta.snapshot_date, "schema_version": SCHEMA_VERSION, "generated_at": meta.generated_at,
+        "generator_version": GENERATOR_VERSION, "frozen": meta.frozen, "freeze_reason": meta.freeze_reason,
+        "warnings": meta.warnings, "folder": folder, "files": files})
 
 
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Dated snapshots in order, each with the previous date."""
-    p = os.path.join(path, "meta")
-    if not _exists(spark, p):
-        return spark.createDataFrame([], "snapshot_date string, previous_date string")
-    dates = spark.read.parquet(p).select(F.col("snapshot_date").cast("string").alias("snapshot_date")).distinct()
+    dates = manifests(spark, path).select("snapshot_date")
     return dates.select("snapshot_date", F.lag("snapshot_date").over(Window.orderBy("snapshot_date")).alias("previous_date"))
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, as_of: str | None = None
                   ) -> tuple[DataFrame, SnapshotMeta]:
     """The latest snapshot (at or before ``as_of``); when none exists, an empty frozen
-    snapshot with a warning. Only the chosen partition is read (partition pruning)."""
-    rec, mp = os.path.join(path, "records"), os.path.join(path, "meta")
-    if not _exists(spark, mp):
-        empty = spark.createDataFrame([], schema)
-        return empty, SnapshotMeta("", "", True, "No registry snapshot present",
-                                   ["No registry snapshot present; using empty frozen registry"])
-    meta = spark.read.parquet(mp).withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+    snapshot with a warning. Only the files its manifest names are read."""
+    published = manifests(spark, path)
     if as_of:
-        meta = meta.filter(F.col("snapshot_date") <= as_of)
-    row = meta.orderBy(F.col("snapshot_date").desc()).limit(1).collect()  # one metadata row
+        published = published.filter(F.col("snapshot_date") <= as_of)
+    row = published.orderBy(F.col("snapshot_date").desc()).limit(1).collect()  # one manifest
+    if not row and (not as_of or not manifests(spark, path).limit(1).count()):
+        return spark.createDataFrame([], schema), SnapshotMeta(
+            "", "", True, "No registry snapshot present", ["No registry snapshot present; using empty frozen registry"])
     if not row:
         return spark.createDataFrame([], schema), SnapshotMeta("", "", True, DEFAULT_FREEZE_MESSAGE, [])
     r = row[0]
-    records = (spark.read.parquet(rec).filter(F.col("snapshot_date").cast("string") == r["snapshot_date"])
-                    .drop("snapshot_date"))
+    files = [os.path.join(path, r["folder"], f) for f in r["files"]]
+    records = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
     return records, SnapshotMeta(r["snapshot_date"], r["generated_at"], bool(r["frozen"]), r["freeze_reason"],
                                  list(r["warnings"] or []))
 
@@ -98,36 +81,6 @@ class RefreshResult:
     change_log: list[dict] = field(default_factory=list)
 
 
-def _generations(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the stored states, ascending (a listing of a few folder names)."""
-    if not _exists(spark, path):
-        return []
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [n for n in names if n.startswith("gen=") and _exists(spark, os.path.join(path, n, "_SUCCESS"))]
-    return sorted(int(n[4:]) for n in done)
-
-
-def merge_state(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
-    """The last good observation of every (entity, source): the stored ones and ``new``,
-    written as the next generation and read back. A replayed batch gives the same rows, and
-    nothing that a batch brought is lost whether or not a snapshot is published from it."""
-    from driftgate.operators.reconcile import latest_per_source
-    root = os.path.join(path, "state")
-    gens = _generations(spark, root)
-    if gens:
-        new = new.unionByName(spark.read.schema(new.schema).parquet(os.path.join(root, f"gen={gens[-1]}")))
-    kept = latest_per_source(new.withColumn("_seq", F.col("obs_seq"))).withColumnRenamed("_seq", "obs_seq")
-    out = os.path.join(root, f"gen={gens[-1] + 1 if gens else 0}")
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(out)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for g in gens[:-1]:  # the one before stays, for readers that still use it
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(root, f"gen={g}"))
-        old.getFileSystem(conf).delete(old, True)
-    return spark.read.schema(kept.schema).parquet(out)
-
-
 def append_log(spark: SparkSession, path: str, snapshot_date: str, as_of: str, status: str, decision: dict | None,
                warnings: list[str]) -> None:
     """One row for each refresh in the change log table, replaced if the refresh is run again."""
@@ -140,13 +93,15 @@ def append_log(spark: SparkSession, path: str, snapshot_date: str, as_of: str, s
 
 def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: str, as_of: str,
             stale_after_days: int = 7) -> RefreshResult:
-    """Normalize what arrived -> merge it into the per-source state -> gate (any source
-    ok, official ok) -> reconcile -> validate -> compare digests with the previous snapshot ->
-    publish (S7) and log (R3).
+    """Normalize each source's newest complete list -> merge it into the state, entities
+    that it no longer holds becoming tombstones -> gate (any source ok, official ok) ->
+    reconcile -> validate -> compare digests with the previous snapshot -> publish (S7) and
+    log (R3).
 
     A source that is not in ``landing`` was not fetched: its stored observations count. A
     source whose latest body is refused (not JSON, or not a valid pack) failed: nothing of it
-    goes into this snapshot. Driver-side decisions only read one-row summaries and one row for
+    goes into this snapshot. An entity that left every source is in it no more, so the check
+    finds it ``unknown`` (C2). Driver-side decisions only read one-row summaries and one row for
     each source. Snapshots are stored as wide records (``schemas.SNAPSHOT``)."""
     from driftgate.operators.publish import fact_violations, publish_decision
     from driftgate.operators.reconcile import entity_facts, to_long_facts
@@ -160,9 +115,9 @@ def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: s
                  .select("source_id", "m.ok", "m.warning").collect())  # one row per source
     failed = sorted(r["source_id"] for r in fetched if not r["ok"])
     warnings = [w for _, w in sorted((r["source_id"], r["warning"]) for r in fetched if not r["ok"] and r["warning"])]
-    state = merge_state(spark, path, normalize(st.filter("ok").drop("ok", "source_digest", "parser_version", "warning")))
-    available = {r["source_id"] for r in state.select("source_id").distinct().collect()} | {r["source_id"] for r in fetched if r["ok"]}
-    available -= set(failed)
+    heads, newest = newest_bodies(spark, path, st.filter("ok").drop("ok", "source_digest", "parser_version", "warning"))
+    state = merge_generation(spark, path, heads, normalize(newest))
+    available = {r["source_id"] for r in heads.collect()} - set(failed)  # one row per source
     previous, prev_meta = read_snapshot(spark, path, SNAPSHOT)
 
     def done(status: str, decision: dict | None = None) -> RefreshResult:
@@ -179,7 +134,7 @@ def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: s
         return done("official-failed")
     if failed:
         warnings.append("Partial source failure (" + ", ".join(failed) + "); merged available sources and retained warnings")
-    latest = state.filter(F.col("source_id").isin(sorted(available))).drop("obs_seq")
+    latest = live(state).filter(F.col("source_id").isin(sorted(available))).drop("obs_seq")
     wide = entity_facts(latest, as_of, stale_after_days).checkpoint(eager=True)
     fact = to_long_facts(wide)
     if fact_violations(fact, latest).limit(1).count() > 0:

@@ -197,3 +197,64 @@ def test_second_check_run_replaces_the_first(spark, tmp_dir):
     write_by_scope(rows([f"t{i % 300}" for i in range(3000)]).repartition(8), tmp_dir + "/f")
     assert len(glob.glob(tmp_dir + "/f/*/*.parquet")) <= 64
     assert spark.read.parquet(tmp_dir + "/f").count() == 3000
+
+
+def _catalog(spark, at, *ids):
+    """A complete catalog and an empty pack and feed, fetched at ``at``."""
+    models = {"openai": {"id": "openai", "models": {i: {"id": i, "status": "active"} for i in ids}}}
+    rows = [("models.dev", json.dumps(models)), ("official-provider", json.dumps({"schemaVersion": 1, "updatedAt": "2026-07-01", "models": []})),
+            ("deprecations.info", json.dumps({"version": "1", "items": []}))]
+    return spark.createDataFrame(rows, "source_id string, body string").withColumn("fetched_at", F.to_timestamp(F.lit(at)))
+
+
+def _keys(spark, path):
+    records, meta = read_snapshot(spark, path, SNAPSHOT)
+    return sorted(r["entity_key"] for r in records.collect()), meta.snapshot_date
+
+
+def test_models_that_leave_a_feed_become_unknown(spark, tmp_dir):
+    from driftgate.operators.diff import field_diff
+    from driftgate.operators.lock import build_lock
+    from driftgate.sources.generations import departures
+    path = tmp_dir + "/reg"
+    assert refresh(spark, _catalog(spark, "2026-07-01 00:00:00", "gpt-4o", "o3"), path, "2026-07-01", "2026-07-01 00:00:00").status == "published"
+    first, _ = read_snapshot(spark, path, SNAPSHOT)
+    deps = spark.createDataFrame([("r", f"openai:{m}", "openai", m, "floating", 0.9, False, "a.ts", 1) for m in ("gpt-4o", "o3")],
+                                 "scope string, entity_key string, provider string, model_id string, identifier_kind string, "
+                                 "discovery_confidence double, low_confidence boolean, path string, line int")
+    lock = build_lock(deps, first, "2026-07-01 00:00:00").persist()
+    assert lock.count() == 24
+    assert refresh(spark, _catalog(spark, "2026-07-02 00:00:00", "gpt-4o"), path, "2026-07-02", "2026-07-02 00:00:00").status == "published"
+    assert _keys(spark, path) == (["openai:gpt-4o"], "2026-07-02")
+    kinds = {(r["entity_key"], r["kind"]) for r in field_diff(lock, read_snapshot(spark, path, SNAPSHOT)[0]).select("entity_key", "kind").collect()}
+    assert ("openai:o3", "unknown") in kinds and ("openai:gpt-4o", "unknown") not in kinds and ("openai:o3", "unchanged") not in kinds
+    # the same body again, a body older than the newest, and a model that comes back
+    assert refresh(spark, _catalog(spark, "2026-07-02 00:00:00", "gpt-4o"), path, "2026-07-03", "2026-07-02 00:00:00").status == "unchanged"
+    assert refresh(spark, _catalog(spark, "2026-06-30 00:00:00", "o1", "o3"), path, "2026-07-03", "2026-07-02 00:00:00").status == "unchanged"
+    state = spark.read.parquet(path + "/state/gen=3/rows")
+    assert [(r["entity_key"], str(r["gone_at"])) for r in departures(state).collect()] == [("openai:o3", "2026-07-02 00:00:00")]
+    assert refresh(spark, _catalog(spark, "2026-07-04 00:00:00", "gpt-4o", "o3"), path, "2026-07-04", "2026-07-04 00:00:00").status == "published"
+    assert _keys(spark, path) == (["openai:gpt-4o", "openai:o3"], "2026-07-04")
+    # a refused body is no complete list: nothing leaves
+    bad = _catalog(spark, "2026-07-05 00:00:00", "gpt-4o").withColumn("body", F.when(F.col("source_id") == "models.dev", "{").otherwise(F.col("body")))
+    refresh(spark, bad, path, "2026-07-05", "2026-07-05 00:00:00")
+    assert spark.read.parquet(path + "/state/gen=5/rows").filter("gone_at is not null").count() == 0
+
+
+def test_a_publisher_that_dies_leaves_the_old_snapshot(spark, tmp_dir, monkeypatch):
+    import pytest
+    from driftgate.sources import manifest, snapshots
+    path = tmp_dir + "/reg"
+    refresh(spark, _catalog(spark, "2026-07-01 00:00:00", "gpt-4o"), path, "2026-07-01", "2026-07-01 00:00:00")
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    second = _catalog(spark, "2026-07-02 00:00:00", "gpt-4o", "o3")
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(snapshots, "commit", dies)  # the same date again: records written, manifest not
+        refresh(spark, second, path, "2026-07-01", "2026-07-02 00:00:00")
+    assert _keys(spark, path) == (["openai:gpt-4o"], "2026-07-01")
+    assert refresh(spark, second, path, "2026-07-01", "2026-07-02 00:00:00").status == "published"
+    assert _keys(spark, path) == (["openai:gpt-4o", "openai:o3"], "2026-07-01")
+    assert manifest.vacuum(spark, path) == 2 and _keys(spark, path)[0] == ["openai:gpt-4o", "openai:o3"]
