@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgate.functions.identity import identifier_kind, parse_model_key
+from driftgate.operators.skew import join_one
 from driftgate.schemas import FACT_FIELDS
 
 DEP_COLS = ["scope", "entity_key", "provider", "model_id", "identifier_kind",
@@ -55,13 +56,14 @@ def _unavailable(generated_at) -> Column:
                     F.lit("0").alias("parser_version"), F.lit(None).cast(CANDIDATES_TYPE).alias("candidates"))
 
 
-def lock_records(deps: DataFrame, facts: DataFrame, generated_at) -> DataFrame:
+def lock_records(deps: DataFrame, facts: DataFrame, generated_at, heavy: list | None = None) -> DataFrame:
     """J2 + T5 (wide): one lock record per dependency with its 12 facts from the snapshot;
     a key the snapshot lacks gets 'unavailable' facts; identity facts are overridden from
     discovery. ``facts`` are the wide records (one row per entity, already partitioned by
     ``entity_key``), so the join is at entity granularity and only the dependency side
-    moves."""
-    j = deps.select(*DEP_COLS).join(facts.select("entity_key", "facts"), "entity_key", "left")
+    moves; entities that very many scopes depend on (``heavy``, see ``operators.skew``) are
+    joined where the dependencies lie."""
+    j = join_one(deps.select(*DEP_COLS), facts.select("entity_key", "facts"), "entity_key", heavy)
     missing = F.col("facts").isNull()
     envs = []
     for n, _ in FACT_FIELDS:
@@ -84,9 +86,9 @@ def lock_long(records: DataFrame) -> DataFrame:
                    .select(*DEP_COLS, "x.field", "x.field_ord", "x.env.*"))
 
 
-def build_lock(deps: DataFrame, facts: DataFrame, generated_at) -> DataFrame:
+def build_lock(deps: DataFrame, facts: DataFrame, generated_at, heavy: list | None = None) -> DataFrame:
     """J2 + T5 in long form (see ``lock_records``)."""
-    return lock_long(lock_records(deps, facts, generated_at))
+    return lock_long(lock_records(deps, facts, generated_at, heavy))
 
 
 def lock_keys_change(previous: DataFrame, proposed: DataFrame) -> DataFrame:

@@ -615,13 +615,13 @@ def r1_refresh_removals(spark, sf_dir):
     without the parts that left; the lock approved after the first is compared with the
     snapshot after the second, where the departed are unknown."""
     from driftgate.operators.diff import field_diff
-    from driftgate.operators.lock import build_lock
+    from driftgate.operators.lock import lock_records
     from driftgate.schemas import SNAPSHOT
     from driftgate.sources.snapshots import read_snapshot, refresh
     path = _run_dir(spark, "registry")
     refresh(spark, B.listing_landing(spark, sf_dir, B.APPROVED_AS_OF), path, B.APPROVED_AS_OF[:10], B.APPROVED_AS_OF, B.STALE_AFTER_DAYS)
     approved, _ = read_snapshot(spark, path, SNAPSHOT)
-    lock = build_lock(B.dependencies(spark, sf_dir), approved, B.APPROVED_AS_OF)
+    lock = lock_records(B.dependencies(spark, sf_dir), approved, B.APPROVED_AS_OF)
     done = refresh(spark, B.listing_landing(spark, sf_dir, B.CURRENT_AS_OF, drop_mod=17), path, B.CURRENT_AS_OF[:10], B.CURRENT_AS_OF,
                    B.STALE_AFTER_DAYS)
     current, _ = read_snapshot(spark, path, SNAPSHOT)

@@ -36,7 +36,7 @@ def write_by_scope(df: DataFrame, path: str, form: str = "parquet", buckets: int
 def run_check(spark: SparkSession, lock: DataFrame, snapshot: DataFrame, policy: DataFrame, now: str,
               out_dir: str, frozen: bool = False, warnings: list[str] | None = None,
               freeze_reason: str | None = None) -> DataFrame:
-    """``lock``: long lock rows (``operators.lock.build_lock`` output, as stored);
+    """``lock``: lock records (``operators.lock.lock_records``, as stored) or long lock rows;
     ``snapshot``: wide records of the current snapshot (``sources.snapshots.read_snapshot``);
     ``policy``: one row per scope. Writes ``findings``, ``gate``, ``sarif_results``,
     ``sarif_rules`` and ``json_report`` under ``out_dir`` and returns the gate table."""

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from driftgate.operators.diff import field_diff
-from driftgate.operators.lock import build_lock
+from driftgate.operators.lock import lock_long, lock_records
 from driftgate.operators.policy import effective_policy, evaluate, gate
 from driftgate.operators.reconcile import reconcile, reconcile_wide
+from driftgate.operators.skew import heavy_keys
 from driftgate.plans import bindings as B
 
 
@@ -46,8 +47,10 @@ def run(spark: SparkSession, sf_dir: str, policy_overrides: DataFrame | None = N
     approved = approved_wide(spark, sf_dir)
     current = current_wide(spark, sf_dir)
     deps = B.dependencies(spark, sf_dir)
-    lock = build_lock(deps, approved, B.APPROVED_AS_OF)
-    fdiff = field_diff(lock, current)
+    heavy = heavy_keys(deps, "entity_key")
+    records = lock_records(deps, approved, B.APPROVED_AS_OF, heavy)
+    lock = lock_long(records)
+    fdiff = field_diff(records, current, heavy)
     policy = effective_policy(deps, policy_overrides)
     findings = evaluate(fdiff, policy, B.CURRENT_AS_OF)
     return DriftRun(approved, current, deps, lock, fdiff, policy, findings, gate(findings, policy))

@@ -40,3 +40,32 @@ def test_policy_single_pass(spark):
     from driftgate.plans import drift
     txt = plan(drift.run(spark, SF001).findings)
     assert txt.count("Generate explode") >= 1
+
+
+def test_hot_entity_is_not_gathered(spark):
+    """A third of all scopes on one model, broadcasts by size off: the same diff as a plain
+    join, and the hot entity's rows never shuffle."""
+    from pyspark.sql import functions as F
+    from driftgate.operators.diff import field_diff
+    from driftgate.operators.lock import lock_records
+    from driftgate.operators.skew import heavy_keys
+    from driftgate.plans import bindings as B
+    from driftgate.plans import drift
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        deps = B.dependencies(spark, SF001)
+        many = deps.join(spark.range(100).select(F.concat(F.lit("team-"), F.col("id").cast("string")).alias("team")), F.col("entity_key") == "anthropic:m1")
+        many = many.withColumn("scope", F.col("team")).drop("team").unionByName(deps)
+        heavy = heavy_keys(many, "entity_key", rows=50)
+        assert heavy == ["anthropic:m1"]
+        approved, current = drift.approved_wide(spark, SF001), drift.current_wide(spark, SF001)
+        cols = ["scope", "entity_key", "field", "kind", "a_str", "a_num", "c_str", "c_num", "confidence"]
+        fast = field_diff(lock_records(many, approved, B.APPROVED_AS_OF, heavy), current, heavy).select(*cols)
+        slow = field_diff(lock_records(many, approved, B.APPROVED_AS_OF, []), current, []).select(*cols)
+        assert sorted(map(str, fast.collect())) == sorted(map(str, slow.collect()))
+        assert plan(fast).count("BroadcastHashJoin") >= 2
+        from driftgate.operators.lock import lock_long
+        long = field_diff(lock_long(lock_records(many, approved, B.APPROVED_AS_OF, [])), current).select(*cols)
+        assert sorted(map(str, long.collect())) == sorted(map(str, slow.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
