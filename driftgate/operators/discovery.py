@@ -1,21 +1,24 @@
 """Discovery: find model references in source text.
 
 Input is a line table ``(scope, path, line, text)`` (D1 turns file contents into it), plus
-for JSON a document table ``(scope, path, content)``. Every scanner is a regex job over
-built-in expressions with a cheap ``contains`` prefilter; all scanners emit the same hit
-schema and are unioned (D10), then consolidated per (scope, provider, model_id) with
+for JSON a document table ``(scope, path, content)``. Scanners are regex jobs over built-in
+expressions, or, where nesting counts (JS/TS, YAML), a linear scan of each file, behind a cheap
+``contains`` prefilter; all scanners emit the same hit schema and are unioned (D10), then consolidated per (scope, provider, model_id) with
 partial aggregates only (D9): occurrences stay a table (the hits) instead of an array.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.functions.identity import identifier_kind, infer_provider, looks_like_model_id, model_key
 from driftgate.functions.jsontext import json_ok
+from driftgate.functions.scanners import js_imports, js_properties, yaml_strings
 from driftgate.functions.text import js_trim, snippet
 from driftgate.operators.segmented import segmented_last_non_null
 from driftgate.schemas import (
@@ -23,6 +26,10 @@ from driftgate.schemas import (
     PROVIDER_PACKAGES, PYTHON_EXTS, PYTHON_MODEL_PATTERNS, PYTHON_PROVIDER_HINTS, SKIP_DIR_NAMES,
 )
 
+# Tasks get the functions below by value: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -235,7 +242,7 @@ def scan_env(lines: DataFrame) -> DataFrame:
 
 
 JSON_KEY = r'"((?i:model|model_id|modelid))"\s*:\s*"([^"\\]*)"'
-YAML_KEY = r"^\s*(?:-\s+)?((?i:model|model_id|modelid))\s*:\s*[\"']?([^\"'#\s]+)[\"']?\s*(?:#.*)?$"
+CONFIG_KEYS = ("model", "model_id", "modelid")
 
 
 def scan_json(docs: DataFrame) -> DataFrame:
@@ -253,122 +260,79 @@ def scan_json(docs: DataFrame) -> DataFrame:
                     F.lit("config").alias("kind"), F.col("k").cast("int").alias("hit_ord"))
 
 
-def scan_yaml(lines: DataFrame) -> DataFrame:
-    """D7 (YAML): per-line ``model: value`` keys, line reported as 1 like the JSON form."""
-    d = lines.filter(F.lower("text").contains("model"))
-    key = F.regexp_extract("text", YAML_KEY, 1)
-    val = F.regexp_extract("text", YAML_KEY, 2)
-    d = d.select("scope", "path", "line", key.alias("key"), val.alias("model_id"))
-    d = d.filter((F.col("key") != "") & looks_like_model_id("model_id"))
+def _yaml_hits(batches):
+    """mapInPandas over (scope, path, content): the entries named as a model, of valid files."""
+    import pandas as pd
+    for pdf in batches:
+        rows = []
+        for scope, path, text in zip(pdf["scope"], pdf["path"], pdf["content"]):
+            found = yaml_strings(text) or []
+            rows += [(scope, path, key, value, k) for k, (key, value) in enumerate(found) if key.lower() in CONFIG_KEYS]
+        yield pd.DataFrame(rows, columns=["scope", "path", "key", "model_id", "hit_ord"])
+
+
+def scan_yaml(docs: DataFrame) -> DataFrame:
+    """D7 (YAML): keys named model/model_id/modelId (any case) at any depth, in block or flow
+    mappings, with a string value passing F5; only files that are one valid document (read with
+    an indentation stack, ``functions.scanners``). Line is always 1."""
+    d = docs.filter(F.lower("content").contains("model")).select("scope", "path", "content")
+    d = d.mapInPandas(_yaml_hits, "scope string, path string, key string, model_id string, hit_ord int").filter(looks_like_model_id("model_id"))
     return d.select("scope", infer_provider("model_id").alias("provider"), "model_id", "path",
                     F.lit(1).alias("line"), F.lit(None).cast("int").alias("column"),
                     F.concat("key", F.lit(": "), "model_id").alias("snippet"), F.lit(0.75).alias("confidence"),
-                    F.lit("config").alias("kind"), F.col("line").alias("hit_ord"))
-
-
-# JS/TS: a call whose object argument has a model key with a string literal value. Per-line
-# form, and the form for whole files, where objects before the key may nest and spread over lines.
-JS_KEY = r"(?:model|modelId|model_id)"
-JS_KEY_VALUE = r"(?:" + JS_KEY + r"|\"" + JS_KEY + r"\"|'" + JS_KEY + r"')\s*:\s*(?:\"([^\"]*)\"|'([^']*)')"
-JS_CALLEE = r"([A-Za-z_$][\w$]*)((?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\((?:[^(){}]*,)?\s*\{\s*"
-JS_CALL_LINE = JS_CALLEE + r"(?:[^{}]*?[\s,]\s*)?" + JS_KEY_VALUE
-_JS_TEXT = r"\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|`(?:[^`\\]|\\.)*+`"
-_JS_OBJECT = r"\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*+\})*+\})*+\}"
-_JS_ARRAY = r"\[(?:[^\[\]]++|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\]"
-JS_CALL = JS_CALLEE + r"(?:(?:[^{}\[\]\"'`,]++|" + _JS_TEXT + "|" + _JS_OBJECT + "|" + _JS_ARRAY + r")*+,\s*)*?" + JS_KEY_VALUE
-JS_PROP = r"(?:([A-Za-z_$][\w$]*)|\"([^\"]*)\"|'([^']*)')\s*:\s*(?:\"([^\"]*)\"|'([^']*)')"
-JS_IMPORT = r"(?m)^[ \t]*import\s+([^\"';]+?)\s+from\s+[\"']([^\"']+)[\"']"
-
-# Comments removed before JS/TS matching: inline /* ... */ blocks, then whole lines that
-# are // comments or block-comment bodies (a "//" inside a string such as a URL stays).
-JS_BLOCK_COMMENT = r"/\*.*?\*/"
-JS_COMMENT_LINE = r"^\s*(//|/\*|\*).*$"
-
-
-def strip_js_comments(text) -> Column:
-    return F.regexp_replace(F.regexp_replace(_c(text), JS_BLOCK_COMMENT, " "), JS_COMMENT_LINE, "")
+                    F.lit("config").alias("kind"), "hit_ord")
 
 
-def _places(content: Column, matches: Column) -> Column:
-    """Where each of the matches (in order, not overlapping) begins, from 1."""
-    nothing = F.array().cast("array<int>")
-    return F.aggregate(
-        matches, F.struct(F.lit(1).alias("at"), nothing.alias("all")),
-        lambda acc, m: F.struct(
-            (F.call_function("locate", m, content, acc["at"]) + F.length(m)).alias("at"),
-            F.concat(acc["all"], F.array(F.call_function("locate", m, content, acc["at"]))).alias("all")),
-        lambda acc: acc["all"])
-
+def files_of(lines: DataFrame, some: Column) -> DataFrame:
+    """Lines put together again as (scope, path, base, content): one row for each file that has
+    a line for which ``some`` holds. A file is the unit that was read, so it fits a row; base is
+    its first line's number."""
+    one = F.array_sort(F.collect_list(F.struct("line", "text")))
+    files = lines.groupBy("scope", "path").agg(one.alias("l"), F.max(some).alias("some")).filter("some")
+    return files.select("scope", "path", F.get("l", F.lit(0))["line"].alias("base"), F.array_join("l.text", "\n").alias("content"))
 
-def _line_at(content: Column, place: Column) -> Column:
-    """Newlines before a place."""
-    before = F.substring(content, F.lit(1), place - 1)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
 
+JS_CALL_KEYS = ("model", "modelId", "model_id")
 
-def js_imports(content: Column) -> Column:
-    """The imports of known SDK packages in a file, in order: (line from 0, alias,
-    provider). An import may spread over lines."""
-    packages = F.create_map(*[F.lit(x) for pair in PROVIDER_PACKAGES for x in pair])
 
-    def one(m: Column, place: Column) -> Column:
-        spec = F.regexp_extract(m, JS_IMPORT, 1)
-        default = F.regexp_extract(spec, r"^\s*([A-Za-z_$][\w$]*)", 1)
-        namespace = F.regexp_extract(spec, r"\*\s*as\s+([A-Za-z_$][\w$]*)", 1)
-        named = F.transform(F.split(F.regexp_extract(spec, r"\{([^}]*)\}", 1), ","),
-                            lambda x: F.regexp_extract(x, r"([A-Za-z_$][\w$]*)\s*$", 1))
-        names = F.filter(F.array_union(F.array(default, namespace), named), lambda x: x != "")
-        provider = F.try_element_at(packages, F.regexp_extract(m, JS_IMPORT, 2))
-        return F.transform(names, lambda x: F.struct(_line_at(content, place).alias("line"), x.alias("alias"), provider.alias("provider")))
+def _js_hits(batches):
+    """mapInPandas over (scope, path, base, content): one row for each property that names a
+    model as an argument of a call ('sdk') and for each whose key has 'model' in it ('literal').
+    The provider is that of the last import of the call's root name above it."""
+    import bisect
 
-    found = F.regexp_extract_all(content, F.lit(JS_IMPORT), 0)
-    return F.filter(F.flatten(F.zip_with(found, _places(content, found), one)), lambda i: i["provider"].isNotNull())
+    import pandas as pd
+    packages = dict(PROVIDER_PACKAGES)
+    for pdf in batches:
+        rows = []
+        for scope, path, base, text in zip(pdf["scope"], pdf["path"], pdf["base"], pdf["content"]):
+            ends = [i for i, c in enumerate(text) if c == "\n"]
+            line = lambda at, ends=ends: bisect.bisect_left(ends, at)
+            known = [(line(at), name, packages[package]) for at, package, name in js_imports(text) if package in packages]
+            for k, (key, value, at, callee) in enumerate(js_properties(text)):
+                column = at - (ends[line(at) - 1] + 1 if line(at) else 0)
+                if callee is not None and key in JS_CALL_KEYS:
+                    above = [p for n, name, p in known if name == callee[1] and n <= line(callee[0])]
+                    rows.append((scope, path, int(base) + line(at), column, key, value, "sdk", above[-1] if above else None, 2 * k))
+                if "model" in key.lower():
+                    rows.append((scope, path, int(base) + line(at), column, key, value, "literal", None, 2 * k + 1))
+        yield pd.DataFrame(rows, columns=["scope", "path", "line", "column", "key", "model_id", "kind", "imported", "hit_ord"])
 
 
 def scan_js(lines: DataFrame) -> DataFrame:
-    """Call-site model keys (0.9, 'sdk'; provider from an imported SDK alias when the
+    """Call-site model keys (0.9, 'sdk'; provider from an imported SDK name when the
     callee is a member of one, else inferred) and property literals whose key contains
-    'model' (0.55, 'literal', F5 required). Comments are removed first (no AST). Calls and
-    imports are matched on whole files, so they may spread over lines and hold nested objects;
-    a file is the unit that was read, and its lines are put together again here."""
-    clean = lines.withColumn("text", strip_js_comments("text"))
-    one = F.array_sort(F.collect_list(F.struct("line", "text")))
-    files = clean.groupBy("scope", "path").agg(one.alias("l"), F.max(F.lower("text").contains("model")).alias("some")).filter("some")
-    files = files.select("scope", "path", (F.get("l", F.lit(0))["line"]).alias("base"), F.array_join("l.text", "\n").alias("content"))
-    content = F.col("content")
-    found = F.regexp_extract_all(content, F.lit(JS_CALL), 0)
-    files = files.withColumn("found", found).filter(F.size("found") > 0)
-    files = files.withColumn("places", _places(content, F.col("found"))).withColumn("imports", js_imports(content))
-    c = files.select("scope", "path", "base", "content", "imports",
-                     F.posexplode(F.arrays_zip(F.col("found").alias("m"), F.col("places").alias("p"))).alias("k", "x"))
-    c = c.select("scope", "path", "base", "content", "imports", "k", F.col("x.m").alias("m"), F.col("x.p").alias("p"))
-    root = F.regexp_extract("m", JS_CALL, 1)
-    member = F.regexp_extract("m", JS_CALL, 2) != ""
-    val = F.concat(F.regexp_extract("m", JS_CALL, 3), F.regexp_extract("m", JS_CALL, 4))
-    c = c.withColumn("model_id", val).withColumn("at", F.col("p") + F.length("m") - F.length("model_id") - 2)
-    before = F.substring_index(F.substring(content, F.lit(1), F.col("at") - 1), "\n", -1)
-    line0 = _line_at(content, F.col("p"))
-    c = c.select("scope", "path", (F.col("base") + line0).cast("int").alias("line"), "k", "model_id", F.length(before).cast("int").alias("column"),
-                 F.filter("imports", lambda i: (i["alias"] == F.when(member, root)) & (i["line"] <= line0)).alias("above"))
-    imp = F.get("above", F.size("above") - 1)["provider"]  # the last import above the call
-    calls_out = c.filter(accept_hit("model_id", F.lit(0.9))).select(
-        "scope", F.coalesce(imp, infer_provider("model_id")).alias("provider"), "model_id", "path", "line", "column",
-        F.concat(F.lit('model: "'), "model_id", F.lit('"')).alias("snippet"),
-        F.lit(0.9).alias("confidence"), F.lit("sdk").alias("kind"), (F.col("k") * 2).cast("int").alias("hit_ord"))
-
-    d = clean.filter(F.lower("text").contains("model"))
-    props = F.regexp_extract_all("text", F.lit(JS_PROP), 0)
-    p = d.select("scope", "path", "line", "text", F.posexplode(props).alias("k", "m"))
-    key = F.concat(F.regexp_extract("m", JS_PROP, 1), F.regexp_extract("m", JS_PROP, 2), F.regexp_extract("m", JS_PROP, 3))
-    pval = F.concat(F.regexp_extract("m", JS_PROP, 4), F.regexp_extract("m", JS_PROP, 5))
-    p = p.select("scope", "path", "line", "k", "text", "m", key.alias("key"), pval.alias("model_id"))
-    p = p.filter(F.col("key").rlike("(?i)model") & looks_like_model_id("model_id"))
-    lits_out = p.select(
-        "scope", infer_provider("model_id").alias("provider"), "model_id", "path", "line",
-        (F.expr("instr(text, m)") - 1 + F.length("m") - F.length("model_id") - 2).cast("int").alias("column"),
-        F.concat("key", F.lit(': "'), "model_id", F.lit('"')).alias("snippet"),
-        F.lit(0.55).alias("confidence"), F.lit("literal").alias("kind"), (F.col("k") * 2 + 1).cast("int").alias("hit_ord"))
-    return calls_out.unionByName(lits_out)
+    'model' (0.55, 'literal', F5 required). Files are read token by token with a stack
+    (``functions.scanners``), so objects may nest to any depth and spread over lines, and text
+    in comments, strings and patterns counts for nothing."""
+    files = files_of(lines, F.lower("text").contains("model"))
+    d = files.mapInPandas(_js_hits, "scope string, path string, line int, column int, key string, model_id string, kind string, "
+                                    "imported string, hit_ord int")
+    sdk = F.col("kind") == "sdk"
+    d = d.filter(F.when(sdk, accept_hit("model_id", F.lit(0.9))).otherwise(looks_like_model_id("model_id")))
+    return d.select("scope", F.coalesce("imported", infer_provider("model_id")).alias("provider"), "model_id", "path", "line", "column",
+                    F.concat(F.when(sdk, "model").otherwise(F.col("key")), F.lit(': "'), "model_id", F.lit('"')).alias("snippet"),
+                    F.when(sdk, 0.9).otherwise(0.55).alias("confidence"), "kind", "hit_ord")
 
 
 def scan_lines(lines: DataFrame) -> DataFrame:
@@ -378,19 +342,26 @@ def scan_lines(lines: DataFrame) -> DataFrame:
     py = scan_python(typed.filter(F.col("_type") == "python").drop("_type"))
     js = scan_js(typed.filter(F.col("_type") == "code").drop("_type"))
     env = scan_env(typed.filter(F.col("_type") == "env").drop("_type"))
-    yml = scan_yaml(typed.filter((F.col("_type") == "data") & ~F.col("path").endswith(".json")).drop("_type"))
+    yml = typed.filter((F.col("_type") == "data") & ~F.lower("path").endswith(".json")).drop("_type")
+    yml = scan_yaml(files_of(yml, F.lower("text").contains("model")))
     return py.unionByName(js).unionByName(env).unionByName(yml)
 
 
-def discover(lines: DataFrame, json_docs: DataFrame) -> DataFrame:
-    """D10 + D9: all hits, consolidated into dependencies."""
-    return consolidate(scan_lines(lines).unionByName(scan_json(json_docs)))
+def scan_docs(docs: DataFrame) -> DataFrame:
+    """D7 over whole documents: JSON by name, YAML else."""
+    is_json = F.lower("path").endswith(".json")
+    return scan_json(docs.filter(is_json)).unionByName(scan_yaml(docs.filter(~is_json)))
+
+
+def discover(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """D10 + D9: all hits of lines and of config documents, consolidated into dependencies."""
+    return consolidate(scan_lines(lines).unionByName(scan_docs(docs)))
 
 
 def discover_files(files: DataFrame) -> DataFrame:
-    """D10 + D9 for a corpus (scope, path, content): JSON files as documents, all others as lines."""
-    is_json = F.lower("path").endswith(".json")
-    return discover(to_lines(files.filter(~is_json)), files.filter(is_json))
+    """D10 + D9 for a corpus (scope, path, content): config files as documents, all others as lines."""
+    whole = F.coalesce(file_type("path") == "data", F.lit(False))
+    return discover(to_lines(files.filter(~whole)), files.filter(whole))
 
 
 def consolidate(hits: DataFrame) -> DataFrame:

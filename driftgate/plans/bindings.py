@@ -131,12 +131,21 @@ TS_LINES = [
     'import OpenAI from "openai";',
     'import Anthropic, { HUMAN_PROMPT as hp } from "@anthropic-ai/sdk";',
     'const r = await Anthropic.messages.create({ model: "claude-sonnet-4-20250514", max_tokens: 64 });',
-    'const cfg = { model: "gpt-4o" };',
-    'const c = OpenAI.chat.completions.create({ messages, model: "gpt-4o-mini" });',
+    'const cfg = { model: "gpt-4o" }; // run({ model: "gpt-4.1" })',
+    'const c = OpenAI.chat.completions.create({ messages, response_format: { type: "json_schema", json_schema: { schema: { properties: '
+    '{ city: { type: "string" }, tags: [{ of: [{ is: ["}"] }] }] } } } }, model: "gpt-4o-mini" });',
     "export const defaults = { fallbackModel: 'gemini-2.5-flash' };",
-    'run({ model_id: "src/gpt-4o/x" });',
-    "let y = 1;",
+    'run({ model_id: "src/gpt-4o/x" }); pick(1, { a: { b: { c: { d: { e: 0 } } } }, modelId: "house-model" });',
+    "let y = `run(${go({ tools: [], 'model': \"o3-mini\" })})`;",
 ]
+# What those lines hold, by line: calls (id, root name of a member call, the literal), literals
+# of properties (key, id, the literal), imports (name, provider).
+TS_CALLS = [(2, "claude-sonnet-4-20250514", "Anthropic", '"claude-sonnet-4-20250514"'), (4, "gpt-4o-mini", "OpenAI", '"gpt-4o-mini"'),
+            (6, "src/gpt-4o/x", None, '"src/gpt-4o/x"'), (6, "house-model", None, '"house-model"'), (7, "o3-mini", None, '"o3-mini"')]
+TS_LITERALS = [(2, "model", "claude-sonnet-4-20250514", '"claude-sonnet-4-20250514"'), (3, "model", "gpt-4o", '"gpt-4o"'),
+               (4, "model", "gpt-4o-mini", '"gpt-4o-mini"'), (5, "fallbackModel", "gemini-2.5-flash", "'gemini-2.5-flash'"),
+               (7, "model", "o3-mini", '"o3-mini"')]
+TS_IMPORTS = [(0, "OpenAI", "openai"), (1, "Anthropic", "anthropic"), (1, "hp", "anthropic")]
 ENV_LINES = [
     "OPENAI_MODEL=gpt-4o",
     'ANTHROPIC_MODEL="claude-3-5-sonnet-latest"',
@@ -147,16 +156,34 @@ ENV_LINES = [
     "# comment",
     "CLAUDE_MODEL=claude-opus-4-0",
 ]
+# Items of one list, so that a file of any of them in any order is valid; YAML_BROKEN is not.
 YAML_LINES = [
-    "model: gpt-4.1",
-    '  model_id: "claude-3-haiku-20240307"',
+    "- model: gpt-4.1",
+    '- {name: a, llm: {model_id: "claude-3-haiku-20240307"}}',
     "- MODEL: 'gemini-1.5-flash'",
-    "name: service",
-    "modelId: grok-2  # pinned",
-    "model: not-a-model",
-    "temperature: 0.2",
-    "model: o3-mini",
+    "- name: service",
+    "- llm: [{modelId: grok-2}]  # pinned",
+    "- model: not-a-model",
+    "- - {temperature: 0.2, note: 'model: gpt-4o'}",
+    '- "model": o3-mini',
 ]
+YAML_BROKEN = "- temperature: [0.2"
+# Hits of those lines: line, key, id.
+YAML_HITS = [(0, "model", "gpt-4.1"), (1, "model_id", "claude-3-haiku-20240307"), (2, "MODEL", "gemini-1.5-flash"), (4, "modelId", "grok-2"),
+             (7, "model", "o3-mini")]
+# Whole documents, chosen by o_orderkey, and their hits: document, key, id.
+YAML_DOCS = [
+    "services:\n  api:\n    llm:\n      model: gpt-4o   # main\n      retries: 2\n  jobs:\n  - model_id: 'o3-mini'\n    on: true\n",
+    "model: gpt-4o\nlimits: {rpm: 5, inner: {MODEL: claude-3-opus-latest,\n  list: [1, {modelId: grok-3}]}}\n",
+    "note: |\n  model: gpt-4o\n  text\nmodel: gemini-2.5-pro\n",
+    "model: gpt-4o\n  model_id: o3\n",
+    "model: gpt-4o\nmodel: o3\n",
+    "a:\n\tmodel: gpt-4o\n",
+    "---\n'model': \"gpt-4o-2024-08-06\"\nurl: http://x.example/#model\n",
+    "model: gpt-4o\n---\nmodel: o3\n",
+]
+YAML_DOC_HITS = [(0, "model", "gpt-4o"), (0, "model_id", "o3-mini"), (1, "model", "gpt-4o"), (1, "MODEL", "claude-3-opus-latest"),
+                 (1, "modelId", "grok-3"), (2, "model", "gemini-2.5-pro"), (6, "model", "gpt-4o-2024-08-06")]
 FILE_EXTS = [".py", ".ts", ".env.example", ".yaml"]
 JSON_KEYS = ["model", "model_id", "Model"]
 JSON_IDS = ["gpt-4o", "claude-3-5-sonnet-20241022", "gemini-2.5-pro", "grok-3", "o3-mini",
@@ -175,7 +202,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = c % 4
     sub = F.when(c % 10 == 7, "node_modules/").when(c % 10 == 8, ".cache/").otherwise("")
     text = (F.when(kind == 0, _pick(PY_LINES, k % 8)).when(kind == 1, _pick(TS_LINES, k % 8))
-             .when(kind == 2, _pick(ENV_LINES, k % 8)).otherwise(_pick(YAML_LINES, k % 8)))
+             .when(kind == 2, _pick(ENV_LINES, k % 8)).when((c % 40 == 3) & (k % 8 == 6), YAML_BROKEN).otherwise(_pick(YAML_LINES, k % 8)))
     return o.select(F.concat(F.lit("repo-"), (c % 20).cast("string")).alias("scope"),
                     F.concat(F.lit("src/"), sub, F.lit("f"), c.cast("string"), _pick(FILE_EXTS, kind)).alias("path"),
                     k.alias("o_orderkey"), text.alias("text"))
@@ -204,6 +231,14 @@ def json_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     content.alias("content"))
 
 
+def yaml_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B3 YAML documents: one config file per order, nested or broken in different ways."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k = F.col("o_orderkey")
+    return o.select(F.concat(F.lit("repo-"), (F.col("o_custkey") % 20).cast("string")).alias("scope"),
+                    F.concat(F.lit("conf/o"), k.cast("string"), F.lit(".yaml")).alias("path"), _pick(YAML_DOCS, k % len(YAML_DOCS)).alias("content"))
+
+
 # ---------------------------------------------------------------------------- landing bodies
 # Raw feed bodies rendered from the lineitem observations of each source: one body per
 # fetch (row). Parsing them back must give the B1 values.

@@ -166,11 +166,13 @@ def d4_js_hits(spark, sf_dir):
     return D.scan_js(_typed(spark, sf_dir, "code")).select(*HIT_OUT)
 
 
-@register("d7_config_hits", f"SELECT {O.HIT_OUT} FROM {O.yaml_hits_sql()} a UNION ALL SELECT {O.HIT_OUT} FROM {O.json_hits_sql()} b")
+@register("d7_config_hits", f"SELECT {O.HIT_OUT} FROM {O.yaml_hits_sql()} a UNION ALL SELECT {O.HIT_OUT} FROM {O.json_hits_sql()} b "
+          f"UNION ALL SELECT {O.HIT_OUT} FROM {O.yaml_doc_hits_sql()} c")
 def d7_config_hits(spark, sf_dir):
-    """Model keys in YAML lines and in JSON documents that parse."""
-    yml = D.scan_yaml(_typed(spark, sf_dir, "data"))
-    return yml.unionByName(D.scan_json(B.json_docs(spark, sf_dir))).select(*HIT_OUT)
+    """Model keys at any depth of YAML files and JSON documents that parse."""
+    yml = D.scan_yaml(D.files_of(_typed(spark, sf_dir, "data"), F.lit(True)))
+    docs = D.scan_yaml(B.yaml_docs(spark, sf_dir))
+    return yml.unionByName(docs).unionByName(D.scan_json(B.json_docs(spark, sf_dir))).select(*HIT_OUT)
 
 
 @register("d8_env_hits", f"SELECT {O.HIT_OUT} FROM {O.env_hits_sql()} h")
@@ -184,7 +186,7 @@ DEP_OUT = ["scope", "entity_key", "provider", "model_id", "identifier_kind", "co
 
 
 def _discovered(spark, sf_dir):
-    return D.discover(B.code_lines(spark, sf_dir), B.json_docs(spark, sf_dir))
+    return D.discover(B.code_lines(spark, sf_dir), B.json_docs(spark, sf_dir).unionByName(B.yaml_docs(spark, sf_dir)))
 
 
 @register("d9_dependencies", f"SELECT {', '.join(DEP_OUT)} FROM {O.deps_from_hits_sql()} d")

@@ -354,7 +354,8 @@ def pick_sql(values: list[str], idx: str) -> str:
 def code_files_sql() -> str:
     k, c = "o_orderkey", "o_custkey"
     text = (f"CASE {c} % 4 WHEN 0 THEN {pick_sql(B.PY_LINES, k + ' % 8')} WHEN 1 THEN {pick_sql(B.TS_LINES, k + ' % 8')} "
-            f"WHEN 2 THEN {pick_sql(B.ENV_LINES, k + ' % 8')} ELSE {pick_sql(B.YAML_LINES, k + ' % 8')} END")
+            f"WHEN 2 THEN {pick_sql(B.ENV_LINES, k + ' % 8')} ELSE CASE WHEN {c} % 40 = 3 AND {k} % 8 = 6 THEN {_q(B.YAML_BROKEN)} "
+            f"ELSE {pick_sql(B.YAML_LINES, k + ' % 8')} END END")
     sub = f"CASE WHEN {c} % 10 = 7 THEN 'node_modules/' WHEN {c} % 10 = 8 THEN '.cache/' ELSE '' END"
     return (f"(SELECT 'repo-' || ({c} % 20) AS scope, 'src/' || {sub} || 'f' || {c} || {pick_sql(B.FILE_EXTS, c + ' % 4')} AS path, "
             f"{k} AS o_orderkey, {text} AS text FROM orders)")
@@ -411,14 +412,23 @@ def env_hits_sql() -> str:
 
 
 def yaml_hits_sql() -> str:
-    from driftgate.operators.discovery import YAML_KEY
-    return (f"(SELECT scope, {infer_provider_sql('model_id')} AS provider, model_id, path, 1 AS line, "
-            f"CAST(NULL AS INTEGER) AS \"column\", key || ': ' || model_id AS snippet, 0.75::DOUBLE AS confidence, "
-            f"'config' AS kind, line AS hit_ord "
-            f"FROM (SELECT scope, path, line, regexp_extract(text, {_q(YAML_KEY)}, 1) AS key, "
-            f"regexp_extract(text, {_q(YAML_KEY)}, 2) AS model_id FROM {code_lines_sql()} l "
-            f"WHERE (path LIKE '%.yaml' OR path LIKE '%.yml') AND contains(lower(text), 'model')) y "
-            f"WHERE key <> '' AND {looks_like_sql('model_id')})")
+    """Each YAML line template's hits, written out; a file with an unclosed list has none."""
+    n, key, value = zip(*[(i, k, v) for i, k, v in B.YAML_HITS])
+    hits = " UNION ALL ".join(f"SELECT {_q(B.YAML_LINES[i])} AS text, {_q(k)} AS key, {_q(v)} AS model_id" for i, k, v in zip(n, key, value))
+    return (f"(WITH y AS (SELECT * FROM {code_lines_sql()} l WHERE path LIKE '%.yaml') "
+            f"SELECT scope, {infer_provider_sql('model_id')} AS provider, model_id, path, 1 AS line, "
+            f"CAST(NULL AS INTEGER) AS \"column\", key || ': ' || model_id AS snippet, 0.75::DOUBLE AS confidence, 'config' AS kind, "
+            f"CAST(y.line AS INTEGER) AS hit_ord FROM y JOIN ({hits}) h USING (text) "
+            f"WHERE (scope, path) NOT IN (SELECT (scope, path) FROM y WHERE text = {_q(B.YAML_BROKEN)}))")
+
+
+def yaml_doc_hits_sql() -> str:
+    """Each YAML document template's hits, written out."""
+    hits = " UNION ALL ".join(f"SELECT {i} AS k, {_q(k)} AS key, {_q(v)} AS model_id" for i, k, v in B.YAML_DOC_HITS)
+    return (f"(SELECT 'repo-' || (o_custkey % 20) AS scope, {infer_provider_sql('model_id')} AS provider, model_id, "
+            f"'conf/o' || o_orderkey || '.yaml' AS path, 1 AS line, CAST(NULL AS INTEGER) AS \"column\", key || ': ' || model_id AS snippet, "
+            f"0.75::DOUBLE AS confidence, 'config' AS kind, 0 AS hit_ord "
+            f"FROM orders JOIN ({hits}) h ON h.k = o_orderkey % {len(B.YAML_DOCS)})")
 
 
 def json_hits_sql() -> str:
@@ -433,44 +443,27 @@ def json_hits_sql() -> str:
 
 
 def js_hits_sql() -> str:
-    from driftgate.operators.discovery import JS_BLOCK_COMMENT, JS_CALL_LINE, JS_COMMENT_LINE, JS_IMPORT, JS_PROP
-    from driftgate.schemas import PROVIDER_PACKAGES
-    pk = " UNION ALL ".join(f"SELECT '{a}' AS package, '{p}' AS imp_provider" for a, p in PROVIDER_PACKAGES)
-    named = ("list_transform(string_split(regexp_extract(spec, '\\{([^}]*)\\}', 1), ','), "
-             "lambda x: regexp_extract(x, '([A-Za-z_$][\\w$]*)\\s*$', 1))")
-    names = f"list_concat([regexp_extract(spec, '^\\s*([A-Za-z_$][\\w$]*)', 1), regexp_extract(spec, '\\*\\s*as\\s+([A-Za-z_$][\\w$]*)', 1)], {named})"
+    """Each TS line template's hits, written out by hand (key, id, root name of a member call);
+    the provider of a root name is that of its last import at or above the line."""
+    sdk = " UNION ALL ".join(f"SELECT {_q(B.TS_LINES[i])} AS text, {_q(v)} AS model_id, {_q(root) if root else 'NULL'} AS root, {_q(lit)} AS literal"
+                             for i, v, root, lit in B.TS_CALLS)
+    lits = " UNION ALL ".join(f"SELECT {_q(B.TS_LINES[i])} AS text, {_q(k)} AS key, {_q(v)} AS model_id, {_q(lit)} AS literal"
+                              for i, k, v, lit in B.TS_LITERALS)
+    imports = " UNION ALL ".join(f"SELECT {_q(B.TS_LINES[i])} AS text, {_q(a)} AS root, {_q(p)} AS imp_provider" for i, a, p in B.TS_IMPORTS)
     return f"""(
-  WITH l AS (SELECT scope, path, line, text FROM (
-                SELECT scope, path, line, regexp_replace(regexp_replace(text, {_q(JS_BLOCK_COMMENT)}, ' ', 'g'),
-                                                         {_q(JS_COMMENT_LINE)}, '') AS text
-                FROM {code_lines_sql()} x WHERE path LIKE '%.ts') y WHERE contains(lower(text), 'model')),
-  al AS (SELECT * FROM {code_lines_sql()} x WHERE path LIKE '%.ts' AND contains(text, 'import')),
-  imp AS (SELECT scope, path, line AS imp_line, imp_provider, unnest({names}) AS alias
-          FROM (SELECT scope, path, line, regexp_extract(text, {_q(JS_IMPORT)}, 1) AS spec,
-                       regexp_extract(text, {_q(JS_IMPORT)}, 2) AS package FROM al) s
-          JOIN ({pk}) p USING (package)),
-  calls AS (SELECT scope, path, line, text, m, regexp_extract(m, {_q(JS_CALL_LINE)}, 1) AS root,
-                   regexp_extract(m, {_q(JS_CALL_LINE)}, 2) AS member,
-                   regexp_extract(m, {_q(JS_CALL_LINE)}, 3) || regexp_extract(m, {_q(JS_CALL_LINE)}, 4) AS model_id
-            FROM (SELECT *, unnest(regexp_extract_all(text, {_q(JS_CALL_LINE)}, 0)) AS m FROM l) u),
-  cj AS (SELECT c.scope, c.path, c.line, c.text, c.m, c.model_id,
-                max({{'l': i.imp_line, 'p': i.imp_provider}}) AS imp
-         FROM calls c LEFT JOIN imp i ON i.scope = c.scope AND i.path = c.path AND c.member <> ''
-              AND i.alias = c.root AND i.alias <> '' AND i.imp_line <= c.line
-         GROUP BY c.scope, c.path, c.line, c.text, c.m, c.model_id),
-  props AS (SELECT scope, path, line, text, m,
-                   regexp_extract(m, {_q(JS_PROP)}, 1) || regexp_extract(m, {_q(JS_PROP)}, 2) || regexp_extract(m, {_q(JS_PROP)}, 3) AS key,
-                   regexp_extract(m, {_q(JS_PROP)}, 4) || regexp_extract(m, {_q(JS_PROP)}, 5) AS model_id
-            FROM (SELECT *, unnest(regexp_extract_all(text, {_q(JS_PROP)}, 0)) AS m FROM l) u)
+  WITH l AS (SELECT * FROM {code_lines_sql()} x WHERE path LIKE '%.ts'),
+  imp AS (SELECT scope, path, line AS imp_line, root, imp_provider FROM l JOIN ({imports}) i USING (text)),
+  calls AS (SELECT l.scope, l.path, l.line, l.text, c.model_id, c.root, c.literal FROM l JOIN ({sdk}) c USING (text)),
+  cj AS (SELECT c.scope, c.path, c.line, c.text, c.model_id, c.literal, max({{'l': i.imp_line, 'p': i.imp_provider}}) AS imp
+         FROM calls c LEFT JOIN imp i ON i.scope = c.scope AND i.path = c.path AND i.root = c.root AND i.imp_line <= c.line
+         GROUP BY c.scope, c.path, c.line, c.text, c.model_id, c.literal)
   SELECT scope, coalesce(imp.p, {infer_provider_sql('model_id')}) AS provider, model_id, path, line,
-         CAST(strpos(text, m) - 1 + length(m) - length(model_id) - 2 AS INTEGER) AS "column",
-         'model: "' || model_id || '"' AS snippet, 0.9::DOUBLE AS confidence, 'sdk' AS kind
+         CAST(strpos(text, literal) - 1 AS INTEGER) AS "column", 'model: "' || model_id || '"' AS snippet, 0.9::DOUBLE AS confidence, 'sdk' AS kind
   FROM cj
   UNION ALL
   SELECT scope, {infer_provider_sql('model_id')} AS provider, model_id, path, line,
-         CAST(strpos(text, m) - 1 + length(m) - length(model_id) - 2 AS INTEGER) AS "column",
-         key || ': "' || model_id || '"' AS snippet, 0.55::DOUBLE AS confidence, 'literal' AS kind
-  FROM props WHERE regexp_matches(key, '(?i)model') AND {looks_like_sql('model_id')}
+         CAST(strpos(text, literal) - 1 AS INTEGER) AS "column", key || ': "' || model_id || '"' AS snippet, 0.55::DOUBLE AS confidence, 'literal' AS kind
+  FROM l JOIN ({lits}) p USING (text)
 )"""
 
 
@@ -480,7 +473,7 @@ HIT_OUT = "scope, provider, model_id, path, line, \"column\", snippet, confidenc
 def all_hits_sql() -> str:
     return (f"(SELECT {HIT_OUT} FROM {python_hits_sql()} a UNION ALL SELECT {HIT_OUT} FROM {js_hits_sql()} b "
             f"UNION ALL SELECT {HIT_OUT} FROM {env_hits_sql()} c UNION ALL SELECT {HIT_OUT} FROM {yaml_hits_sql()} d "
-            f"UNION ALL SELECT {HIT_OUT} FROM {json_hits_sql()} e)")
+            f"UNION ALL SELECT {HIT_OUT} FROM {json_hits_sql()} e UNION ALL SELECT {HIT_OUT} FROM {yaml_doc_hits_sql()} f)")
 
 
 def deps_from_hits_sql() -> str:

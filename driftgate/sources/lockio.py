@@ -7,14 +7,15 @@ sorted order and refuses when a secret is still present.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgate.functions.jsontext import json_ok, sorted_struct
-from driftgate.functions.text import SECRET_KEY_WORDS, contains_secret, scrub_secrets
-from driftgate.schemas import REDACTED
-from driftgate.schemas import CONFIDENCE_ORDER, FACTS, PROVIDERS, SCHEMA_VERSION
+from driftgate.functions.scanners import redact_members
+from driftgate.functions.text import contains_secret, scrub_secrets
+from driftgate.schemas import CONFIDENCE_ORDER, FACTS, PROVIDERS, REDACTED, SCHEMA_VERSION, SECRET_KEY_PATTERN
 
 # Lock line: header fields repeated per dependency, the dependency, and its approved facts.
 LOCK_LINE = T.StructType(sorted([
@@ -76,15 +77,15 @@ def lock_records_from_lines(good: DataFrame) -> DataFrame:
                        F.col("lowConfidence").alias("low_confidence"), "path", "line", "facts")
 
 
-# A JSON member whose key is a secret key word: its value is redacted whole, of whatever type.
-SECRET_MEMBER = r'("(?i:[^"]*(?:' + SECRET_KEY_WORDS + r')[^"]*)"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|\{[^{}]*\}|[^\s,\[\]{}"]+)'
+def scrub_json_text(text) -> Column:
+    """X12 on serialized JSON: every secret pattern in the text, and the whole value, of any
+    type and however deeply nested, of every member whose key names a secret, become
+    [REDACTED]. Members are found by one scan of the text with a count of its brackets."""
 
+    def members(texts: pd.Series) -> pd.Series:  # made here, so that tasks get it by value
+        return texts.map(lambda t: None if t is None else redact_members(t, SECRET_KEY_PATTERN, REDACTED))
 
-def scrub_json_text(text) -> F.Column:
-    """X12 on serialized JSON: every secret pattern in the text, and the value of every
-    member whose key names a secret, become [REDACTED]. One column, seven replacements,
-    however deeply the record is nested."""
-    return F.regexp_replace(scrub_secrets(text), SECRET_MEMBER, '$1"' + REDACTED + '"')
+    return F.pandas_udf(members, "string")(scrub_secrets(text))
 
 
 def write_lock(lines: DataFrame, path: str) -> int:

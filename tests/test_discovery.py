@@ -27,7 +27,7 @@ def test_one_reference_of_each_file_type(spark, tmp_dir):
     deps = discover_tree(spark, tmp_dir)
     assert set(deps) == {"openai:o3-mini-2025-01-31", "anthropic:claude-3-haiku-20240307", "google:gemini-1.5-flash", "xai:grok-2"}
     call = deps["openai:o3-mini-2025-01-31"]
-    assert (call["path"], call["line"], call["confidence"]) == ("billing/jobs/summary.mjs", 5, 0.9)
+    assert (call["path"], call["line"], call["confidence"]) == ("billing/jobs/summary.mjs", 7, 0.9)  # where the literal stands
     assert deps["anthropic:claude-3-haiku-20240307"]["line"] == 4
     assert deps["xai:grok-2"]["confidence"] == 0.85 and deps["xai:grok-2"]["n_occurrences"] == 2
 
@@ -73,9 +73,9 @@ oa.chat.create({ note: "model: 'gpt-4.1'" });
 Z.messages.create({ model: "gpt-4o" });"""
     lines = spark.createDataFrame([("r", "a.ts", i + 1, t) for i, t in enumerate(text.split("\n"))], "scope string, path string, line int, text string")
     hits = {(r["line"], r["model_id"]): r for r in D.scan_js(lines.repartition(4)).filter("kind = 'sdk'").collect()}
-    assert set(hits) == {(4, "claude-opus-4-0"), (5, "gpt-4o"), (6, "plain-name"), (13, "gpt-4o")}
+    assert set(hits) == {(4, "claude-opus-4-0"), (5, "gpt-4o"), (9, "plain-name"), (13, "gpt-4o")}
     assert [hits[k]["provider"] for k in ((4, "claude-opus-4-0"), (5, "gpt-4o"), (13, "gpt-4o"))] == ["openai", "openai", "anthropic"]
-    assert hits[6, "plain-name"]["column"] == len("    'model': ")
+    assert hits[9, "plain-name"]["column"] == len("    'model': ")
     assert hits[4, "claude-opus-4-0"]["column"] == text.split("\n")[3].index('"claude')
 
 
@@ -152,3 +152,41 @@ def test_js_comments_are_ignored(spark):
     lines = spark.createDataFrame(rows, "scope string, path string, line int, text string")
     got = {(r["line"], r["model_id"]) for r in D.scan_js(lines).collect()}
     assert got == {(3, "o3-mini")}
+
+
+def _js(spark, text):
+    lines = spark.createDataFrame([("r", "a.ts", i + 1, t) for i, t in enumerate(text.split("\n"))], "scope string, path string, line int, text string")
+    return {(r["line"], r["column"], r["model_id"], r["kind"], r["provider"]) for r in D.scan_js(lines.repartition(3)).collect()}
+
+
+def test_calls_at_any_depth(spark):
+    deep = "{ a: " * 40 + "1" + " }" * 40
+    text = "\n".join([
+        "create({ response_format: { type: 'json_schema', json_schema: { schema: { type: 'object', properties: { city: { type: 'string' } } } } }, model: 'house' });",
+        f"go({{ x: {deep}, modelId: 'deep-house' }});",
+        "new Client({ model: 'not-called' }); a?.b({ model: 'optional' }); f({ model: 'a' + 'b' });",
+        "outer(inner({ model: 'in-1' }), { model: 'out-1' }); const s = \"run({ model: 'text' })\", r = /[\"'{]/;",
+        "t(`x ${ g({ model: 'in-template' }) } { model: 'words' }`);",
+        "// run({ model: 'comment' })", "/* run({", "model: 'comment' }) */", "h({ 'model_id': 'last' });"])
+    got = {(line, m) for line, _, m, kind, _ in _js(spark, text) if kind == "sdk"}
+    assert got == {(1, "house"), (2, "deep-house"), (4, "in-1"), (4, "out-1"), (5, "in-template"), (9, "last")}
+    column = {m: c for _, c, m, _, _ in _js(spark, text)}
+    assert column["house"] == text.index("'house'") and column["last"] == text.split("\n")[8].index("'last'")
+
+
+def test_unbalanced_code_does_not_stop_the_scan(spark):
+    assert {m for _, _, m, _, _ in _js(spark, "}}}) ]\nx({ model: 'gpt-4o' });\n'open\nfoo(({ model: 'gpt-4o-mini' }\n`never closed ${ y({model: 'o3-mini'})")} == {"gpt-4o", "gpt-4o-mini", "o3-mini"}
+    assert _js(spark, "") == set() == _js(spark, "model")
+
+
+def test_yaml_nesting_and_validity():
+    from driftgate.functions.scanners import yaml_strings
+    assert yaml_strings("a:\n  b:\n  - c: {d: [1, {model: x}]}\n    model: 'y z'\n  e: |\n    model: no\nmodel: \"q\" # c\n") == [
+        ("model", "x"), ("model", "y z"), ("model", "q")]
+    assert yaml_strings("key: first\n  second\nmodel: v") == [("key", "first"), ("model", "v")]
+    assert yaml_strings("k:\n- a\n- model: m\n  n: o\nz: {p: q,\n r: s}") == [("model", "m"), ("n", "o"), ("p", "q"), ("r", "s")]
+    for bad in ("a: b\n  c: d", "a: b\na: c", "a: {b: c", "a: [1, 2}", "a:\n\tb: c", "a: 'b", "a: b: c", "a: 1\n---\nb: 2", "a:\n  b: c\n d: e", "- a\nb: c", "a: 'b' c"):
+        assert yaml_strings(bad) is None, bad
+    for none in ("", "# x\n", "text", "- 1\n- 2\n", "--- \n"):
+        assert yaml_strings(none) == [], none
+    assert len(yaml_strings("".join(f"{'  ' * i}k{i}:\n" for i in range(300)) + "  " * 300 + "model: m")) == 1

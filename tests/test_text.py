@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftgate.functions import identity as I
+import json
+
 from driftgate.functions import text as X
 
 
@@ -74,3 +76,18 @@ def test_finding_line(spark):
     out = df.select(X.finding_line("s", "c", "k", "f", "conf", "p", "l", "m").alias("o")).collect()[0]["o"]
     assert out == ("FAIL input-price-increase openai:gpt-4o.inputPricePerMillion [official-verified] "
                    "@ src/a.ts:3: Input price increased 100.0%")
+
+
+def test_members_are_redacted_at_any_depth(spark):
+    from driftgate.functions.scanners import redact_members
+    from driftgate.sources.lockio import scrub_json_text
+    text = ('{"token":{"a":{"b":"s"}},"password":[["x"],{"y":1}],"ok":{"API_KEY":5,"z":[1,{"mySecret":null,"n":"v"}]},'
+            '"a":"token","t\\u006fken":true,"authorization" : "} \\" ,"}')
+    want = ('{"token":"[REDACTED]","password":"[REDACTED]","ok":{"API_KEY":"[REDACTED]","z":[1,{"mySecret":"[REDACTED]","n":"v"}]},'
+            '"a":"token","t\\u006fken":"[REDACTED]","authorization" : "[REDACTED]"}')
+    assert one(spark, scrub_json_text, text) == want
+    assert json.loads(want)["ok"]["z"][1] == {"mySecret": "[REDACTED]", "n": "v"}
+    deep = '{"a":' * 200 + '{"password":' + "[" * 50 + "1" + "]" * 50 + "}" + "}" * 200
+    assert redact_members(deep, "password", "-") == '{"a":' * 200 + '{"password":"-"}' + "}" * 200
+    for plain in ("", "x", '"token"', "{}", '{"a":1}', '{"token"', '{"token":'):
+        assert redact_members(plain, "token", "-") == plain
