@@ -1,7 +1,9 @@
 """Vectorised fingerprints of byte strings and words (numpy, inside Spark tasks).
 
-A prefix sum of ``T[byte] * B**i`` modulo 2**64 gives the fingerprint of any substring in
-constant time; ``mix`` spreads it over all 64 bits.
+Whole words and lines are hashed by xxh3. For substrings, a prefix sum of ``T[byte] * B**i``
+modulo 2**64 gives the fingerprint of any one in constant time; ``mix`` spreads it over all 64
+bits. Such sums have known collisions between strings of 1,024 bytes and more (Thue-Morse
+words), so only strings shorter than that may be compared by them.
 """
 
 from __future__ import annotations
@@ -9,15 +11,14 @@ from __future__ import annotations
 import numpy as np
 
 from driftgate.llm.common import ship
+from driftgate.llm.tokens import mix, segments, tokens, word_hashes
 
 ship(__name__)
 
 MASK = (1 << 64) - 1
 _RNG = np.random.default_rng(20240607)
-#: One random 64-bit number for each byte value, and the same after lower-casing A-Z.
+#: One random 64-bit number for each byte value.
 T_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-T_LOWER = T_BYTE.copy()
-T_LOWER[65:91] = T_BYTE[97:123]
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: ASCII white space: \x20 and \x09-\x0D.
@@ -38,20 +39,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["inv"][:n]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return x
-
-
-def prefix(data: np.ndarray, table: np.ndarray = T_BYTE) -> np.ndarray:
+def prefix(data: np.ndarray) -> np.ndarray:
     """Prefix sums, one more than the bytes."""
     p, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * p[:-1], out=out[1:])
+    np.cumsum(T_BYTE[data] * p[:-1], out=out[1:])
     return out
 
 
@@ -62,51 +54,17 @@ def prints(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of documents that lie one after
-    another in ``data``, and each word's document number. No word spans two documents."""
-    if len(data) == 0:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    inside = ~SPACE[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | cut[1:-1]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | cut[1:-1]
-    start = np.flatnonzero(first)
-    return start, np.flatnonzero(last) + 1, np.searchsorted(offsets, start, side="right") - 1
-
-
-#: Bytes handled at once; longer documents are cut at white space.
+#: Bytes handled at once.
 CHUNK = 1 << 19
 
 
 def word_prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the words (A-Z lower-cased) and their document numbers, in order.
-    Works through ``data`` in pieces that end at white space, so temporaries stay small."""
-    out_h, out_d, a, n = [], [], 0, len(data)
-    while a < n:
-        b = min(n, a + CHUNK)
-        if b < n:
-            gaps = np.flatnonzero(SPACE[data[a:b]])
-            if len(gaps):
-                b = a + int(gaps[-1]) + 1
-            else:  # one word longer than the piece
-                ahead, step = b, CHUNK
-                while ahead < n and not SPACE[data[ahead:ahead + step]].any():
-                    ahead += step
-                rest = np.flatnonzero(SPACE[data[ahead:ahead + step]])
-                b = ahead + int(rest[0]) + 1 if len(rest) else n
-        lo = int(np.searchsorted(offsets, a, side="right")) - 1
-        hi = int(np.searchsorted(offsets, b, side="left"))
-        own = np.clip(offsets[lo:hi + 1], a, b) - a
-        piece = data[a:b]
-        s, e, d = words(piece, own)
-        out_h.append(prints(prefix(piece, T_LOWER), s, e))
-        out_d.append(d + lo)
-        a = b
+    """xxh3-64 of the words (A-Z lower-cased) and their document numbers, in order."""
+    out_h, out_d = [], []
+    for lo, own, piece in segments(data, offsets, SPACE, CHUNK):
+        found, _, doc = tokens(piece, own, SPACE)
+        out_h.append(word_hashes(found))
+        out_d.append(doc + lo)
     if not out_h:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out_h), np.concatenate(out_d)

@@ -1,7 +1,7 @@
 """Reversible line dedup: exact reference counts and sharded cuckoo filters.
 
-A line's key is the line stripped of ASCII white space with A-Z lower-cased, kept as a
-128-bit fingerprint. The reference table holds, for every key, in how many documents it
+A line's key is the line stripped of ASCII white space with A-Z lower-cased, kept as its
+128-bit xxh3. The reference table holds, for every key, in how many documents it
 stands; it is exact and decides. Keys that reach the threshold are also held in cuckoo
 filters, one for each shard of the key space, which answer "certainly not frequent" for
 almost all lines before anything is joined. Documents can be added (+1 for each of their
@@ -18,11 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgate.llm.common import Scratch, ship, spans, utf8
-from driftgate.llm.kernels import BASE, CHUNK, SPACE, T_LOWER, mix, prefix, prints
+from driftgate.llm.kernels import CHUNK, SPACE
+from driftgate.llm.tokens import FOLD, mix
 
 ship(__name__)
 
@@ -32,8 +34,6 @@ SHARD_KEYS, SLOTS, MOVES = 1 << 15, 4, 500
 #: Filters up to this size in all are sent to the tasks; beyond it lines go straight to the
 #: exact join, which gives the same result.
 FILTER_BYTES = 64 << 20
-#: A second, independent table for the other half of the fingerprint.
-_T2 = mix(T_LOWER ^ np.uint64(BASE))
 
 
 # ---------------------------------------------------------------------------- lines
@@ -53,8 +53,9 @@ def line_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     s[~blank] = solid[a[~blank]]
     e[~blank] = solid[b[~blank] - 1] + 1
     e[blank] = s[blank]
-    k1, k2 = prints(prefix(data, T_LOWER), s, e), prints(prefix(data, _T2), s, e)
-    return doc, start, ends, k1, k2, blank
+    raw = FOLD[data].tobytes()
+    keys = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(s.tolist(), e.tolist())]), "<u8").reshape(-1, 2)
+    return doc, start, ends, keys[:, 0].copy(), keys[:, 1].copy(), blank
 
 
 def _doc_steps(cut: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -312,13 +313,14 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id: str = "doc_id", te
     """
     scratch = Scratch(docs.sparkSession, "lines")
     carry = [c for c in docs.columns if c != text] if carry is None else carry
-    # The shuffle key: which rows share it does not matter, as every flagged key is
-    # frequent in the whole corpus.
-    base = docs.select(F.xxhash64(F.col(id)).alias("k"), F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
+    # Rows that agree in id and text share a name, and their keys; no others do.
+    name = F.struct(F.xxhash64(F.lit(1), F.col(id), F.col(text)).alias("a"), F.xxhash64(F.lit(2), F.col(text), F.col(id)).alias("b"))
+    base = docs.select(name.alias("k"), F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(text).alias("text"))
     keys = scratch.write(document_keys(base, "k", "text"))
     index = LineIndex.build(base, min_docs, "k", "text", keys=keys, scratch=scratch)
-    # A key that many documents share is spread by document; the lists are bounded by a text.
-    found = index.frequent(keys).groupBy(F.col("id").alias("k")).agg(F.collect_list("k1").alias("x"), F.collect_list("k2").alias("y"))
+    # A key that many documents share is spread by document; a set is bounded by one text.
+    found = index.frequent(keys).groupBy(F.col("id").alias("k")).agg(F.collect_set(F.struct("k1", "k2")).alias("s"))
+    found = found.select("k", F.col("s.k1").alias("x"), F.col("s.k2").alias("y"))
     joined = base.join(found.hint("shuffle_hash"), "k", "left").select("row", "text", "x", "y")
     row = base.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(_drop, f"row {row}, text string, n_lines long, n_dropped long, kept_sha256 string")

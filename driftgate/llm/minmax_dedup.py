@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from driftgate.llm.common import Scratch, ship, spans, utf8
 from driftgate.llm.graph import components
-from driftgate.llm.kernels import CHUNK, mix, word_prints
+from driftgate.llm.kernels import CHUNK, word_prints
+from driftgate.llm.tokens import mix
 
 ship(__name__)
 
@@ -170,7 +171,7 @@ def _shared(first: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _compare(table: pa.Table) -> pa.Table:
     """(bucket, i, j, id, comp, set) -> links that join components of a bucket's blocks."""
     num, den = SIMILARITY
-    table = table.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending"), ("id", "ascending")])
+    table = table.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
     keys = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("bucket", "i", "j")], 1)
     starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
     ids, comps = table.column("id").to_pylist(), table.column("comp").to_pylist()

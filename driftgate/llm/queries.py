@@ -35,7 +35,7 @@ def sentencepiece_model() -> bytes:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode(table(spark, sf_dir, "documents"), sentencepiece_model(), carry=["doc_id"], with_ids=False)
-    return out.select("row.doc_id", "n_tokens", "n_unknown", "n_bytes", "ids_sha256", "parity", "round_trip")
+    return out.select("row.doc_id", "n_tokens", "n_unknown", "n_bytes", "ids_sha256", "words_parity", "round_trip")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +87,8 @@ def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"], with_text=False)
-    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = suffix_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ SELECT doc_id, {counts}, sha256(coalesce(max(base), '')) AS base_sha256, coalesc
 FROM d LEFT JOIN listed USING (r) GROUP BY r, doc_id"""
 
 
-# Keys are compared as text here; the query compares 128-bit fingerprints of them.
+# Keys are compared as text here; the query compares their 128-bit xxh3.
 ORACLE: dict[str, str] = {
     "op9_line_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),

@@ -1,4 +1,8 @@
-"""Repeated byte strings by merging the shards' sampled suffix orders.
+"""Repeated byte strings by counted fingerprints of sampled suffixes.
+
+No Burrows-Wheeler transform is built (README says why, with figures). What is kept of the
+merge of shard transforms is its refinement: intervals of suffixes that agree on a prefix are
+split pass by pass, and those that are decided are left alone.
 
 Every shard (a task's documents) samples the suffixes at its minimizers: for each start
 ``s`` the smallest 16-byte fingerprint of the next WINDOW places names an anchor ``m``, which
@@ -33,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgate.llm.common import Scratch, ship, spans, utf8
-from driftgate.llm.kernels import CHUNK, mix, prefix, prints
+from driftgate.llm.kernels import CHUNK, prefix, prints
+from driftgate.llm.tokens import mix
 
 ship(__name__)
 

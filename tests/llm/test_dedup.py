@@ -194,3 +194,27 @@ def test_suffix_dedup_text_keeps_whole_characters(spark):
 
 def test_cases_hold_near_copies():
     assert sum(t is None for t in texts()) == 1
+
+
+def thue_morse(n: int, x: str, y: str) -> tuple[str, str]:
+    """Two strings of n symbols that fingerprints by powers of one odd base modulo 2**64 cannot
+    tell apart."""
+    one = "".join(y if bin(i).count("1") % 2 else x for i in range(n))
+    return one, one.translate(str.maketrans({x: y, y: x}))
+
+
+def test_strings_that_collide_under_polynomial_sums(spark):
+    a, b = thue_morse(2048, "a", "b")
+    rows = [(i, a + f"\nline {i}") for i in range(9)] + [(9, b + "\nline 9")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_dropped for r in line_dedup(docs, 10, carry=["doc_id"]).collect()} == {0}
+    both = spark.createDataFrame([(0, a), (1, b), (2, a)], "doc_id long, text string")
+    assert {r.id: r.component_id for r in near_duplicates(both).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+def test_lines_of_rows_without_id(spark):
+    """Rows without an id, and rows of one id, are documents of their own."""
+    rows = [(None, f"shared\nown {i}") for i in range(12)] + [(7, f"Shared \nof seven {i}") for i in range(3)] + [(None, "own 0")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.text, r.n_dropped) for r in line_dedup(docs, 10, carry=["doc_id"]).collect())
+    assert got == sorted([(f"own {i}", 1) for i in range(12)] + [(f"of seven {i}", 1) for i in range(3)] + [("own 0", 0)] * 2)
