@@ -9,6 +9,7 @@ partial aggregates only (D9): occurrences stay a table (the hits) instead of an
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 
@@ -105,19 +106,41 @@ def open_fs(path: str):
     return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path)
 
 
+#: Entries of a directory that leave a task at once, and bytes of files dealt to a task.
+LISTED, READ_BYTES = 4096, 64 << 20
+
+
+def _entries(directory: str):
+    """(name, is a directory, size) of a directory's entries, one by one on a local disk."""
+    import os
+
+    import pyarrow.fs as pafs
+    fs, base = open_fs(directory)
+    if isinstance(fs, pafs.LocalFileSystem):
+        if os.path.isdir(base):
+            with os.scandir(base) as found:
+                for e in found:
+                    if e.is_dir() or e.is_file():
+                        yield e.name, e.is_dir(), 0 if e.is_dir() else e.stat().st_size
+        return
+    for e in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        yield e.base_name, e.type == pafs.FileType.Directory, e.size or 0
+
+
 def _list_dirs(batches):
     """mapInPandas: the entries of each directory (any name: Spark's own listing hides names
-    that begin with ``.`` or ``_``)."""
+    that begin with ``.`` or ``_``), in bounded batches however many there are."""
     import pandas as pd
-    import pyarrow.fs as pafs
+    columns = ["abs", "path", "name", "is_dir", "size"]
     for pdf in batches:
         rows = []
         for d, rel in zip(pdf["dir"], pdf["rel"]):
-            fs, base = open_fs(d)
-            for e in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
-                rows.append((d.rstrip("/") + "/" + e.base_name, (rel + "/" if rel else "") + e.base_name, e.base_name,
-                             e.type == pafs.FileType.Directory, e.size or 0))
-        yield pd.DataFrame(rows, columns=["abs", "path", "name", "is_dir", "size"])
+            for name, is_dir, size in _entries(d):
+                rows.append((d.rstrip("/") + "/" + name, (rel + "/" if rel else "") + name, name, is_dir, size))
+                if len(rows) == LISTED:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _read_files(batches):
@@ -159,7 +182,11 @@ def list_corpus(spark: SparkSession, project: str, roots: list[str], ignore: lis
 def read_corpora(spark: SparkSession, project: str, roots: list[str], scope: str, ignore: list[str] | None = None) -> DataFrame:
     """The files below ``roots`` of a project as (scope, path, content), minified ones
     (F4) left out, whatever their type."""
-    files = list_corpus(spark, project, roots, ignore).select("abs", "path").repartition("path")
+    files = list_corpus(spark, project, roots, ignore).checkpoint(eager=True)
+    # As many tasks as the bytes ask for; a file counts for 4 KB at least.
+    tasks = math.ceil((files.agg(F.sum(F.col("size") + 4096)).first()[0] or 0) / READ_BYTES) or 1
+    tasks = max(tasks, min(files.sparkSession.sparkContext.defaultParallelism, files.count() or 1))
+    files = files.select("abs", "path").repartition(tasks, "path")
     out = files.mapInPandas(_read_files, "path string, content string")
     n_lines = F.size(F.split(F.col("content"), "\n", -1))
     return out.filter(~minified("path", F.length("content"), n_lines)).select(F.lit(scope).alias("scope"), "path", "content")

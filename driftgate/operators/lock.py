@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftgate.functions.identity import identifier_kind, parse_model_key
 from driftgate.operators.skew import join_one
-from driftgate.schemas import FACT_FIELDS
+from driftgate.schemas import EVIDENCE, FACT_FIELDS
 
 DEP_COLS = ["scope", "entity_key", "provider", "model_id", "identifier_kind",
             "discovery_confidence", "low_confidence", "path", "line"]
@@ -57,13 +58,14 @@ def _unavailable(generated_at) -> Column:
 
 
 def lock_records(deps: DataFrame, facts: DataFrame, generated_at, heavy: list | None = None) -> DataFrame:
-    """J2 + T5 (wide): one lock record per dependency with its 12 facts from the snapshot;
+    """J2 + T5 (wide): one lock record per dependency with its 12 facts and evidence from the snapshot;
     a key the snapshot lacks gets 'unavailable' facts; identity facts are overridden from
     discovery. ``facts`` are the wide records (one row per entity, already partitioned by
     ``entity_key``), so the join is at entity granularity and only the dependency side
     moves; entities that very many scopes depend on (``heavy``, see ``operators.skew``) are
     joined where the dependencies lie."""
-    j = join_one(deps.select(*DEP_COLS), facts.select("entity_key", "facts"), "entity_key", heavy)
+    seen = facts.select("entity_key", "facts", F.col("evidence") if "evidence" in facts.columns else F.lit(None).cast(T.ArrayType(EVIDENCE)).alias("evidence"))
+    j = join_one(deps.select(*DEP_COLS), seen, "entity_key", heavy)
     missing = F.col("facts").isNull()
     envs = []
     for n, _ in FACT_FIELDS:
@@ -75,7 +77,8 @@ def lock_records(deps: DataFrame, facts: DataFrame, generated_at, heavy: list |
                     F.when(env["confidence"] == "unavailable", "single-source").otherwise(env["confidence"]))
             env = env.withField("str_value", value).withField("confidence", conf)
         envs.append(env.alias(n))
-    return j.select(*DEP_COLS, F.struct(*envs).alias("facts"))
+    none = F.array().cast(T.ArrayType(EVIDENCE))
+    return j.select(*DEP_COLS, F.struct(*envs).alias("facts"), F.coalesce("evidence", none).alias("evidence"))
 
 
 def lock_long(records: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ POLICY_COLS = [
     "max_output_price_increase_percent", "fail_on_context_decrease", "fail_on_max_output_decrease",
     "fail_on_tool_calling_removal", "fail_on_structured_output_removal", "fail_on_vision_removal",
     "stale_source_behavior", "min_blocking_confidence", "fail_on_warn",
+    "allow_network", "stale_after_days", "timeout_ms", "max_bytes",
 ]
 
 

@@ -388,6 +388,9 @@ def policy_overrides(scopes: DataFrame) -> DataFrame:
         F.when(n >= 15, "fail").otherwise("warn").alias("stale_source_behavior"),
         F.when((n >= 5) & (n <= 9), "single-source").otherwise("official-verified").alias("min_blocking_confidence"),
         ((n >= 10) & (n <= 14)).alias("fail_on_warn"),
+        (n == 3).alias("allow_network"),
+        F.when(n == 4, 30).otherwise(7).alias("stale_after_days"),
+        F.when(n < 2, 1024).otherwise(8 * 1024 * 1024).alias("max_bytes"),
     )
 
 

@@ -474,7 +474,8 @@ def a8_source_status(spark, sf_dir):
 POLICY_OUT = ["scope", "floating_aliases", "retirement_window_days", "max_input_price_increase_percent",
               "max_output_price_increase_percent", "fail_on_context_decrease", "fail_on_max_output_decrease",
               "fail_on_tool_calling_removal", "fail_on_structured_output_removal", "fail_on_vision_removal",
-              "stale_source_behavior", "min_blocking_confidence", "fail_on_warn", "config_digest"]
+              "stale_source_behavior", "min_blocking_confidence", "fail_on_warn", "allow_network", "stale_after_days",
+              "timeout_ms", "max_bytes", "config_digest"]
 
 
 def _override_run(spark, sf_dir):
@@ -510,6 +511,7 @@ def a9_gate_overrides(spark, sf_dir):
 
 # --------------------------------------------------------------------------- publish
 
+from driftgate.operators import documents as DOC  # noqa: E402
 from driftgate.operators import publish as P  # noqa: E402
 from driftgate.operators import reports as R  # noqa: E402
 
@@ -596,13 +598,17 @@ def r5_fact_invariants(spark, sf_dir):
 
 @register("s8_snapshot_dates", """
 SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS previous_date
-FROM (SELECT DISTINCT strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS snapshot_date FROM lineitem) d""")
+FROM (SELECT DISTINCT strftime(date_trunc('year', l_shipdate), '%Y-%m-%d') AS snapshot_date FROM lineitem) d""")
 def s8_snapshot_dates(spark, sf_dir):
-    """Monthly snapshot dates the observation history supports, each with the previous."""
-    from pyspark.sql import Window
-    d = (B.observations(spark, sf_dir).select(F.date_format(F.date_trunc("month", "fetched_at"), "yyyy-MM-dd")
-                                               .alias("snapshot_date")).distinct())
-    return d.select("snapshot_date", F.lag("snapshot_date").over(Window.orderBy("snapshot_date")).alias("previous_date"))
+    """A snapshot published for every year that the observations begin, one of them twice;
+    the published dates, each with the previous."""
+    from driftgate.sources.snapshots import SnapshotMeta, list_snapshots, write_snapshot
+    path = _run_dir(spark, "snapshots")
+    obs = B.observations(spark, sf_dir).select(F.date_format(F.date_trunc("year", "fetched_at"), "yyyy-MM-dd").alias("d"), "entity_key", "source_id")
+    dates = [r["d"] for r in obs.select("d").distinct().orderBy("d").collect()]  # one for each year
+    for d in [*dates, dates[0]]:
+        write_snapshot(obs.filter(F.col("d") == d).drop("d"), path, SnapshotMeta(d, d))
+    return list_snapshots(spark, path)
 
 
 def _listed(at: str, drop_mod: int | None = None) -> str:
@@ -700,11 +706,239 @@ def t4_explain(spark, sf_dir):
     return R.explain(run.fdiff, run.findings, EXPLAIN_KEY)
 
 
-@register("t1_json_report")
+_IN_ORDER = "row_number() OVER (PARTITION BY scope ORDER BY key COLLATE en, code COLLATE en, field_ord, field)"
+_WARNED = "Partial source failure (deprecations.info); merged available sources and retained warnings"
+
+
+@register("o1_report_order", f"SELECT scope, {_IN_ORDER} AS position, key, code, field FROM {O.findings_sql()} f")
+def o1_report_order(spark, sf_dir):
+    """O1: the position of every finding in its scope's report, by locale order."""
+    return DOC.ordered_findings(drift.run(spark, sf_dir).findings).select("scope", "position", "key", "code", "field")
+
+
+@register("o2_key_order", f"""
+SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY entity_key COLLATE en, field_ord) AS position, entity_key, field, kind
+FROM {O.diff_sql()} d""")
+def o2_key_order(spark, sf_dir):
+    """O2: the position of every field diff in its scope, by key in locale order."""
+    return DOC.ordered_by_key(drift.run(spark, sf_dir).fdiff, "entity_key", "field_ord").select("scope", "position", "entity_key", "field", "kind")
+
+
+def _body(pieces: DataFrame, part: int, schema: str) -> DataFrame:
+    """The entries of a document's part, parsed from its pieces."""
+    text = F.concat(F.lit("["), F.regexp_replace("text", "^,", ""), F.lit("]"))
+    return pieces.filter(F.col("part") == part).select("scope", "piece", F.posexplode(F.from_json(text, f"array<{schema}>")).alias("i", "e")) \
+        .select("scope", (F.col("piece") * DOC.PIECE + F.col("i") + 1).alias("position"), "e.*")
+
+
+@register("t2_sarif_document", f"""
+SELECT scope, {_IN_ORDER} AS position, code AS rule_id, CASE severity WHEN 'fail' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'note' END AS level,
+       {_line_sql('message')} AS message, replace(path, '\\', '/') AS uri, coalesce(line, 1) AS start_line
+FROM {O.findings_sql()} f""")
+def t2_sarif_document(spark, sf_dir):
+    """One SARIF document a scope, written as ordered pieces; its results parsed back
+    from the pieces' text."""
+    run = drift.run(spark, sf_dir)
+    doc = DOC.sarif_document(DOC.ordered_findings(run.findings), run.gate, "driftgate", "1.0.0")
+    body = _body(doc, 1, "struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:"
+                         "struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>>>>")
+    place = F.get("locations", F.lit(0))["physicalLocation"]
+    return body.select("scope", "position", F.col("ruleId").alias("rule_id"), "level", F.col("message.text").alias("message"),
+                       place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"))
+
+
+@register("t1_json_report", f"""
+WITH f AS {O.findings_sql()}, d AS {O.diff_sql()}, s AS (SELECT DISTINCT scope FROM {O.deps_sql()} d)
+SELECT scope, 'finding' AS section, {_IN_ORDER} AS position, key, field, code AS name, message AS text FROM f
+UNION ALL SELECT scope, 'diff', row_number() OVER (PARTITION BY scope ORDER BY entity_key COLLATE en, field_ord), entity_key, field, kind,
+  confidence FROM d
+UNION ALL SELECT scope, 'warning', 1, NULL, NULL, NULL, '{_WARNED}' FROM s
+UNION ALL SELECT s.scope, 'exit', 1, NULL, NULL, NULL, CASE WHEN count(f.code) FILTER (WHERE severity = 'fail') > 0 THEN '1' ELSE '0' END
+  FROM s LEFT JOIN f ON f.scope = s.scope GROUP BY s.scope""")
 def t1_json_report(spark, sf_dir):
-    """JSON report rows per scope (header with exit code, one row per finding)."""
+    """One JSON document a scope (exit code, findings, warnings, diffs), written as ordered
+    pieces; all of it parsed back from the pieces' text."""
     run = drift.run(spark, sf_dir)
-    return R.json_report(run.findings, run.gate)
+    doc = DOC.json_document(DOC.ordered_findings(run.findings), DOC.ordered_by_key(run.fdiff, "entity_key", "field_ord"), run.gate, [_WARNED]).persist()
+    none = F.lit(None).cast("string")
+    found = _body(doc, 1, "struct<key:string,field:string,code:string,message:string>").select(
+        "scope", F.lit("finding").alias("section"), "position", "key", "field", F.col("code").alias("name"), F.col("message").alias("text"))
+    diffs = _body(doc, 3, "struct<key:string,field:string,kind:string,confidence:string>").select(
+        "scope", F.lit("diff").alias("section"), "position", "key", "field", F.col("kind").alias("name"), F.col("confidence").alias("text"))
+    between = doc.filter("part = 2").select("scope", F.posexplode(F.from_json(F.regexp_extract("text", '"warnings":(.*),"diffs":', 1), "array<string>")).alias("i", "w"))
+    said = between.select("scope", F.lit("warning").alias("section"), (F.col("i") + 1).cast("long").alias("position"), none.alias("key"), none.alias("field"),
+                          none.alias("name"), F.col("w").alias("text"))
+    code = doc.filter("part = 0").select("scope", F.lit("exit").alias("section"), F.lit(1).cast("long").alias("position"), none.alias("key"), none.alias("field"),
+                                         none.alias("name"), F.get_json_object(F.concat("text", F.lit("]}")), "$.exitCode").alias("text"))
+    return found.unionByName(diffs).unionByName(said).unionByName(code)
+
+
+@register("t3_change_report", f"""
+WITH p AS {O.deps_sql(13)}, n AS {O.deps_sql(17)}, f AS {O.findings_sql()},
+c AS (SELECT scope, sum(o)::BIGINT AS old, sum(w)::BIGINT AS new FROM (SELECT scope, 1 AS o, 0 AS w FROM p UNION ALL SELECT scope, 0, 1 FROM n) GROUP BY scope),
+a AS (SELECT scope, entity_key FROM n WHERE (scope, entity_key) NOT IN (SELECT (scope, entity_key) FROM p)),
+r AS (SELECT scope, entity_key FROM p WHERE (scope, entity_key) NOT IN (SELECT (scope, entity_key) FROM n))
+SELECT scope, '0-previous' AS section, 1 AS position, '- Previous: ' || old AS text FROM c
+UNION ALL SELECT scope, '1-proposed', 1, '- Proposed: ' || new FROM c
+UNION ALL SELECT scope, '2-added', row_number() OVER (PARTITION BY scope ORDER BY entity_key COLLATE en), '- Added: ' || entity_key FROM a
+UNION ALL SELECT scope, '3-removed', row_number() OVER (PARTITION BY scope ORDER BY entity_key COLLATE en), '- Removed: ' || entity_key FROM r
+UNION ALL SELECT scope, '4-findings', {_IN_ORDER}, '- **' || severity || '** `' || code || '` ' || key || ': ' || {_line_sql('message')} FROM f
+UNION ALL SELECT scope, '5-warnings', 1, '- {_WARNED}' FROM c""")
+def t3_change_report(spark, sf_dir):
+    """The update report line by line: counts, every added and removed key, the findings in
+    report order, the warnings."""
+    from driftgate.operators.lock import lock_keys_change
+    prev, prop = B.dependencies(spark, sf_dir, exclude_mod=13), B.dependencies(spark, sf_dir, exclude_mod=17)
+    findings = DOC.ordered_findings(drift.run(spark, sf_dir).findings)
+    return DOC.change_report(prev, prop, lock_keys_change(prev, prop), findings, [_WARNED])
+
+
+@register("f7_excluded_keys", f"""
+SELECT scope, entity_key FROM {O.deps_sql()} d WHERE (scope, entity_key) NOT IN (
+  SELECT ('tenant-' || (p_partkey % 20), provider || ':' || model_id) FROM (SELECT p_partkey, {O.part_identity_sql('p_partkey')} FROM part WHERE p_partkey % 7 = 0) x)""")
+def f7_excluded_keys(spark, sf_dir):
+    """every tenant excludes the parts that seven divides, from its own list only."""
+    from driftgate.operators.lock import exclude
+    k = F.col("p_partkey")
+    listed = B.table(spark, sf_dir, "part").filter(k % 7 == 0).select(
+        F.concat(F.lit("tenant-"), (k % 20).cast("string")).alias("scope"), B.part_identity(k)["entity_key"].alias("entity_key"))
+    return exclude(B.dependencies(spark, sf_dir), listed).select("scope", "entity_key")
+
+
+@register("u2_merged_warnings", """
+WITH w AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ['a', event_type] WHEN 2 THEN [event_type, 'a', event_type] ELSE [] END AS x,
+             CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN ['a', 'b'] ELSE [event_type] END AS y FROM events),
+u AS (SELECT event_id, unnest(list_concat(coalesce(x, []), coalesce(y, []))) AS v,
+        unnest(range(len(coalesce(x, [])) + len(coalesce(y, [])))) AS i FROM w),
+f AS (SELECT event_id, v, min(i) AS i FROM u GROUP BY event_id, v),
+l AS (SELECT event_id, string_agg(v, '|' ORDER BY i) AS merged FROM f GROUP BY event_id)
+SELECT event_id, coalesce(merged, '') AS merged FROM w LEFT JOIN l USING (event_id)""")
+def u2_merged_warnings(spark, sf_dir):
+    """Two lists of warnings an event, either of which may be missing, merged without
+    repeats in the order of first appearance."""
+    from driftgate.operators.lock import merge_warnings
+    e = B.table(spark, sf_dir, "events").select("event_id", "event_type")
+    k, t, a = F.col("event_id"), F.col("event_type"), F.lit("a")
+    x = F.when(k % 4 == 1, F.array(a, t)).when(k % 4 == 2, F.array(t, a, t)).when(k % 4 == 3, F.array().cast("array<string>"))
+    y = F.when(k % 3 == 1, F.array(a, F.lit("b"))).when(k % 3 == 2, F.array(t))
+    return e.select("event_id", F.array_join(merge_warnings(x, y), "|").alias("merged"))
+
+
+@register("x9_canonical_json", """
+SELECT p_partkey, sha256('{"brand":' || to_json(p_brand) || ',"key":' || p_partkey || ',"name":' || to_json(p_name) || ',"none":null}') AS digest FROM part""")
+def x9_canonical_json(spark, sf_dir):
+    """A row's canonical JSON (keys sorted, nulls kept) and its digest."""
+    from driftgate.functions.jsontext import canonical_json, sha256
+    p = B.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("key"), F.lit(None).cast("string").alias("none"),
+                                              F.col("p_brand").alias("brand"))
+    return p.select(F.col("key").alias("p_partkey"), sha256(canonical_json("name", "key", "none", "brand")).alias("digest"))
+
+
+@register("t5_lock_occurrences", f"""
+SELECT scope, provider || ':' || model_id AS entity_key, path, line, "column", snippet, confidence, kind, 0 AS n_strangers
+FROM {O.all_hits_sql()} h""")
+def t5_lock_occurrences(spark, sf_dir):
+    """The discovered dependencies written as lock lines with their header
+    digests, their occurrences beside it, and both read back: every occurrence, and the number
+    of lock entries whose digest does not fit."""
+    from driftgate.operators.lock import lock_records
+    from driftgate.operators.occurrences import flat_occurrences, occurrence_blocks, read_occurrences, with_occurrences, write_occurrences
+    from driftgate.operators.policy import effective_policy
+    from driftgate.sources.lockio import lock_lines, lock_records_from_lines, read_lock, write_lock
+    path = _run_dir(spark, "lock")
+    hits = D.scan_lines(B.code_lines(spark, sf_dir)).unionByName(D.scan_docs(B.json_docs(spark, sf_dir).unionByName(B.yaml_docs(spark, sf_dir))))
+    hits = hits.checkpoint(eager=True)
+    deps = D.consolidate(hits).withColumn("discovery_confidence", F.col("confidence"))
+    blocks = occurrence_blocks(hits)
+    records = with_occurrences(lock_records(deps, drift.approved_wide(spark, sf_dir), B.APPROVED_AS_OF), blocks)
+    write_lock(lock_lines(records, B.APPROVED_AS_OF, effective_policy(deps), "registry-digest"), f"{path}/lines")
+    good, _ = read_lock(spark.read.text(f"{path}/lines"))
+    lock = lock_records_from_lines(good)
+    write_occurrences(blocks, lock, path)
+    back, strangers = read_occurrences(spark, lock, path)
+    return flat_occurrences(back).select("scope", "entity_key", "path", "line", "column", "snippet", "confidence", "kind",
+                                         F.lit(strangers.count()).alias("n_strangers"))
+
+
+def _spoilt(k):
+    """Which parts' rows break which rule (by part key modulo 97)."""
+    return lambda n: k % 97 == n
+
+
+_S13 = [("policy", "scope-missing", None), ("policy", "floating-aliases", 1), ("policy", "stale-source-behavior", 2), ("policy", "min-blocking-confidence", 3),
+        ("policy", "retirement-window-days", 4), ("policy", "price-increase-percent", 5), ("policy", "source-limits", 6),
+        ("lock", "identity-missing", 11), ("lock", "key-mismatch", 12), ("lock", "provider", 13), ("lock", "identifier-kind", 14),
+        ("lock", "discovery-confidence", 15), ("lock", "line", 16), ("lock", "fact-confidence", 17),
+        ("snapshot", "key-mismatch", 21), ("snapshot", "provider", 22), ("snapshot", "fact-confidence", 23), ("snapshot", "price-negative", 24),
+        ("snapshot", "limit-not-non-negative-integer", 25), ("snapshot", "lifecycle", 26), ("snapshot", "conflicting-with-value", 27),
+        ("snapshot", "official-without-official-evidence", 28),
+        ("snapshot_meta", "schema-version", 31), ("snapshot_meta", "generated-at", 32), ("snapshot_meta", "freeze-reason", 33)]
+
+
+def _s13_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{i}' AS input, '{r}' AS reason, {'-1' if n is None else n} AS m" for i, r, n in _S13)
+    # A lock row without model id has a key that does not fit it, too; a key or provider spoilt
+    # in one way is counted where that shows.
+    return f"""
+WITH r AS ({rows}), p AS (SELECT p_partkey % 97 AS m, count(*) AS n FROM part GROUP BY ALL),
+x AS (SELECT input, reason, coalesce(n, 0) AS n FROM r LEFT JOIN p USING (m)),
+y AS (SELECT input, reason, (n + CASE WHEN input = 'lock' AND reason = 'key-mismatch' THEN coalesce((SELECT n FROM p WHERE m = 11), 0) ELSE 0 END)::BIGINT AS n_rows FROM x)
+SELECT input, CASE WHEN sum(n_rows) OVER (PARTITION BY input) > 0 THEN 'invalid' ELSE 'OK' END AS status, reason, n_rows FROM y"""
+
+
+@register("s13_input_validation", _s13_sql())
+def s13_input_validation(spark, sf_dir):
+    """Policy, lock, snapshot and its header with one row in 97 spoilt for each rule;
+    the rows that break each rule, and the status of each input."""
+    from driftgate.operators.lock import lock_records
+    from driftgate.operators.policy import effective_policy
+    from driftgate.operators.validate import input_status
+    part = B.table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    bad = _spoilt(k)
+    pol = effective_policy(part.select(k.cast("string").alias("scope"))).withColumn("p_partkey", F.col("scope").cast("long"))
+    pol = (pol.withColumn("floating_aliases", F.when(bad(1), "maybe").otherwise(F.col("floating_aliases")))
+           .withColumn("stale_source_behavior", F.when(bad(2), F.lit(None)).otherwise(F.col("stale_source_behavior")))
+           .withColumn("min_blocking_confidence", F.when(bad(3), "certain").otherwise(F.col("min_blocking_confidence")))
+           .withColumn("retirement_window_days", F.when(bad(4), -1).otherwise(F.col("retirement_window_days")))
+           .withColumn("max_output_price_increase_percent", F.when(bad(5), -0.5).otherwise(F.col("max_output_price_increase_percent")))
+           .withColumn("timeout_ms", F.when(bad(6), 0).otherwise(F.col("timeout_ms"))))
+    wide = drift.approved_wide(spark, sf_dir)
+    number = F.regexp_extract("model_id", "^m([0-9]+)", 1).cast("long").alias("p_partkey")
+    lock = lock_records(B.dependencies(spark, sf_dir), wide, B.APPROVED_AS_OF, []).select("*", number)
+    lock = (lock.withColumn("model_id", F.when(bad(11), "").otherwise(F.col("model_id")))
+            .withColumn("entity_key", F.when(bad(12), "x:y").when(bad(13), F.concat(F.lit("acme:"), "model_id")).otherwise(F.col("entity_key")))
+            .withColumn("provider", F.when(bad(13), "acme").otherwise(F.col("provider")))
+            .withColumn("identifier_kind", F.when(bad(14), "loose").otherwise(F.col("identifier_kind")))
+            .withColumn("discovery_confidence", F.when(bad(15), 1.5).otherwise(F.col("discovery_confidence")))
+            .withColumn("line", F.when(bad(16), 0).otherwise(F.col("line")))
+            .withColumn("facts", F.when(bad(17), F.col("facts").withField("vision.confidence", F.lit("certain"))).otherwise(F.col("facts"))))
+    # Every part is in the snapshot, with or without observations of its own; its kind is the lock's.
+    whole = lock_records(B.dependencies(spark, sf_dir), wide, B.APPROVED_AS_OF, []).select(
+        "entity_key", "provider", "model_id", F.col("facts").withField("identifierKind.confidence", F.lit("single-source")).alias("facts"), "evidence", number)
+    put = lambda n, path, value: F.when(bad(n), F.col("facts").withField(path, value)).otherwise(F.col("facts"))
+    price = F.struct(F.lit(-1.0).alias("n"))["n"]
+    snap = (whole.withColumn("entity_key", F.when(bad(21), "x:y").when(bad(22), F.concat(F.lit("acme:"), "model_id")).otherwise(F.col("entity_key")))
+            .withColumn("provider", F.when(bad(22), "acme").otherwise(F.col("provider"))))
+    for n, path, value in ((23, "vision.confidence", F.lit("certain")), (24, "outputPricePerMillion.num_value", price), (25, "contextLimit.num_value", F.lit(0.5)),
+                           (26, "lifecycleStatus.str_value", F.lit("sunset")), (28, "toolCalling.confidence", F.lit("official-verified"))):
+        snap = snap.withColumn("facts", put(n, path, value))
+        if not path.endswith(".confidence"):  # a spoilt value is no conflict, too
+            snap = snap.withColumn("facts", put(n, path.split(".")[0] + ".confidence", F.lit("single-source")))
+    snap = snap.withColumn("facts", F.when(bad(27), F.col("facts").withField("contextLimit.num_value", F.lit(1.0)).withField("contextLimit.confidence", F.lit("conflicting")))
+                           .otherwise(F.col("facts"))).withColumn("evidence", F.when(bad(28), F.array().cast(snap.schema["evidence"].dataType)).otherwise(F.col("evidence")))
+    # The row without official evidence has no other official fact.
+    lone = F.col("facts")
+    from driftgate.schemas import FACT_FIELDS
+    for n, _ in FACT_FIELDS:
+        if n != "toolCalling":
+            lone = lone.withField(f"{n}.confidence", F.when(F.col(f"facts.{n}.confidence") == "official-verified", "single-source")
+                                  .otherwise(F.col(f"facts.{n}.confidence")))
+    snap = snap.withColumn("facts", F.when(bad(28), lone).otherwise(F.col("facts")))
+    head = part.select(k.cast("string").alias("snapshot_date"), F.when(bad(31), 2).otherwise(1).alias("schema_version"),
+                       F.when(bad(32), "soon").otherwise(B.APPROVED_AS_OF).alias("generated_at"), (bad(33) | (k % 2 == 0)).alias("frozen"),
+                       F.when(~bad(33), "reason").alias("freeze_reason"))
+    return input_status({"policy": pol, "lock": lock, "snapshot": snap, "snapshot_meta": head})
 
 
 @register("t5_lock_build", f"""

@@ -259,7 +259,8 @@ def policy_sql(overrides: bool = False) -> str:
                 "15.0::DOUBLE AS max_output_price_increase_percent, true AS fail_on_context_decrease, "
                 "true AS fail_on_max_output_decrease, true AS fail_on_tool_calling_removal, "
                 "true AS fail_on_structured_output_removal, false AS fail_on_vision_removal, "
-                "'warn' AS stale_source_behavior, 'official-verified' AS min_blocking_confidence, false AS fail_on_warn")
+                "'warn' AS stale_source_behavior, 'official-verified' AS min_blocking_confidence, false AS fail_on_warn, "
+                "false AS allow_network, 7 AS stale_after_days, 10000 AS timeout_ms, 8388608 AS max_bytes")
     else:
         cols = (f"CASE WHEN {n} < 5 THEN 'deny' WHEN {n} >= 18 THEN 'allow' ELSE 'warn' END AS floating_aliases, "
                 f"CASE WHEN {n} < 5 THEN 30 ELSE 90 END AS retirement_window_days, "
@@ -269,11 +270,13 @@ def policy_sql(overrides: bool = False) -> str:
                 f"{n} <> 8 AS fail_on_structured_output_removal, {n} >= 15 AS fail_on_vision_removal, "
                 f"CASE WHEN {n} >= 15 THEN 'fail' ELSE 'warn' END AS stale_source_behavior, "
                 f"CASE WHEN {n} BETWEEN 5 AND 9 THEN 'single-source' ELSE 'official-verified' END AS min_blocking_confidence, "
-                f"{n} BETWEEN 10 AND 14 AS fail_on_warn")
+                f"{n} BETWEEN 10 AND 14 AS fail_on_warn, {n} = 3 AS allow_network, CASE WHEN {n} = 4 THEN 30 ELSE 7 END AS stale_after_days, "
+                f"10000 AS timeout_ms, CASE WHEN {n} < 2 THEN 1024 ELSE 8388608 END AS max_bytes")
     names = sorted(["floating_aliases", "retirement_window_days", "max_input_price_increase_percent",
                     "max_output_price_increase_percent", "fail_on_context_decrease", "fail_on_max_output_decrease",
                     "fail_on_tool_calling_removal", "fail_on_structured_output_removal", "fail_on_vision_removal",
-                    "stale_source_behavior", "min_blocking_confidence", "fail_on_warn"])
+                    "stale_source_behavior", "min_blocking_confidence", "fail_on_warn", "allow_network", "stale_after_days",
+                    "timeout_ms", "max_bytes"])
     digest = "sha256(concat_ws('|', " + ", ".join(f"'{n}=' || CAST({n} AS VARCHAR)" for n in names) + "))"
     return (f"(SELECT *, {digest} AS config_digest FROM "
             f"(SELECT scope, {cols} FROM (SELECT DISTINCT scope FROM {deps_sql()} d) s) p0)")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from driftgate.functions.jsontext import json_ok, sorted_struct
 from driftgate.functions.scanners import redact_members
 from driftgate.functions.text import contains_secret, scrub_secrets
-from driftgate.schemas import CONFIDENCE_ORDER, FACTS, PROVIDERS, REDACTED, SCHEMA_VERSION, SECRET_KEY_PATTERN
+from driftgate.schemas import CONFIDENCE_ORDER, EVIDENCE, FACTS, GENERATOR_VERSION, PROVIDERS, REDACTED, SCHEMA_VERSION, SECRET_KEY_PATTERN
 
 # Lock line: header fields repeated per dependency, the dependency, and its approved facts.
 LOCK_LINE = T.StructType(sorted([
@@ -31,42 +31,69 @@ LOCK_LINE = T.StructType(sorted([
     T.StructField("lowConfidence", T.BooleanType()),
     T.StructField("path", T.StringType()),
     T.StructField("line", T.IntegerType()),
+    T.StructField("generatorVersion", T.StringType()),
+    T.StructField("configDigest", T.StringType()),
+    T.StructField("registryDigest", T.StringType()),
+    T.StructField("evidence", T.ArrayType(EVIDENCE)),
+    T.StructField("nOccurrences", T.LongType()),
+    T.StructField("occurrencesDigest", T.StringType()),
 ], key=lambda f: f.name))
 REQUIRED = ["lockfileVersion", "scope", "key", "provider", "modelId", "identifierKind"]
+# JSON types a member may have; members that are not required may be null, too.
+_TEXT, _WHOLE = ["STRING"], ["BIGINT"]
+LINE_TYPES = {"facts": ["OBJECT"], "generatedAt": _TEXT, "discoveryConfidence": ["BIGINT", "DECIMAL", "DOUBLE"], "lowConfidence": ["BOOLEAN"],
+              "path": _TEXT, "line": _WHOLE, "generatorVersion": _TEXT, "configDigest": _TEXT, "registryDigest": _TEXT, "evidence": ["ARRAY"],
+              "nOccurrences": _WHOLE, "occurrencesDigest": _TEXT}
+
+
+def _types_ok(members: Column) -> Column:
+    """A line as a map of variants: no optional member has a type it must not have."""
+    ok = F.lit(True)
+    for name, types in LINE_TYPES.items():
+        kind = F.regexp_extract(F.schema_of_variant(F.try_element_at(members, F.lit(name))), r"^[A-Z]+", 0)
+        ok = ok & (kind.isNull() | kind.isin([*types, "VOID"]))
+    return ok
 
 
 def read_lock(raw: DataFrame, text_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """JSON lines -> (good rows, rejects(line, reason))."""
     t = F.col(text_col)
     j = lambda c: F.col(f"j.{c}")
-    # Enums and ranges; a value of a wrong JSON type parses to null and fails if it is required.
+    # Enums and ranges; a required value of a wrong JSON type parses to null and fails.
     confidences = F.filter(F.array(*[F.col(f"j.facts.{f.name}.confidence") for f in FACTS.fields]), lambda c: c.isNotNull())
     in_range = (j("identifierKind").isin("floating", "fixed") & j("provider").isin(PROVIDERS)
                 & (j("discoveryConfidence").isNull() | j("discoveryConfidence").between(0, 1)) & (j("line").isNull() | (j("line") >= 1))
                 & F.forall(confidences, lambda c: c.isin(CONFIDENCE_ORDER)))
-    parsed = raw.select(t.alias("raw"), F.from_json(t, LOCK_LINE).alias("j"))
+    parsed = raw.select(t.alias("raw"), F.from_json(t, LOCK_LINE).alias("j"), F.from_json(t, "map<string,variant>").alias("members"))
     reason = (F.when(contains_secret("raw"), "contains a secret")
                .when(~json_ok("raw"), "not valid JSON")
                .when(F.col("j.lockfileVersion") != SCHEMA_VERSION, "unsupported lockfileVersion")
                .when(~F.coalesce(F.array_min(F.array(*[F.col(f"j.{c}").isNotNull() for c in REQUIRED])), F.lit(False)),
                      "schema validation failed")
-               .when(~F.coalesce(in_range, F.lit(False)), "schema validation failed"))
+               .when(~F.coalesce(in_range & _types_ok(F.col("members")), F.lit(False)), "schema validation failed"))
     checked = parsed.withColumn("reason", reason)
     good = checked.filter(F.col("reason").isNull()).select("j.*")
     rejects = checked.filter(F.col("reason").isNotNull()).select(F.col("raw").alias("line"), "reason")
     return good, rejects
 
 
-def lock_lines(records: DataFrame, generated_at: str) -> DataFrame:
-    """Lock records (``operators.lock.lock_records``: dependency columns + ``facts``) ->
-    lock line structs. Dependency rows without facts give lines with null facts."""
-    facts = F.col("facts") if "facts" in records.columns else F.lit(None).cast(FACTS)
+def lock_lines(records: DataFrame, generated_at: str, policy: DataFrame | None = None, registry_digest: str | None = None) -> DataFrame:
+    """Lock records (``operators.lock.lock_records``: dependency columns, ``facts``, evidence,
+    and what ``operators.occurrences.with_occurrences`` adds) -> lock line structs. ``policy``
+    gives each scope's config digest. Columns that the records lack are null."""
+    has = lambda c, kind: F.col(c) if c in records.columns else F.lit(None).cast(kind)
+    if policy is not None:
+        records = records.join(policy.select("scope", "config_digest"), "scope", "left")
     return records.select(F.struct(
         F.lit(SCHEMA_VERSION).alias("lockfileVersion"), F.lit(generated_at).alias("generatedAt"),
+        F.lit(GENERATOR_VERSION).alias("generatorVersion"), (has("config_digest", "string") if policy is not None else F.lit(None).cast("string")).alias("configDigest"),
+        F.lit(registry_digest).cast("string").alias("registryDigest"),
         F.col("scope"), F.col("entity_key").alias("key"), F.col("provider"), F.col("model_id").alias("modelId"),
         F.col("identifier_kind").alias("identifierKind"), F.col("discovery_confidence").alias("discoveryConfidence"),
         F.col("low_confidence").alias("lowConfidence"), F.col("path"), F.col("line"),
-        facts.cast(FACTS).alias("facts")).alias("l")).select("l.*")
+        has("facts", FACTS).cast(FACTS).alias("facts"), has("evidence", T.ArrayType(EVIDENCE)).cast(T.ArrayType(EVIDENCE)).alias("evidence"),
+        has("n_occurrences", "long").cast("long").alias("nOccurrences"),
+        has("occurrences_digest", "string").alias("occurrencesDigest")).alias("l")).select("l.*")
 
 
 def lock_records_from_lines(good: DataFrame) -> DataFrame:
@@ -74,7 +101,8 @@ def lock_records_from_lines(good: DataFrame) -> DataFrame:
     return good.select("scope", F.col("key").alias("entity_key"), "provider", F.col("modelId").alias("model_id"),
                        F.col("identifierKind").alias("identifier_kind"),
                        F.col("discoveryConfidence").alias("discovery_confidence"),
-                       F.col("lowConfidence").alias("low_confidence"), "path", "line", "facts")
+                       F.col("lowConfidence").alias("low_confidence"), "path", "line", "facts", "evidence",
+                       F.col("nOccurrences").alias("n_occurrences"), F.col("occurrencesDigest").alias("occurrences_digest"))
 
 
 def scrub_json_text(text) -> Column:

@@ -190,3 +190,15 @@ def test_yaml_nesting_and_validity():
     for none in ("", "# x\n", "text", "- 1\n- 2\n", "--- \n"):
         assert yaml_strings(none) == [], none
     assert len(yaml_strings("".join(f"{'  ' * i}k{i}:\n" for i in range(300)) + "  " * 300 + "model: m")) == 1
+
+
+def test_a_huge_directory_is_listed_in_bounded_batches(spark, tmp_dir):
+    import pandas as pd
+    n = 100_000
+    os.makedirs(os.path.join(tmp_dir, "big"))
+    for i in range(n):
+        os.close(os.open(os.path.join(tmp_dir, "big", f"f{i}.txt" if i % 1000 else f"f{i}.py"), os.O_CREAT))
+    sizes = [len(b) for b in D._list_dirs(iter([pd.DataFrame({"dir": [tmp_dir + "/big"], "rel": ["big"]})]))]
+    assert sum(sizes) == n and max(sizes) <= D.LISTED
+    assert D.list_corpus(spark, tmp_dir, [""]).count() == n // 1000
+    assert D.read_corpora(spark, tmp_dir, ["big"], "r").count() == n // 1000
