@@ -143,6 +143,27 @@ def test_windows_keep_the_budget_and_the_system_turn(spark):
     assert C.chat_windows(c.limit(0)).count() == 0
 
 
+def test_a_conversation_of_very_many_turns(spark):
+    """60,000 turns of one conversation, and 60,000 rows without an id that all say turn 0: the
+    windows keep the budget and every turn comes back, in time that grows with the turns."""
+    import time
+    ids = spark.range(60_000)
+    long = ids.select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "system").when(F.col("id") % 2 == 0, "assistant")
+                      .otherwise("user").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string"), F.repeat(F.lit(" w"), (F.col("id") % 40).cast("int"))).alias("text"))
+    ties = ids.select(F.lit(None).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("hi").alias("text"))
+    took = time.time()
+    w = C.chat_windows(long.union(ties), budget=200, history_budget=40).persist()
+    back = {r.conv_id: r for r in C.read_windows(w).select("conv_id", F.size("turns").alias("n"), F.size("targets").alias("t"), F.get("turns", F.lit(59_999))["text"].alias("last"),
+                                                           F.get("turns", F.lit(31))["text"].alias("some")).collect()}
+    assert time.time() - took < 120
+    assert (back[1].n, back[1].t, back[1].last.split()[0], back[1].some.split()[0]) == (60_000, 29_999, "t59999", "t31")
+    assert (back[None].n, back[None].t) == (60_000, 0)
+    cost = F.aggregate(F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 10**6), F.lit(0).cast("long"), lambda a, p: a + F.ceil(
+        (F.length(p) - F.length(F.substring_index(p, "\n", 1)) - 2 - len(C.END)) / 4) + 4)
+    full = w.select(F.max(cost), F.avg(cost)).first()
+    assert full[0] <= 200 and full[1] > 120
+
+
 def test_chat_plan_is_native(spark):
     plan = C.read_windows(C.chat_windows(conversations(spark)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
