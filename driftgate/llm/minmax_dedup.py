@@ -174,7 +174,8 @@ def _compare(table: pa.Table) -> pa.Table:
     table = table.combine_chunks().sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
     keys = np.stack([np.asarray(table.column(c)).astype(np.int64) for c in ("bucket", "i", "j")], 1)
     starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
-    ids, comps = table.column("id").to_pylist(), table.column("comp").to_pylist()
+    ids = table.column("id").to_pylist()
+    comps = [tuple(c.values()) if isinstance(c, dict) else c for c in table.column("comp").to_pylist()]  # ids of several columns are structs
     data, offsets = utf8(table.column("set"))
     a, b = [], []
     for lo, hi in zip(starts, np.append(starts[1:], len(keys))):
