@@ -62,7 +62,7 @@ def test_pipeline_stage_by_stage(spark, tmp_dir):
 
 def test_every_operator_is_registered(spark):
     names = list(entry.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
