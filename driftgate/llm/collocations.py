@@ -1,32 +1,36 @@
 """Phrase collocations by SON partitioning.
 
-A text's pieces are dealt to shards by the text's hash. Each shard is mined completely at
-proportionally lowered support: with ``support`` of the whole and a shard that holds n_s of
-its language's n words, phrases of ``ceil(support * n_s / n)`` occurrences or more in the
-shard. A phrase that reaches the support in all reaches the lowered one in some shard, so the
-union of the shards' phrases misses none; one more pass over all texts counts every candidate
-of the union exactly.
+The partitions of the input are dealt to shards. Each shard is mined completely at proportionally
+lowered support: with ``support`` of the whole and a shard that holds n_s of its language's n
+words, phrases of ``ceil(support * n_s / n)`` occurrences or more in the shard. A phrase that
+reaches the support in all reaches the lowered one in some shard, so the union of the shards'
+phrases misses none; one more pass over all texts counts every candidate of the union exactly.
 
 A shard is a share of the corpus, not a task: its counts are pre-aggregated where the texts
 lie and shuffled by phrase, so it may be of any size and a frequent phrase meets in one row a
-task. Levels are mined in turn: words, then phrases of 2, 3 and 4, and a phrase is counted
-only if its words reach the support and the two phrases one shorter inside it reached their
-shard's. Tasks ask a bit table of bounded size for that. It never says no wrongly; a wrong yes
-costs a count, not a result.
+task. What cannot reach the support is left out before it is counted: words below the support
+end a phrase; a phrase must fall into a bucket of a count sketch that reaches it; one of three
+or four words is counted only if the two phrases one shorter inside it reached their shard's
+support. Sketch and bit tables have a fixed size and never say no wrongly; a wrong yes costs a count, not a
+result.
 
 A word is its 64-bit xxh3, which is checked to be one-to-one on the corpus' words (else a
 new seed is taken); a phrase is the list of its words' hashes, so equal keys are equal phrases.
+Texts are cut into words twice, to count the words and to write the hashes of the frequent
+ones; the later passes read those.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgate.llm.common import Scratch, ship, utf8
+from driftgate.llm.common import Scratch, ship, spans, utf8
 from driftgate.llm.tokens import flags, hash64, mix, segments, tokens
 
 ship(__name__)
@@ -38,200 +42,429 @@ HIDDEN = (80, 100)
 SHARDS = 8
 #: Keys over which a frequent word's rows are dealt in joins.
 SALTS = 16
-#: Bits of a table asked by tasks, and the blocks in which Spark builds it.
-BITS, BLOCK = 1 << 27, 1 << 18
+#: Bits of a table asked by tasks, buckets of the sketch, and the blocks in which both move.
+BITS, SKETCH, BLOCK = 1 << 26, 1 << 24, 1 << 17
+#: Bytes of text, bytes of hashes and counted phrases handled at once in a task.
+SEGMENT, SLICE, TALLY = 1 << 20, 1 << 20, 1 << 18
 PIECE_END = flags(b".,;:!?\n\x0b\x0c\r")
 GAP = flags(b".,;:!?\n\x0b\x0c\r \t")
-WORD_COLUMNS = ["w1", "w2", "w3", "w4"]
+WORDS = ["w1", "w2", "w3", "w4"]
 _RNG = np.random.default_rng(13)
 _MUL = _RNG.integers(0, 1 << 63, LONGEST + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # ---------------------------------------------------------------------------- bit tables
-def _slots(words: list[np.ndarray], salt: np.ndarray) -> np.ndarray:
-    """A bit for each phrase (the arrays hold its first, second ... word) of a language and
-    shard."""
+def _slots(words: list[np.ndarray], salt: np.ndarray, size: int = BITS) -> np.ndarray:
+    """A place for each phrase (the arrays hold its first, second ... word) of a language, or
+    of a language and shard."""
     g = salt * _MUL[LONGEST + 1] + np.uint64(len(words))
     for j, w in enumerate(words):
         g = g + w * _MUL[j]
-    return (mix(g) & np.uint64(BITS - 1)).astype(np.int64)
+    return (mix(g) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _salt_of(langs: pa.Array) -> np.ndarray:
+def _salts(langs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct languages, a number for each, and each row's place among them."""
     coded = langs.dictionary_encode()
-    return hash64(coded.dictionary, 1)[np.asarray(coded.indices)]
+    return coded.dictionary, hash64(coded.dictionary, 1), np.asarray(coded.indices).astype(np.int64)
+
+
+def _of_shard(salt: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    return mix(salt + shard.astype(np.uint64))
+
+
+def _packed_slots(at: np.ndarray):
+    """Places as one row a block: (block, places in it as 32-bit numbers)."""
+    at = np.unique(at)
+    edge = np.flatnonzero(np.concatenate(([True], at[1:] // BLOCK != at[:-1] // BLOCK))) if len(at) else np.zeros(0, np.int64)
+    inside = (at % BLOCK).astype("<u4")
+    parts = [inside[a:b].tobytes() for a, b in zip(edge.tolist(), np.append(edge[1:], len(at)).tolist())]
+    return pa.RecordBatch.from_arrays([pa.array((at[edge] // BLOCK).astype(np.int32)), pa.array(parts, pa.binary())], names=["block", "places"])
 
 
-def _slot_rows(length: int, sharded: bool):
+def _phrase_slots(length: int, sharded: bool):
+    """(packed) phrases of a length, as their language, shard and words -> (block, places)."""
     def run(batches):
         for b in batches:
-            salt = _salt_of(b.column(0))
-            if sharded:
-                salt = mix(salt + np.asarray(b.column(1)).astype(np.uint64))
-            at = np.unique(_slots([np.asarray(b.column(j + 2)).view(np.uint64) for j in range(length)], salt))
-            yield pa.RecordBatch.from_arrays([pa.array((at // BLOCK).astype(np.int32)), pa.array((at % BLOCK).astype(np.int32))], names=["block", "bit"])
+            for packed in b.column(0):
+                c = _unpacked(packed.as_buffer(), length + 3)
+                salt = _of_shard(c[0], c[1]) if sharded else c[0]
+                yield _packed_slots(_slots(list(c[2:2 + length]), salt))
     return run
 
 
-def _bit_block(pdf: pd.DataFrame) -> pd.DataFrame:
+def _word_slots(batches):
+    """(salt, w1) -> (block, places)."""
+    for b in batches:
+        salt, w = (np.asarray(b.column(c)).view(np.uint64) for c in (0, 1))
+        yield _packed_slots(_slots([w], salt))
+
+
+def _bit_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(BLOCK, np.uint8)
-    bits[pdf["bit"].to_numpy()] = 1
-    return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+    for b in batches:
+        for places in b.column("places"):
+            bits[np.frombuffer(places.as_buffer(), "<u4")] = 1
+    out = np.packbits(bits, bitorder="little").tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out], pa.binary())], names=["block", "bits"])
 
 
-def _bit_table(rows: DataFrame, length: int, sharded: bool):
-    """A broadcast bit table (BITS / 8 bytes, whatever the rows) of the phrases in ``rows``."""
-    rows = rows.select("lang", "shard" if sharded else F.lit(0).alias("shard"), *WORD_COLUMNS[:length])
-    blocks = rows.mapInArrow(_slot_rows(length, sharded), "block int, bit int").distinct().groupBy("block").applyInPandas(_bit_block, "block int, bits binary")
-    table = np.zeros(BITS // 8, np.uint8)
-    for r in blocks.toLocalIterator():
+def _collected(blocks: DataFrame, size: int):
+    """A broadcast table of ``size`` bits, whatever the rows, from its (block, bits)."""
+    table = np.zeros(size // 8, np.uint8)
+    for r in blocks.collect():
         table[r.block * (BLOCK // 8):(r.block + 1) * (BLOCK // 8)] = np.frombuffer(r.bits, np.uint8)
-    return rows.sparkSession.sparkContext.broadcast(table)
+    return blocks.sparkSession.sparkContext.broadcast(table)
+
+
+def _bit_table(places: DataFrame):
+    """A broadcast bit table of (block, places)."""
+    return _collected(places.groupBy("block").applyInArrow(_bit_block, "block int, bits binary"), BITS)
 
 
 def _holds(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-# ---------------------------------------------------------------------------- texts to phrases
-def _read(batches, seed: int, shards: int):
-    """Per segment of (lang, text): each word's hash, language, shard and piece, and the
-    distinct words with their hashes."""
+# ---------------------------------------------------------------------------- texts to words
+def _read(batches, seed: int):
+    """Per segment of (lang, text): the languages, their numbers, each row's language, the
+    distinct words, their hashes, and of each word: its number, row, and piece."""
     for b in batches:
-        langs = b.column(0).dictionary_encode()
-        code = np.asarray(langs.indices).astype(np.int64)
-        salts = hash64(langs.dictionary, 1)
+        names, numbers, lang = _salts(b.column(0))
         data, offsets = utf8(b.column(1))
-        raw = data.tobytes()
-        shard = None
-        for lo, own, piece in segments(data, offsets, PIECE_END):
+        for lo, own, piece in segments(data, offsets, PIECE_END, SEGMENT):
             words, start, doc = tokens(piece, own, GAP)
-            if not len(words):
-                continue
-            if shard is None:
-                texts = pa.array([raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary())
-                shard = (hash64(texts, 2) % np.uint64(shards)).astype(np.int64)
-            coded = words.dictionary_encode()
-            hashes = hash64(coded.dictionary, seed)
-            ends = np.cumsum(PIECE_END[piece])
-            # A new document starts a new piece, too.
-            yield langs.dictionary, salts, coded.dictionary, hashes, np.asarray(coded.indices), code[doc + lo], shard[doc + lo], ends[start] + (doc << 32)
-
-
-def _words_in(seed: int, shards: int):
+            if len(words):
+                coded = words.dictionary_encode()
+                ends = np.cumsum(PIECE_END[piece], dtype=np.int32)[start]
+                yield names, numbers, lang, coded.dictionary, hash64(coded.dictionary, seed), np.asarray(coded.indices), doc + lo, ends
+
+
+def _words_in(seed: int):
     def run(batches):
-        """(lang, text) -> (lang, shard, word, hash, times)."""
-        for names, _, words, hashes, index, lang, shard, _ in _read(batches, seed, shards):
-            key, times = np.unique((index.astype(np.int64) * shards + shard) * len(names) + lang, return_counts=True)
-            lang, shard, index = key % len(names), key // len(names) % shards, key // len(names) // shards
+        """(lang, text) -> (lang, salt, word, hash, times)."""
+        for names, numbers, lang, words, hashes, index, row, _ in _read(batches, seed):
+            times = np.bincount(index.astype(np.int64) * len(names) + lang[row], minlength=len(words) * len(names))
+            key = np.flatnonzero(times)
+            which = key // len(names)
             yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(lang)), pa.array(shard.astype(np.int32)), words.cast(pa.string()).take(pa.array(index)),
-                 pa.array(hashes[index].view(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "shard", "word", "hash", "times"])
+                [names.take(pa.array(key % len(names))), pa.array(numbers[key % len(names)].view(np.int64)), words.cast(pa.string()).take(pa.array(which)),
+                 pa.array(hashes[which].view(np.int64)), pa.array(times[key].astype(np.int64))], names=["lang", "salt", "word", "hash", "times"])
     return run
 
 
-def _grams(h: np.ndarray, piece: np.ndarray, length: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The words of every phrase of ``length`` words inside a piece, and where each starts."""
-    n = len(h) - length + 1
-    at = np.flatnonzero(piece[:n] == piece[length - 1:]) if n > 0 else np.zeros(0, np.int64)
-    return [h[at + j] for j in range(length)], at
+def _hashed(seed: int, shards: int, frequent):
+    def run(batches):
+        """(lang, text) -> (lang, salt, shard, n, words): the language's number, the number of all words, and the hashes of
+        the frequent ones with a 0 where a phrase ends: at other words and at pieces' ends."""
+        table, shard = frequent.value, TaskContext.get().partitionId() % shards
+        for names, numbers, lang, _, hashes, index, row, piece in _read(batches, seed):
+            h = hashes[index]
+            h[~_holds(table, _slots([h], numbers[lang[row]]))] = 0
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            cut = np.concatenate(([True], (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])))
+            # A 0 before each piece; then no two in a row.
+            at = np.arange(len(h)) + np.cumsum(cut)
+            out = np.zeros(int(at[-1]) + 1, np.uint64)
+            out[at] = h
+            begin = at[first] - 1
+            keep = np.concatenate(([True], (out[1:] != 0) | (out[:-1] != 0)))
+            keep[begin] = True
+            ends = np.append(begin, len(out))
+            size = np.add.reduceat(keep, begin) * 8
+            rows = row[first]
+            bounds = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(out[keep].tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [names.take(pa.array(lang[rows])), pa.array(numbers[lang[rows]].view(np.int64)), pa.array(np.full(len(rows), shard, np.int32)),
+                 pa.array(np.diff(np.append(first, len(row))).astype(np.int64)), blobs], names=["lang", "salt", "shard", "n", "words"])
+    return run
 
 
-def _counted(words: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place of each distinct (words, group) and how often it stands. A clash of the sort
-    key would split a phrase's count over two rows, which are added up later."""
-    key = mix(group.astype(np.uint64) * _MUL[LONGEST] + sum((w * _MUL[j] for j, w in enumerate(words)), np.uint64(0)))
-    order = np.argsort(key, kind="stable")
+# ---------------------------------------------------------------------------- words to phrases
+def _runs(batches):
+    """Per slice of (salt, shard, words): for each word or 0 its hash, its language's number
+    and its shard."""
+    for b in batches:
+        salt, shard = np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1)).astype(np.uint64)
+        data, offsets = utf8(b.column(2))
+        for i, j in spans(offsets, SLICE):
+            h = np.frombuffer(data[offsets[i]:offsets[j]].tobytes(), np.uint64)
+            row = np.repeat(np.arange(i, j), np.diff(offsets[i:j + 1]) // 8)
+            yield h, salt[row], shard[row]
+
+
+def _grams(h: np.ndarray, length: int) -> np.ndarray:
+    """Where a phrase of ``length`` words starts."""
+    n = max(0, len(h) - length + 1)
+    some = h != 0
+    live = some[:n].copy()
+    for j in range(1, length):
+        live &= some[j:n + j]
+    return np.flatnonzero(live)
+
+
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    return mix(sum((c * _MUL[j] for j, c in enumerate(columns)), np.uint64(0)))
+
+
+def _summed(columns: list[np.ndarray], times: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each distinct row of the columns with the sum of its times, in the order of ``_key``.
+    Rows of one key that are not equal may stay apart; they are added up when all meet."""
+    order = np.argsort(_key(columns), kind="stable")
     new = np.zeros(len(order), bool)
     new[:1] = True
-    for v in (group, *words):
-        v = v[order]
-        new[1:] |= v[1:] != v[:-1]
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
     edge = np.flatnonzero(new)
-    return order[edge], np.diff(np.append(edge, len(order)))
+    return [c[order[edge]] for c in columns], np.add.reduceat(times[order], edge) if len(edge) else times
 
 
-def _phrases_in(seed: int, shards: int, length: int, below, sharded: bool):
-    """(lang, text) -> (lang, shard, w1.., times) of the phrases that the bit table ``below``
-    lets through: a shard's phrases if both phrases one shorter inside it are there, or (not
-    ``sharded``) candidates themselves."""
-    def run(batches):
-        table = below.value
-        for names, salts, _, hashes, index, lang, shard, piece in _read(batches, seed, shards):
-            h = hashes[index]
-            group = lang * shards + shard if sharded else lang
-            salt = mix(salts[lang] + shard.astype(np.uint64)) if sharded and length > 2 else salts[lang]
-            if sharded:  # is the phrase one shorter that starts here known?
-                words, at = _grams(h, piece, length - 1)
-                known = np.zeros(len(h), bool)
-                known[at] = _holds(table, _slots(words, salt[at]))
-                words, at = _grams(h, piece, length)
-                live = known[at] & known[at + 1]
+def _unpacked(buffer, columns: int) -> np.ndarray:
+    return np.frombuffer(buffer, np.uint64).reshape(columns, -1)
+
+
+def _packed(columns: list[np.ndarray], times: np.ndarray) -> bytes:
+    return np.stack([*columns, times.astype(np.uint64)]).tobytes()
+
+
+class _Tally:
+    """Counts of a task's phrases, kept together until there are TALLY of them; they leave as
+    one row a bucket: (bucket, columns and times of its phrases)."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.parts, self.rows = buckets, [], 0
+
+    def add(self, columns: list[np.ndarray]):
+        self.parts.append(_summed(columns, np.ones(len(columns[0]), np.int64)))
+        self.rows += len(self.parts[-1][1])
+        if self.rows > TALLY:
+            columns, times = self._joined()
+            if len(times) > TALLY // 2:
+                yield self._batch(columns, times)
+                self.parts, self.rows = [], 0
             else:
-                words, at = _grams(h, piece, length)
-                live = _holds(table, _slots(words, salt[at]))
-            at, words = at[live], [w[live] for w in words]
-            one, times = _counted(words, group[at])
-            yield pa.RecordBatch.from_arrays(
-                [names.take(pa.array(lang[at[one]])), pa.array((shard[at[one]] if sharded else np.zeros(len(one), np.int64)).astype(np.int32)),
-                 *[pa.array(w[one].view(np.int64)) for w in words], pa.array(times.astype(np.int64))],
-                names=["lang", "shard", *WORD_COLUMNS[:length], "times"])
+                self.parts, self.rows = [(columns, times)], len(times)
+
+    def rest(self):
+        if self.rows:
+            yield self._batch(*self._joined())
+
+    def _joined(self):
+        return _summed([np.concatenate(c) for c in zip(*[p[0] for p in self.parts])], np.concatenate([p[1] for p in self.parts]))
+
+    def _batch(self, columns: list[np.ndarray], times: np.ndarray) -> pa.RecordBatch:
+        bucket = (_key(columns) % np.uint64(self.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        some = np.flatnonzero(np.diff(edge))
+        blobs = [_packed([c[order[edge[k]:edge[k + 1]]] for c in columns], times[order[edge[k]:edge[k + 1]]]) for k in some.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
+
+
+def _gathered(batches, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """A bucket's phrases from all tasks, each once, with the sum of its times."""
+    parts, rows = [], 0
+    for b in batches:
+        for packed in b.column("packed"):
+            c = _unpacked(packed.as_buffer(), width)
+            parts.append(c)
+            rows += c.shape[1]
+            if rows > TALLY and len(parts) > 1:
+                parts = [_total(parts)]
+                rows = min(parts[0].shape[1], TALLY // 2)
+    c = _total(parts)
+    return list(c[:-1]), c[-1].astype(np.int64)
+
+
+def _total(parts: list[np.ndarray]) -> np.ndarray:
+    """Equal columns are brought together by sorting on all of them."""
+    c = np.concatenate(parts, 1)
+    order = np.lexsort(c[:-1])
+    c = c[:, order]
+    edge = np.flatnonzero(np.concatenate(([True], (c[:-1, 1:] != c[:-1, :-1]).any(0)))) if c.shape[1] else np.zeros(0, np.int64)
+    return np.concatenate((c[:-1, edge], np.add.reduceat(c[-1], edge)[None, :] if len(edge) else c[-1:]))
+
+
+def _count_type(support: int):
+    return np.dtype("u1") if support < 256 else np.dtype("<u4")
+
+
+def _sketch(longest: int, support: int):
+    def run(batches):
+        """(salt, shard, words) -> (block, counts): the task's phrases in buckets, capped; few
+        of them as (place, count) pairs."""
+        counts = np.zeros(SKETCH, np.uint16 if support < 256 else np.uint32)
+        step = (1 << 16) // LONGEST - support if support < 256 else 1 << 16  # no sum before it is capped can overflow
+        for h, salt, _ in _runs(batches):
+            at = np.concatenate([_slots([h[g + j] for j in range(n)], salt[g], SKETCH) for n in range(2, longest + 1) for g in [_grams(h, n)]])
+            for a in range(0, len(at), step):
+                some = at[a:a + step]
+                np.add.at(counts, some, counts.dtype.type(1))
+                counts[some] = np.minimum(counts[some], support)
+        counts = counts.reshape(-1, BLOCK)
+        for k in np.flatnonzero(counts.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_block_bytes(counts[k], support)], pa.binary())], names=["block", "counts"])
+    return run
+
+
+def _block_bytes(counts: np.ndarray, support: int) -> bytes:
+    """A block's counts: all of them, or the places and counts of those above 0, if shorter."""
+    kind, at = _count_type(support), np.flatnonzero(counts)
+    if len(at) * (4 + kind.itemsize) + 1 >= BLOCK * kind.itemsize:
+        return counts.astype(kind).tobytes()
+    return b"s" + at.astype("<u4").tobytes() + counts[at].astype(kind).tobytes()
+
+
+def _add_block(total: np.ndarray, data: bytes, support: int) -> None:
+    kind = _count_type(support)
+    if len(data) == BLOCK * kind.itemsize:
+        np.minimum(total + np.frombuffer(data, kind), support, out=total)
+    else:
+        n = (len(data) - 1) // (4 + kind.itemsize)
+        at = np.frombuffer(data, "<u4", n, 1)
+        total[at] = np.minimum(total[at] + np.frombuffer(data, kind, n, 1 + 4 * n), support)
+
+
+def _add(support: int, last: bool):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sum of a block's counts, capped; at ``last``, as bits: support reached or not."""
+        total = np.zeros(BLOCK, np.int64)
+        for b in batches:
+            for c in b.column("counts"):
+                _add_block(total, c.as_py(), support)
+        out = np.packbits(total >= support, bitorder="little").tobytes() if last else _block_bytes(total, support)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out], pa.binary())], names=["block", "bits" if last else "counts"])
+    return run
+
+
+def _local(length: int, buckets: int, full, below):
+    def run(batches):
+        """(salt, shard, words) -> (bucket, packed): counts of the phrases that may reach their
+        shard's support: those of a ``full`` bucket of the sketch, and of three words or more
+        only if both parts one shorter are in the shard's bit table ``below``."""
+        reached, tally = full.value, _Tally(buckets)
+        for h, salt, shard in _runs(batches):
+            at = _grams(h, length)
+            if length > 2:
+                part = _grams(h, length - 1)
+                known = np.zeros(len(h) + 1, bool)
+                known[part] = _holds(below.value, _slots([h[part + j] for j in range(length - 1)], _of_shard(salt[part], shard[part])))
+                at = at[known[at] & known[at + 1]]
+            at = at[_holds(reached, _slots([h[at + j] for j in range(length)], salt[at], SKETCH))]
+            yield from tally.add([salt[at], shard[at], *[h[at + j] for j in range(length)]])
+        yield from tally.rest()
+    return run
+
+
+def _supported(length: int, lowered):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's phrases that reach their shard's lowered support, packed."""
+        columns, times = _gathered(batches, length + 3)
+        group = columns[0] * _MUL[0] + columns[1]
+        _, first, which = np.unique(group, return_index=True, return_inverse=True)
+        least = np.array([lowered.value[int(columns[0][k]), int(columns[1][k])] for k in first.tolist()], np.int64)
+        keep = times >= least[which]
+        yield pa.RecordBatch.from_arrays([pa.array([_packed([c[keep] for c in columns], times[keep])], pa.binary())], names=["packed"])
+    return run
+
+
+def _exact(longest: int, buckets: int, asked):
+    def run(batches):
+        """(salt, shard, words) -> (bucket, packed): counts of every candidate."""
+        table, tally = asked.value, _Tally(buckets)
+        for h, salt, _ in _runs(batches):
+            for length in range(2, longest + 1):
+                at = _grams(h, length)
+                at = at[_holds(table, _slots([h[at + j] for j in range(length)], salt[at]))]
+                none = np.zeros(len(at), np.uint64)
+                yield from tally.add([salt[at], *[h[at + j] if j < length else none for j in range(LONGEST)]])
+        yield from tally.rest()
+    return run
+
+
+def _counted(support: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A bucket's phrases that reach the support: (salt, w1..w4, f)."""
+        columns, times = _gathered(batches, LONGEST + 2)
+        keep = times >= support
+        yield pa.RecordBatch.from_arrays([*[pa.array(c[keep].view(np.int64)) for c in columns], pa.array(times[keep])], names=["salt", *WORDS, "f"])
     return run
 
 
 # ---------------------------------------------------------------------------- mining
 class Corpus:
-    """(lang, text) rows with their words counted; ``seed`` makes word hashes one-to-one."""
+    """A corpus as word hashes: ``words`` (lang, salt, word, w1, f) of the support, ``rows``
+    (lang, salt, shard, n, words) and ``totals`` (lang, salt, n)."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch, lang: str, text: str, shards: int):
-        self.scratch, self.shards, self.seed = scratch, shards, 0
-        self.rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
+    def __init__(self, docs: DataFrame, scratch: Scratch, lang: str, text: str, shards: int, support: int):
+        self.scratch, self.support, seed = scratch, support, 0
+        base = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
         while True:
-            found = self.rows.mapInArrow(_words_in(self.seed, shards), "lang string, shard int, word string, hash long, times long")
-            self.words = scratch.write(found.groupBy("lang", "shard", "word", "hash").agg(F.sum("times").alias("times")))
-            distinct = self.words.select("word", "hash").distinct()
-            if distinct.groupBy("hash").count().filter("count > 1").limit(1).count() == 0:
+            found = base.mapInArrow(_words_in(seed), "lang string, salt long, word string, hash long, times long")
+            every = scratch.write(found.groupBy("lang", "salt", "word").agg(F.max("hash").alias("hash"), F.sum("times").alias("times")))
+            # Two words of one hash would differ in another hash.
+            apart = every.groupBy("hash").agg(F.min(F.xxhash64("word")).alias("a"), F.max(F.xxhash64("word")).alias("b")).filter("a != b or hash = 0")
+            if not apart.limit(1).count():
                 break
-            self.seed += 1
-        self.sizes = scratch.write(self.words.groupBy("lang", "shard").agg(F.sum("times").alias("n_s")))
-        self.totals = scratch.write(self.sizes.groupBy("lang").agg(F.sum("n_s").alias("n")))
-
-    def count(self, length: int, below, sharded: bool) -> DataFrame:
-        keys = ["lang", "shard", *WORD_COLUMNS[:length]] if sharded else ["lang", *WORD_COLUMNS[:length]]
-        schema = "lang string, shard int, " + "".join(f"{w} long, " for w in WORD_COLUMNS[:length]) + "times long"
-        found = self.rows.mapInArrow(_phrases_in(self.seed, self.shards, length, below, sharded), schema)
-        return found.groupBy(*keys).agg(F.sum("times").alias("times"))
-
-
-def frequent_phrases(corpus: Corpus, support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
-    """Words of ``support`` occurrences or more (lang, word, w1, f), and for each length from
-    2 the phrases (lang, w1.., f) that reach it, counted over all texts."""
-    scratch = corpus.scratch
-    words = corpus.words.groupBy("lang", "word", F.col("hash").alias("w1")).agg(F.sum("times").alias("f"))
-    words = scratch.write(words.filter(F.col("f") >= support))
-    lowered = corpus.sizes.join(corpus.totals, "lang").select(
-        "lang", "shard", F.expr(f"cast((cast({support} as decimal(20)) * n_s + n - 1) div n as long)").alias("lowered"))
-    lowered = scratch.write(lowered)
-    below, out = _bit_table(words, 1, False), []
+            seed += 1
+        frequent = every.filter(F.col("times") >= support).select("lang", "salt", "word", F.col("hash").alias("w1"), F.col("times").alias("f"))
+        self.words = scratch.write(frequent.hint("rebalance"))
+        scratch.drop(every)
+        frequent = _bit_table(self.words.select("salt", "w1").mapInArrow(_word_slots, "block int, places binary"))
+        self.rows = scratch.write(base.mapInArrow(_hashed(seed, shards, frequent), "lang string, salt long, shard int, n long, words binary"))
+        frequent.destroy()
+        sizes = scratch.write(self.rows.groupBy("lang", "salt", "shard").agg(F.sum("n").alias("n_s")))
+        self.totals = sizes.groupBy("lang", "salt").agg(F.sum("n_s").alias("n"))
+        each = [r.asDict() for r in sizes.collect()]  # one row for each language and shard
+        n: dict[int, int] = {}
+        for r in each:
+            n[r["salt"]] = n.get(r["salt"], 0) + r["n_s"]
+        unsigned = lambda x: x & 0xFFFFFFFFFFFFFFFF
+        lowered = {(unsigned(r["salt"]), r["shard"]): -(-support * r["n_s"] // n[r["salt"]]) for r in each}
+        self.lowered = docs.sparkSession.sparkContext.broadcast(lowered)
+        # Buckets of phrases small enough for a task, whatever the words.
+        self.buckets = max(64, sum(n.values()) // 500_000)
+
+    def _phrases(self, task, schema: str) -> DataFrame:
+        return self.rows.select("salt", "shard", "words").mapInArrow(task, schema)
+
+    def full_buckets(self, longest: int):
+        """The sketch: which buckets of phrases reach the support in all. Summed in two steps."""
+        blocks = self._phrases(_sketch(longest, self.support), "block int, counts binary")
+        blocks = blocks.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        blocks = blocks.groupBy("block", "part").applyInArrow(_add(self.support, False), "block int, counts binary")
+        return _collected(blocks.groupBy("block").applyInArrow(_add(self.support, True), "block int, bits binary"), SKETCH)
+
+    def local(self, length: int, full, below) -> DataFrame:
+        """Each shard's phrases of a length at its lowered support, packed."""
+        found = self._phrases(_local(length, self.buckets, full, below), "bucket int, packed binary")
+        return self.scratch.write(found.groupBy("bucket").applyInArrow(_supported(length, self.lowered), "packed binary"))
+
+
+def frequent_phrases(corpus: Corpus, longest: int = LONGEST) -> DataFrame:
+    """(lang, words, f): the phrases of 2 to ``longest`` words that reach the support, counted
+    over all texts; ``words`` holds their hashes."""
+    scratch, union = corpus.scratch, None
+    full, below = corpus.full_buckets(longest), None
     for length in range(2, longest + 1):
-        # What each shard holds often enough, all of it.
-        local = corpus.count(length, below, True).join(lowered, ["lang", "shard"]).filter(F.col("times") >= F.col("lowered"))
-        local = scratch.write(local.drop("lowered"))
-        below.destroy()
-        below = _bit_table(local, length, True)
-        union = scratch.write(local.select("lang", *WORD_COLUMNS[:length]).distinct())
-        asked = _bit_table(union, length, False)
-        exact = corpus.count(length, asked, False).filter(F.col("times") >= support)
-        exact = exact.join(union, ["lang", *WORD_COLUMNS[:length]], "left_semi")
-        out.append(scratch.write(exact.withColumnRenamed("times", "f")))
-        asked.destroy()
+        local = corpus.local(length, full, below)
+        if below is not None:
+            below.destroy()
+        below = _bit_table(local.mapInArrow(_phrase_slots(length, True), "block int, places binary"))
+        own = local.mapInArrow(_phrase_slots(length, False), "block int, places binary")
+        union = own if union is None else union.union(own)
     below.destroy()
-    return words, out
-
-
-def _padded(phrases: DataFrame, length: int) -> DataFrame:
-    """(lang, words, f): the words as an array, which is a phrase's key whatever its length."""
-    return phrases.select("lang", F.array(*WORD_COLUMNS[:length]).alias("words"), "f")
+    full.destroy()
+    asked = _bit_table(union)
+    exact = corpus._phrases(_exact(longest, corpus.buckets, asked), "bucket int, packed binary")
+    exact = exact.groupBy("bucket").applyInArrow(_counted(corpus.support), "salt long, " + "".join(f"{w} long, " for w in WORDS) + "f long")
+    exact = exact.join(corpus.totals.select("lang", "salt"), "salt")
+    out = scratch.write(exact.select("lang", F.filter(F.array(*WORDS), lambda w: w != 0).alias("words"), "f").hint("rebalance"))
+    asked.destroy()
+    return out
 
 
 def _scores(candidates: DataFrame, counts: DataFrame) -> DataFrame:
@@ -264,7 +497,7 @@ def _hidden(candidates: DataFrame) -> DataFrame:
 
 def _spell(corpus: Corpus, phrases: DataFrame) -> DataFrame:
     """``phrases`` (lang, words, ...) with their text: words looked up by hash."""
-    wanted = corpus.words.select(F.col("hash").alias("w"), "word").distinct()
+    wanted = corpus.words.select(F.col("w1").alias("w"), "word").distinct()
     each = phrases.select("lang", "words", F.posexplode("words").alias("at", "w"))
     need = each.select("w").distinct().join(wanted, "w")
     salted = need.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -286,20 +519,16 @@ def collocations(docs: DataFrame, support: int = SUPPORT, top: int = TOP, longes
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"phrases have 2 to {LONGEST} words")
     scratch = Scratch(docs.sparkSession, "phrases")
-    corpus = Corpus(docs, scratch, lang, text, shards)
-    words, phrases = frequent_phrases(corpus, support, longest)
-    candidates = _padded(phrases[0], 2)
-    for n, more in enumerate(phrases[1:], 3):
-        candidates = candidates.union(_padded(more, n))
-    candidates = scratch.write(candidates)
-    counts = candidates.union(words.select("lang", F.array("w1").alias("words"), "f"))
+    corpus = Corpus(docs, scratch, lang, text, shards, support)
+    candidates = frequent_phrases(corpus, longest)
+    counts = candidates.union(corpus.words.select("lang", F.array("w1").alias("words"), "f"))
     scored = _scores(candidates, counts).join(_hidden(candidates), ["lang", "words"], "left")
     num, den = HIDDEN
     shown = F.col("most").isNull() | (F.col("most").cast("decimal(20)") * den < F.col("a").cast("decimal(20)") * num)
-    scored = scratch.write(scored.filter(shown).drop("most"))
+    scored = scored.filter(shown).drop("most")
     # Only what can be among the first is spelt: all that tie with the last place, too.
     by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     first = scratch.write(scored.withColumn("place", F.rank().over(by)).filter(F.col("place") <= top).drop("place"))
     by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = _spell(corpus, first).withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(corpus.totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    return ranked.join(corpus.totals.select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
