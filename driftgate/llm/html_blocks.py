@@ -1,21 +1,29 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped block by block: each block element is a line, character references are
-decoded and white space is collapsed. Containers that are never main text (menus, footers,
-sidebars, adverts, notices, forms, scripts, reader comments: by element, role or class) are
-dropped and leave no gap; a container that only its class, id or role names so, or a form, is
-kept if it holds most of the page's text. Lines outside the page's articles (if it marks any),
-and lines that are mostly links, weigh nothing; the others weigh their length.
-
-Sums of the weights over sliding windows of lines give the distribution: text begins at a
-surge (the sum rises from nothing to a real block) and ends at a dive (it falls back to
-nothing). Of several such stretches all are kept whose text lies mostly outside links, however
-short; all stretches inside marked articles are. Every line between surge and dive is kept whole.
+decoded and white space is collapsed. Elements that are never main text (menus, footers, forms,
+scripts, hidden ones) are dropped; a container that only its class, id or role names so is
+dropped, too, unless it holds most of the page's text. What is left is judged by its
+distribution over the lines:
+
+* A line weighs its characters outside links; one that is mostly links weighs nothing.
+* The page's own threshold parts long lines from short ones: the split of the lines' weights,
+  on a logarithmic scale, with the greatest variance between its sides (none, if the sides lie
+  closer than a factor of four).
+* Lines of prose elements (paragraphs, headings, quotations) weigh the threshold at least.
+* Sums over sliding windows of lines give the distribution. Text begins at a surge, where the
+  sum reaches the threshold, and ends at a dive, where it falls below; a stretch is trimmed to
+  its first and last real line (of prose, or reaching the threshold itself), with the list that
+  follows in the same container. A stretch that is mostly links, or headings without text,
+  goes; all others are kept, and every line between surge and dive is kept whole.
+
+On a page that marks its articles, everything left inside them is main text.
 """
 
 from __future__ import annotations
 
 import html as references
+import math
 import re
 
 import pyarrow as pa
@@ -30,6 +38,8 @@ ship(__name__)
 WINDOW = 3
 #: A stretch is kept if more than this share of its characters is outside links.
 DENSE = 0.5
+#: Long and short lines differ by this factor at least (as a power of two).
+APART = 2
 #: A line is mostly links from this share of its characters.
 LINKS = 0.6
 
@@ -42,12 +52,19 @@ DROPPED = set("""head nav footer aside form button select option textarea input
 template svg math canvas audio video script style title""".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose text is prose, however short.
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption caption summary".split())
 #: Names in a class, id or role that mark a container as no main text.
 NOISE = set("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies
 consent notice notices notification alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar
 side aside complementary widget footer contentinfo header masthead topbar toolbar comment comments replies reply
 discussion disqus share sharing social related recommended newsletter subscribe subscription signup login search
-pagination pager tags toc form copyright legal disclaimer skip gdpr paywall""".split())
+pagination pager tags toc form copyright legal disclaimer skip gdpr paywall responses response feedback remarks
+guestbook reactions trackbacks""".split())
+#: Names that say nothing of what they hold: the name before them counts.
+GENERIC = set("""area bar block body box btn button buttons container content count group heading holder icon inner item items
+label left link links list log main module outer panel posts right row section text this thread title top tree wrap wrapper
+bottom entries entry area col column id""".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _UNENDED = re.compile(r"<[!/?a-zA-Z][^<>]*$", re.S)
@@ -55,6 +72,18 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
+def _named(value: str) -> set[str]:
+    """What the words of a class, id or role name: of each, the last part that says something
+    (``tags-intro`` is an intro, a ``comment-list`` holds comments)."""
+    out = set()
+    for word in value.split():
+        parts = [p.lower() for p in _SPLIT.split(word) if p and not any(c.isdigit() for c in p)]
+        while len(parts) > 1 and parts[-1] in GENERIC:
+            parts.pop()
+        out |= set(parts[-1:])
+    return out
+
+
 def _noise(name: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is dropped."""
     if name in DROPPED or (name == "header" and not in_article):
@@ -66,7 +95,7 @@ def _noise(name: str, attributes: str, in_article: bool) -> bool:
         if key == "hidden" or key == "aria-hidden" and value.strip("\"'") == "true":
             return True
         if key in ("class", "id", "role"):
-            names = {w.lower() for w in _SPLIT.split(value.strip("\"'"))} & NOISE
+            names = _named(value.strip("\"'")) & NOISE
             if names - ({"header", "masthead", "title"} if in_article else set()):
                 return True
         if key == "style" and _HIDDEN.search(value):
@@ -82,10 +111,11 @@ def _firm(name: str, attributes: str, in_article: bool) -> bool:
                for key, value in ((k.lower(), v) for k, v in _ATTRIBUTE.findall(attributes)))
 
 
-def lines_of(page: str, kept: frozenset[int] = frozenset()) -> list[tuple[str, int, bool]]:
-    """(text, characters in links, inside an article) of each block. ``kept``: where the
+def lines_of(page: str, kept: frozenset[int] = frozenset()) -> list[tuple[str, int, bool, str, int]]:
+    """(text, characters in links, inside an article, element, its container's place) of each block. ``kept``: where the
     containers begin that are kept although their names mark them as no main text."""
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, str, int]] = []
+    kind = "div"  # the block element that the text stands in
     words: list[str] = []
     linked = article = skip = links = 0
     total = held = firm = 0  # characters of the page, of them outside firmly dropped elements
@@ -96,7 +126,7 @@ def lines_of(page: str, kept: frozenset[int] = frozenset()) -> list[tuple[str, i
         nonlocal linked
         text = " ".join(references.unescape("".join(words)).split())
         if text:
-            out.append((text, linked, article > 0))
+            out.append((text, linked, article > 0, kind, next((o[4] for o in reversed(open_) if o[0] not in ("ul", "ol", "li", "dl")), -1)))
         words.clear()
         linked = 0
 
@@ -137,6 +167,7 @@ def lines_of(page: str, kept: frozenset[int] = frozenset()) -> list[tuple[str, i
             depth = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
             if name in BLOCK:
                 flush()
+                kind = "div"
             if name == "a":
                 links = max(0, links - 1)
             if depth is not None:
@@ -151,6 +182,7 @@ def lines_of(page: str, kept: frozenset[int] = frozenset()) -> list[tuple[str, i
             continue
         if name in BLOCK:
             flush()
+            kind = name
             if open_ and open_[-1][0] == "p":  # a block ends an open paragraph
                 close(len(open_) - 1)
         if name in VOID:
@@ -173,26 +205,55 @@ def lines_of(page: str, kept: frozenset[int] = frozenset()) -> list[tuple[str, i
     return lines_of(page, kept | most) if most and not kept else out
 
 
+def threshold(weights: list[int]) -> float:
+    """The weight from which a line is long, by the split of all weights above 0 that has the
+    greatest variance between its sides on a logarithmic scale; 0 if they lie close together."""
+    logs = sorted(math.log2(w) for w in weights if w > 0)
+    best, at, total, left = 0.0, 0, sum(logs), 0.0
+    for i in range(1, len(logs)):
+        left += logs[i - 1]
+        gap = (total - left) / (len(logs) - i) - left / i
+        if gap >= APART and i * (len(logs) - i) * gap * gap > best:
+            best, at = i * (len(logs) - i) * gap * gap, i
+    return 2 ** ((logs[at - 1] + logs[at]) / 2) if at else 0.0
+
+
 def main_text(page: str | None) -> str:
     """The lines between surges and dives, joined by newlines."""
     lines = lines_of(page or "")
-    marked = any(inside for text, _, inside in lines if text)
-    weight = [0 if not text or (marked and not inside) or (not inside and linked >= LINKS * len(text)) else len(text)
-              for text, linked, inside in lines]
-    sums = [sum(weight[i:i + WINDOW]) for i in range(len(weight))]
+    if any(inside for _, _, inside, _, _ in lines):
+        return "\n".join(text for text, _, inside, _, _ in lines if inside)
+    weight = [0 if linked >= LINKS * len(text) else len(text) for text, linked, _, _, _ in lines]
+    if not any(weight):  # nothing but links: what stands in prose is text all the same
+        weight = [len(text) if kind in PROSE else 0 for text, _, _, kind, _ in lines]
+    long = threshold(weight)
+    prose = [w > 0 and kind in PROSE for w, (_, _, _, kind, _) in zip(weight, lines)]
+    real = [p or (w > 0 and w >= long) for w, p in zip(weight, prose)]
+    mass = [max(w, long) if p else w for w, p in zip(weight, prose)]
+    sums = [sum(mass[i:i + WINDOW]) for i in range(len(mass))]
     stretches, start = [], None
     for i, s in enumerate(sums + [0]):
-        if start is None and s > 0:
-            start = i  # surge
-        elif start is not None and s == 0:
-            stretches.append((start, i))  # dive
+        surging = s > 0 and s >= long
+        if start is None and surging:
+            start = i
+        elif start is not None and not surging:
+            stretches.append((start, i))
             start = None
     kept = []
     for a, b in stretches:
-        heavy = [i for i in range(a, b) if weight[i]]
-        own = lines[heavy[0]:heavy[-1] + 1]
-        if marked or sum(linked for _, linked, _ in own) < (1 - DENSE) * sum(len(text) for text, _, _ in own):
-            kept += [text for text, _, inside in own if text and inside >= marked]
+        solid = [i for i in range(a, min(b + WINDOW - 1, len(lines))) if real[i] and (i < b or not sums[i] >= long)]
+        solid = [i for i in solid if i < b] or solid
+        if not solid:
+            continue
+        first, last = solid[0], solid[-1]
+        while last + 1 < len(lines) and lines[last + 1][3] == "li" and weight[last + 1] and lines[last + 1][4] == lines[last][4]:
+            last += 1
+        own = lines[first:last + 1]
+        if all(kind in ("h2", "h3", "h4", "h5", "h6") for _, _, _, kind, _ in own) and len(stretches) > 1:
+            continue
+        if sum(weight[first:last + 1]) and (sum(linked for _, linked, _, _, _ in own) < (1 - DENSE) * sum(len(text) for text, _, _, _, _ in own)
+                                            or not any(linked < LINKS * len(text) for text, linked, _, _, _ in lines)):
+            kept += [text for text, _, _, _, _ in own]
     return "\n".join(kept)
 
 
