@@ -3,9 +3,13 @@
 Base counts of every whole text are made with built-in functions only. Five transformed
 statistics of each document (length, word length, symbol share, repeated-line share,
 repeated-window share) form a vector. For every (language, source) group the minimum
-covariance determinant is sought by concentration steps: distances under the present mean
-and scatter, the ``H`` share of nearest documents, their mean and scatter, and so on.
-Documents whose Mahalanobis distance under the final, reweighted estimate passes the
+covariance determinant is sought by concentration steps from several deterministic starts:
+distances under the present mean and scatter, the ``H`` share of nearest documents, their mean
+and scatter, and so on. Of the starts' results the one of least determinant is the group's, and
+is reweighted. The starts are medians with quartile spreads; the plain mean and scatter; each
+statistic's shortest interval that holds the share ``H`` (its middle and width, which withstand
+all but ``H`` of the documents); and that with the correlations of the so standardised
+statistics' hyperbolic tangents, and of their spatial signs. Documents whose Mahalanobis distance under the final, reweighted estimate passes the
 chi-square cutoff are rejected.
 
 A concentration step never gathers a group: documents fall into logarithmic distance bins,
@@ -17,6 +21,7 @@ hold the share. Only these bounded summaries are shuffled; a hot group is reduce
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,22 +119,60 @@ def statistic_vector(c: Column) -> dict[str, Column]:
     return {k: F.round(v * SCALE).cast("long") for k, v in values.items()}
 
 
-def _median_start(rows: DataFrame) -> DataFrame:
-    """Per group: coordinate medians and quartile spreads from value counts (each statistic
-    has a bounded number of integer values), as a diagonal first estimate."""
+#: Steps of the grid of quantiles between which the shortest interval is sought.
+GRID = 0.05
+#: Width of the middle ``H`` of a standard normal sample.
+_WIDTH = 2 * NormalDist().inv_cdf((1 + H) / 2)
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """Per group, of value counts (each statistic has a bounded number of integer values): size,
+    medians m and quartile spreads sd, middles h and spreads hd of the shortest intervals."""
     long = rows.select("_k", F.posexplode(F.array(*[F.floor(F.col(f"x.{s}") / 16) for s in STATS])).alias("j", "v"))
     counts = long.groupBy("_k", "j", "v").count()
     w = Window.partitionBy("_k", "j").orderBy("v")
     run = counts.select("_k", "j", "v", F.sum("count").over(w).alias("upto"),
                         F.sum("count").over(Window.partitionBy("_k", "j")).alias("n"))
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("n") * q, F.col("v"))) * (16 / SCALE)
-    q = run.groupBy("_k", "j").agg(F.max("n").alias("n"), at(0.5).alias("m"), (at(0.75) - at(0.25)).alias("iqr"))
+    grid = [round(k * GRID, 2) for k in range(round(1 / GRID) + 1)]
+    q = run.groupBy("_k", "j").agg(F.max("n").alias("n"), at(0.5).alias("m"), (at(0.75) - at(0.25)).alias("iqr"), F.array(*[at(g) for g in grid]).alias("q"))
+    span = round(H / GRID)
+    intervals = F.array(*[F.struct((F.get("q", F.lit(k + span)) - F.get("q", F.lit(k))).alias("w"), F.lit(k).alias("k"),
+                                   ((F.get("q", F.lit(k + span)) + F.get("q", F.lit(k))) / 2).alias("h")) for k in range(len(grid) - span)])
+    q = q.withColumn("short", F.array_min(intervals))
     pick = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c)))
-    out = q.groupBy("_k").agg(F.max("n").alias("n"), *[pick("m", j).alias(f"m{j}") for j in range(P)],
-                              *[pick("iqr", j).alias(f"r{j}") for j in range(P)])
-    sd = [F.greatest(F.col(f"r{j}") / 1.349, F.lit(FLOORS[s])) for j, s in enumerate(STATS)]
-    return out.select("_k", "n", *[f"m{j}" for j in range(P)],
-                      *[((1 / sd[i]) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in PAIRS])
+    out = q.groupBy("_k").agg(F.max("n").alias("n"), *[pick(c, j).alias(f"{a}{j}") for c, a in (("m", "m"), ("iqr", "r"), ("short.h", "h"), ("short.w", "v"))
+                                                       for j in range(P)])
+    return out.select("_k", "n", *[f"{a}{j}" for a in "mh" for j in range(P)],
+                      *[F.greatest(F.col(f"r{j}") / 1.349, F.lit(FLOORS[s])).alias(f"sd{j}") for j, s in enumerate(STATS)],
+                      *[F.greatest(F.col(f"v{j}") / _WIDTH, F.lit(FLOORS[s])).alias(f"hd{j}") for j, s in enumerate(STATS)])
+
+
+def _sums(x: list[Column]) -> list[Column]:
+    return [F.sum(x[j]).alias(f"s{j}") for j in range(P)] + [F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS]
+
+
+def _starts(rows: DataFrame, medians: DataFrame) -> DataFrame:
+    """(_k, _s, n, mean, inverse factor, logdet) of every start ``_s``."""
+    z = [(F.col(f"x.{s}") / SCALE - F.col(f"h{j}")) / F.col(f"hd{j}") for j, s in enumerate(STATS)]
+    norm = F.sqrt(sum((v * v for v in z), F.lit(0.0)))
+    whole = lambda v: F.round(v * SCALE).cast("long")
+    diagonal = lambda k, m, sd: _cholesky(medians.select("_k", F.lit(k).alias("_s"), "n", *[F.col(f"{m}{j}").alias(f"m{j}") for j in range(P)], *[
+        (F.col(f"{sd}{i}") * F.col(f"{sd}{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]))
+    plain = rows.groupBy("_k").agg(F.count("*").alias("s_n"), *_sums([F.col(f"x.{s}") for s in STATS]))
+    made = [diagonal(0, "m", "sd"), _factor(plain.select(F.lit(1).alias("_s"), F.col("s_n").alias("n"), "*"), 1.0), diagonal(2, "h", "hd")]
+    joined = rows.join(medians, "_k")
+    for k, y in ((3, [F.tanh(v) for v in z]), (4, [F.when(norm > 0, v / norm).otherwise(0.0) for v in z])):
+        g = joined.groupBy("_k").agg(F.count("*").alias("s_n"), *_sums([whole(v) for v in y])).join(medians, "_k")
+        c = {(i, j): F.col(f"q{i}{j}") / F.col("s_n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("s_n") / F.col("s_n") for i, j in PAIRS}
+        both = lambda i, j: F.sqrt(F.greatest(c[i, i], F.lit(1e-9)) * F.greatest(c[j, j], F.lit(1e-9)))
+        made.append(_cholesky(g.select("_k", F.lit(k).alias("_s"), "n", *[F.col(f"h{j}").alias(f"m{j}") for j in range(P)], *[
+            (F.col(f"hd{i}") * F.col(f"hd{j}") * (F.lit(1.0) if i == j else c[i, j] / both(i, j)) + (FLOORS[STATS[i]] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
+            for i, j in PAIRS])))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _distance(x: Column) -> Column:
@@ -149,14 +192,18 @@ def _distance(x: Column) -> Column:
 def _factor(moments: DataFrame, factor: float) -> DataFrame:
     """Mean and inverse Cholesky factor of the scatter from counts, sums and products."""
     n = F.col("s_n")
-    df = moments.select("_k", "n", "s_n", *[(F.col(f"s{j}") / n / SCALE).alias(f"m{j}") for j in range(P)],
+    df = moments.select("_k", "_s", "n", "s_n", *[(F.col(f"s{j}") / n / SCALE).alias(f"m{j}") for j in range(P)],
                         *[F.col(f"q{i}{j}") for i, j in PAIRS])
     cov = {}
     for i, j in PAIRS:
         c = (F.col(f"q{i}{j}") / n / (SCALE * SCALE) - F.col(f"m{i}") * F.col(f"m{j}")) * factor
         # The resolution goes on the diagonal, so the scatter stays regular whatever the data.
         cov[i, j] = F.greatest(c, F.lit(0.0)) + F.lit(FLOORS[STATS[i]] ** 2) if i == j else c
-    df = df.select("*", *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()])
+    return _cholesky(df.select("*", *[c.alias(f"c{i}{j}") for (i, j), c in cov.items()]))
+
+
+def _cholesky(df: DataFrame) -> DataFrame:
+    """The inverse Cholesky factor of the scatter c, and the logarithm of its determinant."""
     for i in range(P):  # Cholesky factor, then its inverse, one column after another
         for j in range(i + 1):
             v = F.col(f"c{i}{j}")
@@ -173,37 +220,41 @@ def _factor(moments: DataFrame, factor: float) -> DataFrame:
                     v = v - F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
                 v = v / F.col(f"l{i}{i}")
             df = df.withColumn(f"w{i}{j}", v)
-    return df.select("_k", "n", *[f"m{j}" for j in range(P)], *[f"w{i}{j}" for i, j in PAIRS])
+    logdet = sum((2 * F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
+    return df.select("_k", "_s", "n", *[f"m{j}" for j in range(P)], *[f"w{i}{j}" for i, j in PAIRS], logdet.alias("logdet"))
 
 
-def _concentrate(rows: DataFrame, est: DataFrame, share: float | None, cutoff: float | None, factor: float) -> DataFrame:
-    """One step: moments of the nearest ``share`` of each group, or of all documents within
-    ``cutoff``, and the estimate they give."""
-    d = rows.join(est, "_k").select("_k", "n", "x", _distance(F.col("x")).alias("d"))
+def _concentrate(rows: DataFrame, est: DataFrame, share: float | None, cutoff: float | None, factor: float, scratch: Scratch) -> DataFrame:
+    """One step from every estimate (_k, _s): moments of the nearest ``share`` of each group,
+    or of all documents within ``cutoff``, and the estimate they give."""
+    d = rows.join(est, "_k").select("_k", "_s", "n", "x", _distance(F.col("x")).alias("d"))
     if cutoff is not None:
         d = d.filter(F.col("d") <= cutoff)
     b = F.floor(F.log2(F.col("d") + 2.0 ** -10) * _BINS).cast("int") if share is not None else F.lit(0)
     x = [F.col(f"x.{s}") for s in STATS]
     names = [f"s{j}" for j in range(P)] + [f"q{i}{j}" for i, j in PAIRS]
-    bins = d.groupBy("_k", b.alias("b")).agg(
-        F.max("n").alias("n"), F.count("*").alias("s_n"), *[F.sum(x[j]).alias(f"s{j}") for j in range(P)],
-        *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in PAIRS])
+    bins = d.groupBy("_k", "_s", b.alias("b")).agg(F.max("n").alias("n"), F.count("*").alias("s_n"), *_sums(x))
     if share is not None:
-        before = F.coalesce(F.sum("s_n").over(Window.partitionBy("_k").orderBy("b").rowsBetween(
+        # Written, so that a hot group's partial sums meet by bin; the window sees a group's bins only.
+        bins = scratch.write(bins)
+        before = F.coalesce(F.sum("s_n").over(Window.partitionBy("_k", "_s").orderBy("b").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))
         bins = bins.withColumn("before", before).filter(F.col("before") < F.ceil(F.col("n") * share))
     # Integer sums of a few bins; decimals keep them exact beyond 64 bits.
-    total = bins.groupBy("_k").agg(F.max("n").alias("n"), F.sum("s_n").alias("s_n"),
-                                   *[F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in names])
+    total = bins.groupBy("_k", "_s").agg(F.max("n").alias("n"), F.sum("s_n").alias("s_n"),
+                                         *[F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c) for c in names])
     return _factor(total, factor)
 
 
 def estimate(rows: DataFrame, scratch: Scratch, steps: int = STEPS, share: float = H) -> DataFrame:
-    """The reweighted minimum covariance determinant of every group of ``rows`` (_k, x)."""
-    est = scratch.write(_median_start(rows))
+    """The reweighted minimum covariance determinant of every group of ``rows`` (_k, x): of all
+    starts' concentrated estimates the one of least determinant (the first, if several)."""
+    est = scratch.write(_starts(rows, scratch.write(_medians(rows))))
     for _ in range(steps):
-        est = scratch.write(_concentrate(rows, est, share, None, consistency(share)))
-    return scratch.write(_concentrate(rows, est, None, chi2_quantile(REWEIGHT, P), consistency(REWEIGHT)))
+        est = scratch.write(_concentrate(rows, est, share, None, consistency(share), scratch))
+    best = est.groupBy("_k").agg(F.min(F.struct(F.round("logdet", 6).alias("logdet"), "_s")).alias("b")).select("_k", F.col("b._s").alias("_s"))
+    best = scratch.write(est.join(best, ["_k", "_s"]))
+    return scratch.write(_concentrate(rows, best, None, chi2_quantile(REWEIGHT, P), consistency(REWEIGHT), scratch))
 
 
 def quality_rules(docs: DataFrame, carry: list[str] | None = None, text: str = "text", lang: str = "lang",

@@ -42,35 +42,100 @@ def vector(c):
 
 
 def brute_distances(x):
-    """Concentration steps on whole distance bins, as the operator defines them."""
+    """Concentration steps on whole distance bins from every start, as the operator defines
+    them; the result of least determinant, reweighted."""
     floors = np.array(list(Q.FLOORS.values()))
     real = x / Q.SCALE
     v = np.sort(x // 16, 0) * 16 / Q.SCALE
     at = lambda q: v[math.ceil(len(v) * q) - 1]
-    mean, sd = at(0.5), np.maximum((at(0.75) - at(0.25)) / 1.349, floors)
-    inverse = np.diag(1 / sd ** 2)
-
-    def distances():
+    middle, sd = at(0.5), np.maximum((at(0.75) - at(0.25)) / 1.349, floors)
+    grid = np.stack([v[max(0, math.ceil(len(v) * round(k * 0.05, 2)) - 1)] for k in range(21)])
+    width = grid[12:] - grid[:9]
+    first = width.argmin(0)
+    pick = lambda a: a[first, np.arange(a.shape[1])]
+    short, hd = pick((grid[12:] + grid[:9]) / 2), np.maximum(pick(width) / Q._WIDTH, floors)
+    z = (real - short) / hd
+    norm = np.sqrt((z * z).sum(1, keepdims=True))
+    signs = np.where(norm > 0, z / np.where(norm > 0, norm, 1), 0)
+
+    def distances(mean, cov):
         d = real - mean
-        return np.einsum("ij,jk,ik->i", d, inverse, d)
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)
 
     def moments(use, factor):
         m = real[use].mean(0)
-        cov = (real[use].T @ real[use] / use.sum() - np.outer(m, m)) * factor
-        return m, np.linalg.inv(cov + np.diag(floors ** 2))
-
-    for _ in range(Q.STEPS):
-        d = distances()
-        bins = np.floor(np.log2(d + 2.0 ** -10) * Q._BINS)
-        kept, need = set(), math.ceil(len(x) * Q.H)
-        for b, n in sorted(Counter(bins).items()):
-            if need <= 0:
+        return m, (real[use].T @ real[use] / use.sum() - np.outer(m, m)) * factor + np.diag(floors ** 2)
+
+    def shape(y):
+        r = np.corrcoef(np.floor(y * Q.SCALE + 0.5).T)
+        r = np.where(np.isnan(r), 0, r)
+        np.fill_diagonal(r, 1)
+        return short, r * np.outer(hd, hd) + np.diag(floors ** 2)
+
+    starts = [(middle, np.diag(sd ** 2)), moments(np.ones(len(x), bool), 1.0), (short, np.diag(hd ** 2)), shape(np.tanh(z)), shape(signs)]
+    found = []
+    for mean, cov in starts:
+        for _ in range(Q.STEPS):
+            bins = np.floor(np.log2(distances(mean, cov) + 2.0 ** -10) * Q._BINS)
+            kept, need = set(), math.ceil(len(x) * Q.H)
+            for b, n in sorted(Counter(bins).items()):
+                if need <= 0:
+                    break
+                kept.add(b)
+                need -= n
+            mean, cov = moments(np.isin(bins, list(kept)), Q.consistency(Q.H))
+        found.append((round(np.linalg.slogdet(cov)[1], 6), len(found), mean, cov))
+    _, _, mean, cov = min(found, key=lambda f: f[:2])
+    mean, cov = moments(distances(mean, cov) <= Q.chi2_quantile(Q.REWEIGHT, Q.P), Q.consistency(Q.REWEIGHT))
+    return distances(mean, cov)
+
+
+def vectors(spark, x):
+    """Vectors as the estimate's rows, all of one group."""
+    rows = [("g", tuple(int(round(v * Q.SCALE)) for v in r)) for r in x]
+    return spark.createDataFrame(rows, "_k string, x struct<" + ",".join(f"{s}:bigint" for s in Q.STATS) + ">")
+
+
+def fast_mcd(x, h, starts=300, seed=1):
+    """An independent estimate: the least determinant over concentration from many random
+    subsets of six points, on exact subsets of h points."""
+    rng, best = np.random.default_rng(seed), (np.inf, None)
+    for _ in range(starts):
+        use = rng.choice(len(x), x.shape[1] + 1, replace=False)
+        for _ in range(30):
+            m, c = x[use].mean(0), np.cov(x[use].T, bias=True) + 1e-9 * np.eye(x.shape[1])
+            new = np.argsort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m), kind="stable")[:h]
+            if set(new) == set(use):
                 break
-            kept.add(b)
-            need -= n
-        mean, inverse = moments(np.isin(bins, list(kept)), Q.consistency(Q.H))
-    mean, inverse = moments(distances() <= Q.chi2_quantile(Q.REWEIGHT, Q.P), Q.consistency(Q.REWEIGHT))
-    return distances()
+            use = new
+        det = np.linalg.slogdet(np.cov(x[use].T, bias=True))[1]
+        if det < best[0]:
+            best = (det, set(use.tolist()))
+    return best
+
+
+def test_least_determinant_with_a_contaminated_cluster(spark):
+    """35 % of the vectors lie in a cluster apart: the subset is that of an independent search,
+    and the cluster is rejected while the rest is kept."""
+    from driftgate.llm.common import Scratch
+    rng = np.random.default_rng(9)
+    mix = rng.normal(size=(5, 5))
+    good = rng.normal(size=(650, 5)) @ mix + 5
+    bad = rng.normal(size=(350, 5)) @ mix + 5 + 8 * mix.sum(0)
+    x = np.round(np.concatenate((good, bad)) * Q.SCALE) / Q.SCALE
+    rows = vectors(spark, x).repartition(4)
+    est = Q.estimate(rows, Scratch(spark, "t"))
+    one = est.first()
+    assert est.count() == 1
+    d = [r.d for r in rows.join(est, "_k").select(Q._distance(Q.F.col("x")).alias("d"), Q.F.col(f"x.{Q.STATS[0]}").alias("v")).collect()]
+    assert len(d) == len(x)
+    low = rows.join(est, "_k").select("x", Q._distance(Q.F.col("x")).alias("d")).filter(Q.F.col("d") <= Q.chi2_quantile(Q.REJECT, Q.P)).collect()
+    kept = {tuple(r.x) for r in low}
+    is_kept = [tuple(int(round(v * Q.SCALE)) for v in r) in kept for r in x]
+    assert sum(is_kept[:650]) >= 0.95 * 650 and sum(is_kept[650:]) == 0
+    _, subset = fast_mcd(x, math.ceil(len(x) * Q.H))
+    centre = x[sorted(subset)].mean(0)
+    assert max(subset) < 650 and np.abs(np.array([one[f"m{j}"] for j in range(5)]) - centre).max() < 0.5
 
 
 def test_outliers_against_numpy(spark):
