@@ -10,7 +10,8 @@ distribution over the lines:
 * The page's own threshold parts long lines from short ones: the split of the lines' weights,
   on a logarithmic scale, with the greatest variance between its sides (none, if the sides lie
   closer than a factor of four).
-* Lines of prose elements (paragraphs, headings, quotations) weigh the threshold at least.
+* Lines of prose elements (paragraphs, headings, quotations) weigh the threshold at least. If
+  these hold the page's text, other lines are text between them only.
 * Sums over sliding windows of lines give the distribution. Text begins at a surge, where the
   sum reaches the threshold, and ends at a dive, where it falls below; a stretch is trimmed to
   its first and last real line (of prose, or reaching the threshold itself), with the list that
@@ -38,6 +39,8 @@ ship(__name__)
 WINDOW = 3
 #: A stretch is kept if more than this share of its characters is outside links.
 DENSE = 0.5
+#: A page whose prose elements hold this share of its text keeps its text there.
+IN_PROSE = 0.4
 #: Long and short lines differ by this factor at least (as a power of two).
 APART = 2
 #: A line is mostly links from this share of its characters.
@@ -228,7 +231,9 @@ def main_text(page: str | None) -> str:
         weight = [len(text) if kind in PROSE else 0 for text, _, _, kind, _ in lines]
     long = threshold(weight)
     prose = [w > 0 and kind in PROSE for w, (_, _, _, kind, _) in zip(weight, lines)]
-    real = [p or (w > 0 and w >= long) for w, p in zip(weight, prose)]
+    # Where prose elements hold the text, what stands outside them counts between them only.
+    inside = sum(w for w, p in zip(weight, prose) if p) >= IN_PROSE * sum(weight) > 0
+    real = [p or (w > 0 and w >= long and not inside) for w, p in zip(weight, prose)]
     mass = [max(w, long) if p else w for w, p in zip(weight, prose)]
     sums = [sum(mass[i:i + WINDOW]) for i in range(len(mass))]
     stretches, start = [], None

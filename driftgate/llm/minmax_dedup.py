@@ -11,12 +11,12 @@ linked without listing all pairs of a bucket:
 
 * each class is first tested against the smallest class of its buckets, and confirmed links
   are joined into components;
-* in buckets that still hold several components, all members are compared inside tasks, a
-  bucket in blocks of a bounded number of shingles. Only links that join two components of a
-  block leave the task, fewer than the block has members.
+* in buckets that still hold several components, members of different components are compared
+  inside tasks, a bucket in blocks of a bounded number of shingles. One link for each two
+  components of a block leaves the task.
 
-So every candidate pair is either compared or already connected, and the rows that are moved
-grow with the members of the buckets, not with their pairs.
+So every candidate pair is either compared or already connected. A bucket that still is open
+and larger than a block moves each member's set once for each of its blocks.
 """
 
 from __future__ import annotations
@@ -146,17 +146,19 @@ def _confirm(batches):
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def _shared(first: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Numbers of common elements of all pairs of sets that lie one after another."""
+def _shared(first: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Numbers of common elements of the sets ``rows`` with all sets that lie one after another."""
     m = len(first) - 1
     owner = np.repeat(np.arange(m), np.diff(first))
     order = np.argsort(values, kind="stable")
     v, owner = values[order], owner[order]
-    new = np.concatenate(([True], v[1:] != v[:-1]))
-    column = np.cumsum(new) - 1
-    often = np.bincount(column)[column] > 1  # what stands in one set only is shared by none
-    owner, column = owner[often], column[often]
-    both = np.zeros((m, m), np.float32)
+    column = np.cumsum(np.concatenate(([True], v[1:] != v[:-1]))) - 1
+    place = np.full(m, -1)
+    place[rows] = np.arange(len(rows))
+    # What stands in one set only, or in none of the rows, counts for no pair.
+    used = (np.bincount(column) > 1) & (np.bincount(column, place[owner] >= 0) > 0)
+    owner, column = owner[used[column]], column[used[column]]
+    both = np.zeros((len(rows), m), np.float32)
     if len(column):
         column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1
         width = max(1, (1 << 22) // m)
@@ -164,7 +166,7 @@ def _shared(first: np.ndarray, values: np.ndarray) -> np.ndarray:
             lo, hi = np.searchsorted(column, (c, c + width))
             part = np.zeros((m, width), np.float32)
             part[owner[lo:hi], column[lo:hi] - c] = 1
-            both += part @ part.T
+            both += part[rows] @ part.T
     return both
 
 
@@ -179,18 +181,27 @@ def _compare(table: pa.Table) -> pa.Table:
     data, offsets = utf8(table.column("set"))
     a, b = [], []
     for lo, hi in zip(starts, np.append(starts[1:], len(keys))):
+        numbers: dict = {}
+        comp = np.array([numbers.setdefault(c, len(numbers)) for c in comps[lo:hi]])
+        if len(numbers) < 2:
+            continue
+        # Only pairs of two components matter, and all but those have a side outside the largest.
+        rows = np.flatnonzero(comp != np.bincount(comp).argmax())
         size = np.diff(offsets[lo:hi + 1]) // 8
-        both = _shared((offsets[lo:hi + 1] - offsets[lo]) // 8, data[offsets[lo]:offsets[hi]].view(np.uint64))
-        x, y = np.nonzero(np.triu(den * both >= num * (size[:, None] + size[None, :] - both), 1))
-        root = {c: c for c in comps[lo:hi]}
+        both = _shared((offsets[lo:hi + 1] - offsets[lo]) // 8, data[offsets[lo]:offsets[hi]].view(np.uint64), rows)
+        x, y = np.nonzero((den * both >= num * (size[rows][:, None] + size[None, :] - both)) & (comp[rows][:, None] != comp[None, :]))
+        x = rows[x]
+        pair = np.minimum(comp[x], comp[y]) * len(numbers) + np.maximum(comp[x], comp[y])
+        _, one = np.unique(pair, return_index=True)  # one link for each two components
+        root = list(range(len(numbers)))
 
         def find(c):
             while root[c] != c:
                 root[c] = c = root[root[c]]
             return c
 
-        for k, m in zip(x.tolist(), y.tolist()):
-            p, q = find(comps[lo + k]), find(comps[lo + m])
+        for k, m in zip(x[one].tolist(), y[one].tolist()):
+            p, q = find(int(comp[k])), find(int(comp[m]))
             if p != q:
                 root[max(p, q)] = min(p, q)
                 a.append(ids[lo + k])
