@@ -25,8 +25,25 @@ RAW_PROVIDERS = ["OpenAI", "Anthropic Claude", "Google Vertex AI", "xAI Grok", "
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A shared table, scanned as its files are split (``spark.sql.files.maxPartitionBytes``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A shared table, scanned as its files are split (``spark.sql.files.maxPartitionBytes``),
+    unless these are too few to keep the task slots busy (``spread_few_splits``)."""
+    return spread_few_splits(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread_few_splits(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan to all task slots if it has splits for fewer than half of them.
+    Such an input is smaller than half the slots times a split, so what is moved is bounded by
+    the cluster, not by the data; a large table is never touched."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if 2 * len(files) >= slots:
+        return df
+    size = lambda f: (lambda p: p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen())(
+        spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(f)))
+    split = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    splits = sum(max(1, -(-size(f) // split)) for f in files)
+    return df.repartition(slots) if 2 * splits < slots else df
 
 
 def _by_source(src: Column, catalog, feed, official) -> Column:
