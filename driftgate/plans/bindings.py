@@ -287,6 +287,11 @@ def catalog_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.to_json(F.create_map(raw, F.struct(raw.alias("name"), F.array(F.struct(
         mid.alias("name"), *base)).alias("models"))))
     body = F.when(F.col("l_linenumber") % 2 == 1, keyed).otherwise(listed)
+    # Some have no identity: a model without a name, a provider without models, one that is no object.
+    k53 = F.col("l_orderkey") % 53
+    body = (F.when(k53 == 0, F.to_json(F.create_map(raw, F.struct(F.create_map(F.lit(""), F.struct(status.alias("status"))).alias("models")))))
+            .when(k53 == 1, F.to_json(F.create_map(raw, F.struct(raw.alias("name")))))
+            .when(k53 == 2, F.to_json(F.create_map(raw, mid))).otherwise(body))
     return li.select(F.lit(SOURCE_CATALOG).alias("source_id"), body.alias("body"),
                      F.col("l_shipdate").cast("timestamp").alias("fetched_at"), "l_orderkey", "l_linenumber")
 
@@ -298,7 +303,8 @@ def feed_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = part_identity(k)
     ship = F.col("l_shipdate")
     retire = F.date_format(F.date_add(F.to_date(ship), (F.lit(120) + k % 4 * 30).cast("int")), "yyyy-MM-dd")
-    dep = F.struct(ident["raw_provider"].alias("provider"), ident["model_id"].alias("model_id"),
+    named = F.when(F.col("l_orderkey") % 53 == 0, "").when(F.col("l_orderkey") % 53 != 1, ident["model_id"])  # some have no identity
+    dep = F.struct(ident["raw_provider"].alias("provider"), named.alias("model_id"),
                    F.when(F.col("l_linestatus") == "O", retire).alias("shutdown_date"),
                    F.date_format(ship, "yyyy-MM-dd").alias("deprecation_date"),
                    F.when(F.col("l_returnflag") == "R", "retired").when(F.col("l_returnflag") == "A", "shutdown")
@@ -378,6 +384,28 @@ def listing_landing(spark: SparkSession, sf_dir: str, at: str, drop_mod: int | N
         source_id.alias("source_id"), "body", F.to_timestamp(F.lit(at)).alias("fetched_at"))
 
 
+#: What is appended to a document's text, by doc_id modulo 13 (fixed test content); the first
+#: half holds secrets, the rest comes close.
+PLANTED = [" sk-" + "k" * 20, " Bearer " + "b" * 10 + "." + "B" * 10, " xai-" + "x" * 24, " AIza" + "Y" * 20, " API_KEY = 'v'", ' token: "s3cret"',
+           " sk-" + "k" * 19, " Bearers " + "b" * 30, " apikey: v", " tokens = 5"]
+
+
+def planted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, some with something that is, or nearly is, a secret at the end."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", F.concat("text", F.coalesce(F.get(F.array(*[F.lit(p) for p in PLANTED]), (F.col("doc_id") % 13).cast("int")), F.lit(""))).alias("text"))
+
+
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the pages' urls, some of them on the allowlist or nearly so."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    k, rest = F.col("page_id") % 9, F.regexp_extract("url", "://[^/]*(.*)$", 1)
+    url = (F.when(k == 0, F.concat(F.lit("https://models.dev"), rest)).when(k == 1, F.concat(F.lit("HTTPS://WWW.Deprecations.INFO:443"), rest))
+           .when(k == 2, F.concat(F.lit("http://models.dev"), rest)).when(k == 3, F.concat(F.lit("https://models.dev.example.com"), rest))
+           .when(k == 4, "models.dev").when(k == 5, F.concat(F.lit("https://u@models.dev"), rest)).when(k != 6, F.col("url")))
+    return p.select("page_id", url.alias("url"))
+
+
 def event_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S4 landing rows from events: each event's JSON props is one fetched body of source
     ``event_type``; events with ``event_id % 97 = 0`` arrive truncated (corrupt)."""

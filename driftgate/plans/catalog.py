@@ -210,11 +210,6 @@ def f8_low_confidence(spark, sf_dir):
     return D.low_confidence(_discovered(spark, sf_dir)).select("scope", "entity_key", "confidence")
 
 
-def _ignore_sql(path: str) -> str:
-    from driftgate.schemas import DEFAULT_IGNORE_GLOBS
-    return "(" + " AND ".join(f"NOT regexp_matches({path}, {O._q(D.glob_to_regex(g))})" for g in DEFAULT_IGNORE_GLOBS) + ")"
-
-
 @register("s11_corpus", f"""
 SELECT scope || '/' || path AS path, CAST(line AS INTEGER) AS line, text FROM {O.code_lines_sql()} l
 UNION ALL SELECT scope || '/' || path AS path, 1 AS line, content AS text FROM {O.json_docs_sql()} j""")
@@ -230,19 +225,28 @@ def s11_corpus(spark, sf_dir):
     return D.to_lines(D.read_corpus(spark, root, "project")).select("path", "line", "text")
 
 
+_F1_PATH = ("CASE o_custkey % 12 WHEN 0 THEN 'dist/' || path WHEN 1 THEN path || '/build' WHEN 2 THEN 'x/__pycache__/' || path WHEN 3 THEN path || '.min.js' "
+            "WHEN 4 THEN 'a.min.css' WHEN 5 THEN 'mydist/' || path WHEN 6 THEN 'min.js/' || path WHEN 7 THEN 'x/coverage' WHEN 8 THEN 'venv2/' || path ELSE path END")
+
+
 @register("f1_file_routing", f"""
-SELECT DISTINCT scope, path,
-  NOT regexp_matches(path, {O._q(D.SKIP_DIR_RE)}) AS kept,
-  {_ignore_sql('path')} AS not_ignored,
+WITH f AS (SELECT DISTINCT scope, {_F1_PATH} AS path FROM (SELECT f0.scope, f0.path, o_custkey FROM {O.code_files_sql()} f0 JOIN orders USING (o_orderkey)) y),
+s AS (SELECT scope, path, string_split(path, '/') AS p FROM f)
+SELECT scope, path,
+  NOT list_has_any(p[1:len(p) - 1], ['node_modules', '.git', 'dist', 'build', '.venv', 'venv', '__pycache__', 'coverage'])
+    AND len([x for x in p[1:len(p) - 1] if starts_with(x, '.') OR x IN ({", ".join(O._q(d) for d in D.SKIP_DIR_NAMES)})]) = 0 AS kept,
+  NOT list_has_any(p, ['node_modules', '.git', 'dist', 'build', '.venv', 'venv', '__pycache__', 'coverage'])
+    AND NOT ends_with(path, '.min.js') AND NOT ends_with(path, '.min.css') AS not_ignored,
   CASE WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.js', '.jsx', '.mjs', '.cjs', '.ts', '.tsx', '.mts', '.cts') THEN 'code'
        WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) = '.py' THEN 'python'
        WHEN lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.json', '.yaml', '.yml') THEN 'data'
        WHEN path LIKE '%.env.example' THEN 'env' END AS file_type
-FROM {O.code_files_sql()} f""")
+FROM s""")
 def f1_file_routing(spark, sf_dir):
     """skipped directories, default ignore globs, and file-type routing."""
     from driftgate.schemas import DEFAULT_IGNORE_GLOBS
-    f = B.code_files(spark, sf_dir).select("scope", "path").distinct()
+    f = B.code_files(spark, sf_dir).join(B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    f = f.select("scope", F.expr(_F1_PATH).alias("path")).distinct()
     return f.select("scope", "path", D.path_kept("path").alias("kept"),
                     D.not_ignored("path", DEFAULT_IGNORE_GLOBS).alias("not_ignored"),
                     D.file_type("path").alias("file_type"))
@@ -260,13 +264,18 @@ def _secret_any_sql(col: str) -> str:
     return "(" + " OR ".join(f"regexp_matches({col}, {O._q(X._as_group(p))})" for p in X.SECRET_PATTERNS) + ")"
 
 
+_PLANTED_SQL = "(SELECT doc_id, text || CASE doc_id % 13 " + " ".join(f"WHEN {i} THEN {O._q(p)}" for i, p in enumerate(B.PLANTED)) + " ELSE '' END AS text FROM documents) planted"
+
+
 @register("x11_secret_documents", f"""
-SELECT doc_id, {_secret_any_sql('text')} AS has_secret,
-       regexp_matches(text, {O._q(X.SECRET_ASSIGNMENT)}) AS has_secret_assignment
-FROM documents""")
+SELECT doc_id, regexp_matches(text, 'sk-[A-Za-z0-9_-]{{20}}') OR regexp_matches(text, 'xai-[A-Za-z0-9_-]{{20}}') OR regexp_matches(text, 'AIza[A-Za-z0-9_-]{{20}}')
+         OR regexp_matches(text, '[Bb][Ee][Aa][Rr][Ee][Rr][ \\t\\n\\v\\f\\r]+[A-Za-z0-9._~+/=-]{{20}}')
+         OR regexp_matches(text, '[Aa][Pp][Ii][_-]?[Kk][Ee][Yy][ \\t\\n\\v\\f\\r]*[:=][ \\t\\n\\v\\f\\r]*[''"][^''"]+[''"]') AS has_secret,
+       regexp_matches(lower(text), '(secret|password|token|apikey|api_key|authorization)[ \\t\\n\\v\\f\\r]*[:=][ \\t\\n\\v\\f\\r]*"[^"]*"') AS has_secret_assignment
+FROM {_PLANTED_SQL}""")
 def x11_secret_documents(spark, sf_dir):
     """X11: the six secret patterns, and secret key words assigned a quoted value."""
-    d = B.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = B.planted_documents(spark, sf_dir)
     return d.select("doc_id", X.contains_secret("text").alias("has_secret"),
                     X.contains_secret_assignment("text").alias("has_secret_assignment"))
 
@@ -282,10 +291,10 @@ def _scrub_sql(col: str) -> str:
 @register("x12_scrub_documents", f"""
 SELECT doc_id, length(s) AS scrubbed_chars, sha256(s) AS scrubbed_sha256,
        CAST((length(s) - length(replace(s, '[REDACTED]', ''))) / 10 AS BIGINT) AS n_redacted
-FROM (SELECT doc_id, {_scrub_sql('text')} AS s FROM documents) d""")
+FROM (SELECT doc_id, {_scrub_sql('text')} AS s FROM {_PLANTED_SQL}) d""")
 def x12_scrub_documents(spark, sf_dir):
     """Every document with all secret matches and assigned secret values redacted."""
-    d = B.table(spark, sf_dir, "documents").select("doc_id", X.scrub_secrets(F.col("text")).alias("s"))
+    d = B.planted_documents(spark, sf_dir).select("doc_id", X.scrub_secrets(F.col("text")).alias("s"))
     return d.select("doc_id", F.length("s").cast("long").alias("scrubbed_chars"), F.sha2("s", 256).alias("scrubbed_sha256"),
                     ((F.length("s") - F.length(F.replace("s", F.lit("[REDACTED]"), F.lit("")))) / 10).cast("long").alias("n_redacted"))
 
@@ -326,10 +335,15 @@ def _url_sql(col: str) -> str:
             f"WHEN {host} NOT IN ({hosts}) THEN 'Hostname not on allowlist: ' || {host} END")
 
 
-@register("f10_url_allowlist", f"SELECT page_id, url, r IS NULL AS ok, r AS reason FROM (SELECT page_id, url, {_url_sql('url')} AS r FROM pages) p")
+@register("f10_url_allowlist", f"""
+SELECT page_id, url, r IS NULL AS ok, r AS reason FROM (SELECT page_id, url, {_url_sql('url')} AS r FROM (
+  SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'https://models.dev' || rest WHEN 1 THEN 'HTTPS://WWW.Deprecations.INFO:443' || rest
+    WHEN 2 THEN 'http://models.dev' || rest WHEN 3 THEN 'https://models.dev.example.com' || rest WHEN 4 THEN 'models.dev'
+    WHEN 5 THEN 'https://u@models.dev' || rest WHEN 6 THEN NULL ELSE url END AS url
+  FROM (SELECT page_id, url, regexp_extract(url, '://[^/]*(.*)$', 1) AS rest FROM pages) a) b) p""")
 def f10_url_allowlist(spark, sf_dir):
     """the fetch allowlist decision, with the refusal reason, for every page URL."""
-    p = B.table(spark, sf_dir, "pages").select("page_id", "url")
+    p = B.page_urls(spark, sf_dir)
     return p.select("page_id", "url", X.url_allowed(F.col("url")).alias("a")).select("page_id", "url", "a.ok", "a.reason")
 
 
@@ -402,7 +416,7 @@ SELECT l_orderkey, l_linenumber, provider || ':' || model_id AS entity_key, mode
   CASE WHEN l_returnflag <> 'N' THEN l_returnflag = 'A' END AS structured_output,
   CASE WHEN l_tax >= 0.02 THEN (l_tax >= 0.05 OR l_discount >= 0.05) ELSE l_discount >= 0.05 END AS vision,
   {O.kind_sql('model_id')} AS identifier_kind, strftime(l_shipdate, '{O.FMT_TS}') AS fetched
-FROM {_li_src_sql(1)}""")
+FROM {_li_src_sql(1)} WHERE l_orderkey % 53 > 2""")
 def s1_catalog_feed(spark, sf_dir):
     """Catalog bodies (object and array forms) parsed back to observations."""
     o = S.parse_catalog(B.catalog_landing(spark, sf_dir), _LI_KEYS)
@@ -418,7 +432,7 @@ SELECT l_orderkey, l_linenumber, provider || ':' || model_id AS entity_key,
                 THEN strftime(CAST(l_shipdate AS DATE) + CAST(120 + (l_partkey % 4) * 30 AS INTEGER), '%Y-%m-%d') END,
            strftime(l_shipdate, '%Y-%m-%d')) AS retirement_date,
   strftime(l_shipdate, '{O.FMT_TS}') AS fetched
-FROM {_li_src_sql(2)}""")
+FROM {_li_src_sql(2)} WHERE l_orderkey % 53 > 1""")
 def s2_deprecation_feed(spark, sf_dir):
     """Deprecation feed items parsed to lifecycle and retirement date."""
     o = S.parse_feed(B.feed_landing(spark, sf_dir), _LI_KEYS)
@@ -571,7 +585,12 @@ def r4_last_known_good(spark, sf_dir):
 
 
 @register("r5_fact_invariants", f"""
-WITH f AS {O.fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)},
+WITH g AS (SELECT *, CAST(regexp_extract(model_id, '^m([0-9]+)', 1) AS BIGINT) % 97 AS m FROM {O.fact_sql(B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)} f0),
+f AS (SELECT * REPLACE (
+    CASE WHEN m = 1 AND field = 'inputPricePerMillion' THEN -1.0 WHEN m = 2 AND field = 'contextLimit' THEN 0.5 WHEN m = 4 AND field = 'vision' THEN 3.0 ELSE num_value END AS num_value,
+    CASE WHEN m = 3 AND field = 'toolCalling' THEN 'official-verified' WHEN m = 4 AND field = 'vision' THEN 'conflicting' ELSE confidence END AS confidence,
+    CASE WHEN m = 5 AND field = 'lifecycleStatus' THEN 'sunset' ELSE str_value END AS str_value,
+    CASE WHEN m = 6 AND field = 'retirementDate' THEN NULL ELSE source_id END AS source_id) FROM g),
 a1 AS {O.a1_sql(B.CURRENT_AS_OF)},
 off AS (SELECT entity_key, max(CASE WHEN source_id = 'official-provider' THEN 1 ELSE 0 END) AS has_official FROM a1 GROUP BY entity_key),
 x AS (SELECT f.*, coalesce(off.has_official, 0) AS has_official FROM f LEFT JOIN off USING (entity_key))
@@ -593,6 +612,13 @@ def r5_fact_invariants(spark, sf_dir):
     latest = latest_per_source(B.observations(spark, sf_dir, B.CURRENT_AS_OF))
     from driftgate.operators.reconcile import classify
     fact = classify(latest, B.CURRENT_AS_OF, B.STALE_AFTER_DAYS)
+    m = F.regexp_extract("model_id", "^m([0-9]+)", 1).cast("long") % 97
+    spoilt = lambda n, field: (m == n) & (F.col("field") == field)  # noqa: E731  one part in 97 breaks each rule
+    fact = fact.withColumns({
+        "num_value": F.when(spoilt(1, "inputPricePerMillion"), -1.0).when(spoilt(2, "contextLimit"), 0.5).when(spoilt(4, "vision"), 3.0).otherwise(F.col("num_value")),
+        "confidence": F.when(spoilt(3, "toolCalling"), "official-verified").when(spoilt(4, "vision"), "conflicting").otherwise(F.col("confidence")),
+        "str_value": F.when(spoilt(5, "lifecycleStatus"), "sunset").otherwise(F.col("str_value")),
+        "source_id": F.when(~spoilt(6, "retirementDate"), F.col("source_id"))})
     return P.violation_counts(P.fact_violations(fact, latest))
 
 
@@ -1029,19 +1055,21 @@ def s5_normalized_observations(spark, sf_dir):
 
 
 @register("f4_minified_documents", """
-SELECT doc_id, source || '/d' || doc_id || '.txt' AS path, CAST(length(text) AS BIGINT) AS n_chars,
-       CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
-       contains(source || '/d' || doc_id || '.txt', '.min.')
-         OR (length(text) > 50000 AND len(string_split(text, chr(10))) < 5) AS minified
-FROM documents""")
+WITH d AS (SELECT doc_id, source || '/d' || doc_id || CASE WHEN doc_id % 11 = 0 THEN '.min.txt' ELSE '.txt' END AS path,
+             CASE doc_id % 3 WHEN 0 THEN repeat(replace(text, chr(10), ' '), 30) WHEN 1 THEN repeat(text || chr(10), 30) ELSE text END AS text FROM documents)
+SELECT doc_id, path, CAST(length(text) AS BIGINT) AS n_chars, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+       contains(path, '.min.') OR (length(text) > 50000 AND len(string_split(text, chr(10))) < 5) AS minified
+FROM d""")
 def f4_minified_documents(spark, sf_dir):
-    """the minified-file test over every document (as a file under its source)."""
+    """the minified-file test over every document (as a file under its source), some named
+    so, some made long on one line, some made long on many."""
     d = B.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    path = F.concat("source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    n_chars = F.length("text").cast("long")
-    n_lines = F.size(F.split("text", "\n", -1)).cast("long")
-    return d.select("doc_id", path.alias("path"), n_chars.alias("n_chars"), n_lines.alias("n_lines"),
-                    D.minified(path, n_chars, n_lines).alias("minified"))
+    k = F.col("doc_id")
+    path = F.concat("source", F.lit("/d"), k.cast("string"), F.when(k % 11 == 0, ".min.txt").otherwise(".txt"))
+    text = F.when(k % 3 == 0, F.repeat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(30))) \
+        .when(k % 3 == 1, F.repeat(F.concat("text", F.lit("\n")), F.lit(30))).otherwise(F.col("text"))
+    d = d.select("doc_id", path.alias("path"), F.length(text).cast("long").alias("n_chars"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
+    return d.select("*", D.minified("path", "n_chars", "n_lines").alias("minified"))
 
 
 @register("p1_stale_source", f"""
