@@ -1,4 +1,4 @@
-"""Policy rules over the field diff.
+"""Policy rules over the field diff.
 
 All per-entity rules are evaluated in one pass over the field diff: every diff row carries
 its dependency's discovery columns (path, line, low flag, identifier kind), so J4 needs no
@@ -179,7 +179,3 @@ def gate(findings: DataFrame, policy: DataFrame) -> DataFrame:
     return g.select("scope", n_fail.alias("n_fail"), n_warn.alias("n_warn"),
                     F.when((n_fail > 0) | (F.col("fail_on_warn") & (n_warn > 0)), 1).otherwise(0).alias("exit_code"))
 
-
-def ordered(findings: DataFrame) -> DataFrame:
-    """O1: by key, then code; ties keep emission (field) order. Report edge only."""
-    return findings.orderBy("scope", "key", "code", "field_ord")

@@ -35,20 +35,6 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
                             sanitize_line(F.col("f.message")).alias("full_description")))
 
 
-def sarif_json(findings: DataFrame, tool_version: str) -> DataFrame:
-    """T2 (document rows): per finding the SARIF result object as JSON text, tagged with
-    the scope; with the rules table this is the full SARIF 2.1.0 run."""
-    r = sarif_results(findings)
-    loc = F.when(F.col("uri").isNotNull(), F.array(F.struct(F.struct(
-        F.struct(F.col("uri")).alias("artifactLocation"),
-        F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation")))) \
-        .otherwise(F.array())
-    return r.select("scope", F.lit(tool_version).alias("tool_version"),
-                    F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level",
-                                       F.struct(F.col("message").alias("text")).alias("message"),
-                                       loc.alias("locations"))).alias("result_json"))
-
-
 def json_report(findings: DataFrame, gate: DataFrame) -> DataFrame:
     """Per scope a header row (exit code, counts) and one JSON row per finding."""
     head = gate.select("scope", F.lit(0).alias("row_kind"),

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgate.operators.diff import field_diff
+from driftgate.operators.documents import ordered_findings, sarif_document
 from driftgate.operators.policy import evaluate, gate
 from driftgate.operators.reports import json_report, sarif_results, sarif_rules
+from driftgate.schemas import GENERATOR_VERSION
 
 
 BUCKETS, FILES = 16, 4
@@ -35,11 +37,12 @@ def write_by_scope(df: DataFrame, path: str, form: str = "parquet", buckets: int
 
 def run_check(spark: SparkSession, lock: DataFrame, snapshot: DataFrame, policy: DataFrame, now: str,
               out_dir: str, frozen: bool = False, warnings: list[str] | None = None,
-              freeze_reason: str | None = None) -> DataFrame:
+              freeze_reason: str | None = None, documents: bool = False) -> DataFrame:
     """``lock``: lock records (``operators.lock.lock_records``, as stored) or long lock rows;
     ``snapshot``: wide records of the current snapshot (``sources.snapshots.read_snapshot``);
     ``policy``: one row per scope. Writes ``findings``, ``gate``, ``sarif_results``,
-    ``sarif_rules`` and ``json_report`` under ``out_dir`` and returns the gate table."""
+    ``sarif_rules`` and ``json_report`` under ``out_dir`` and returns the gate table. With
+    ``documents`` also ``sarif``: each scope's SARIF document as ordered pieces."""
     findings = evaluate(field_diff(lock, snapshot), policy, now, frozen, warnings, freeze_reason)
     fpath = os.path.join(out_dir, "findings")
     write_by_scope(findings, fpath)
@@ -49,4 +52,7 @@ def run_check(spark: SparkSession, lock: DataFrame, snapshot: DataFrame, policy:
     write_by_scope(sarif_results(written), os.path.join(out_dir, "sarif_results"))
     write_by_scope(sarif_rules(written), os.path.join(out_dir, "sarif_rules"))
     write_by_scope(json_report(written, g), os.path.join(out_dir, "json_report"), "json")
+    if documents:
+        pieces = sarif_document(ordered_findings(written), g, "driftgate", GENERATOR_VERSION)
+        write_by_scope(pieces, os.path.join(out_dir, "sarif"))
     return spark.read.parquet(os.path.join(out_dir, "gate"))

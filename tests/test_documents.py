@@ -108,3 +108,15 @@ def test_constraints_reject_the_row_and_name_the_reason(spark):
     assert {(r.row_key, r.reason) for r in rejects(bad, "policy").collect()} == {("b", "source-limits"), ("b", "floating-aliases")}
     assert {r.status for r in input_status({"policy": bad}).collect()} == {"invalid"}
     assert {r.status for r in input_status({"policy": policy.limit(0)}).collect()} == {"OK"}
+
+
+def test_check_writes_documents(spark, tmp_dir):
+    from driftgate.operators.lock import lock_records
+    from driftgate.operators.policy import effective_policy
+    from driftgate.plans.check import run_check
+    deps = B.dependencies(spark, SF001)
+    records = lock_records(deps, drift.approved_wide(spark, SF001), B.APPROVED_AS_OF)
+    run_check(spark, records, drift.current_wide(spark, SF001), effective_policy(deps), B.CURRENT_AS_OF, tmp_dir, documents=True)
+    docs = {k: json.loads(v) for k, v in whole(spark.read.parquet(tmp_dir + "/sarif")).items()}
+    found = {r["scope"]: r["count"] for r in spark.read.parquet(tmp_dir + "/findings").groupBy("scope").count().collect()}
+    assert {k: len(d["runs"][0]["results"]) for k, d in docs.items()} == {k: found.get(k, 0) for k in docs} and len(docs) == 20
