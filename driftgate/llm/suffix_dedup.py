@@ -234,7 +234,7 @@ def repeated_blocks(docs: DataFrame, length: int = LENGTH, scratch: Scratch | No
     """(ka, kb, s1, s2): every ``length``-byte string that starts at s1..s2 of the document
     (ka, kb, text) also starts elsewhere, and no other does."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
-    window = min(WINDOW, length - GRAM)
+    window = min(WINDOW, length - GRAM, 2 * length // 3)  # a core is long enough to be rare
     window = 1 << (window.bit_length() - 1)
     runs = docs.mapInArrow(_sampler(length, window), "ka long, kb long, m int, lo int, hi int, core long, string long")
     runs = scratch.write(runs.select(F.monotonically_increasing_id().alias("rid"), "*", F.lit(True).alias("active")))
