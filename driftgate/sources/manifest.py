@@ -60,6 +60,21 @@ def write_version(df: DataFrame, path: str, snapshot_date: str) -> tuple[str, li
     return folder, names
 
 
+def write_versions(df: DataFrame, path: str, date: str, dates: list[str]) -> dict[str, tuple[str, list[str]]]:
+    """The records of many dates (column ``date``) in one pass, each date in a new folder as of
+    ``write_version``: date -> (folder, file names)."""
+    spark, version = df.sparkSession, f"v={uuid.uuid4().hex}"
+    out = df.select("*", F.col(date).alias("snapshot_date"), F.lit(version[2:]).alias("v")) if date != "snapshot_date" else df.withColumn("v", F.lit(version[2:]))
+    # Dealt by date in pieces of bounded size, so that a task writes few dates.
+    (out.hint("rebalance", "snapshot_date").write.mode("append").partitionBy("snapshot_date", "v")
+        .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(os.path.join(path, "records")))
+    found = {}
+    for d in dates:
+        folder = os.path.join("records", f"snapshot_date={d}", version)
+        found[d] = folder, [n for n in listed(spark, os.path.join(path, folder)) if not n.startswith(("_", "."))]
+    return found
+
+
 def commit(spark: SparkSession, path: str, entry: dict) -> int:
     """Publish: the next manifest, moved into place when it is complete."""
     names = [n for n in listed(spark, _folder(path)) if n.endswith(".json")]

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from driftgate.schemas import DEFAULT_FREEZE_MESSAGE, GENERATOR_VERSION, SCHEMA_VERSION
 from driftgate.sources.generations import live, merge_generation, newest_bodies
-from driftgate.sources.manifest import commit, manifests, write_version
+from driftgate.sources.manifest import commit, manifests, write_version, write_versions
 
 # The change log, one row for each refresh.
 LOG = T.StructType([
@@ -39,8 +39,19 @@ class SnapshotMeta:
 
 def write_snapshot(df: DataFrame, path: str, meta: SnapshotMeta) -> None:
     """Write records (long or wide) of a date, then publish them with one manifest."""
-    spark = df.sparkSession
     folder, files = write_version(df, path, meta.snapshot_date)
+    _publish(df.sparkSession, path, meta, folder, files)
+
+
+def write_snapshots(df: DataFrame, path: str, metas: list[SnapshotMeta], date: str = "snapshot_date") -> None:
+    """S7 for many dates: the records of all dates (column ``date``, which is not stored) are
+    written in one pass, then every date of ``metas`` is published in their order."""
+    found = write_versions(df, path, date, [m.snapshot_date for m in metas])
+    for m in metas:
+        _publish(df.sparkSession, path, m, *found[m.snapshot_date])
+
+
+def _publish(spark: SparkSession, path: str, meta: SnapshotMeta, folder: str, files: list[str]) -> None:
     commit(spark, path, {
         "snapshot_date": meta.snapshot_date, "schema_version": SCHEMA_VERSION, "generated_at": meta.generated_at,
         "generator_version": GENERATOR_VERSION, "frozen": meta.frozen, "freeze_reason": meta.freeze_reason,
