@@ -17,6 +17,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -311,9 +312,12 @@ def _decoder(sent):
         _threads()
         c = codec(sent.value)
         for b in batches:
-            ids = b.column(1).to_pylist()
-            texts = iter(c.tok.decode_batch([x for x in ids if x is not None], skip_special_tokens=False))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else next(texts) for x in ids], pa.string())], names=["row", "text"])
+            offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False))))
+            for i, j in spans(offsets, CALL):
+                ids = b.column(1).slice(i, j - i).to_pylist()
+                texts = iter(c.tok.decode_batch([x for x in ids if x is not None], skip_special_tokens=False))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([None if x is None else next(texts) for x in ids], pa.string())],
+                                                 names=["row", "text"])
     return run
 
 

@@ -97,3 +97,13 @@ def test_words_that_collide_under_polynomial_sums(spark):
     original = sentencepiece.SentencePieceProcessor(model_proto=model)
     for r in S.encode(docs, model, whole=True).collect():
         assert list(r.ids) == original.encode(texts[r.row.doc_id]) and r.parity
+
+
+def test_query_decodes_and_compares_whole_texts(spark, tmp_path):
+    import hashlib
+    from driftgate.llm.queries import op1_sentencepiece
+    texts = ["The quick  brown fox.", "", None, "a\nb\tc é 漢字 \U0001f600", "x" * 3000, " lead and trail "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op1_sentencepiece(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and all(r["parity"] for r in got.values())
+    assert [got[i]["decoded_sha256"] for i in range(len(texts))] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
