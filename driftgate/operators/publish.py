@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftgate.operators.reconcile import to_long_facts
 from driftgate.schemas import CONFIDENCE_ORDER, LIFECYCLE_STATES, PROVIDERS, SOURCE_OFFICIAL
 
 DEC = "decimal(38,0)"
@@ -67,7 +68,19 @@ def publish_decision(previous: DataFrame, current: DataFrame, warnings: list[str
 
 def last_known_good(previous: DataFrame, current: DataFrame) -> DataFrame:
     """R4 (per-entity option, Q7): entities the current facts lost are carried over from
-    the previous facts, marked stale; the rest is the current facts."""
+    the previous facts, marked stale; the rest is the current facts. Wide records (one row per
+    entity) meet once, at entity level, and are taken apart after the join, so that neither
+    side is computed twice."""
+    if "facts" in previous.columns:
+        old = previous.select(F.col("entity_key").alias("_key"), F.struct(*previous.columns).alias("_old"))
+        new = current.select(F.col("entity_key").alias("_cur"), F.struct(*current.columns).alias("_new"))
+        both = old.join(new, F.col("_key") == F.col("_cur"), "full")
+        lost = F.col("_new").isNull()
+        both = both.select(lost.alias("lost"), F.when(lost, F.col("_old")).otherwise(F.col("_new")).alias("r"))
+        rows = to_long_facts(both.select("lost", "r.*"), "lost")
+        confidence = F.when(F.col("lost") & (F.col("confidence") != "unavailable"), "stale").otherwise(F.col("confidence"))
+        return rows.withColumn("confidence", confidence).withColumn(
+            "origin", F.when(F.col("lost"), "last-known-good").otherwise("current")).drop("lost")
     carried = (previous.join(current.select("entity_key").distinct(), "entity_key", "left_anti")
                        .withColumn("confidence", F.when(F.col("confidence") == "unavailable", "unavailable")
                                    .otherwise("stale"))
