@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgate.functions.text import sanitize_line
-from driftgate.session import ensure_checkpoint_dir
+from driftgate.session import stored
 
 COLLATION = "UNICODE"
 #: Entries of one piece of a document.
@@ -29,15 +29,14 @@ def collated(c) -> Column:
 
 def positions(df: DataFrame, *order, group: str = "scope") -> DataFrame:
     """``df`` with ``position`` (long, from 1): each row's place in its group by ``order``.
-    Sorted by ranges and written to the checkpoint folder once; what is gathered is one count
-    for each group and sorted partition."""
+    Sorted by ranges and written below the checkpoint folder once; what is gathered is one count
+    for each group and sorted partition. All columns are sorted and written: give those needed."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.select("*", *[(o if isinstance(o, Column) else F.col(o)).alias(x) for o, x in zip(order, names)])
     laid = keyed.repartitionByRange(n, group, *names).sortWithinPartitions(group, *names).drop(*names)
-    laid = laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).checkpoint(eager=True)
+    laid = stored(laid.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "positions")
     counts = laid.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(group, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
