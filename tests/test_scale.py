@@ -89,3 +89,29 @@ def test_a_report_of_several_parts_diffs_once(spark, part):
     run = drift.run(spark, SF001, once=True)
     assert "lineitem" not in plan(getattr(run, part)) and "l_partkey" not in plan(getattr(run, part))
     assert rows(getattr(run, part)) == rows(getattr(drift.run(spark, SF001), part))
+
+
+def test_both_dates_in_one_pass(spark, tmp_dir):
+    # Rows of both dates, of the later only, a part that left (17), a key without rows before, equal times.
+    days = ["2000-01-01", "2001-02-28", "2001-03-01", "2001-03-02", "2001-11-05", "2001-11-06", "2000-01-01"]
+    schema = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+              "l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    at = [(d, k, s) for d in days for k in (1, 3, 17, None) for s in (0, 1, 2, 4, None)] + [(None, 1, 1), ("2001-10-10", 5, 2)]
+    spark.createDataFrame([(i, k, s, i % 7, float(i), 1.0, i % 3 / 20, i % 5 / 50, "NRA"[i % 3], "OF"[i % 2], d and dt.datetime.fromisoformat(d))
+                           for i, (d, k, s) in enumerate(at)], schema).repartition(3).write.parquet(os.path.join(tmp_dir, "lineitem.parquet"))
+    spark.createDataFrame([(k,) for k in (1, 2, 3, 5, 17)], "p_partkey long").write.parquet(os.path.join(tmp_dir, "part.parquet"))
+    approved, current = drift.both_wide(spark, tmp_dir)
+    assert rows(approved) == rows(drift.approved_wide(spark, tmp_dir)) and rows(current) == rows(drift.current_wide(spark, tmp_dir))
+    one, each = drift.run(spark, tmp_dir), drift.run(spark, tmp_dir, lazy=True)
+    assert "lineitem" not in plan(one.fdiff) and "l_orderkey" not in plan(one.findings)  # read once, before
+    assert all(rows(getattr(one, part)) == rows(getattr(each, part)) for part in ("fdiff", "findings", "gate", "lock"))
+
+
+def test_the_diff_needs_values_only(spark):
+    from driftgate.operators.diff import field_diff
+    from driftgate.operators.lock import VALUES, lock_records, values_only
+    approved, current, deps = drift.approved_wide(spark, SF001), drift.current_wide(spark, SF001), B.dependencies(spark, SF001)
+    slim = lock_records(deps, values_only(approved.filter("entity_key not like '%1'")), B.APPROVED_AS_OF, [])
+    assert all(f.dataType.names == VALUES for f in slim.schema["facts"].dataType)
+    whole = lock_records(deps, approved.filter("entity_key not like '%1'"), B.APPROVED_AS_OF, [])  # some are unavailable
+    assert rows(field_diff(slim, current, [])) == rows(field_diff(whole, current, []))
