@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from driftgate.functions.jsontext import json_ok, sorted_struct
 from driftgate.functions.scanners import redact_members
-from driftgate.functions.text import contains_secret, scrub_secrets
+from driftgate.functions.text import SECRET_KEY_WORDS, contains_secret, scrub_secrets
 from driftgate.schemas import CONFIDENCE_ORDER, EVIDENCE, FACTS, GENERATOR_VERSION, PROVIDERS, REDACTED, SCHEMA_VERSION, SECRET_KEY_PATTERN
+from driftgate.session import stored
 
 # Lock line: header fields repeated per dependency, the dependency, and its approved facts.
 LOCK_LINE = T.StructType(sorted([
@@ -64,7 +65,10 @@ def read_lock(raw: DataFrame, text_col: str = "value") -> tuple[DataFrame, DataF
     in_range = (j("identifierKind").isin("floating", "fixed") & j("provider").isin(PROVIDERS)
                 & (j("discoveryConfidence").isNull() | j("discoveryConfidence").between(0, 1)) & (j("line").isNull() | (j("line") >= 1))
                 & F.forall(confidences, lambda c: c.isin(CONFIDENCE_ORDER)))
-    parsed = raw.select(t.alias("raw"), F.from_json(t, LOCK_LINE).alias("j"), F.from_json(t, "map<string,variant>").alias("members"))
+    # Generated rows, one for each line: a filter on what follows is not merged into the parsing,
+    # which would parse a line once for each member that is looked at.
+    once = F.array(F.struct(F.from_json(t, LOCK_LINE).alias("j"), F.from_json(t, "map<string,variant>").alias("members")))
+    parsed = raw.select(t.alias("raw"), F.inline_outer(once))
     reason = (F.when(contains_secret("raw"), "contains a secret")
                .when(~json_ok("raw"), "not valid JSON")
                .when(F.col("j.lockfileVersion") != SCHEMA_VERSION, "unsupported lockfileVersion")
@@ -113,7 +117,15 @@ def scrub_json_text(text) -> Column:
     def members(texts: pd.Series) -> pd.Series:  # made here, so that tasks get it by value
         return texts.map(lambda t: None if t is None else redact_members(t, SECRET_KEY_PATTERN, REDACTED))
 
-    return F.pandas_udf(members, "string")(scrub_secrets(text))
+    # Without a word of such a key, in any case, or an escape that could hide one, no member is
+    # redacted; the scrub before puts none of them in.
+    text = F.col(text) if isinstance(text, str) else text
+    scrubbed, low, may = scrub_secrets(text), F.lower(text), F.lit(False)
+    for part in SECRET_KEY_WORDS.split("|"):
+        may = may | low.contains(part)
+    for part in ["\\", "\u017f", "\u0130", "\u0131", "\u212a"]:  # the last four are letters of them to a search that ignores case
+        may = may | text.contains(part)
+    return F.coalesce(F.pandas_udf(members, "string")(F.when(may, scrubbed)), scrubbed)
 
 
 def write_lock(lines: DataFrame, path: str) -> int:
@@ -122,9 +134,10 @@ def write_lock(lines: DataFrame, path: str) -> int:
     see ``driftgate.session.ensure_checkpoint_dir``)."""
     canonical = [sorted_struct(F.col(f.name), f.dataType).alias(f.name)
                  for f in sorted(lines.schema.fields, key=lambda f: f.name)]
-    # Checkpointed once (shared checkpoint folder): the secret check, the write and the
-    # count then read the serialized lines instead of recomputing the lock.
-    text = lines.select(scrub_json_text(F.to_json(F.struct(*canonical))).alias("value")).checkpoint(eager=True)
+    # Stored once (shared checkpoint folder): the secret check, the write and the count then
+    # read the serialized lines instead of recomputing the lock.
+    text = lines.select(F.to_json(F.struct(*canonical)).alias("value"))
+    text = stored(text.select(scrub_json_text(F.col("value")).alias("value")), "lock-lines")
     if text.filter(contains_secret("value")).limit(1).count() > 0:
         raise ValueError("Refusing to write lockfile containing secrets")
     text.write.mode("overwrite").text(path)

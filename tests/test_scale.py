@@ -115,3 +115,31 @@ def test_the_diff_needs_values_only(spark):
     assert all(f.dataType.names == VALUES for f in slim.schema["facts"].dataType)
     whole = lock_records(deps, approved.filter("entity_key not like '%1'"), B.APPROVED_AS_OF, [])  # some are unavailable
     assert rows(field_diff(slim, current, [])) == rows(field_diff(whole, current, []))
+
+
+def test_a_lock_line_is_parsed_once(spark, tmp_dir):
+    from driftgate.sources.lockio import read_lock
+    spark.createDataFrame([("{}",)], "value string").write.text(tmp_dir + "/t")
+    txt = plan(read_lock(spark.read.text(tmp_dir + "/t"))[0])
+    assert txt.count("from_json(") <= 2  # the line, its members
+
+
+def test_plain_search_before_the_patterns_changes_nothing(spark):
+    from pyspark.sql import functions as F
+    from driftgate.functions.scanners import redact_members
+    from driftgate.functions.text import SECRET_ANY, SECRET_KEY_WORDS, contains_secret, scrub_secrets
+    from driftgate.schemas import REDACTED, SECRET_KEY_PATTERN, SECRET_PATTERNS
+    from driftgate.sources.lockio import scrub_json_text
+    said = [*[f"sk-{'a' * 20}", f"SK-{'a' * 20}", f"xai-{'b' * 20}", f"AIza{'c' * 20}", f"bEaReR {'d' * 20}", "Api_Key: 'v'", "API-KEY=\"w\"", "apikey='x'"],
+            *[f'{w.upper()} = "v"' for w in SECRET_KEY_WORDS.split("|")], "sk-short", "plain", "", "api", "se\u212aret: \"v\"", None]
+    keys = [*SECRET_KEY_WORDS.split("|"), "Password", "p\\u0061ssword", "\u017fecret", "to\u212aen", "author\u0131zation", "plain"]
+    texts = [*said, *[f'{{"{k}": {{"a": [1, "v"]}}, "b": 1}}' for k in keys], *[f'{{"note": "{k}", "b": "x"}}' for k in keys]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    out = F.col("t")
+    for p in SECRET_PATTERNS:
+        out = F.regexp_replace(out, p, REDACTED)
+    out = F.regexp_replace(out, r'(?i:(' + SECRET_KEY_WORDS + r')(\s*[:=]\s*)")[^"]*"', "$1$2\"" + REDACTED + '"')
+    for r in df.select("t", F.col("t").rlike(SECRET_ANY), contains_secret("t"), out, scrub_secrets("t"), scrub_json_text(F.col("t"))).collect():
+        assert r[1] == r[2] and r[3] == r[4], r[0]
+        assert r[5] == (None if r[3] is None else redact_members(r[3], SECRET_KEY_PATTERN, REDACTED)), r[0]
