@@ -5,7 +5,8 @@ rebuilt with the tokenizers library: the normaliser (precompiled character map,
 spaces, dummy prefix, metaspace marker), the model (unigram scores, or merges ranked by the
 scores of a BPE model), and byte fallback, forwards and
 backwards. Batches are encoded with
-the library's threads. Ids are held against those of the original library: of each distinct
+the library's threads, each distinct word of a task once. Decoding joins what the library's
+decoder makes of each id. Ids are held against those of the original library: of each distinct
 word always, of whole texts on request.
 """
 
@@ -13,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgate.llm.common import ship, spans, utf8
-from driftgate.llm.tokens import hash64
 
 ship(__name__)
 
@@ -138,27 +140,60 @@ def build(model: dict):
 
 
 # ---------------------------------------------------------------------------- coding
+def _byte(piece: str) -> int | None:
+    """The byte that a piece stands for, as the library's byte fallback reads it."""
+    found = re.fullmatch(r"<0x([0-9A-Fa-f]{2}|\+[0-9A-Fa-f])>", piece)
+    return int(found[1], 16) if found else None
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and their lengths."""
+    length = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(length.sum())), length
+
+
+def _alike(ids: np.ndarray, length: np.ndarray, others: np.ndarray, other_length: np.ndarray) -> np.ndarray:
+    """Which lists of ids, one after another in two arrays, are the same."""
+    out = length == other_length
+    if not out.all():
+        ids, others = ids[np.repeat(out, length)], others[np.repeat(out, other_length)]
+    ends = np.cumsum(np.where(out, length, 0))
+    out[np.searchsorted(ends, np.flatnonzero(ids != others), side="right")] = False
+    return out
+
+
 class Codec:
     """Encodes and decodes with one model; lives as long as a task's worker."""
 
     #: Words kept; a full table starts again.
     WORDS = 1 << 21
+    #: Words that go to the library as one text.
+    GROUP = 1 << 10
 
     def __init__(self, data: bytes):
         import sentencepiece
         self.model = parse_model(data)
         self.tok = build(self.model)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
+        pieces = self.model["pieces"]
         self.by_word = splits_at_marks(self.model) and not self.model["charsmap"] and not self.model["collapse"]
-        kinds = np.array([k for _, _, k in self.model["pieces"]], np.int8)
+        kinds = np.array([k for _, _, k in pieces], np.int8)
         self.unknown, self.bytes_ = kinds == UNKNOWN, kinds == BYTE
+        # Words can go to the library many at once if the tokens tell where each begins: the
+        # marker is a piece, and nothing is taken out of a text before it is normalised.
+        self.in_groups = self.by_word and self.model["dummy_prefix"] and (MARK, NORMAL) in {(p, k) for p, _, k in pieces} \
+            and not (kinds == USER_DEFINED).any()
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in pieces], bool)
+        self.only_marks = self.marked & np.array([not p.strip(MARK) for p, _, _ in pieces], bool)
+        # What each id is decoded to.
+        tokens = [self.tok.id_to_token(i) or "" for i in range(len(pieces))]
+        self.surface = pa.array([t.replace(MARK, " ").encode() if (b := _byte(t)) is None else bytes([b]) for t in tokens], pa.binary())
         self._reset()
 
     def _reset(self):
-        self.h1 = np.zeros(0, np.uint64)
-        self.h2 = np.zeros(0, np.uint64)
+        self.place: dict[bytes, int] = {}
         self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.good = np.zeros((0, 2), bool)
+        self.parity = np.zeros(0, bool)
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
 
@@ -175,37 +210,86 @@ class Codec:
         trip = [a == self.normalise(t) for a, t in zip(back, texts)]
         return [np.array(x, np.int32) for x in ids], np.array([parity, trip], bool).T.reshape(-1, 2)
 
-    def _learn(self, words: list[str], h1: np.ndarray, h2: np.ndarray) -> None:
-        if len(self.h1) + len(h1) > self.WORDS:
-            self._reset()
-        ids, good = self.texts(words)
-        if self.model["dummy_prefix"] and "" in words:  # the single space that ends a text
+    def spell(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that the ids of texts stand for (text ``i`` has ids[ends[i]:ends[i + 1]]),
+        without the prefix, and the texts' offsets in them."""
+        data, at = utf8(self.surface.take(pa.array(ids)))
+        offsets = at[ends]
+        if self.model["dummy_prefix"]:
+            some = np.flatnonzero(np.diff(offsets))
+            some = some[data[offsets[some]] == 32]
+            data = np.delete(data, offsets[some])
+            less = np.zeros(len(offsets), np.int64)
+            less[some + 1] = 1
+            offsets = offsets - np.cumsum(less)
+        return data, offsets
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids: what the library's decoder makes of them, which is asked
+        itself for bytes that are no text and for numbers that are no ids."""
+        flat = ids.flatten()
+        known = not flat.null_count and (not len(flat) or (pc.min(flat).as_py() >= 0 and pc.max(flat).as_py() < len(self.surface)))
+        if known:
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+            data, offsets = self.spell(np.asarray(flat), ends)
+            if not (data[offsets[:-1][np.diff(offsets) > 0]] & 0xC0 == 0x80).any():  # no text begins inside a character
+                empty = pc.is_null(ids)
+                valid = pa.py_buffer(np.packbits(~np.asarray(empty), bitorder="little").tobytes())
+                raw = pa.Array.from_buffers(pa.binary(), len(ids), [valid, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                try:
+                    return raw.cast(pa.string())
+                except pa.ArrowInvalid:
+                    pass
+        lists = ids.to_pylist()
+        texts = iter(self.tok.decode_batch([x for x in lists if x is not None], skip_special_tokens=False))
+        return pa.array([None if x is None else next(texts) for x in lists], pa.string())
+
+    def _groups(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words (spaces, then others) that are encoded many at once, and their number
+        in each; None if the tokens don't tell the words apart."""
+        calls = [b"".join(words[k:k + self.GROUP])[1:].decode() for k in range(0, len(words), self.GROUP)]
+        ids, _ = _flat([e.ids for e in self.tok.encode_batch_fast(calls, add_special_tokens=False)])
+        begins = self.marked[ids]
+        begins[1:] &= ~self.only_marks[ids[:-1]]
+        at = np.flatnonzero(begins)
+        return (ids, np.diff(np.append(at, len(ids)))) if len(at) == len(words) and begins[:1].all() else None
+
+    def _learn(self, words: list[bytes]) -> None:
+        lead = int(self.model["dummy_prefix"])
+        blank = [w for w in words if not w.strip(b" ")]
+        words = [w for w in words if w.strip(b" ")]
+        found = self._groups(words) if self.in_groups and words else None
+        encoded = lambda some: _flat([e.ids for e in self.tok.encode_batch_fast([w[lead:].decode() for w in some], add_special_tokens=False)])
+        ids, length = encoded(words) if found is None else found
+        more, more_length = encoded(blank)
+        ids, length, words = np.concatenate((ids, more)), np.concatenate((length, more_length)), words + blank
+        parity = _alike(ids, length, *_flat(self.original.encode([w[lead:].decode() for w in words], num_threads=1)))
+        if lead and b" " in blank:  # the single space that ends a text: no ids of its own so far
+            k = words.index(b" ")
             two, sound = self.texts(["x", "x "])
-            ids[words.index("")], good[words.index("")] = two[1][len(two[0]):], sound.all(0)
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids)
-        while self.used + len(flat) > len(self.ids):
+            at = int(length[:k].sum())
+            ids = np.concatenate((ids[:at], two[1][len(two[0]):], ids[at + length[k]:]))
+            length[k], parity[k] = len(two[1]) - len(two[0]), sound[:, 0].all()
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.ids[self.used:self.used + len(flat)] = flat
-        first = self.used + np.cumsum(length) - length
-        self.used += len(flat)
-        at = np.searchsorted(self.h1, h1)
-        self.h1, self.h2 = np.insert(self.h1, at, h1), np.insert(self.h2, at, h2)
-        self.first, self.length = np.insert(self.first, at, first), np.insert(self.length, at, length)
-        self.good = np.insert(self.good, at, good, 0)
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.first = np.concatenate((self.first, self.used + np.cumsum(length) - length))
+        self.used += len(ids)
+        self.length, self.parity = np.concatenate((self.length, length)), np.concatenate((self.parity, parity))
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
 
     def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the texts in ``data`` one after another, their number in each text, and
         (parity, round trip) of each text."""
         n = len(offsets) - 1
         raw = data.tobytes()
-        if not self.by_word or MARK.encode() in raw:
+        if not self.by_word or MARK.encode() in raw or not _is_text(data, offsets):
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             ids, good = self.texts(texts)
             return np.concatenate(ids or [np.zeros(0, np.int32)]), np.array([len(x) for x in ids], np.int64), good
-        lead = int(self.model["dummy_prefix"])
+        plain, own = data, offsets
         some = np.flatnonzero(np.diff(offsets))
-        if lead:  # the prefix, as a space before every text that isn't empty
+        if self.model["dummy_prefix"]:  # the prefix, as a space before every text that isn't empty
             data = np.insert(data, offsets[some], 32)
             offsets = offsets + np.concatenate(([0], np.cumsum(np.diff(offsets) > 0)))
             raw = data.tobytes()
@@ -214,33 +298,35 @@ class Codec:
         start[1:] &= ~space[:-1]
         start[offsets[some]] = True
         start = np.flatnonzero(start)
-        end = np.append(start[1:], len(data))
         offs = np.append(start, len(data)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(raw)]).dictionary_encode()
-        h1, h2 = (hash64(coded.dictionary, seed)[np.asarray(coded.indices)] for seed in (0, 1))
-        at = np.searchsorted(self.h1, h1)
-        at[at == len(self.h1)] = 0
-        missing = np.flatnonzero(self.h1[at] != h1) if len(self.h1) else np.arange(len(h1))
-        if len(missing):
-            new, where = np.unique(h1[missing], return_index=True)
-            where = missing[where]
-            words = [raw[a + lead:b].decode("utf-8", "replace") for a, b in zip(start[where].tolist(), end[where].tolist())]
-            before = len(self.h1)
-            self._learn(words, new, h2[where])
-            if len(self.h1) != before + len(new):  # the table started again
-                return self.chunk(data if not lead else np.delete(data, offsets[some]),
-                                  offsets - (np.concatenate(([0], np.cumsum(np.diff(offsets) > 0))) if lead else 0))
-            at = np.searchsorted(self.h1, h1)
-        if (self.h2[at] != h2).any():  # two words with one fingerprint: go by texts
-            texts = [raw[a:b][lead:].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            ids, good = self.texts(texts)
-            return np.concatenate(ids), np.array([len(x) for x in ids], np.int64), good
+        kept, at = utf8(coded.dictionary)
+        kept, at = kept.tobytes(), at.tolist()
+        words = [kept[a:b] for a, b in zip(at, at[1:])]
+        new = [w for w in words if w not in self.place]
+        if new:
+            if len(self.place) + len(new) > self.WORDS:
+                self._reset()
+                new = words
+            self._learn(new)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
         doc = np.searchsorted(offsets, start, side="right") - 1
         length = self.length[at]
         ends = np.cumsum(length)
         ids = self.ids[np.repeat(self.first[at] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
-        bad = np.stack([np.bincount(doc, ~self.good[at, k], n) for k in (0, 1)], 1) > 0
-        return ids, np.bincount(doc, length, n).astype(np.int64), ~bad
+        count = np.bincount(doc, length, n).astype(np.int64)
+        back, back_offsets = self.spell(ids, np.concatenate(([0], np.cumsum(count))))
+        trip = _alike(back, np.diff(back_offsets), plain, np.diff(own))
+        return ids, count, np.stack([np.bincount(doc, ~self.parity[at], n) == 0, trip], 1)
+
+
+def _is_text(data: np.ndarray, offsets: np.ndarray) -> bool:
+    """True if the bytes of every text are UTF-8."""
+    try:
+        data.tobytes().decode()
+    except UnicodeDecodeError:
+        return False
+    return not (data[offsets[:-1][np.diff(offsets) > 0]] & 0xC0 == 0x80).any()
 
 
 _CODECS: dict[str, Codec] = {}
@@ -277,8 +363,7 @@ def _encoder(sent, with_ids: bool, whole: bool):
                 names = ["row", "n_tokens", "n_unknown", "n_bytes", "ids_sha256", "words_parity", "round_trip"]
                 if whole:
                     texts = [data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(offsets[i:j].tolist(), offsets[i + 1:j + 1].tolist())]
-                    alike = [x.tolist() == y for x, y in zip(np.split(ids, ends[1:-1]), c.original.encode(texts, num_threads=1))]
-                    columns.append(pa.array(alike, pa.bool_()))
+                    columns.append(pa.array(_alike(ids, n, *_flat(c.original.encode(texts, num_threads=1)))))
                     names.append("parity")
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)))
@@ -314,10 +399,7 @@ def _decoder(sent):
         for b in batches:
             offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False))))
             for i, j in spans(offsets, CALL):
-                ids = b.column(1).slice(i, j - i).to_pylist()
-                texts = iter(c.tok.decode_batch([x for x in ids if x is not None], skip_special_tokens=False))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([None if x is None else next(texts) for x in ids], pa.string())],
-                                                 names=["row", "text"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), c.decode(b.column(1).slice(i, j - i))], names=["row", "text"])
     return run
 
 

@@ -107,3 +107,46 @@ def test_query_decodes_and_compares_whole_texts(spark, tmp_path):
     got = {r["doc_id"]: r for r in op1_sentencepiece(spark, str(tmp_path)).collect()}
     assert len(got) == len(texts) and all(r["parity"] for r in got.values())
     assert [got[i]["decoded_sha256"] for i in range(len(texts))] == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_decoding_is_that_of_the_library(name):
+    import numpy as np
+    import pyarrow as pa
+    c = S.Codec(MODELS[name]())
+    size = len(c.model["pieces"])
+    rng = np.random.default_rng(5)
+    mark = [i for i, (p, _, _) in enumerate(c.model["pieces"]) if p == S.MARK]
+    lists = [[int(x) for x in rng.integers(0, size if k % 2 else min(size, 259), k % 9)] for k in range(400)] + [None, [], mark, mark * 3]
+    lists += [c.original.encode(t) for t in PLAIN + ODD] + [c.original.encode("é")[:-1] for _ in range(2)]
+    halves = [[0xC3 + 3], [0xA9 + 3]]  # two texts that are one character together
+    for part in [lists, lists[-len(PLAIN + ODD) - 2:-2], [x for x in lists if not x]] + [halves] * (size > 259):
+        whole = pa.array([None, *part, [1]], pa.list_(pa.int32())).slice(1, len(part))
+        back = iter(c.tok.decode_batch([x for x in part if x is not None], skip_special_tokens=False))
+        assert c.decode(whole).to_pylist() == [None if x is None else next(back) for x in part]
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_words_are_encoded_many_at_once_and_texts_decoded_without_the_library(name, monkeypatch):
+    import numpy as np
+    c = S.Codec(MODELS[name]())
+    monkeypatch.setattr(S.Codec, "GROUP", 3)
+    calls = []
+    texts = PLAIN + ["  ", " ", "the end ", "a b  c   d ", "hen\nthe\ta", ""] * 2
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    monkeypatch.setattr(c, "texts", lambda t, own=c.texts: calls.append(t) or own(t))
+    ids, n, good = c.chunk(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    at = np.cumsum(n)[:-1]
+    assert [x.tolist() for x in np.split(ids, at)] == [c.original.encode(t) for t in texts]
+    assert good[:, 0].all() and (good[:, 1].all() or name == "unigram unknown")
+    if c.by_word:  # models that collapse spaces go by whole texts
+        assert all(len(t) == 2 for t in calls), "only the ending space asks for whole texts"
+
+
+def test_texts_that_differ_are_told_apart():
+    import numpy as np
+    rows = [([1, 2], [1, 2]), ([], []), ([1], [1, 2]), ([3, 4], [3, 5]), ([], [1]), ([7], [7]), ([], [])]
+    flat = [S._flat([r[k] for r in rows]) for k in (0, 1)]
+    assert S._alike(*flat[0], *flat[1]).tolist() == [a == b for a, b in rows]
+    assert S._is_text(np.frombuffer("é".encode(), np.uint8), np.array([0, 2])) and not S._is_text(np.frombuffer("é".encode(), np.uint8), np.array([0, 1, 2]))
