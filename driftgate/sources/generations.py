@@ -52,7 +52,8 @@ def newest_bodies(spark: SparkSession, path: str, accepted: DataFrame) -> tuple[
     heads = stored_heads(spark, path).unionByName(fetch_heads(accepted)).groupBy("source_id").agg(F.max("head").alias("head"))
     rows = [(r["source_id"], r["head"]) for r in heads.toLocalIterator()]  # one row for each registered source
     heads = spark.createDataFrame(rows, HEADS)
-    return heads, accepted.join(heads, "source_id").filter(F.col("fetched_at") == F.col("head")).drop("head")
+    # Sent to where the bodies lie: by source, all of one source would meet in one task.
+    return heads, accepted.join(F.broadcast(heads), "source_id").filter(F.col("fetched_at") == F.col("head")).drop("head")
 
 
 def merge_generation(spark: SparkSession, path: str, heads: DataFrame, new: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def merge_generation(spark: SparkSession, path: str, heads: DataFrame, new: Data
         new = new.unionByName(spark.read.schema(schema).parquet(_at(root, gens[-1], "rows")))
     kept = latest_per_source(new.withColumn("_seq", F.col("obs_seq"))).withColumnRenamed("_seq", "obs_seq")
     # Not in the source's newest complete list: it left the feed.
-    kept = kept.join(heads, "source_id", "left")
+    kept = kept.join(F.broadcast(heads), "source_id", "left")
     left = F.col("gone_at").isNull() & (F.col("fetched_at") < F.col("head"))
     kept = kept.withColumn("gone_at", F.when(left, F.col("head")).otherwise(F.col("gone_at"))).select(*schema.names)
     generation = gens[-1] + 1 if gens else 0

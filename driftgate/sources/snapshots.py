@@ -117,16 +117,19 @@ def refresh(spark: SparkSession, landing: DataFrame, path: str, snapshot_date: s
     from driftgate.operators.publish import fact_violations, publish_decision
     from driftgate.operators.reconcile import entity_facts, to_long_facts
     from driftgate.schemas import SNAPSHOT, SOURCE_OFFICIAL
-    from driftgate.session import ensure_checkpoint_dir
+    from driftgate.session import stored
     from driftgate.sources.feeds import body_status, normalize
 
-    ensure_checkpoint_dir(spark)
-    st = body_status(landing)
-    fetched = (st.groupBy("source_id").agg(F.max_by(F.struct("ok", "warning"), F.col("fetched_at")).alias("m"))
+    # Made and judged once, then stored: the rest reads it several times. Bodies are few and long
+    # to parse, so they are dealt to all shuffle partitions; ``_nth`` keeps their order.
+    dealt = landing.withColumn("_nth", F.monotonically_increasing_id()).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    st = stored(body_status(dealt), "landing")
+    newest_first = F.when(F.col("fetched_at").isNotNull(), F.struct("fetched_at", "_nth"))  # the last of one time
+    fetched = (st.groupBy("source_id").agg(F.max_by(F.struct("ok", "warning"), newest_first).alias("m"))
                  .select("source_id", "m.ok", "m.warning").collect())  # one row per source
     failed = sorted(r["source_id"] for r in fetched if not r["ok"])
     warnings = [w for _, w in sorted((r["source_id"], r["warning"]) for r in fetched if not r["ok"] and r["warning"])]
-    heads, newest = newest_bodies(spark, path, st.filter("ok").drop("ok", "source_digest", "parser_version", "warning"))
+    heads, newest = newest_bodies(spark, path, st.filter("ok").drop("_nth", "source_digest", "parser_version", "warning"))
     state = merge_generation(spark, path, heads, normalize(newest))
     available = {r["source_id"] for r in heads.collect()} - set(failed)  # one row per source
     previous, prev_meta = read_snapshot(spark, path, SNAPSHOT)

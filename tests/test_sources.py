@@ -258,3 +258,24 @@ def test_a_publisher_that_dies_leaves_the_old_snapshot(spark, tmp_dir, monkeypat
     assert refresh(spark, second, path, "2026-07-01", "2026-07-02 00:00:00").status == "published"
     assert _keys(spark, path) == (["openai:gpt-4o", "openai:o3"], "2026-07-01")
     assert manifest.vacuum(spark, path) == 2 and _keys(spark, path)[0] == ["openai:gpt-4o", "openai:o3"]
+
+
+def test_refresh_makes_its_landing_once_and_leaves_bodies_where_they_lie(spark, tmp_dir):
+    from driftgate.sources.generations import newest_bodies
+    made = spark.sparkContext.accumulator(0)
+
+    def count(body):
+        made.add(1)
+        return body
+    rows = [("models.dev", json.dumps(CATALOG)), ("deprecations.info", json.dumps(FEED)), ("official-provider", json.dumps(PACK))]
+    counted = landing(spark, rows).withColumn("body", F.udf(count, "string").asNondeterministic()("body"))
+    assert refresh(spark, counted, f"{tmp_dir}/reg_once", "2026-07-24", "2026-07-24 00:00:00").status == "published"
+    assert made.value == len(rows)
+    _, newest = newest_bodies(spark, f"{tmp_dir}/reg_none", landing(spark, rows))
+    assert "hashpartitioning(source_id" not in newest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_are_hashed_before_their_items_are_taken_apart(spark):
+    for parse, source, body in ((feeds.parse_catalog, "models.dev", CATALOG), (feeds.parse_feed, "deprecations.info", FEED)):
+        plan = parse(landing(spark, [(source, json.dumps(body))]).repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+        assert "sha2(" in plan and plan.index("sha2(") > plan.rindex("Generate posexplode"), plan
