@@ -143,3 +143,33 @@ def test_plain_search_before_the_patterns_changes_nothing(spark):
     for r in df.select("t", F.col("t").rlike(SECRET_ANY), contains_secret("t"), out, scrub_secrets("t"), scrub_json_text(F.col("t"))).collect():
         assert r[1] == r[2] and r[3] == r[4], r[0]
         assert r[5] == (None if r[3] is None else redact_members(r[3], SECRET_KEY_PATTERN, REDACTED)), r[0]
+
+
+def test_small_files_travel_together(spark, tmp_dir, monkeypatch):
+    import pandas as pd
+    from driftgate.operators import discovery as D
+    names = [f"d{i % 3}/f {i}%20#.py" for i in range(D.LISTED + 10)]  # taken as they are, not as parts of a URI
+    list(D.write_files("file:" + tmp_dir)(iter([pd.DataFrame({"path": [*names, None], "content": [*map(str, range(len(names))), "x"]})])))
+    asked = pd.DataFrame({"abs": [f"{tmp_dir}/{n}" for n in names], "path": names})
+    got = list(D._read_files(iter([asked.head(5), asked.tail(len(names) - 5)])))
+    assert [len(g) for g in got] == [D.LISTED, 10]
+    assert pd.concat(got)["content"].tolist() == [*map(str, range(len(names)))]
+    monkeypatch.setattr(D, "SENT_BYTES", 2)
+    assert max(len(g) for g in D._read_files(iter([asked]))) == 2  # large ones do not wait for others
+    written = spark.createDataFrame([(n,) for n in [*names, "gone.py"]], "path string")
+    D.remove_files(written, tmp_dir)
+    assert not [f for _, _, found in os.walk(tmp_dir) for f in found]
+
+
+def test_folders_are_listed_by_many_tasks(spark, tmp_dir):
+    from driftgate.operators import discovery as D
+    for i in range(8):
+        os.makedirs(f"{tmp_dir}/d{i}")
+        open(f"{tmp_dir}/d{i}/a.py", "w").close()
+    before = set(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")))
+    assert D.read_corpus(spark, tmp_dir, "r").count() == 8
+    from driftgate.session import ensure_checkpoint_dir
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    new = [f"{top}/{n}" for n in set(os.listdir(top)) - before]
+    assert {os.path.basename(n).split("-")[0] for n in new} == {"listing"}  # one root: its paths are unique
+    assert max(sum(f.endswith(".parquet") for f in os.listdir(n)) for n in new) > 1
