@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from driftgate.functions.jsontext import json_ok, sorted_struct
 from driftgate.functions.scanners import redact_members
-from driftgate.functions.text import SECRET_KEY_WORDS, contains_secret, scrub_secrets
+from driftgate.functions.text import SECRET_KEY_WORDS, contains_secret, holds_any, scrub_secrets
 from driftgate.schemas import CONFIDENCE_ORDER, EVIDENCE, FACTS, GENERATOR_VERSION, PROVIDERS, REDACTED, SCHEMA_VERSION, SECRET_KEY_PATTERN
 from driftgate.session import stored
 
@@ -45,6 +45,8 @@ _TEXT, _WHOLE = ["STRING"], ["BIGINT"]
 LINE_TYPES = {"facts": ["OBJECT"], "generatedAt": _TEXT, "discoveryConfidence": ["BIGINT", "DECIMAL", "DOUBLE"], "lowConfidence": ["BOOLEAN"],
               "path": _TEXT, "line": _WHOLE, "generatorVersion": _TEXT, "configDigest": _TEXT, "registryDigest": _TEXT, "evidence": ["ARRAY"],
               "nOccurrences": _WHOLE, "occurrencesDigest": _TEXT}
+#: Lines of a file of a lock, about 200 MB of text.
+FILE_LINES = 1 << 15
 
 
 def _types_ok(members: Column) -> Column:
@@ -120,9 +122,7 @@ def scrub_json_text(text) -> Column:
     # Without a word of such a key, in any case, or an escape that could hide one, no member is
     # redacted; the scrub before puts none of them in.
     text = F.col(text) if isinstance(text, str) else text
-    scrubbed, low, may = scrub_secrets(text), F.lower(text), F.lit(False)
-    for part in SECRET_KEY_WORDS.split("|"):
-        may = may | low.contains(part)
+    scrubbed, may = scrub_secrets(text), holds_any(text, SECRET_KEY_WORDS.split("|"))
     for part in ["\\", "\u017f", "\u0130", "\u0131", "\u212a"]:  # the last four are letters of them to a search that ignores case
         may = may | text.contains(part)
     return F.coalesce(F.pandas_udf(members, "string")(F.when(may, scrubbed)), scrubbed)
@@ -130,15 +130,17 @@ def scrub_json_text(text) -> Column:
 
 def write_lock(lines: DataFrame, path: str) -> int:
     """Serialize with keys sorted at every level, scrub, refuse if a secret survives;
-    returns the number of lines written. Needs a checkpoint folder (``spark.checkpoint.dir``,
+    returns the number of lines written, as text files packed with gzip (a line is 6 KB of which
+    little differs from the line before). Needs a checkpoint folder (``spark.checkpoint.dir``,
     see ``driftgate.session.ensure_checkpoint_dir``)."""
     canonical = [sorted_struct(F.col(f.name), f.dataType).alias(f.name)
                  for f in sorted(lines.schema.fields, key=lambda f: f.name)]
     # Stored once (shared checkpoint folder): the secret check, the write and the count then
     # read the serialized lines instead of recomputing the lock.
     text = lines.select(F.to_json(F.struct(*canonical)).alias("value"))
-    text = stored(text.select(scrub_json_text(F.col("value")).alias("value")), "lock-lines")
+    text = stored(text.select(scrub_json_text(F.col("value")).alias("value")), "lock-lines", compression="zstd")
     if text.filter(contains_secret("value")).limit(1).count() > 0:
         raise ValueError("Refusing to write lockfile containing secrets")
-    text.write.mode("overwrite").text(path)
+    # A packed file is read by one task: FILE_LINES bound what it holds.
+    text.write.mode("overwrite").options(compression="gzip", maxRecordsPerFile=FILE_LINES).text(path)
     return text.count()

@@ -173,3 +173,30 @@ def test_folders_are_listed_by_many_tasks(spark, tmp_dir):
     new = [f"{top}/{n}" for n in set(os.listdir(top)) - before]
     assert {os.path.basename(n).split("-")[0] for n in new} == {"listing"}  # one root: its paths are unique
     assert max(sum(f.endswith(".parquet") for f in os.listdir(n)) for n in new) > 1
+
+
+def test_a_lock_is_packed_in_bounded_files(spark, tmp_dir, monkeypatch):
+    from pyspark.sql import functions as F
+    from driftgate.operators.lock import lock_records
+    from driftgate.sources import lockio
+    facts = drift.approved_wide_once(spark, SF001)
+    txt = plan(facts).splitlines()
+    moved = [n for n, line in enumerate(txt) if "REBALANCE" in line]
+    assert len(moved) == 1 and not any("entity_key" in line for line in txt[moved[0]:])  # raw columns only
+    assert rows(facts) == rows(drift.approved_wide(spark, SF001))
+    lines = lockio.lock_lines(lock_records(B.dependencies(spark, SF001), facts, B.APPROVED_AS_OF, []), B.APPROVED_AS_OF).limit(100).coalesce(1)
+    monkeypatch.setattr(lockio, "FILE_LINES", 30)
+    assert lockio.write_lock(lines, tmp_dir + "/lock") == 100
+    text = spark.read.text(tmp_dir + "/lock")
+    per_file = [r["count"] for r in text.groupBy(F.input_file_name()).count().collect()]
+    assert len(per_file) >= 4 and max(per_file) <= 30 and sum(per_file) == 100
+    on_disk = sum(os.path.getsize(f"{tmp_dir}/lock/{f}") for f in os.listdir(tmp_dir + "/lock"))
+    assert on_disk * 4 < text.agg(F.sum(F.length("value"))).first()[0]
+    assert lockio.read_lock(text)[0].count() == 100
+
+
+def test_text_is_put_in_lower_case_once(spark):
+    from driftgate.functions.text import contains_secret
+    df = spark.createDataFrame([("Bearer " + "x" * 20,), ("plain",), (None,)], "t string")
+    found = df.filter(contains_secret("t"))
+    assert plan(found).count("lower(") <= 2 and found.count() == 1  # the plan names a filter's condition twice
